@@ -6,7 +6,7 @@ Three ways to get one, all of them distributed:
 * :func:`with_row_index` — by a sort key. Key-range buckets are fixed from a
   bounded sample, rows per bucket are counted in a keys-only pass, the rank
   inside a bucket is a ``row_number`` over a window partitioned by bucket, and
-  the bucket offsets (one row per bucket) are joined back by broadcast.
+  the bucket offsets are added from a literal array (one entry per bucket).
 * :func:`with_parquet_row_index` — physical order of Parquet files:
   ``_metadata.row_index`` plus the file's ``start_idx`` from the manifest.
 * :func:`with_csv_row_index` — physical order of CSV files: rows per file split
@@ -23,6 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..session import default_parallelism
 
@@ -91,21 +92,40 @@ def bucket_of(keys: list[Column], bounds: list[tuple], types: list) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), init, step)["lo"]
 
 
+def bucketize_numeric(key: Column, bounds: list[float]) -> Column:
+    """Bucket of a single numeric key: Spark ML's ``Bucketizer`` (binary search on
+    the JVM). Casting to double keeps the order (ties only merge neighbours);
+    NaN, which Spark sorts last, gets the last bucket; null, sorted first, gets -1."""
+    from pyspark.ml.feature import Bucketizer
+
+    splits = [-math.inf]
+    for b in bounds:
+        if b > splits[-1]:
+            splits.append(float(b))
+    splits.append(math.inf)
+    bucketizer = Bucketizer(splits=splits, inputCol="__bk", outputCol="__bb", handleInvalid="keep")
+    # Bucketizer works on a DataFrame; its expression is taken from a one-column plan.
+    return (key.cast("double"), bucketizer, len(splits) - 1)
+
+
 def with_row_index(df: DataFrame, order_by, name: str = "row_idx", *,
                    num_buckets: int | None = None, unique: bool = True,
                    return_count: bool = False):
-    """Add ``name`` = 0-based rank of each row in ``order_by`` order (ascending).
+    """Add ``name`` = 0-based rank of each row in ``order_by`` order (ascending, nulls first).
 
     Key ranges ("buckets") come from a bounded sample and are fixed on the
     driver, so every pass assigns a row to the same bucket; rows per bucket are
-    counted in a keys-only pass (one row per bucket comes back), and the rank
-    inside a bucket is a ``row_number`` over a window partitioned by bucket.
-    Nothing depends on physical partition ids, so adaptive execution and task
-    retries cannot shift the index.
-
-    ``unique=False`` appends a tie-breaker taken on the input partitions
-    (``monotonically_increasing_id``; the input must then be a deterministic
-    scan). It also splits a key holding many rows over several buckets.
+    counted in a keys-only pass (one row per bucket comes back), the rank inside
+    a bucket is a ``row_number`` over a window partitioned by bucket, and the
+    bucket offsets are a literal lookup array (no join). Nothing depends on
+    physical partition ids, so adaptive execution and task retries cannot shift
+    the index.
+
+    A single numeric key is bucketed by ``Bucketizer``; other keys by a binary
+    search over struct bounds. ``unique=False`` appends a tie-breaker taken on
+    the input partitions (``monotonically_increasing_id``; the input must then
+    be a deterministic scan); the bounds then include it, so a key holding many
+    rows still spreads over several buckets.
     Returns the frame, or ``(frame, N)`` with ``return_count=True``.
     """
     spark = df.sparkSession
@@ -117,22 +137,30 @@ def with_row_index(df: DataFrame, order_by, name: str = "row_idx", *,
     types = [work.select(k).schema.fields[0].dataType for k in keys]
     nb = num_buckets or min(65536, 4 * default_parallelism(spark))
     bounds = key_bounds(work, keys, nb)
-    tagged = work.withColumn("__b", bucket_of(keys, bounds, types))
+    if len(keys) == 1 and isinstance(types[0], NumericType):
+        key_d, bucketizer, _ = bucketize_numeric(keys[0], [b[0] for b in bounds])
+        tagged = bucketizer.transform(work.withColumn("__bk", key_d)).withColumn(
+            "__b", F.when(F.col("__bk").isNull(), F.lit(-1)).otherwise(F.col("__bb").cast("int"))
+        ).drop("__bk", "__bb")
+    else:
+        tagged = work.withColumn("__b", bucket_of(keys, bounds, types))
     counts = sorted(
         (r["__b"], r["__n"])
         for r in tagged.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).collect()
     )
-    offsets, running = [], 0
+    # Offsets indexed by bucket + 2 (bucket -1 holds null keys); one entry per bucket.
+    top = max([b for b, _ in counts], default=0)
+    offsets = [0] * (top + 2)
+    running = 0
     for b, n in counts:
-        offsets.append((b, running))
+        offsets[b + 1] = running
         running += n
-    off_df = spark.createDataFrame(offsets, "__b INT, __off BIGINT")
+    lookup = F.array(*[F.lit(o).cast("long") for o in offsets])
     in_bucket = Window.partitionBy("__b").orderBy(*keys)
     out = (
         tagged.withColumn("__rn", F.row_number().over(in_bucket))
-        .join(bounded_broadcast(off_df, len(offsets)), "__b")
-        .withColumn(name, F.col("__off") + F.col("__rn") - F.lit(1))
-        .drop("__b", "__off", "__rn", "__tie")
+        .withColumn(name, F.element_at(lookup, F.col("__b") + F.lit(2)) + F.col("__rn") - F.lit(1))
+        .drop("__b", "__rn", "__tie")
     )
     return (out, running) if return_count else out
 

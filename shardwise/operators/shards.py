@@ -68,39 +68,57 @@ def max_shards_for_epochs(row_count: int, shard_size: int, replicas: int = 1,
 
 def assign_shards(indexed: DataFrame, row_count: int, shard_size: int, replicas: int = 1,
                   max_shards: int | None = None, worker: int | None = None,
-                  row_idx: str = "row_idx") -> DataFrame:
-    """Tag rows with ``worker, step, pos`` for the first ``max_shards`` steps of every worker.
+                  row_idx: str = "row_idx", first_step: int = 0) -> DataFrame:
+    """Tag rows with ``worker, step, pos`` for steps ``first_step .. first_step+max_shards-1``
+    of every worker.
 
     Output: ``worker INT, step BIGINT, pos BIGINT`` + the input columns; rows of a
     shard are ``pos`` 0..s-1 in read order. ``max_shards=0`` gives no rows; the
     unbounded feed (``max_shards=None``) lives in :mod:`shardwise.streaming.feed`.
+    When the steps cover less than the whole table, a range filter on the index
+    selects the rows they use (it reaches the Parquet scan of a materialised,
+    index-sorted table).
     """
     if max_shards is None:
         raise ValueError("a batch plan needs max_shards; use streaming.feed for an unbounded feed")
+    if isinstance(max_shards, bool) or int(max_shards) < 0:
+        raise ValueError("max_shards must be a non-negative integer")
     if row_count <= 0:
         raise ValueError("the dataset has no rows")
     validate_worker(0 if worker is None else worker, replicas, shard_size)
     s, r, n = int(shard_size), int(replicas), int(row_count)
-    total = r * int(max_shards) * s
-    epochs = math.ceil(total / n) if total else 0
+    p_lo = int(first_step) * r * s
+    p_hi = p_lo + r * int(max_shards) * s
+    idx = F.col(row_idx)
+    if p_hi == p_lo:
+        return _tag(indexed.withColumn("__p", F.lit(None).cast("long")).where(F.lit(False)), s, r, row_idx)
     base = indexed
-    if epochs == 0:
-        return _tag(base.withColumn("__p", F.lit(None).cast("long")).where(F.lit(False)), s, r, row_idx)
-    if epochs == 1:
-        positions = base.where(F.col(row_idx) < total).withColumn("__p", F.col(row_idx))
+    if p_hi - p_lo < n:
+        lo, hi = p_lo % n, p_hi % n
+        base = base.where((idx >= lo) & (idx < hi)) if lo < hi else base.where((idx >= lo) | (idx < hi))
+    e_lo, e_hi = p_lo // n, (p_hi - 1) // n
+    if e_lo == e_hi:
+        positions = base.withColumn("__p", F.lit(e_lo * n) + idx)
     else:
         positions = (
-            base.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-            .withColumn("__p", F.col("__epoch") * F.lit(n) + F.col(row_idx))
-            .where(F.col("__p") < F.lit(total))
-            .drop("__epoch")
+            base.withColumn("__e", F.explode(F.sequence(F.lit(e_lo), F.lit(e_hi))))
+            .withColumn("__p", F.col("__e") * F.lit(n) + idx)
+            .drop("__e")
         )
+    positions = positions.where((F.col("__p") >= F.lit(p_lo)) & (F.col("__p") < F.lit(p_hi)))
     out = _tag(positions, s, r, row_idx)
     if worker is not None:
         out = out.where(F.col("worker") == F.lit(worker))
     return out
 
 
+def shard(indexed: DataFrame, row_count: int, shard_size: int, step: int, worker: int = 0,
+          replicas: int = 1, row_idx: str = "row_idx") -> DataFrame:
+    """The rows of one shard (``worker``'s ``step``), ordered by ``pos``."""
+    return assign_shards(indexed, row_count, shard_size, replicas, 1, worker, row_idx,
+                         first_step=step).orderBy("pos")
+
+
 def _tag(positions: DataFrame, s: int, r: int, row_idx: str) -> DataFrame:
     shard = F.floor(F.col("__p") / F.lit(s))
     data_cols = [c for c in positions.columns if c != "__p"]
