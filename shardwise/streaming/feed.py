@@ -44,8 +44,8 @@ def step_positions(steps: DataFrame, shard_size: int, replicas: int, row_count:
     workers = F.array(F.lit(worker)) if worker is not None else F.sequence(F.lit(0), F.lit(r - 1))
     return (
         steps.select(F.col(step_col).cast("long").alias("step"))
-        .withColumn("worker", F.explode(workers).cast("int"))
-        .withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(s - 1))).cast("long"))
+        .withColumn("worker", F.explode(workers.cast("array<int>")))
+        .withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(s - 1)).cast("array<long>")))
         .withColumn("row_idx", ((F.col("step") * F.lit(r) + F.col("worker")) * F.lit(s) + F.col("pos"))
                     % F.lit(n))
     )
