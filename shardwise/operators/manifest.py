@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import literal_rows
+
 RAW_SCHEMA = "id INT, count BIGINT"
 
 
@@ -31,7 +33,7 @@ def partition_counts(df: DataFrame, include_empty_zero_id: bool = False) -> Data
         .agg(F.count(F.lit(1)).alias("count"))
     )
     if include_empty_zero_id:
-        zero = df.sparkSession.createDataFrame([(0, 0)], RAW_SCHEMA)
+        zero = literal_rows(df.sparkSession, [(0, 0)], RAW_SCHEMA)
         counts = counts.unionByName(zero)
     return counts
 
@@ -96,7 +98,7 @@ def list_objects(spark: SparkSession, glob: str) -> DataFrame:
             f"Specified glob pattern {glob} failed to match any objects. Ensure that the "
             "permission settings are configured correctly before trying again.")
     rows = [(i, uri, size) for i, (uri, size) in enumerate(files)]
-    return spark.createDataFrame(rows, "id INT, uri STRING, size BIGINT")
+    return literal_rows(spark, rows, "id INT, uri STRING, size BIGINT")
 
 
 def count_objects(spark: SparkSession, glob: str, header: bool | str | int | None = None,

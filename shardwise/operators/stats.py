@@ -14,26 +14,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, numeric_columns
-from ..functions.normal import two_sided_pvalue
+from ..functions.normal import two_sided_pvalue, two_sided_pvalue_udf
 
 SUMMARY_ROWS = ("count", "mean", "stddev", "min", "max")
 
 
-def summarize(df: DataFrame, columns: Sequence[str] | None = None,
-              by: Sequence[str] | str | None = None) -> DataFrame:
-    """Long summary: ``[by...], field, count, mean, stddev, min, max, sample_size``.
-
-    Text columns are left out (the reference would fail casting them).
-    ``sample_size`` is the largest count over the summarised columns of the group.
-    """
-    by = [by] if isinstance(by, str) else list(by or [])
-    cols = list(columns) if columns is not None else numeric_columns(df, exclude=by)
-    if not cols:
-        raise ValueError("no numeric column to summarise")
+def _summary_aggs(cols: Sequence[str]) -> list:
     aggs = []
     for i, c in enumerate(cols):
         x = as_double(c)
@@ -44,7 +34,10 @@ def summarize(df: DataFrame, columns: Sequence[str] | None = None,
             F.min(x).alias(f"lo{i}"),
             F.max(x).alias(f"hi{i}"),
         ]
-    grouped = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    return aggs
+
+
+def _to_long(grouped: DataFrame, keep: Sequence[str], cols: Sequence[str]) -> DataFrame:
     n = F.greatest(*[F.col(f"c{i}") for i in range(len(cols))]) if len(cols) > 1 else F.col("c0")
     rows = F.array(*[
         F.struct(
@@ -57,8 +50,59 @@ def summarize(df: DataFrame, columns: Sequence[str] | None = None,
         )
         for i, c in enumerate(cols)
     ])
-    return grouped.select(*by, n.cast("long").alias("sample_size"), F.inline(rows)).select(
-        *by, "field", "count", "mean", "stddev", "min", "max", "sample_size")
+    return grouped.select(*keep, n.cast("long").alias("sample_size"), F.inline(rows)).select(
+        *keep, "field", "count", "mean", "stddev", "min", "max", "sample_size")
+
+
+def summarize(df: DataFrame, columns: Sequence[str] | None = None,
+              by: Sequence[str] | str | None = None) -> DataFrame:
+    """Long summary: ``[by...], field, count, mean, stddev, min, max, sample_size``.
+
+    Text columns are left out (the reference would fail casting them).
+    ``sample_size`` is the largest count over the summarised columns of the group.
+    """
+    by = [by] if isinstance(by, str) else list(by or [])
+    cols = list(columns) if columns is not None else numeric_columns(df, exclude=by)
+    if not cols:
+        raise ValueError("no numeric column to summarise")
+    aggs = _summary_aggs(cols)
+    grouped = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    return _to_long(grouped, by, cols)
+
+
+def combine_groups(long: DataFrame) -> DataFrame:
+    """Whole-table summary per field from per-group summaries (no second scan).
+
+    ``count`` adds up, ``mean`` is the count-weighted mean, the sum of squared
+    deviations pools as ``sum(M2_g + n_g * (mean_g - mean)^2)`` with
+    ``M2_g = stddev_g^2 * (n_g - 1)``, ``min``/``max`` combine directly. The input
+    has one row per group and field.
+    """
+    per_field = Window.partitionBy("field")
+    rows = long.where(F.col("count") > 0)
+    total = F.sum("count").over(per_field)
+    rows = rows.withColumn("__mu", F.sum(F.col("count") * F.col("mean")).over(per_field) / total)
+    m2 = F.coalesce(F.col("stddev") * F.col("stddev") * (F.col("count") - F.lit(1)), F.lit(0.0))
+    rows = rows.withColumn("__dev", m2 + F.col("count") * (F.col("mean") - F.col("__mu")) ** 2)
+    n = F.sum("count")
+    return rows.groupBy("field").agg(
+        n.cast("long").alias("count"),
+        F.first("__mu").alias("mean"),
+        F.when(n > 1, F.sqrt(F.sum("__dev") / (n - F.lit(1)))).alias("stddev"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+    )
+
+
+def zscores_by_group(df: DataFrame, by: Sequence[str] | str, columns: Sequence[str] | None = None,
+                     per_column_n: bool = False) -> DataFrame:
+    """Every group of ``by`` as a sample of the whole table, from one scan.
+
+    The groups are summarised once; the population summary is pooled from the
+    group summaries (one row per group and field) and broadcast back.
+    """
+    samples = summarize(df, columns, by=by)
+    return zscores(samples, combine_groups(samples), per_column_n=per_column_n)
 
 
 def long_to_wide(long: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -103,9 +147,10 @@ def zscores(sample: DataFrame, population: DataFrame, per_column_n: bool = False
         "pop_mean", "pop_stddev")
 
 
-def pvalues(scored: DataFrame) -> DataFrame:
-    """Add ``pvalue`` = two-sided normal tail of ``zscore``."""
-    return scored.withColumn("pvalue", two_sided_pvalue("zscore"))
+def pvalues(scored: DataFrame, use_udf: bool = False) -> DataFrame:
+    """Add ``pvalue`` = two-sided normal tail of ``zscore`` (JVM ``erfc``; or the pandas UDF)."""
+    fn = two_sided_pvalue_udf if use_udf else two_sided_pvalue
+    return scored.withColumn("pvalue", fn("zscore"))
 
 
 def sample_vs_population(sample_df: DataFrame, population: DataFrame | None = None,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rowindex import with_row_index
 from ..operators import evaluate, features, manifest, metrics, shards, stats
+from ..session import literal_rows
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -164,7 +165,7 @@ def q_manifest_offsets(spark, d):
 
 
 def q_manifest_zero_row(spark, d):
-    raw = _nation_manifest_raw(spark, d).unionByName(spark.createDataFrame([(0, 0)], manifest.RAW_SCHEMA))
+    raw = _nation_manifest_raw(spark, d).unionByName(literal_rows(spark, [(0, 0)], manifest.RAW_SCHEMA))
     return manifest.make_manifest(df=raw)
 
 
@@ -266,10 +267,7 @@ def q_summary_wide(spark, d):
 
 
 def _by_flag(spark, d):
-    li = table(spark, d, "lineitem")
-    population = stats.summarize(li, LINEITEM_NUMERIC)
-    samples = stats.summarize(li, LINEITEM_NUMERIC, by="l_returnflag")
-    return stats.zscores(samples, population)
+    return stats.zscores_by_group(table(spark, d, "lineitem"), "l_returnflag", LINEITEM_NUMERIC)
 
 
 def q_zscore_by_sample(spark, d):

@@ -74,3 +74,24 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str):
+    """A small table from driver-side values, built on the JVM (no Python worker).
+
+    ``schema`` is a DDL string such as ``"id INT, count BIGINT"``. Meant for
+    bounded tables: a listing of objects, a handful of parameter rows.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StructType
+
+    struct = StructType.fromDDL(schema)
+    names = [f.name for f in struct.fields]
+    empty = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in struct.fields])
+    if not rows:
+        return empty
+    items = F.array(*[
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, struct.fields)])
+        for row in rows
+    ])
+    return spark.range(1).select(F.inline(items)).select(*names)

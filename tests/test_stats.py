@@ -92,3 +92,38 @@ def test_pvalue_tail_precision(spark):
     assert 0 < got[3] < 1e-30  # erfc keeps the tail; 1 - cdf would give 0
     assert got[4] is None
     assert np.isfinite(got[3])
+
+
+def test_jvm_erfc_and_udf_agree_with_math(spark):
+    from shardwise.functions.normal import erfc, two_sided_pvalue, two_sided_pvalue_udf
+
+    xs = [-2.5, -0.3, 0.0, 0.7, 1.99, 2.0, 2.01, 4.5, 9.0, 27.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x DOUBLE")
+    rows = df.select("x", erfc("x").alias("e"), two_sided_pvalue("x").alias("p"),
+                     two_sided_pvalue_udf("x").alias("u")).collect()
+    for r in rows:
+        assert r["e"] == pytest.approx(math.erfc(r["x"]), rel=1e-12)
+        assert r["p"] == pytest.approx(r["u"], rel=1e-12)
+
+
+def test_zscores_by_group_single_pass_equals_two_passes(spark):
+    li = spark.read.parquet(f"{TESTDATA}/sf0.001/lineitem.parquet")
+    cols = ["l_quantity", "l_tax"]
+    one = stats.zscores_by_group(li, "l_returnflag", cols)
+    two = stats.zscores(stats.summarize(li, cols, by="l_returnflag"), stats.summarize(li, cols))
+    key = lambda r: (r["l_returnflag"], r["field"])
+    a = {key(r): r["zscore"] for r in one.collect()}
+    b = {key(r): r["zscore"] for r in two.collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k])
+
+
+def test_combine_groups_equals_direct_summary(spark):
+    li = spark.read.parquet(f"{TESTDATA}/sf0.001/lineitem.parquet")
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    pooled = {r["field"]: r for r in stats.combine_groups(stats.summarize(li, cols, by="l_linestatus")).collect()}
+    direct = {r["field"]: r for r in stats.summarize(li, cols).collect()}
+    for c in cols:
+        for k in ("count", "mean", "stddev", "min", "max"):
+            assert pooled[c][k] == pytest.approx(direct[c][k], rel=1e-12)
