@@ -43,27 +43,31 @@ def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_RO
 
 
 def key_bounds(df: DataFrame, keys: list[Column], n_buckets: int, seed: int = 11,
-               rows_per_bucket: int = 64) -> list[tuple]:
+               rows_per_bucket: int = 64, max_sample: int = 2_000_000) -> list[tuple]:
     """Up to ``n_buckets - 1`` increasing key tuples splitting ``df`` into similar-sized ranges.
 
-    A sample of about ``rows_per_bucket * n_buckets`` keys (a bounded amount) is
-    sorted by Spark, so the bounds follow Spark's own ordering.
+    A sample of about ``rows_per_bucket * n_buckets`` keys (at most
+    ``max_sample``) is cut into ``n_buckets`` tiles by Spark, and only the first
+    key of every tile comes back to the driver, so the bounds follow Spark's own
+    ordering and the driver holds one row per bucket.
     """
     n = df.count()
     if n == 0 or n_buckets <= 1:
         return []
-    fraction = min(1.0, rows_per_bucket * n_buckets / n)
-    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    fraction = min(1.0, min(max_sample, rows_per_bucket * n_buckets) / n)
+    names = [f"k{i}" for i in range(len(keys))]
     not_null = F.lit(True)
-    for i in range(len(keys)):
-        not_null = not_null & F.col(f"k{i}").isNotNull()
-    sample = (df.select(*named).where(not_null).sample(False, fraction, seed)
-              .orderBy(*[f"k{i}" for i in range(len(keys))]).collect())
-    if not sample:
-        return []
+    for name in names:
+        not_null = not_null & F.col(name).isNotNull()
+    sample = df.select(*[k.alias(nm) for k, nm in zip(keys, names)]).where(not_null).sample(
+        False, fraction, seed)
+    # The sample is bounded, so one ordered window over it is fine.
+    tiles = sample.withColumn("__t", F.ntile(n_buckets).over(Window.orderBy(*names)))
+    firsts = (tiles.groupBy("__t").agg(F.min(F.struct(*names)).alias("__k"))
+              .where(F.col("__t") > 1).orderBy("__t").collect())
     bounds: list[tuple] = []
-    for j in range(1, n_buckets):
-        b = tuple(sample[(j * len(sample)) // n_buckets])
+    for row in firsts:
+        b = tuple(row["__k"])
         if not bounds or b != bounds[-1]:
             bounds.append(b)
     return bounds

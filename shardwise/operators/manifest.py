@@ -135,7 +135,11 @@ def attach_uris(manifest: DataFrame, listing: DataFrame, check: bool = True) ->
         "__k", F.row_number().over(Window.orderBy("id", "start_idx", "end_idx")))
     right = nonempty.withColumn("__k", F.row_number().over(Window.orderBy("uri")))
     if check:
-        n_left, n_right = manifest.count(), nonempty.count()
+        sides = (manifest.select(F.lit(0).alias("side"))
+                 .unionByName(nonempty.select(F.lit(1).alias("side")))
+                 .groupBy("side").count().collect())
+        counts = {r["side"]: r["count"] for r in sides}
+        n_left, n_right = counts.get(0, 0), counts.get(1, 0)
         if n_left != n_right:
             raise ValueError(
                 f"The number of the non-empty objects {n_right} is not equal to the number "
