@@ -206,7 +206,7 @@ def with_csv_row_index(scan: DataFrame, manifest: DataFrame | None = None,
         F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
     if manifest is not None:
         starts = manifest.select(F.col(uri_col).alias("__path"), F.col("start_idx").alias("__fstart"))
-        splits = splits.join(F.broadcast(starts), "__path")
+        splits = splits.join(bounded_broadcast(starts, starts.count()), "__path")
         in_file = Window.partitionBy("__path").orderBy("__block").rowsBetween(
             Window.unboundedPreceding, -1)
         splits = splits.withColumn(

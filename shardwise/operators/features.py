@@ -90,6 +90,32 @@ def assign_batches(indexed: DataFrame, batch_size: int, row_idx: str = "row_idx"
 DEFAULT_BATCH_SIZES = {"train": 64, "test": 1000, "validation": 1000}
 
 
+def assign_split_batches(df: DataFrame, split: str, order_by, sizes: dict[str, int] | None = None,
+                         name: str = "batch") -> DataFrame:
+    """Batches inside each split (e.g. train / test / validation), each with its own size.
+
+    One global row index over ``(split, order_by...)``; the first index of every
+    split (one row per split) is subtracted, then ``batch = idx div size``.
+    Splits missing from ``sizes`` get no batch (null).
+    """
+    from ..functions.rowindex import with_row_index
+
+    sizes = dict(sizes or DEFAULT_BATCH_SIZES)
+    keys = [split] + ([order_by] if isinstance(order_by, str) else list(order_by))
+    idx = with_row_index(df, keys, "__gidx")
+    # one row per split named in ``sizes``: a broadcast of known size
+    starts = idx.where(F.col(split).isin(list(sizes))).groupBy(split).agg(
+        F.min("__gidx").alias("__start"))
+    size = F.coalesce(*[F.when(F.col(split) == F.lit(k), F.lit(v)) for k, v in sizes.items()])
+    return (
+        idx.join(F.broadcast(starts), split, "left")
+        .withColumn("row_idx", F.col("__gidx") - F.col("__start"))
+        .withColumn(name, F.floor(F.col("row_idx") / size).cast("long"))
+        .withColumn("batch_pos", (F.col("row_idx") % size).cast("long"))
+        .drop("__gidx", "__start")
+    )
+
+
 def batch_summary(batched: DataFrame, name: str = "batch", row_idx: str = "row_idx") -> DataFrame:
     """Rows and index range per batch."""
     return batched.groupBy(name).agg(

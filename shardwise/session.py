@@ -49,6 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if fallback is None and not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a folder on shared storage (HDFS, S3, ...) "
+                "that every executor can reach")
         configured = fallback or tempfile.mkdtemp(prefix="shardwise-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

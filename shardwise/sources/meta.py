@@ -69,3 +69,36 @@ def write_manifest(raw_manifest: DataFrame, data_folder: str) -> str:
 def write_stats(stats_wide: DataFrame, data_folder: str) -> str:
     """Store a wide summary (``summary`` + columns) for ``data_folder``."""
     return write_meta(stats_wide, data_folder, "stats")
+
+
+def write_with_manifest(df: DataFrame, data_folder: str, fmt: str = "csv", header: bool = True,
+                        include_empty_zero_id: bool = False, mode: str = "overwrite") -> DataFrame:
+    """Write ``df`` as part files and its raw manifest (rows per part) to ``.meta/shards``.
+
+    The frame is persisted first, so the counts per partition are taken from the
+    very partitions that are written (part file ``k`` holds partition ``k``; Spark
+    writes no file for an empty partition, and the manifest has no row for it).
+    Returns the raw manifest.
+    """
+    from pyspark import StorageLevel
+
+    from ..operators.manifest import partition_counts
+
+    target = resolve_uri(data_folder).rstrip("/")
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        writer = kept.write.mode(mode)
+        if fmt == "csv":
+            writer = writer.option("header", str(bool(header)).lower())
+        writer.format(fmt).save(target)
+        raw = partition_counts(kept, include_empty_zero_id=include_empty_zero_id)
+        write_manifest(raw, target)
+    finally:
+        kept.unpersist()
+    return read_raw(kept.sparkSession, f"{target}/.meta/shards")
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    from ..operators.manifest import read_raw_manifest
+
+    return read_raw_manifest(spark, path)

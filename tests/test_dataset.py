@@ -126,3 +126,26 @@ def test_text_columns_refused_for_features(spark, tmpdir_path):
     ds = ShardedDataset(spark, path, header=None, shard_size=1, max_shards=1)
     with pytest.raises(ValueError):
         ds.features()
+
+
+def test_write_with_manifest_round_trip(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    target = os.path.join(tmpdir_path, "written")
+    df = spark.range(0, 97, 1, 5).select(F.col("id").alias("x"), (F.col("id") * 2).alias("y"))
+    raw = meta.write_with_manifest(df, target)
+    assert sorted(r["count"] for r in raw.collect()) and sum(r["count"] for r in raw.collect()) == 97
+    ds = ShardedDataset(spark, f"{target}/*.csv", header=True, shard_size=10, max_shards=10)
+    assert ds.row_count == 97
+    got = [int(r["0"]) for r in ds.shards().orderBy("step", "pos").collect()]
+    assert got == list(range(97)) + list(range(3))
+
+
+def test_quoted_newline_counts_logical_rows(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "q.csv")
+    with open(path, "w") as f:
+        f.write('a,b\n1,"x\ny"\n2,z\n3,"p\nq\nr"\n')
+    ds = ShardedDataset(spark, path, header=True, multiline=True, shard_size=3, max_shards=1)
+    rows = ds.shards().orderBy("pos").collect()
+    assert [int(r["0"]) for r in rows] == [1, 2, 3]
+    assert rows[0]["1"] == "x\ny"

@@ -69,3 +69,17 @@ def test_epoch_loss_mean_of_batch_means(spark):
     assert res["mean_row_loss"] == pytest.approx(loss.mean())
     assert res["n_rows"] == len(pdf) and res["n_batches"] == len(means)
     assert batches.where(F.col("n_rows") > 64).count() == 0
+
+
+def test_split_batches_each_with_its_size(spark):
+    rows = [("train", i) for i in range(150)] + [("test", i) for i in range(30)] + [("validation", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "split STRING, k INT")
+    out = features.assign_split_batches(df, "split", "k", {"train": 64, "test": 16, "validation": 1000})
+    sizes = {}
+    for r in out.groupBy("split", "batch").count().collect():
+        sizes.setdefault(r["split"], []).append((r["batch"], r["count"]))
+    assert sorted(sizes["train"]) == [(0, 64), (1, 64), (2, 22)]
+    assert sorted(sizes["test"]) == [(0, 16), (1, 14)]
+    assert sorted(sizes["validation"]) == [(0, 5)]
+    first = out.where("split = 'test' and batch = 1 and batch_pos = 0").first()
+    assert first["k"] == 16
