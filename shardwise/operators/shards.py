@@ -191,7 +191,7 @@ def read_spec(manifest: DataFrame, row_count: int, start: int, end: int) -> Data
             (F.least(F.col("end_idx"), F.lit(end)) - F.col("start_idx")).alias("numrows"), *extra)
         spec = head.unionByName(tail)
     return spec.withColumn(
-        "seq", F.row_number().over(Window.orderBy("part", "__order")) - 1
+        "seq", (F.row_number().over(Window.orderBy("part", "__order")) - 1).cast("long")
     ).select("part", "seq", "id", F.col("skiprows").cast("long").alias("skiprows"),
              F.col("numrows").cast("long").alias("numrows"), *extra)
 

@@ -1,0 +1,55 @@
+"""Plan properties that matter at scale, checked on the executed plans."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as E
+from shardwise.functions.rowindex import with_row_index
+from shardwise.operators.shards import assign_shards
+from shardwise.streaming.feed import materialize
+
+from .conftest import TESTDATA
+
+SF = f"{TESTDATA}/sf0.001"
+
+
+def executed(df):
+    """The final adaptive plan (without the initial plan that follows it)."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_pairwise_joins_or_python_rows(spark, name):
+    plan = executed(E.queries()[name](spark, SF))
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert bad not in plan, f"{name}: {bad}"
+
+
+def test_grouped_zscores_scan_once(spark):
+    plan = executed(E.queries()["pvalue_by_sample"](spark, SF))
+    assert "ReusedExchange" in plan
+    assert plan.count("Scan parquet") == 1
+
+
+def test_shard_window_filter_reaches_the_scan(spark, tmpdir_path):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    idx, n = with_row_index(orders, "o_orderkey", return_count=True)
+    table = spark.read.parquet(materialize(idx, os.path.join(tmpdir_path, "t")))
+    q = assign_shards(table, n, 100, 2, 1, first_step=3).select("o_orderkey", "pos")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(row_idx,600)" in plan and "LessThan(row_idx,800)" in plan
+    assert "o_totalprice" not in plan  # column pruning reaches the scan
+
+
+def test_metric_windows_aggregate_partially(spark):
+    plan = executed(E.queries()["metric_avg_60s"](spark, SF))
+    assert plan.count("HashAggregate") >= 2  # partial before the shuffle, final after
+
+
+def test_row_index_has_one_data_shuffle_and_no_join(spark):
+    plan = executed(E.queries()["row_index"](spark, SF))
+    assert "Join" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
