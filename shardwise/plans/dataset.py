@@ -154,10 +154,14 @@ class ShardedDataset:
 
     def stream(self, table_path: str | None = None, rows_per_batch: int = 1,
                worker: int | None = -1) -> DataFrame:
-        """Endless feed as a streaming DataFrame (see :mod:`shardwise.streaming.feed`)."""
+        """Endless feed as a streaming DataFrame (see :mod:`shardwise.streaming.feed`).
+
+        The indexed table is written once to ``table_path`` (default: a new folder
+        under ``spark.checkpoint.dir``) and the stream joins against that copy.
+        """
         from ..streaming.feed import materialize, shard_stream
 
-        path = table_path or materialize(self.table())
+        path = materialize(self.table(), table_path)
         w = self.worker if worker == -1 else worker
         return shard_stream(self.spark, self.spark.read.parquet(path), self.row_count,
                             self.shard_size, self.replicas, worker=w, rows_per_batch=rows_per_batch)

@@ -1,6 +1,8 @@
 import os
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shardwise.operators import manifest as man
@@ -104,3 +106,14 @@ def test_custom_hooks(spark, parts_dir):
                              make_manifest_fn=lambda df=None, **kw: man.make_manifest(df=df).withColumn(
                                  "end_idx", F.col("end_idx")))
     assert calls and rows(out, "id", "end_idx") == [(1, 1), (2, 2), (3, 3)]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(counts=st.lists(st.integers(0, 50), min_size=1, max_size=12))
+def test_property_intervals_are_disjoint_and_cover(spark, counts):
+    raw = spark.createDataFrame(list(enumerate(counts)), man.RAW_SCHEMA)
+    out = man.make_manifest(df=raw).orderBy("id").collect()
+    assert out[0]["start_idx"] == 0 and out[-1]["end_idx"] == sum(counts)
+    for a, b in zip(out, out[1:]):
+        assert a["end_idx"] == b["start_idx"]
+    assert [r["end_idx"] - r["start_idx"] for r in out] == counts

@@ -109,3 +109,44 @@ def test_stream_sustained_alarm_is_a_subset_of_batch(spark, tmpdir_path):
              for r in metrics.sustained_alarm(ev, "ts", "event_type", "value", "1 hour", 45.0, ">=", 5, 5).collect()}
     assert streamed and streamed <= batch
     assert len(streamed) >= len(batch) - 10
+
+
+def test_dataset_stream_matches_batch_shards(spark, tmpdir_path, station_csv):
+    from shardwise.plans.dataset import ShardedDataset
+
+    ds = ShardedDataset(spark, station_csv, header=None, worker=1, replicas=2, shard_size=300)
+    stream = ds.stream(table_path=os.path.join(tmpdir_path, "tbl"))
+    name = f"ds_{uuid.uuid4().hex[:8]}"
+    q = (stream.writeStream.format("memory").queryName(name)
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck4")).start())
+    deadline = time.time() + 120
+    try:
+        while time.time() < deadline:
+            if spark.table(name).select("step").distinct().count() >= 3:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    got = sorted((r["step"], r["pos"], r["row_idx"]) for r in
+                 spark.table(name).where("step < 3").select("step", "pos", "row_idx").collect())
+    want = sorted((r["step"], r["pos"], r["row_idx"]) for r in
+                  ds.shards(max_shards=3).select("step", "pos", "row_idx").collect())
+    assert got == want
+
+
+def test_stream_threshold_alarm_subset_of_batch(spark, tmpdir_path):
+    src = tempfile.mkdtemp(prefix="evt-", dir=tmpdir_path)
+    ev = spark.read.parquet(f"{TESTDATA}/sf0.001/events.parquet")
+    ev.write.mode("overwrite").parquet(os.path.join(src, "e"))
+    stream = spark.readStream.schema(ev.schema).parquet(os.path.join(src, "e"))
+    name = f"low_{uuid.uuid4().hex[:8]}"
+    a = smetrics.stream_threshold_alarm(stream, "ts", "event_type", "value", "1 hour", 35.0, "<",
+                                        watermark="1 hour")
+    q = (a.writeStream.outputMode("append").format("memory").queryName(name)
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck5"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    streamed = {(r["event_type"], r["window_start"].replace(tzinfo=None)) for r in spark.table(name).collect()}
+    batch = {(r["event_type"], r["window_start"]) for r in
+             metrics.threshold_alarm(ev, "ts", "event_type", "value", "1 hour", 35.0, "<").collect()}
+    assert streamed and streamed <= batch
