@@ -83,7 +83,7 @@ class ShardedDataset:
         if index_shards:
             counter = objs_to_shards_df_fn or (
                 lambda spark_, glob_, header=None: man.count_objects(
-                    spark_, glob_, header=header, sep=sep, listing=self.objs))
+                    spark_, glob_, header=header, sep=sep, listing=self.objs, multiline=multiline))
             raw = counter(spark, self.glob, header=header)
             offsets = make_shards_df_fn(df=raw)
             self.manifest = offsets.join(self.objs.select("id", "uri"), "id", "left").select(
