@@ -98,11 +98,22 @@ def zscores_by_group(df: DataFrame, by: Sequence[str] | str, columns: Sequence[s
                      per_column_n: bool = False) -> DataFrame:
     """Every group of ``by`` as a sample of the whole table, from one scan.
 
-    The groups are summarised once; the population summary is pooled from the
-    group summaries (one row per group and field) and broadcast back.
+    The groups are summarised once; the population mean and standard deviation
+    are pooled from the group rows of each field by two window passes over the
+    same partitioning (one exchange by field, no join): ``mu = sum(n*m)/N`` and
+    ``M2 = sum(M2_g + n_g*(m_g - mu)^2)``.
     """
     samples = summarize(df, columns, by=by)
-    return zscores(samples, combine_groups(samples), per_column_n=per_column_n)
+    per_field = Window.partitionBy("field")
+    pooled = samples.withColumn("__n", F.sum("count").over(per_field)).withColumn(
+        "__mu", F.sum(F.col("count") * F.col("mean")).over(per_field) / F.col("__n"))
+    m2 = (F.coalesce(F.col("stddev") * F.col("stddev") * (F.col("count") - F.lit(1)), F.lit(0.0))
+          + F.coalesce(F.col("count") * (F.col("mean") - F.col("__mu")) ** 2, F.lit(0.0)))
+    pooled = pooled.withColumn(
+        "__sd", F.when(F.col("__n") > 1, F.sqrt(F.sum(m2).over(per_field) / (F.col("__n") - F.lit(1)))))
+    n = F.col("count") if per_column_n else F.col("sample_size")
+    z = (F.col("mean") - F.col("__mu")) / (F.col("__sd") / F.sqrt(n.cast("double")))
+    return pooled.withColumn("zscore", z).drop("__n", "__mu", "__sd")
 
 
 def long_to_wide(long: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:
