@@ -11,7 +11,10 @@ Two forms:
 * :func:`shard_stream` — a streaming DataFrame: steps are exploded into the
   positions of every worker, ``row_idx = ((step*r + w)*s + pos) mod N``, and a
   stream-static equi-join with the indexed table fetches the rows. The stream
-  side is small (``rows_per_batch * r * s`` positions) and is broadcast.
+  side is small (``rows_per_batch * r * s`` positions) and is broadcast, so the
+  table is not shuffled; it is, however, scanned once per micro-batch (Spark
+  applies no dynamic pruning inside micro-batches). Use it when such a scan is
+  affordable, and :func:`start_shard_feed` for large tables.
 * :func:`start_shard_feed` — a ``foreachBatch`` writer: each micro-batch's steps
   become a row-range filter on an index-sorted Parquet table (row groups are
   pruned by their min/max), so a step reads only the rows it needs; output is
