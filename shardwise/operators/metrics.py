@@ -117,24 +117,29 @@ def sustained_alarm(df: DataFrame, ts: str, keys: Sequence[str] | str, value: st
     """Periods ``t`` where at least ``datapoints`` of the ``evaluation_periods`` periods
     ending at ``t`` have data that breaches; ``t`` itself must have data.
 
+    Every period with data marks itself present; a breaching period also counts
+    toward the ``evaluation_periods - 1`` periods after it. One aggregation per
+    ``(keys, period)`` then gives the breach count, from a single scan.
     Output: ``keys..., window_start, window_end, breaches``.
     """
     keys = _keys(keys)
     secs = period_seconds(period)
     windows = window_stat(df, ts, keys, value, secs, stat)
-    breaching = windows.where(compare(F.col("value"), comparison, threshold))
-    fanned = breaching.select(
-        *keys,
-        F.explode(F.sequence(F.lit(0), F.lit(evaluation_periods - 1))).alias("__k"),
-        "window_start",
-    ).select(*keys, F.expr(f"timestampadd(SECOND, __k * {secs}, window_start)").alias("window_start"))
+    breach = compare(F.col("value"), comparison, threshold)
+    fanned = (
+        windows.select(*keys, "window_start", F.coalesce(breach, F.lit(False)).alias("__b"),
+                       F.explode(F.sequence(F.lit(0), F.lit(evaluation_periods - 1))).alias("__k"))
+        .where((F.col("__k") == 0) | F.col("__b"))
+        .select(*keys,
+                F.expr(f"timestampadd(SECOND, __k * {secs}, window_start)").alias("window_start"),
+                F.col("__b").cast("int").alias("__b"),
+                (F.col("__k") == 0).alias("__own"))
+    )
     alarms = (
         fanned.groupBy(*keys, "window_start")
-        .agg(F.count(F.lit(1)).alias("breaches"))
-        .where(F.col("breaches") >= F.lit(datapoints))
+        .agg(F.sum("__b").alias("breaches"), F.max("__own").alias("__present"))
+        .where(F.col("__present") & (F.col("breaches") >= F.lit(datapoints)))
     )
-    if datapoints < evaluation_periods:
-        alarms = alarms.join(windows.select(*keys, "window_start"), [*keys, "window_start"], "left_semi")
     return alarms.select(
         *keys, "window_start",
         F.expr(f"timestampadd(SECOND, {secs}, window_start)").alias("window_end"),

@@ -190,12 +190,13 @@ def q_read_spec_wrap(spark, d):
 
 def q_uri_pairing(spark, d):
     """Objects named after nations (size = rows stored there) paired by position."""
-    cust_counts = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
-        F.count(F.lit(1)).alias("size"))
-    listing = table(spark, d, "nation").join(cust_counts, "n_nationkey", "left").select(
+    raw = _nation_manifest_raw(spark, d)  # one aggregate of customer serves both sides
+    listing = table(spark, d, "nation").join(
+        raw.select(F.col("id").alias("n_nationkey"), F.col("count").alias("size")), "n_nationkey", "left"
+    ).select(
         F.concat(F.lit("file:/data/customer/"), F.lower("n_name"), F.lit(".csv")).alias("uri"),
         F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
-    return manifest.attach_uris(q_manifest_offsets(spark, d), listing)
+    return manifest.attach_uris(manifest.make_manifest(df=raw), listing)
 
 
 def q_partition_counts(spark, d):
