@@ -114,7 +114,7 @@ def bucketize_numeric(key: Column, bounds: list[float]) -> Column:
 
 def with_row_index(df: DataFrame, order_by, name: str = "row_idx", *,
                    num_buckets: int | None = None, unique: bool = True,
-                   return_count: bool = False):
+                   tiebreak: str | None = None, return_count: bool = False):
     """Add ``name`` = 0-based rank of each row in ``order_by`` order (ascending, nulls first).
 
     Key ranges ("buckets") come from a bounded sample and are fixed on the
@@ -128,14 +128,17 @@ def with_row_index(df: DataFrame, order_by, name: str = "row_idx", *,
     A single numeric key is bucketed by ``Bucketizer``; other keys by a binary
     search over struct bounds. ``unique=False`` appends a tie-breaker taken on
     the input partitions (``monotonically_increasing_id``; the input must then
-    be a deterministic scan); the bounds then include it, so a key holding many
-    rows still spreads over several buckets.
+    be a deterministic scan); ``tiebreak`` names an existing column to use
+    instead. The bounds then include the tie-breaker, so a key holding many rows
+    still spreads over several buckets.
     Returns the frame, or ``(frame, N)`` with ``return_count=True``.
     """
     spark = df.sparkSession
     keys = _cols(order_by)
     work = df
-    if not unique:
+    if tiebreak is not None:
+        keys = keys + [F.col(tiebreak)]
+    elif not unique:
         work = work.withColumn("__tie", F.monotonically_increasing_id())
         keys = keys + [F.col("__tie")]
     types = [work.select(k).schema.fields[0].dataType for k in keys]

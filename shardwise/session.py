@@ -80,6 +80,9 @@ def env_int(name: str, default: int) -> int:
         return default
 
 
+LITERAL_ROWS_MAX = 1000
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str):
     """A small table from driver-side values, built on the JVM (no Python worker).
 
@@ -94,6 +97,12 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str):
     empty = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in struct.fields])
     if not rows:
         return empty
+    if len(rows) > LITERAL_ROWS_MAX:
+        # Larger tables go through Arrow batches handed to the JVM (still no Python worker).
+        import pandas as pd
+
+        frame = pd.DataFrame.from_records(rows, columns=names)
+        return spark.createDataFrame(frame, schema=struct)
     items = F.array(*[
         F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, struct.fields)])
         for row in rows

@@ -100,3 +100,20 @@ def test_parquet_physical_order(spark, tmpdir_path):
     manifest = spark.createDataFrame(objs, "id INT, start_idx BIGINT, end_idx BIGINT, uri STRING")
     idx = with_parquet_row_index(scan, manifest)
     assert sorted(r["row_idx"] for r in idx.collect()) == list(range(50))
+
+
+def test_explicit_tiebreak_column(spark):
+    rows = [(i % 3, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k INT, seq INT")
+    got = [(r["k"], r["seq"]) for r in with_row_index(df, "k", tiebreak="seq", num_buckets=4)
+           .orderBy("row_idx").collect()]
+    assert got == sorted(rows)
+
+
+def test_large_listing_goes_through_arrow(spark):
+    from shardwise.session import literal_rows
+
+    rows = [(i, f"file:/x/{i:06d}.csv", i % 7) for i in range(2500)]
+    df = literal_rows(spark, rows, "id INT, uri STRING, size BIGINT")
+    assert df.count() == 2500 and df.where("size = 0").count() == len([r for r in rows if r[2] == 0])
+    assert dict(df.dtypes) == {"id": "int", "uri": "string", "size": "bigint"}
