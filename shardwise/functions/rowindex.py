@@ -96,10 +96,11 @@ def bucket_of(keys: list[Column], bounds: list[tuple], types: list) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), init, step)["lo"]
 
 
-def bucketize_numeric(key: Column, bounds: list[float]) -> Column:
-    """Bucket of a single numeric key: Spark ML's ``Bucketizer`` (binary search on
-    the JVM). Casting to double keeps the order (ties only merge neighbours);
-    NaN, which Spark sorts last, gets the last bucket; null, sorted first, gets -1."""
+def with_numeric_bucket(df: DataFrame, key: Column, bounds: list[float], name: str = "__b") -> DataFrame:
+    """Add the bucket of a single numeric key: Spark ML's ``Bucketizer`` (binary
+    search on the JVM). Casting to double keeps the order (ties only merge
+    neighbours); NaN, which Spark sorts last, gets the last bucket; null, sorted
+    first, gets -1."""
     from pyspark.ml.feature import Bucketizer
 
     splits = [-math.inf]
@@ -108,8 +109,9 @@ def bucketize_numeric(key: Column, bounds: list[float]) -> Column:
             splits.append(float(b))
     splits.append(math.inf)
     bucketizer = Bucketizer(splits=splits, inputCol="__bk", outputCol="__bb", handleInvalid="keep")
-    # Bucketizer works on a DataFrame; its expression is taken from a one-column plan.
-    return (key.cast("double"), bucketizer, len(splits) - 1)
+    return bucketizer.transform(df.withColumn("__bk", key.cast("double"))).withColumn(
+        name, F.when(F.col("__bk").isNull(), F.lit(-1)).otherwise(F.col("__bb").cast("int"))
+    ).drop("__bk", "__bb")
 
 
 def with_row_index(df: DataFrame, order_by, name: str = "row_idx", *,
@@ -145,10 +147,7 @@ def with_row_index(df: DataFrame, order_by, name: str = "row_idx", *,
     nb = num_buckets or min(65536, 4 * default_parallelism(spark))
     bounds = key_bounds(work, keys, nb)
     if len(keys) == 1 and isinstance(types[0], NumericType):
-        key_d, bucketizer, _ = bucketize_numeric(keys[0], [b[0] for b in bounds])
-        tagged = bucketizer.transform(work.withColumn("__bk", key_d)).withColumn(
-            "__b", F.when(F.col("__bk").isNull(), F.lit(-1)).otherwise(F.col("__bb").cast("int"))
-        ).drop("__bk", "__bb")
+        tagged = with_numeric_bucket(work, keys[0], [b[0] for b in bounds])
     else:
         tagged = work.withColumn("__b", bucket_of(keys, bounds, types))
     counts = sorted(
