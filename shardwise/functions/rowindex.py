@@ -144,7 +144,8 @@ def with_row_index(df: DataFrame, order_by, name: str = "row_idx", *,
         work = work.withColumn("__tie", F.monotonically_increasing_id())
         keys = keys + [F.col("__tie")]
     types = [work.select(k).schema.fields[0].dataType for k in keys]
-    nb = num_buckets or min(65536, 4 * default_parallelism(spark))
+    configured = spark.conf.get("shardwise.rowindex.buckets", None)
+    nb = num_buckets or (int(configured) if configured else min(65536, 4 * default_parallelism(spark)))
     bounds = key_bounds(work, keys, nb)
     if len(keys) == 1 and isinstance(types[0], NumericType):
         tagged = with_numeric_bucket(work, keys[0], [b[0] for b in bounds])

@@ -108,3 +108,26 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str):
         for row in rows
     ])
     return spark.range(1).select(F.inline(items)).select(*names)
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+               max_split_bytes: int = 512 << 20) -> dict[str, str]:
+    """Settings sized for an input of ``input_bytes`` (pass them to :func:`get_session`).
+
+    Shuffle partitions are chosen so that a partition of the widest shuffle
+    (about the input size) stays near ``target_partition_bytes``; AQE coalesces
+    the smaller shuffles down to the same advisory size and splits skewed
+    partitions of joins. File splits stay at ``max_split_bytes`` so a scan task
+    reads a bounded amount. ``shardwise.rowindex.buckets`` is the bucket count to
+    pass as ``num_buckets`` to ``with_row_index`` (about 1 GiB of rows each).
+    """
+    parts = max(200, -(-input_bytes // target_partition_bytes))
+    buckets = max(64, min(1 << 20, -(-input_bytes // (1 << 30))))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(max_split_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "shardwise.rowindex.buckets": str(buckets),
+    }

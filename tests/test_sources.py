@@ -76,3 +76,13 @@ def test_pandas_to_spark_keeps_index(spark):
     df = pandas_to_spark(spark, pdf)
     assert df.columns == ["summary", "a"]
     assert pandas_to_spark(spark, pdf, save_index=False).columns == ["a"]
+
+
+def test_scale_conf():
+    from shardwise.session import scale_conf
+
+    conf = scale_conf(100 * 10**12)
+    assert int(conf["spark.sql.shuffle.partitions"]) > 300_000
+    assert int(conf["shardwise.rowindex.buckets"]) > 90_000
+    small = scale_conf(10**6)
+    assert small["spark.sql.shuffle.partitions"] == "200" and small["shardwise.rowindex.buckets"] == "64"
