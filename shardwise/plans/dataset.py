@@ -116,6 +116,16 @@ class ShardedDataset:
             self._table = indexed
         return self._table
 
+    def materialize(self, path: str | None = None) -> str:
+        """Write ``table()`` once, sorted by ``row_idx`` inside each file, to ``path``
+        (default: a new folder under ``spark.checkpoint.dir``) and read it from there
+        afterwards: lineage is cut and shard windows prune row groups by index."""
+        from ..streaming.feed import materialize
+
+        written = materialize(self.table(), path)
+        self._table = self.spark.read.parquet(written)
+        return written
+
     def read_spec(self, start: int, end: int) -> DataFrame:
         """Which lines of which object the row range ``[start, end)`` covers."""
         return sh.read_spec(self.manifest, self.row_count, start, end)
@@ -159,9 +169,9 @@ class ShardedDataset:
         The indexed table is written once to ``table_path`` (default: a new folder
         under ``spark.checkpoint.dir``) and the stream joins against that copy.
         """
-        from ..streaming.feed import materialize, shard_stream
+        from ..streaming.feed import shard_stream
 
-        path = materialize(self.table(), table_path)
+        path = self.materialize(table_path)
         w = self.worker if worker == -1 else worker
         return shard_stream(self.spark, self.spark.read.parquet(path), self.row_count,
                             self.shard_size, self.replicas, worker=w, rows_per_batch=rows_per_batch)

@@ -150,3 +150,12 @@ def test_quoted_newline_counts_logical_rows(spark, tmpdir_path):
     rows = ds.shards().where("step = 0").orderBy("pos").collect()
     assert [int(r["0"]) for r in rows] == [1, 2, 3]
     assert rows[0]["1"] == "x\ny"
+
+
+def test_materialized_table_gives_the_same_shards(spark, station_csv, tmpdir_path):
+    ds = ShardedDataset(spark, station_csv, header=None, replicas=2, shard_size=64, max_shards=3)
+    before = sorted(tuple(r) for r in ds.shards(worker=None).select("worker", "step", "pos", "row_idx", "3").collect())
+    path = ds.materialize(os.path.join(tmpdir_path, "mat"))
+    assert os.path.isdir(path.replace("file:", ""))
+    after = sorted(tuple(r) for r in ds.shards(worker=None).select("worker", "step", "pos", "row_idx", "3").collect())
+    assert before == after
