@@ -476,8 +476,8 @@ SELECT time_bucket(INTERVAL '3600 seconds', ts) AS window_start,
         3600, "user_id", "avg",
         where="WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
     "latest_rows": "SELECT ts, user_id, props FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
-    "alarm_low": f"SELECT * FROM ({_win_sql(3600, 'event_type', 'avg', rnd=False)}) WHERE value < 35.0"
-    .replace("SELECT * FROM", "SELECT window_start, window_end, event_type, round(value, 6) AS value FROM"),
+    "alarm_low": "SELECT window_start, window_end, event_type, round(value, 6) AS value FROM ("
+    + _win_sql(3600, "event_type", "avg", rnd=False) + ") WHERE value < 35.0",
     "alarm_sustained": _sustained_sql(45.0, 5, 5),
     "alarm_3_of_5": _sustained_sql(60.0, 3, 5),
 }
