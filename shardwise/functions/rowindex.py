@@ -18,6 +18,7 @@ Three ways to get one, all of them distributed:
 from __future__ import annotations
 
 import math
+import warnings
 
 from collections.abc import Sequence
 
@@ -66,10 +67,17 @@ def key_bounds(df: DataFrame, keys: list[Column], n_buckets: int, seed: int = 11
     firsts = (tiles.groupBy("__t").agg(F.min(F.struct(*names)).alias("__k"))
               .where(F.col("__t") > 1).orderBy("__t").collect())
     bounds: list[tuple] = []
+    repeated = 0
     for row in firsts:
         b = tuple(row["__k"])
         if not bounds or b != bounds[-1]:
             bounds.append(b)
+        else:
+            repeated += 1
+    if firsts and repeated * 4 >= len(firsts):
+        warnings.warn(
+            f"{repeated} of {len(firsts)} key ranges start with a repeated key: some key values hold "
+            "many rows and will sit in one task; pass unique=False or a tiebreak column to split them")
     return bounds
 
 

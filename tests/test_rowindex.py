@@ -117,3 +117,13 @@ def test_large_listing_goes_through_arrow(spark):
     df = literal_rows(spark, rows, "id INT, uri STRING, size BIGINT")
     assert df.count() == 2500 and df.where("size = 0").count() == len([r for r in rows if r[2] == 0])
     assert dict(df.dtypes) == {"id": "int", "uri": "string", "size": "bigint"}
+
+
+def test_hot_key_without_tiebreak_warns(spark):
+    import pytest
+
+    rows = [(0 if i % 2 else i, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k LONG, v LONG")
+    with pytest.warns(UserWarning):
+        idx = with_row_index(df, "k", num_buckets=16)
+    assert sorted(r["row_idx"] for r in idx.collect()) == list(range(400))
