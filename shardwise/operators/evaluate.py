@@ -16,7 +16,7 @@ from ..functions.arrays import log_softmax, negative_log_likelihood
 
 def row_losses(df: DataFrame, logits: str | Column, label: str, name: str = "loss",
                num_classes: int | None = None) -> DataFrame:
-    """Add ``name`` = NLL of ``label`` under ``log_softmax(logits)``.
+    """Add ``name`` = NLL of ``label`` under ``log_softmax(logits)``. [F1, F2]
 
     ``num_classes`` takes only the first elements of the vector as logits.
     """
@@ -27,13 +27,13 @@ def row_losses(df: DataFrame, logits: str | Column, label: str, name: str = "los
 
 
 def batch_losses(scored: DataFrame, batch: str = "batch", loss: str = "loss") -> DataFrame:
-    """``batch, n_rows, loss`` = mean loss per batch."""
+    """``batch, n_rows, loss`` = mean loss per batch. [F2]"""
     return scored.groupBy(batch).agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg(loss).alias("loss"))
 
 
 def epoch_loss(batches: DataFrame, loss: str = "loss") -> DataFrame:
-    """One row: unweighted mean of batch means, row-weighted mean, counts."""
+    """One row: unweighted mean of batch means, row-weighted mean, counts. [F3]"""
     return batches.agg(
         F.avg(loss).alias("mean_batch_loss"),
         (F.sum(F.col(loss) * F.col("n_rows")) / F.sum("n_rows")).alias("mean_row_loss"),

@@ -16,7 +16,7 @@ IMAGE_STD = 0.3081
 
 def feature_vector(df: DataFrame, columns: Sequence[str] | None = None, name: str = "features",
                    keep: Sequence[str] = ()) -> DataFrame:
-    """``keep`` columns + ``name`` = ARRAY<DOUBLE> of the numeric columns, in column order.
+    """``keep`` columns + ``name`` = ARRAY<DOUBLE> of the numeric columns, in column order. [D1, D3]
 
     Raises ``ValueError`` when no numeric column is left (e.g. a header line read
     as data made every column text).
@@ -31,7 +31,7 @@ def feature_vector(df: DataFrame, columns: Sequence[str] | None = None, name: st
 
 def shard_matrices(sharded: DataFrame, features: str = "features",
                    keys: Sequence[str] = ("worker", "step")) -> DataFrame:
-    """One dense matrix (ARRAY<ARRAY<DOUBLE>>, rows in ``pos`` order) per shard.
+    """One dense matrix (ARRAY<ARRAY<DOUBLE>>, rows in ``pos`` order) per shard. [D2]
 
     A group holds one shard, so its size is bounded by ``shard_size``.
     """
@@ -43,19 +43,19 @@ def shard_matrices(sharded: DataFrame, features: str = "features",
 
 def standardize(df: DataFrame, columns: Sequence[str], mean: float = IMAGE_MEAN,
                 std: float = IMAGE_STD) -> DataFrame:
-    """``(x - mean) / std`` with constants, applied to the given columns."""
+    """``(x - mean) / std`` with constants, applied to the given columns. [D4]"""
     exprs = {c: ((as_double(c) - F.lit(mean)) / F.lit(std)) for c in columns}
     return df.withColumns(exprs)
 
 
 def standardize_array(col: Column | str, mean: float = IMAGE_MEAN, std: float = IMAGE_STD) -> Column:
-    """Element-wise ``(x - mean) / std`` of an array column."""
+    """Element-wise ``(x - mean) / std`` of an array column. [D4]"""
     c = F.col(col) if isinstance(col, str) else col
     return F.transform(c, lambda x: (x - F.lit(mean)) / F.lit(std))
 
 
 def fit_standardizer(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and sample standard deviation per column from one aggregation.
+    """Mean and sample standard deviation per column from one aggregation. [D4]
 
     The result is one row (two numbers per column), read on the driver like any
     fitted model's parameters.
@@ -69,7 +69,7 @@ def fit_standardizer(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[f
 
 def apply_standardizer(df: DataFrame, params: dict[str, tuple[float, float]],
                        suffix: str = "") -> DataFrame:
-    """Standardise with fitted parameters; a zero or missing deviation yields null."""
+    """Standardise with fitted parameters; a zero or missing deviation yields null. [D4]"""
     exprs = {}
     for c, (m, s) in params.items():
         exprs[c + suffix] = (
@@ -79,7 +79,7 @@ def apply_standardizer(df: DataFrame, params: dict[str, tuple[float, float]],
 
 def assign_batches(indexed: DataFrame, batch_size: int, row_idx: str = "row_idx",
                    name: str = "batch") -> DataFrame:
-    """``batch = row_idx div batch_size`` and ``batch_pos`` inside it; the last batch may be short."""
+    """``batch = row_idx div batch_size`` and ``batch_pos`` inside it; the last batch may be short. [D5]"""
     if not isinstance(batch_size, int) or batch_size <= 0:
         raise ValueError("batch_size must be an integer greater than zero")
     return indexed.withColumn(name, F.floor(F.col(row_idx) / F.lit(batch_size)).cast("long")).withColumn(
@@ -92,7 +92,7 @@ DEFAULT_BATCH_SIZES = {"train": 64, "test": 1000, "validation": 1000}
 
 def assign_split_batches(df: DataFrame, split: str, order_by, sizes: dict[str, int] | None = None,
                          name: str = "batch") -> DataFrame:
-    """Batches inside each split (e.g. train / test / validation), each with its own size.
+    """Batches inside each split (e.g. train / test / validation), each with its own size. [D5]
 
     One global row index over ``(split, order_by...)``; the first index of every
     split (one row per split) is subtracted, then ``batch = idx div size``.
@@ -117,7 +117,7 @@ def assign_split_batches(df: DataFrame, split: str, order_by, sizes: dict[str, i
 
 
 def batch_summary(batched: DataFrame, name: str = "batch", row_idx: str = "row_idx") -> DataFrame:
-    """Rows and index range per batch."""
+    """Rows and index range per batch. [D5]"""
     return batched.groupBy(name).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(row_idx).alias("first_row"),

@@ -20,7 +20,7 @@ RAW_SCHEMA = "id INT, count BIGINT"
 
 
 def partition_counts(df: DataFrame, include_empty_zero_id: bool = False) -> DataFrame:
-    """Rows per partition of ``df`` as ``id, count`` (partitions without rows give no row).
+    """Rows per partition of ``df`` as ``id, count`` (partitions without rows give no row). [B1, B2]
 
     ``include_empty_zero_id`` appends ``(0, 0)`` unconditionally, for writers that
     leave an empty first part file; id 0 may then appear twice, as in the
@@ -39,7 +39,7 @@ def partition_counts(df: DataFrame, include_empty_zero_id: bool = False) -> Data
 
 
 def check_raw_manifest(df: DataFrame) -> DataFrame:
-    """The metadata source must have exactly the columns ``id`` and ``count``."""
+    """The metadata source must have exactly the columns ``id`` and ``count``. [B4]"""
     if set(df.columns) != {"id", "count"}:
         raise ValueError(
             f"The metadata source must include id and count columns only, got {df.columns}")
@@ -47,7 +47,7 @@ def check_raw_manifest(df: DataFrame) -> DataFrame:
 
 
 def read_raw_manifest(spark: SparkSession, path: str, header: bool = True, sep: str = ",") -> DataFrame:
-    """Read a raw ``id,count`` manifest written as CSV."""
+    """Read a raw ``id,count`` manifest written as CSV. [A10]"""
     raw = spark.read.options(header=str(bool(header)).lower(), sep=sep, inferSchema="true").csv(path)
     if not header:
         raw = raw.toDF(*["id", "count"][: len(raw.columns)])
@@ -58,7 +58,7 @@ def read_raw_manifest(spark: SparkSession, path: str, header: bool = True, sep:
 def make_manifest(spark: SparkSession | None = None, glob: str | None = None,
                   df: DataFrame | None = None, header: bool = True, sep: str = ",",
                   keep_count: bool = False) -> DataFrame:
-    """Offset manifest ``id, start_idx, end_idx`` from a raw manifest DataFrame or CSV glob.
+    """Offset manifest ``id, start_idx, end_idx`` from a raw manifest DataFrame or CSV glob. [B5-B8]
 
     Rows are ordered by ``(id, count)``, so a duplicated id 0 with count 0 comes
     first and the offsets are deterministic.
@@ -80,7 +80,7 @@ def make_manifest(spark: SparkSession | None = None, glob: str | None = None,
 
 
 def list_objects(spark: SparkSession, glob: str) -> DataFrame:
-    """Objects matching ``glob`` as ``id, uri, size``, sorted by ``uri``; ids are list positions.
+    """Objects matching ``glob`` as ``id, uri, size``, sorted by ``uri``; ids are list positions. [A5, B9]
 
     Listing is metadata work on the driver, exactly what Spark's own file index
     does; zero-byte objects are listed too (Spark's readers drop them).
@@ -104,7 +104,7 @@ def list_objects(spark: SparkSession, glob: str) -> DataFrame:
 def count_objects(spark: SparkSession, glob: str, header: bool | str | int | None = None,
                   sep: str = ",", listing: DataFrame | None = None,
                   multiline: bool = False) -> DataFrame:
-    """Raw manifest ``id, count`` by counting the rows of every object (one scan).
+    """Raw manifest ``id, count`` by counting the rows of every object (one scan). [B3, H2]
 
     ``id`` is the object's position in the sorted listing; zero-byte objects are
     skipped but keep their id (a gap), header-only objects count 0. Rows are
@@ -128,7 +128,7 @@ def count_objects(spark: SparkSession, glob: str, header: bool | str | int | Non
 
 
 def attach_uris(manifest: DataFrame, listing: DataFrame, check: bool = True) -> DataFrame:
-    """Pair the k-th manifest row (by ``id``) with the k-th non-empty object (by ``uri``).
+    """Pair the k-th manifest row (by ``id``) with the k-th non-empty object (by ``uri``). [B9-B11]
 
     Zero-byte objects are left out first (``size > 0``); the two sides must then
     have the same number of rows. Both sides have one row per object.
@@ -151,7 +151,7 @@ def attach_uris(manifest: DataFrame, listing: DataFrame, check: bool = True) ->
 
 
 def manifest_totals(manifest: DataFrame) -> DataFrame:
-    """One row ``obj_count, row_count`` (``row_count`` = the last ``end_idx``)."""
+    """One row ``obj_count, row_count`` (``row_count`` = the last ``end_idx``). [B12]"""
     return manifest.agg(
         F.count(F.lit(1)).alias("obj_count"),
         F.coalesce(F.max("end_idx"), F.lit(0)).cast("long").alias("row_count"),
@@ -162,7 +162,7 @@ def build_manifest(spark: SparkSession, glob: str, header=None, sep: str = ",",
                    shards_glob: str | None = None,
                    make_manifest_fn: Callable[..., DataFrame] = make_manifest,
                    count_objects_fn: Callable[..., DataFrame] | None = None) -> DataFrame:
-    """Offset manifest with ``uri`` for the objects matching ``glob``.
+    """Offset manifest with ``uri`` for the objects matching ``glob``. [A8, H1, H2]
 
     With ``shards_glob`` the raw manifest is read from there and paired with the
     objects by position; otherwise every object is counted and paired by path.

@@ -54,7 +54,7 @@ def _keys(keys) -> list[str]:
 
 def window_stat(df: DataFrame, ts: str, keys: Sequence[str] | str, value: str,
                 period: int | str = 60, stat: str = "avg", name: str = "value") -> DataFrame:
-    """``window_start, window_end, keys..., name`` = ``stat(value)`` per key and period.
+    """``window_start, window_end, keys..., name`` = ``stat(value)`` per key and period. [G1-G3]
 
     A period without rows gives no row (missing data stays missing).
     """
@@ -69,13 +69,13 @@ def window_stat(df: DataFrame, ts: str, keys: Sequence[str] | str, value: str,
 
 
 def restrict(df: DataFrame, instances: DataFrame, on: Sequence[str] | str) -> DataFrame:
-    """Keep rows of the listed entities (left semi join; AQE broadcasts a small list)."""
+    """Keep rows of the listed entities (left semi join; AQE broadcasts a small list). [G5]"""
     return df.join(instances, _keys(on), "left_semi")
 
 
 def pivot_metrics(df: DataFrame, ts: str, keys: Sequence[str] | str, metric: str, value: str,
                   metrics: Sequence[str], period: int | str = 60, stat: str = "avg") -> DataFrame:
-    """Several metrics side by side: one column per metric name, ``stat`` per key and period.
+    """Several metrics side by side: one column per metric name, ``stat`` per key and period. [G4]
 
     The metric filter reaches the scan; the pivot is conditional aggregation in
     one pass (no distinct-values job).
@@ -93,7 +93,7 @@ def pivot_metrics(df: DataFrame, ts: str, keys: Sequence[str] | str, metric: str
 
 def latest(df: DataFrame, ts: str, fields: Sequence[str], n: int = 20,
            tiebreak: Sequence[str] = ()) -> DataFrame:
-    """The ``n`` newest rows, newest first (a top-k: each task keeps ``n`` rows)."""
+    """The ``n`` newest rows, newest first (a top-k: each task keeps ``n`` rows). [G6]"""
     order = [F.col(ts).desc()] + [F.col(c).desc() for c in tiebreak]
     return df.orderBy(*order).limit(n).select(*fields)
 
@@ -105,7 +105,7 @@ def compare(col: Column, comparison: str, threshold: float) -> Column:
 def threshold_alarm(df: DataFrame, ts: str, keys: Sequence[str] | str, value: str,
                     period: int | str = 300, threshold: float = 75.0, comparison: str = "<",
                     stat: str = "avg") -> DataFrame:
-    """Periods whose statistic breaches the threshold (one evaluation period)."""
+    """Periods whose statistic breaches the threshold (one evaluation period). [G7]"""
     windows = window_stat(df, ts, keys, value, period, stat)
     return windows.where(compare(F.col("value"), comparison, threshold))
 
@@ -114,7 +114,7 @@ def sustained_alarm(df: DataFrame, ts: str, keys: Sequence[str] | str, value: st
                     period: int | str = 60, threshold: float = 85.0, comparison: str = ">=",
                     datapoints: int = 5, evaluation_periods: int = 5,
                     stat: str = "avg") -> DataFrame:
-    """Periods ``t`` where at least ``datapoints`` of the ``evaluation_periods`` periods
+    """Periods ``t`` where at least ``datapoints`` of the ``evaluation_periods`` periods [G8]
     ending at ``t`` have data that breaches; ``t`` itself must have data.
 
     Every period with data marks itself present; a breaching period also counts

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 
 def resolve_sizes(shard_size: int | None = None, batch_size: int | None = None) -> tuple[int, int]:
-    """Settle ``(shard_size, batch_size)``: both given -> the smaller one for both,
+    """Settle ``(shard_size, batch_size)``: both given -> the smaller one for both, [C10]
     one given -> used for both, none -> error; only positive integers."""
     def positive(v):
         return isinstance(v, int) and not isinstance(v, bool) and v > 0
@@ -44,7 +44,7 @@ def resolve_sizes(shard_size: int | None = None, batch_size: int | None = None)
 
 
 def validate_worker(worker: int, replicas: int, shard_size: int | None = None) -> None:
-    """``worker`` must lie in ``[0, replicas)``; several replicas need a shard size."""
+    """``worker`` must lie in ``[0, replicas)``; several replicas need a shard size. [C11]"""
     if worker is None or replicas is None:
         raise ValueError("worker and replicas must be specified together")
     if not (0 <= worker < replicas):
@@ -54,7 +54,7 @@ def validate_worker(worker: int, replicas: int, shard_size: int | None = None) -
 
 
 def check_range(row_count: int, start: int, end: int) -> None:
-    """Both range ends must address an existing row: ``0 <= start, end < row_count``."""
+    """Both range ends must address an existing row: ``0 <= start, end < row_count``. [C2]"""
     for label, v in (("start", start), ("end", end)):
         if not (0 <= v < row_count):
             raise ValueError(f"{label} index {v} must be in the range [0, {row_count})")
@@ -69,7 +69,7 @@ def max_shards_for_epochs(row_count: int, shard_size: int, replicas: int = 1,
 def assign_shards(indexed: DataFrame, row_count: int, shard_size: int, replicas: int = 1,
                   max_shards: int | None = None, worker: int | None = None,
                   row_idx: str = "row_idx", first_step: int = 0) -> DataFrame:
-    """Tag rows with ``worker, step, pos`` for steps ``first_step .. first_step+max_shards-1``
+    """Tag rows with ``worker, step, pos`` for steps ``first_step .. first_step+max_shards-1`` [C1, C5-C8]
     of every worker.
 
     Output: ``worker INT, step BIGINT, pos BIGINT`` + the input columns; rows of a
@@ -114,7 +114,7 @@ def assign_shards(indexed: DataFrame, row_count: int, shard_size: int, replicas:
 
 def shard(indexed: DataFrame, row_count: int, shard_size: int, step: int, worker: int = 0,
           replicas: int = 1, row_idx: str = "row_idx") -> DataFrame:
-    """The rows of one shard (``worker``'s ``step``), ordered by ``pos``."""
+    """The rows of one shard (``worker``'s ``step``), ordered by ``pos``. [C1, C7]"""
     return assign_shards(indexed, row_count, shard_size, replicas, 1, worker, row_idx,
                          first_step=step).orderBy("pos")
 
@@ -131,7 +131,7 @@ def _tag(positions: DataFrame, s: int, r: int, row_idx: str) -> DataFrame:
 
 
 def shard_positions(row_count: int, start: int, size: int) -> list[tuple[int, int]]:
-    """Split the positions ``[start, start+size)`` at multiples of ``row_count`` into
+    """Split the positions ``[start, start+size)`` at multiples of ``row_count`` into [C6]
     ``[a, b)`` row ranges modulo ``row_count`` (``b <= a`` means wrap around)."""
     starts = list(range(start, start + size, row_count))
     ends = starts[1:] + [start + size]
@@ -140,7 +140,7 @@ def shard_positions(row_count: int, start: int, size: int) -> list[tuple[int, in
 
 def slice_rows(indexed: DataFrame, row_count: int, start: int, end: int,
                row_idx: str = "row_idx") -> DataFrame:
-    """Rows of the range ``[start, end)``; with ``end <= start`` the tail from
+    """Rows of the range ``[start, end)``; with ``end <= start`` the tail from [C5, C12]
     ``start`` and then the head up to ``end`` (wrap-around). A filter on the
     index — with a Parquet table sorted by ``row_idx`` it prunes row groups."""
     check_range(row_count, start, end)
@@ -152,7 +152,7 @@ def slice_rows(indexed: DataFrame, row_count: int, start: int, end: int,
 
 
 def read_spec(manifest: DataFrame, row_count: int, start: int, end: int) -> DataFrame:
-    """Per object, which lines to read for the row range ``[start, end)``.
+    """Per object, which lines to read for the row range ``[start, end)``. [C3-C5]
 
     ``manifest``: ``id, start_idx, end_idx[, uri]``. The first object is the one
     holding row ``start``; the last is the highest-ordered object with

@@ -56,7 +56,7 @@ def _to_long(grouped: DataFrame, keep: Sequence[str], cols: Sequence[str]) -> Da
 
 def summarize(df: DataFrame, columns: Sequence[str] | None = None,
               by: Sequence[str] | str | None = None) -> DataFrame:
-    """Long summary: ``[by...], field, count, mean, stddev, min, max, sample_size``.
+    """Long summary: ``[by...], field, count, mean, stddev, min, max, sample_size``. [E1, E2]
 
     Text columns are left out (the reference would fail casting them).
     ``sample_size`` is the largest count over the summarised columns of the group.
@@ -71,7 +71,7 @@ def summarize(df: DataFrame, columns: Sequence[str] | None = None,
 
 
 def combine_groups(long: DataFrame) -> DataFrame:
-    """Whole-table summary per field from per-group summaries (no second scan).
+    """Whole-table summary per field from per-group summaries (no second scan). [E1]
 
     ``count`` adds up, ``mean`` is the count-weighted mean, the sum of squared
     deviations pools as ``sum(M2_g + n_g * (mean_g - mean)^2)`` with
@@ -96,7 +96,7 @@ def combine_groups(long: DataFrame) -> DataFrame:
 
 def zscores_by_group(df: DataFrame, by: Sequence[str] | str, columns: Sequence[str] | None = None,
                      per_column_n: bool = False) -> DataFrame:
-    """Every group of ``by`` as a sample of the whole table, from one scan.
+    """Every group of ``by`` as a sample of the whole table, from one scan. [E3, E7]
 
     The groups are summarised once; the population mean and standard deviation
     are pooled from the group rows of each field by two window passes over the
@@ -117,7 +117,7 @@ def zscores_by_group(df: DataFrame, by: Sequence[str] | str, columns: Sequence[s
 
 
 def long_to_wide(long: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``summary`` + one DOUBLE column per data column, rows in the order given."""
+    """``summary`` + one DOUBLE column per data column, rows in the order given. [E2, E6]"""
     melted = long.select("field", F.inline(F.array(*[
         F.struct(F.lit(k).alias("summary"), F.lit(i).alias("__o"), F.col(k).cast("double").alias("value"))
         for i, k in enumerate(rows)
@@ -129,13 +129,13 @@ def long_to_wide(long: DataFrame, rows: Sequence[str], columns: Sequence[str]) -
 
 
 def summary_wide(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``describe()``-shaped summary of the numeric columns, all values DOUBLE."""
+    """``describe()``-shaped summary of the numeric columns, all values DOUBLE. [E1, E2]"""
     cols = list(columns) if columns is not None else numeric_columns(df)
     return long_to_wide(summarize(df, cols), SUMMARY_ROWS, cols)
 
 
 def population_long(population: DataFrame) -> DataFrame:
-    """``field, pop_mean, pop_stddev`` from a wide (``summary`` + columns) or long table."""
+    """``field, pop_mean, pop_stddev`` from a wide (``summary`` + columns) or long table. [E3]"""
     if "summary" in population.columns:
         values = [c for c in population.columns if c != "summary"]
         wide = population.select("summary", *[as_double(c).alias(c) for c in values])
@@ -150,7 +150,7 @@ def population_long(population: DataFrame) -> DataFrame:
 
 
 def zscores(sample: DataFrame, population: DataFrame, per_column_n: bool = False) -> DataFrame:
-    """Add ``zscore`` to a long sample summary; columns missing from the population get null."""
+    """Add ``zscore`` to a long sample summary; columns missing from the population get null. [E3, E7]"""
     pop = population_long(population)
     n = F.col("count") if per_column_n else F.col("sample_size")
     z = (F.col("mean") - F.col("pop_mean")) / (F.col("pop_stddev") / F.sqrt(n.cast("double")))
@@ -159,7 +159,7 @@ def zscores(sample: DataFrame, population: DataFrame, per_column_n: bool = False
 
 
 def pvalues(scored: DataFrame, use_udf: bool = False) -> DataFrame:
-    """Add ``pvalue`` = two-sided normal tail of ``zscore`` (JVM ``erfc``; or the pandas UDF)."""
+    """Add ``pvalue`` = two-sided normal tail of ``zscore`` (JVM ``erfc``; or the pandas UDF). [E4, H3]"""
     fn = two_sided_pvalue_udf if use_udf else two_sided_pvalue
     return scored.withColumn("pvalue", fn("zscore"))
 
@@ -168,7 +168,7 @@ def sample_vs_population(sample_df: DataFrame, population: DataFrame | None = No
                          zscores_: bool = False, pvalues_: bool = False,
                          columns: Sequence[str] | None = None, per_column_n: bool = False,
                          wide: bool = True) -> DataFrame:
-    """Summary of ``sample_df`` with optional ``zscores`` / ``pvalues`` against ``population``.
+    """Summary of ``sample_df`` with optional ``zscores`` / ``pvalues`` against ``population``. [E1-E7]
 
     ``wide=True`` returns the reference's shape: rows ``count, mean, stddev,
     min, max[, zscores][, pvalues]`` and one DOUBLE column per numeric column.

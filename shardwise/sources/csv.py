@@ -16,7 +16,7 @@ ANONYMOUS_PROVIDER = "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"
 
 
 def header_flag(header) -> bool:
-    """Map the header argument to Spark's boolean option.
+    """Map the header argument to Spark's boolean option. [A6]
 
     ``'infer'``, ``0`` and ``True`` mean the first line of every object is a
     header; ``None`` and ``False`` mean there is none. Anything else is refused.
@@ -29,7 +29,7 @@ def header_flag(header) -> bool:
 
 
 def resolve_uri(uri: str) -> str:
-    """Rewrite the scheme of ``uri`` to the Hadoop file system that reads it."""
+    """Rewrite the scheme of ``uri`` to the Hadoop file system that reads it. [A2]"""
     parsed = urlparse(uri)
     scheme = parsed.scheme.lower()
     if scheme in ("http", "https"):
@@ -43,7 +43,7 @@ def resolve_uri(uri: str) -> str:
 
 
 def coerce_storage_options(options: dict | None) -> dict:
-    """Anonymous access by default; a string ``'true'/'false'`` or any truthy value becomes bool."""
+    """Anonymous access by default; a string ``'true'/'false'`` or any truthy value becomes bool. [A3]"""
     opts = dict(options) if options else {"anon": True}
     if "anon" in opts:
         value = opts["anon"]
@@ -52,7 +52,7 @@ def coerce_storage_options(options: dict | None) -> dict:
 
 
 def apply_storage_options(spark: SparkSession, uri: str, options: dict | None = None) -> dict:
-    """Set per-bucket S3A credentials for ``uri`` from the options (session Hadoop conf)."""
+    """Set per-bucket S3A credentials for ``uri`` from the options (session Hadoop conf). [A3]"""
     opts = coerce_storage_options(options)
     parsed = urlparse(resolve_uri(uri))
     if parsed.scheme == "s3a" and parsed.netloc:
@@ -68,7 +68,7 @@ def apply_storage_options(spark: SparkSession, uri: str, options: dict | None =
 
 
 def positional(df: DataFrame) -> DataFrame:
-    """Rename the columns to their positions ``0..n-1``."""
+    """Rename the columns to their positions ``0..n-1``. [A7]"""
     return df.toDF(*[str(i) for i in range(len(df.columns))])
 
 
@@ -76,7 +76,7 @@ def read_objects(spark: SparkSession, glob: str, header="infer", sep: str = ",",
                  schema=None, infer_schema: bool = True, sampling_ratio: float | None = None,
                  multiline: bool = False, positional_names: bool = True,
                  storage_options: dict | None = None, cache: bool = False) -> DataFrame:
-    """Scan every CSV object matching ``glob`` as one DataFrame.
+    """Scan every CSV object matching ``glob`` as one DataFrame. [A1, A4-A7]
 
     ``schema`` avoids the inference pass (advised at scale); otherwise
     ``sampling_ratio`` bounds it. With ``positional_names`` the columns are named

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def pandas_to_spark(spark: SparkSession, pdf: pd.DataFrame, save_index: bool = True) -> DataFrame:
-    """``createDataFrame`` of a pandas frame (Arrow path); the index is kept as a
+    """``createDataFrame`` of a pandas frame (Arrow path); the index is kept as a [A11]
     leading column unless ``save_index=False``. Meant for small driver-side tables
     such as a population summary."""
     frame = pdf.reset_index() if save_index else pdf

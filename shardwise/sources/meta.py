@@ -41,13 +41,13 @@ def _meta_files(spark: SparkSession, folder: str) -> list[str]:
 
 
 def find_meta(spark: SparkSession, glob: str, kind: str) -> str | None:
-    """Folder ``<parent>/.meta/<kind>/`` when it holds CSV data, else ``None``."""
+    """Folder ``<parent>/.meta/<kind>/`` when it holds CSV data, else ``None``. [A8, A9]"""
     folder = f"{parent_of(glob)}/.meta/{kind}"
     return folder if _meta_files(spark, folder) else None
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Stats table: ``summary`` + one DOUBLE column per numeric data column."""
+    """Stats table: ``summary`` + one DOUBLE column per numeric data column. [A9]"""
     df = spark.read.options(header="true", inferSchema="true").csv(path)
     if "summary" not in df.columns:
         raise ValueError(f"stats metadata at {path} has no summary column")
@@ -55,25 +55,25 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_meta(df: DataFrame, data_folder: str, kind: str, mode: str = "overwrite") -> str:
-    """Write a small table (raw manifest or stats) as one CSV file in ``.meta/<kind>/``."""
+    """Write a small table (raw manifest or stats) as one CSV file in ``.meta/<kind>/``. [A12]"""
     target = f"{resolve_uri(data_folder).rstrip('/')}/.meta/{kind}"
     df.coalesce(1).write.mode(mode).option("header", "true").csv(target)
     return target
 
 
 def write_manifest(raw_manifest: DataFrame, data_folder: str) -> str:
-    """Store ``id, count`` for the objects of ``data_folder``."""
+    """Store ``id, count`` for the objects of ``data_folder``. [A12]"""
     return write_meta(raw_manifest.select("id", "count"), data_folder, "shards")
 
 
 def write_stats(stats_wide: DataFrame, data_folder: str) -> str:
-    """Store a wide summary (``summary`` + columns) for ``data_folder``."""
+    """Store a wide summary (``summary`` + columns) for ``data_folder``. [A12]"""
     return write_meta(stats_wide, data_folder, "stats")
 
 
 def write_with_manifest(df: DataFrame, data_folder: str, fmt: str = "csv", header: bool = True,
                         include_empty_zero_id: bool = False, mode: str = "overwrite") -> DataFrame:
-    """Write ``df`` as part files and its raw manifest (rows per part) to ``.meta/shards``.
+    """Write ``df`` as part files and its raw manifest (rows per part) to ``.meta/shards``. [B1, A12]
 
     The frame is persisted first, so the counts per partition are taken from the
     very partitions that are written (part file ``k`` holds partition ``k``; Spark

@@ -65,7 +65,7 @@ def step_source(spark: SparkSession, rows_per_batch: int = 1, start_time: int =
 def shard_stream(spark: SparkSession, table: DataFrame, row_count: int, shard_size: int,
                  replicas: int = 1, worker: int | None = None, rows_per_batch: int = 1,
                  row_idx: str = "row_idx") -> DataFrame:
-    """Endless feed: ``step, worker, pos`` + the table's columns, cycling over the data."""
+    """Endless feed: ``step, worker, pos`` + the table's columns, cycling over the data. [C9]"""
     validate_worker(0 if worker is None else worker, replicas, shard_size)
     positions = step_positions(step_source(spark, rows_per_batch), shard_size, replicas,
                                row_count, worker)
@@ -77,7 +77,7 @@ def start_shard_feed(spark: SparkSession, table_path: str, row_count: int, shard
                      output_path: str, checkpoint_path: str | None = None, replicas: int = 1,
                      worker: int | None = None, steps_per_batch: int = 1,
                      trigger: dict | None = None, output_format: str = "parquet"):
-    """Run the feed into ``output_path/batch=<id>``; returns the StreamingQuery.
+    """Run the feed into ``output_path/batch=<id>``; returns the StreamingQuery. [C9]
 
     Every micro-batch covers the steps in its ``value`` range and reads only
     their rows from the index-sorted table at ``table_path``.

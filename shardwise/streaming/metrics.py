@@ -26,7 +26,7 @@ def with_event_time(stream: DataFrame, ts: str, watermark: str = "10 minutes",
 def stream_window_stat(stream: DataFrame, ts: str, keys: Sequence[str] | str, value: str,
                        period: int | str = 60, stat: str = "avg", watermark: str = "10 minutes",
                        name: str = "value") -> DataFrame:
-    """``window_start, window_end, keys..., name`` per closed window (append mode)."""
+    """``window_start, window_end, keys..., name`` per closed window (append mode). [G1-G3]"""
     keys = _keys(keys)
     timed = with_event_time(stream, ts, watermark)
     secs = period_seconds(period)
@@ -41,6 +41,7 @@ def stream_window_stat(stream: DataFrame, ts: str, keys: Sequence[str] | str, va
 def stream_threshold_alarm(stream: DataFrame, ts: str, keys, value: str, period=300,
                            threshold: float = 75.0, comparison: str = "<", stat: str = "avg",
                            watermark: str = "10 minutes") -> DataFrame:
+    """Closed periods whose statistic breaches the threshold (append mode). [G7]"""
     windows = stream_window_stat(stream, ts, keys, value, period, stat, watermark)
     return windows.where(compare(F.col("value"), comparison, threshold))
 
@@ -49,7 +50,7 @@ def stream_sustained_alarm(stream: DataFrame, ts: str, keys, value: str, period=
                            threshold: float = 85.0, comparison: str = ">=", datapoints: int = 5,
                            evaluation_periods: int = 5, stat: str = "avg",
                            watermark: str = "10 minutes") -> DataFrame:
-    """Alarms ``keys..., window_start, window_end, breaches`` for the last period of every
+    """Alarms ``keys..., window_start, window_end, breaches`` for the last period of every [G8]
     run of ``evaluation_periods`` periods with at least ``datapoints`` breaches.
 
     First stage: per-period statistic (tumbling window, watermark). Second stage:
