@@ -31,6 +31,9 @@ from ..session import default_parallelism
 # Largest lookup table broadcast to every task. Above it the join shuffles.
 BROADCAST_MAX_ROWS = 2_000_000
 
+# Rows per key range of the row index when the caller gives no bucket count.
+ROWS_PER_BUCKET = 250_000
+
 
 def _cols(cols: str | Column | Sequence[str | Column]) -> list[Column]:
     if isinstance(cols, (str, Column)):
@@ -44,7 +47,8 @@ def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_RO
 
 
 def key_bounds(df: DataFrame, keys: list[Column], n_buckets: int, seed: int = 11,
-               rows_per_bucket: int = 64, max_sample: int = 2_000_000) -> list[tuple]:
+               rows_per_bucket: int = 64, max_sample: int = 2_000_000,
+               n_rows: int | None = None) -> list[tuple]:
     """Up to ``n_buckets - 1`` increasing key tuples splitting ``df`` into similar-sized ranges.
 
     A sample of about ``rows_per_bucket * n_buckets`` keys (at most
@@ -52,7 +56,7 @@ def key_bounds(df: DataFrame, keys: list[Column], n_buckets: int, seed: int = 11
     key of every tile comes back to the driver, so the bounds follow Spark's own
     ordering and the driver holds one row per bucket.
     """
-    n = df.count()
+    n = df.count() if n_rows is None else n_rows
     if n == 0 or n_buckets <= 1:
         return []
     fraction = min(1.0, min(max_sample, rows_per_bucket * n_buckets) / n)
@@ -152,9 +156,15 @@ def with_row_index(df: DataFrame, order_by, name: str = "row_idx", *,
         work = work.withColumn("__tie", F.monotonically_increasing_id())
         keys = keys + [F.col("__tie")]
     types = [work.select(k).schema.fields[0].dataType for k in keys]
+    n_rows = work.count()
     configured = spark.conf.get("shardwise.rowindex.buckets", None)
-    nb = num_buckets or (int(configured) if configured else min(65536, 4 * default_parallelism(spark)))
-    bounds = key_bounds(work, keys, nb)
+    nb = num_buckets or (int(configured) if configured else default_buckets(spark, n_rows))
+    if nb <= 1:
+        # Small input: one key range, no sample and no per-bucket counting job.
+        tagged = work.withColumn("__b", F.lit(0))
+        counts = [(0, n_rows)] if n_rows else []
+        return _rank_in_buckets(tagged, keys, counts, name, return_count)
+    bounds = key_bounds(work, keys, nb, n_rows=n_rows)
     if len(keys) == 1 and isinstance(types[0], NumericType):
         tagged = with_numeric_bucket(work, keys[0], [b[0] for b in bounds])
     else:
@@ -163,6 +173,18 @@ def with_row_index(df: DataFrame, order_by, name: str = "row_idx", *,
         (r["__b"], r["__n"])
         for r in tagged.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).collect()
     )
+    return _rank_in_buckets(tagged, keys, counts, name, return_count)
+
+
+def default_buckets(spark, n_rows: int) -> int:
+    """One key range per ``ROWS_PER_BUCKET`` rows (a range is sorted in one task),
+    at most four per shuffle partition and at most 65,536."""
+    wanted = -(-n_rows // ROWS_PER_BUCKET)
+    return max(1, min(wanted, 4 * default_parallelism(spark), 65536))
+
+
+def _rank_in_buckets(tagged: DataFrame, keys: list[Column], counts: list[tuple[int, int]],
+                     name: str, return_count: bool):
     # Offsets indexed by bucket + 2 (bucket -1 holds null keys); one entry per bucket.
     top = max([b for b, _ in counts], default=0)
     offsets = [0] * (top + 2)

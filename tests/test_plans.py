@@ -50,6 +50,15 @@ def test_metric_windows_aggregate_partially(spark):
 
 
 def test_row_index_has_one_data_shuffle_and_no_join(spark):
-    plan = executed(E.queries()["row_index"](spark, SF))
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    plan = executed(with_row_index(orders, "o_orderkey", num_buckets=8))
     assert "Join" not in plan
     assert plan.count("Exchange hashpartitioning") == 1
+    assert "SinglePartition" not in plan
+
+
+def test_small_inputs_use_one_key_range(spark):
+    from shardwise.functions.rowindex import default_buckets
+
+    assert default_buckets(spark, 1_000) == 1
+    assert default_buckets(spark, 10**12) == min(65536, 4 * 8)  # tests run with 8 shuffle partitions
