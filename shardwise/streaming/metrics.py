@@ -1,6 +1,6 @@
 """Fleet-metric windows on a stream.
 
-The same aggregations as :mod:`shardwise.operators.metrics`, made incremental:
+The same aggregations as :mod:`shardwise.operators.metrics` (G1-G4, G7, G8), made incremental:
 a watermark on the event time bounds the state, tumbling windows are emitted
 once the watermark passes their end (append mode), and the sustained alarm is
 a second, sliding window over the first one's ``window_time`` — chained
@@ -38,6 +38,22 @@ def stream_window_stat(stream: DataFrame, ts: str, keys: Sequence[str] | str, va
     )
 
 
+def stream_pivot_metrics(stream: DataFrame, ts: str, keys: Sequence[str] | str, metric: str, value: str,
+                         metrics: Sequence[str], period: int | str = 60, stat: str = "avg",
+                         watermark: str = "10 minutes") -> DataFrame:
+    """Several metrics side by side per closed window (conditional aggregation). [G4]"""
+    keys = _keys(keys)
+    timed = with_event_time(stream.where(F.col(metric).isin(list(metrics))), ts, watermark)
+    secs = period_seconds(period)
+    agg = _STATS[stat.lower()]
+    return (
+        timed.groupBy(F.window("event_time", f"{secs} seconds").alias("__w"), *keys)
+        .agg(*[agg(F.when(F.col(metric) == m, F.col(value))).alias(m) for m in metrics])
+        .select(F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"),
+                *keys, *metrics)
+    )
+
+
 def stream_threshold_alarm(stream: DataFrame, ts: str, keys, value: str, period=300,
                            threshold: float = 75.0, comparison: str = "<", stat: str = "avg",
                            watermark: str = "10 minutes") -> DataFrame:

@@ -150,3 +150,23 @@ def test_stream_threshold_alarm_subset_of_batch(spark, tmpdir_path):
     batch = {(r["event_type"], r["window_start"]) for r in
              metrics.threshold_alarm(ev, "ts", "event_type", "value", "1 hour", 35.0, "<").collect()}
     assert streamed and streamed <= batch
+
+
+def test_stream_pivot_subset_of_batch(spark, tmpdir_path):
+    src = tempfile.mkdtemp(prefix="evp-", dir=tmpdir_path)
+    ev = spark.read.parquet(f"{TESTDATA}/sf0.001/events.parquet")
+    ev.write.mode("overwrite").parquet(os.path.join(src, "e"))
+    stream = spark.readStream.schema(ev.schema).parquet(os.path.join(src, "e"))
+    kinds = ["view", "click"]
+    name = f"piv_{uuid.uuid4().hex[:8]}"
+    p = smetrics.stream_pivot_metrics(stream, "ts", "event_type", "event_type", "value", kinds, "1 hour",
+                                      watermark="1 hour")
+    q = (p.writeStream.outputMode("append").format("memory").queryName(name)
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck6"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    streamed = {(r["event_type"], r["window_start"].replace(tzinfo=None), r["view"], r["click"])
+                for r in spark.table(name).collect()}
+    batch = {(r["event_type"], r["window_start"], r["view"], r["click"])
+             for r in metrics.pivot_metrics(ev, "ts", "event_type", "event_type", "value", kinds, "1 hour").collect()}
+    assert streamed and streamed <= batch
