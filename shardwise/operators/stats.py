@@ -75,22 +75,29 @@ def combine_groups(long: DataFrame) -> DataFrame:
 
     ``count`` adds up, ``mean`` is the count-weighted mean, the sum of squared
     deviations pools as ``sum(M2_g + n_g * (mean_g - mean)^2)`` with
-    ``M2_g = stddev_g^2 * (n_g - 1)``, ``min``/``max`` combine directly. The input
-    has one row per group and field.
+    ``M2_g = stddev_g^2 * (n_g - 1)``, ``min``/``max`` combine directly. Two
+    aggregations by field, each partial per task, so any number of groups is
+    spread over all tasks; the per-field rows joined back are bounded by the
+    number of columns and broadcast.
     """
-    per_field = Window.partitionBy("field")
     rows = long.where(F.col("count") > 0)
-    total = F.sum("count").over(per_field)
-    rows = rows.withColumn("__mu", F.sum(F.col("count") * F.col("mean")).over(per_field) / total)
-    m2 = F.coalesce(F.col("stddev") * F.col("stddev") * (F.col("count") - F.lit(1)), F.lit(0.0))
-    rows = rows.withColumn("__dev", m2 + F.col("count") * (F.col("mean") - F.col("__mu")) ** 2)
-    n = F.sum("count")
-    return rows.groupBy("field").agg(
-        n.cast("long").alias("count"),
-        F.first("__mu").alias("mean"),
-        F.when(n > 1, F.sqrt(F.sum("__dev") / (n - F.lit(1)))).alias("stddev"),
-        F.min("min").alias("min"),
-        F.max("max").alias("max"),
+    first = rows.groupBy("field").agg(
+        F.sum("count").alias("__n"),
+        (F.sum(F.col("count") * F.col("mean")) / F.sum("count")).alias("__mu"),
+        F.min("min").alias("__min"),
+        F.max("max").alias("__max"),
+    )
+    m2 = (F.coalesce(F.col("stddev") * F.col("stddev") * (F.col("count") - F.lit(1)), F.lit(0.0))
+          + F.col("count") * (F.col("mean") - F.col("__mu")) ** 2)
+    spread = (rows.join(F.broadcast(first.select("field", "__mu")), "field")
+              .groupBy("field").agg(F.sum(m2).alias("__m2")))
+    return first.join(F.broadcast(spread), "field").select(
+        "field",
+        F.col("__n").cast("long").alias("count"),
+        F.col("__mu").alias("mean"),
+        F.when(F.col("__n") > 1, F.sqrt(F.col("__m2") / (F.col("__n") - F.lit(1)))).alias("stddev"),
+        F.col("__min").alias("min"),
+        F.col("__max").alias("max"),
     )
 
 
@@ -98,22 +105,12 @@ def zscores_by_group(df: DataFrame, by: Sequence[str] | str, columns: Sequence[s
                      per_column_n: bool = False) -> DataFrame:
     """Every group of ``by`` as a sample of the whole table, from one scan. [E3, E7]
 
-    The groups are summarised once; the population mean and standard deviation
-    are pooled from the group rows of each field by two window passes over the
-    same partitioning (one exchange by field, no join): ``mu = sum(n*m)/N`` and
-    ``M2 = sum(M2_g + n_g*(m_g - mu)^2)``.
+    The groups are summarised once; the population summary is pooled from the
+    group summaries (:func:`combine_groups`, one row per field) and broadcast
+    back, so a table with millions of groups is still handled by every task.
     """
     samples = summarize(df, columns, by=by)
-    per_field = Window.partitionBy("field")
-    pooled = samples.withColumn("__n", F.sum("count").over(per_field)).withColumn(
-        "__mu", F.sum(F.col("count") * F.col("mean")).over(per_field) / F.col("__n"))
-    m2 = (F.coalesce(F.col("stddev") * F.col("stddev") * (F.col("count") - F.lit(1)), F.lit(0.0))
-          + F.coalesce(F.col("count") * (F.col("mean") - F.col("__mu")) ** 2, F.lit(0.0)))
-    pooled = pooled.withColumn(
-        "__sd", F.when(F.col("__n") > 1, F.sqrt(F.sum(m2).over(per_field) / (F.col("__n") - F.lit(1)))))
-    n = F.col("count") if per_column_n else F.col("sample_size")
-    z = (F.col("mean") - F.col("__mu")) / (F.col("__sd") / F.sqrt(n.cast("double")))
-    return pooled.withColumn("zscore", z).drop("__n", "__mu", "__sd")
+    return zscores(samples, combine_groups(samples), per_column_n=per_column_n)
 
 
 def long_to_wide(long: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -31,7 +31,8 @@ def test_no_pairwise_joins_or_python_rows(spark, name):
 def test_grouped_zscores_scan_once(spark):
     plan = executed(E.queries()["pvalue_by_sample"](spark, SF))
     assert plan.count("Scan parquet") == 1
-    assert "Join" not in plan
+    assert "ReusedExchange" in plan
+    assert "Window" not in plan  # the pooling is aggregations, partial per task
 
 
 def test_shard_window_filter_reaches_the_scan(spark, tmpdir_path):
