@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import round_half_away
 from ..functions.rowindex import with_row_index
 from ..operators import evaluate, features, manifest, metrics, shards, stats
 from ..session import literal_rows
@@ -30,8 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(col):
-    c = F.col(col) if isinstance(col, str) else col
-    return F.round(c, 6)
+    """Six decimal places, as the oracle rounds doubles."""
+    return round_half_away(col, 6)
 
 
 # --------------------------------------------------------------------------- shards

@@ -83,3 +83,17 @@ def test_split_batches_each_with_its_size(spark):
     assert sorted(sizes["validation"]) == [(0, 5)]
     first = out.where("split = 'test' and batch = 1 and batch_pos = 0").first()
     assert first["k"] == 16
+
+
+def test_round_half_away(spark):
+    from shardwise.functions.columns import round_half_away
+
+    vals = [1.23456749, -1.23456751, 2.5e-7, -2.5e-7, 0.0, 123456789.1234567, None, float("inf")]
+    df = spark.createDataFrame([(v,) for v in vals], "x DOUBLE")
+    got = [r["r"] for r in df.select(round_half_away("x", 6).alias("r")).collect()]
+    assert got[0] == pytest.approx(1.234567) and got[1] == pytest.approx(-1.234568)
+    assert got[2] == 0.0 and got[3] == 0.0  # 0.25 units of the last place
+    ties = spark.createDataFrame([(1.5,), (-2.5,), (0.5,)], "x DOUBLE")
+    assert [r["r"] for r in ties.select(round_half_away("x", 0).alias("r")).collect()] == [2.0, -3.0, 1.0]
+    assert got[4] == 0.0 and got[5] == pytest.approx(123456789.123457)
+    assert got[6] is None and got[7] == float("inf")
