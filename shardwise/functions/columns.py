@@ -30,4 +30,5 @@ def round_half_away(col, digits: int = 6):
     scale = float(10 ** digits)
     s = c.cast("double") * F.lit(scale)
     y = F.abs(s) + F.lit(0.5)
-    return F.signum(s) * (y - y % F.lit(1.0)) / F.lit(scale)
+    rounded = F.signum(s) * (y - y % F.lit(1.0)) / F.lit(scale)
+    return F.when(F.abs(c) == F.lit(float("inf")), c.cast("double")).otherwise(rounded)
