@@ -156,7 +156,7 @@ SELECT worker, step, list(f ORDER BY pos) AS matrix, count(*) AS rows FROM tagge
 
 def _nation_manifest_raw(spark, d):
     """Customer stored as one object per nation: raw manifest ``id, count``."""
-    cust = table(spark, d, "customer")
+    cust = table(spark, d, "customer").where(F.col("c_nationkey").isNotNull())
     return cust.groupBy(F.col("c_nationkey").cast("int").alias("id")).agg(
         F.count(F.lit(1)).alias("count"))
 
@@ -204,7 +204,8 @@ def q_partition_counts(spark, d):
     return manifest.partition_counts(table(spark, d, "lineitem"))
 
 
-_RAW = "SELECT CAST(c_nationkey AS INTEGER) AS id, count(*) AS cnt FROM customer GROUP BY 1"
+_RAW = ("SELECT CAST(c_nationkey AS INTEGER) AS id, count(*) AS cnt FROM customer "
+        "WHERE c_nationkey IS NOT NULL GROUP BY 1")
 _MAN = f"""
 SELECT id, CAST(end_idx - cnt AS BIGINT) AS start_idx, CAST(end_idx AS BIGINT) AS end_idx,
        row_number() OVER (ORDER BY id, end_idx - cnt, end_idx) - 1 AS pos
@@ -249,7 +250,8 @@ FROM (SELECT id, cnt, sum(cnt) OVER (ORDER BY id, cnt ROWS BETWEEN UNBOUNDED PRE
     "uri_pairing": f"""
 WITH man AS ({_MAN}),
 lst AS (SELECT 'file:/data/customer/' || lower(n_name) || '.csv' AS uri, coalesce(c.size, 0) AS size
-        FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS size FROM customer GROUP BY 1) c
+        FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS size FROM customer
+                               WHERE c_nationkey IS NOT NULL GROUP BY 1) c
         ON n_nationkey = c.c_nationkey),
 r AS (SELECT uri, row_number() OVER (ORDER BY uri) AS k FROM lst WHERE size > 0)
 SELECT id, start_idx, end_idx, uri FROM man JOIN r ON man.pos + 1 = r.k""",
