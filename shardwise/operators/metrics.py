@@ -114,8 +114,8 @@ def sustained_alarm(df: DataFrame, ts: str, keys: Sequence[str] | str, value: st
                     period: int | str = 60, threshold: float = 85.0, comparison: str = ">=",
                     datapoints: int = 5, evaluation_periods: int = 5,
                     stat: str = "avg") -> DataFrame:
-    """Periods ``t`` where at least ``datapoints`` of the ``evaluation_periods`` periods [G8]
-    ending at ``t`` have data that breaches; ``t`` itself must have data.
+    """Periods ``t`` where at least ``datapoints`` of the ``evaluation_periods`` periods
+    ending at ``t`` have data that breaches; ``t`` itself must have data. [G8]
 
     Every period with data marks itself present; a breaching period also counts
     toward the ``evaluation_periods - 1`` periods after it. One aggregation per

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 
 def resolve_sizes(shard_size: int | None = None, batch_size: int | None = None) -> tuple[int, int]:
-    """Settle ``(shard_size, batch_size)``: both given -> the smaller one for both, [C10]
-    one given -> used for both, none -> error; only positive integers."""
+    """Settle ``(shard_size, batch_size)``: both given -> the smaller one for both,
+    one given -> used for both, none -> error; only positive integers. [C10]"""
     def positive(v):
         return isinstance(v, int) and not isinstance(v, bool) and v > 0
 
@@ -69,8 +69,8 @@ def max_shards_for_epochs(row_count: int, shard_size: int, replicas: int = 1,
 def assign_shards(indexed: DataFrame, row_count: int, shard_size: int, replicas: int = 1,
                   max_shards: int | None = None, worker: int | None = None,
                   row_idx: str = "row_idx", first_step: int = 0) -> DataFrame:
-    """Tag rows with ``worker, step, pos`` for steps ``first_step .. first_step+max_shards-1`` [C1, C5-C8]
-    of every worker.
+    """Tag rows with ``worker, step, pos`` for steps ``first_step .. first_step+max_shards-1``
+    of every worker. [C1, C5-C8]
 
     Output: ``worker INT, step BIGINT, pos BIGINT`` + the input columns; rows of a
     shard are ``pos`` 0..s-1 in read order. ``max_shards=0`` gives no rows; the
@@ -131,8 +131,8 @@ def _tag(positions: DataFrame, s: int, r: int, row_idx: str) -> DataFrame:
 
 
 def shard_positions(row_count: int, start: int, size: int) -> list[tuple[int, int]]:
-    """Split the positions ``[start, start+size)`` at multiples of ``row_count`` into [C6]
-    ``[a, b)`` row ranges modulo ``row_count`` (``b <= a`` means wrap around)."""
+    """Split the positions ``[start, start+size)`` at multiples of ``row_count`` into
+    ``[a, b)`` row ranges modulo ``row_count`` (``b <= a`` means wrap around). [C6]"""
     starts = list(range(start, start + size, row_count))
     ends = starts[1:] + [start + size]
     return [(a % row_count, b % row_count) for a, b in zip(starts, ends)]
@@ -140,9 +140,9 @@ def shard_positions(row_count: int, start: int, size: int) -> list[tuple[int, in
 
 def slice_rows(indexed: DataFrame, row_count: int, start: int, end: int,
                row_idx: str = "row_idx") -> DataFrame:
-    """Rows of the range ``[start, end)``; with ``end <= start`` the tail from [C5, C12]
+    """Rows of the range ``[start, end)``; with ``end <= start`` the tail from
     ``start`` and then the head up to ``end`` (wrap-around). A filter on the
-    index — with a Parquet table sorted by ``row_idx`` it prunes row groups."""
+    index — with a Parquet table sorted by ``row_idx`` it prunes row groups. [C5, C12]"""
     check_range(row_count, start, end)
     idx = F.col(row_idx)
     if end > start:

@@ -66,8 +66,8 @@ def stream_sustained_alarm(stream: DataFrame, ts: str, keys, value: str, period=
                            threshold: float = 85.0, comparison: str = ">=", datapoints: int = 5,
                            evaluation_periods: int = 5, stat: str = "avg",
                            watermark: str = "10 minutes") -> DataFrame:
-    """Alarms ``keys..., window_start, window_end, breaches`` for the last period of every [G8]
-    run of ``evaluation_periods`` periods with at least ``datapoints`` breaches.
+    """Alarms ``keys..., window_start, window_end, breaches`` for the last period of every
+    run of ``evaluation_periods`` periods with at least ``datapoints`` breaches. [G8]
 
     First stage: per-period statistic (tumbling window, watermark). Second stage:
     sliding window of ``evaluation_periods`` periods, sliding by one period, over
