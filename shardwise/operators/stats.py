@@ -150,7 +150,9 @@ def zscores(sample: DataFrame, population: DataFrame, per_column_n: bool = False
     """Add ``zscore`` to a long sample summary; columns missing from the population get null. [E3, E7]"""
     pop = population_long(population)
     n = F.col("count") if per_column_n else F.col("sample_size")
-    z = (F.col("mean") - F.col("pop_mean")) / (F.col("pop_stddev") / F.sqrt(n.cast("double")))
+    # A constant population column (stddev 0) or an empty sample gives null, not an error.
+    z = F.try_divide(F.col("mean") - F.col("pop_mean"),
+                     F.try_divide(F.col("pop_stddev"), F.sqrt(n.cast("double"))))
     return sample.join(F.broadcast(pop), "field", "left").withColumn("zscore", z).drop(
         "pop_mean", "pop_stddev")
 

@@ -127,3 +127,14 @@ def test_combine_groups_equals_direct_summary(spark):
     for c in cols:
         for k in ("count", "mean", "stddev", "min", "max"):
             assert pooled[c][k] == pytest.approx(direct[c][k], rel=1e-12)
+
+
+def test_constant_population_column_gives_null_z(spark, weather_csv):
+    with_header, _ = weather_csv
+    df = spark.read.options(header=True, inferSchema=True).csv(with_header)
+    population = stats.summary_wide(df)
+    res = stats.sample_vs_population(df.limit(3), population, zscores_=True, pvalues_=True).toPandas()
+    res = res.set_index("summary")
+    # SNWD is 0 everywhere: stddev 0, so z and p are undefined (null), other columns are numbers
+    assert pd.isna(res.loc["zscores", "SNWD"]) and pd.isna(res.loc["pvalues", "SNWD"])
+    assert not pd.isna(res.loc["zscores", "TMAX"])
