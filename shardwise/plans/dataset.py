@@ -100,9 +100,13 @@ class ShardedDataset:
 
     # ------------------------------------------------------------------ data
     def scan(self) -> DataFrame:
-        """The objects as one DataFrame, columns named ``0..n-1``."""
+        """The objects as one DataFrame (the reader's column names).
+
+        Without an explicit ``schema`` the types are inferred once (a pass over
+        the objects) and reused by every later scan; pass ``schema=`` at scale.
+        """
         return src.read_objects(self.spark, self.glob, header=self.header, sep=self.sep,
-                                schema=self.schema, multiline=self.multiline,
+                                schema=self._schema(), multiline=self.multiline,
                                 positional_names=False, cache=False)
 
     def table(self) -> DataFrame:
@@ -170,7 +174,10 @@ class ShardedDataset:
                           *[c for c in out.columns if c != "pos"]).orderBy("pos")
 
     def _schema(self):
-        return self.schema if self.schema is not None else self.scan().schema
+        if self.schema is None:
+            self.schema = src.read_objects(self.spark, self.glob, header=self.header, sep=self.sep,
+                                           multiline=self.multiline, positional_names=False).schema
+        return self.schema
 
     def _scan_paths(self, uris: list[str]) -> DataFrame:
         reader = self.spark.read.options(header=str(src.header_flag(self.header)).lower(),
