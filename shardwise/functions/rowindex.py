@@ -221,22 +221,41 @@ def with_parquet_row_index(scan: DataFrame, manifest: DataFrame, name: str = "ro
     )
 
 
+def _tag_scan(scan: DataFrame) -> DataFrame:
+    return (
+        scan.withColumn("__path", F.col("_metadata.file_path"))
+        .withColumn("__block", F.col("_metadata.file_block_start"))
+        .withColumn("__mid", F.monotonically_increasing_id())
+    )
+
+
+def split_counts(scan: DataFrame) -> DataFrame:
+    """Rows per file split of a scan: ``__path, __block, __n, __first`` (persisted).
+
+    One row per split. Rows per file are its sums, so the same pass serves a
+    manifest and :func:`with_csv_row_index` (``splits=``) on any scan of the same
+    objects with the same reader options: splits follow file sizes, not the
+    schema, so the positions line up.
+    """
+    return _tag_scan(scan).groupBy("__path", "__block").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first")).persist()
+
+
 def with_csv_row_index(scan: DataFrame, manifest: DataFrame | None = None,
-                       name: str = "row_idx", uri_col: str = "uri") -> DataFrame:
+                       name: str = "row_idx", uri_col: str = "uri",
+                       splits: DataFrame | None = None) -> DataFrame:
     """Physical order for a CSV (or any text) scan.
 
     Order is file path order (or the manifest's ``start_idx`` when given), then
     split offset, then line order. ``scan`` must be the DataFrame returned by the
-    reader. The per-split table (one row per file split) is persisted; it is
-    broadcast when small enough and joined by shuffle otherwise.
+    reader. The per-split table (one row per file split; from ``splits`` when
+    given, see :func:`split_counts`) is persisted; it is broadcast when small
+    enough and joined by shuffle otherwise.
     """
-    tagged = (
-        scan.withColumn("__path", F.col("_metadata.file_path"))
-        .withColumn("__block", F.col("_metadata.file_block_start"))
-        .withColumn("__mid", F.monotonically_increasing_id())
-    )
-    splits = tagged.groupBy("__path", "__block").agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    tagged = _tag_scan(scan)
+    if splits is None:
+        splits = tagged.groupBy("__path", "__block").agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
     if manifest is not None:
         starts = manifest.select(F.col(uri_col).alias("__path"), F.col("start_idx").alias("__fstart"))
         splits = splits.join(bounded_broadcast(starts, starts.count()), "__path")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
-from ..functions.rowindex import with_csv_row_index
+from ..functions.rowindex import split_counts, with_csv_row_index
 from ..operators import features as feat
 from ..operators import manifest as man
 from ..operators import shards as sh
@@ -80,11 +80,22 @@ class ShardedDataset:
             index_shards = shards_glob is None
         elif not isinstance(index_shards, bool):
             raise ValueError("index_shards must be set to True or False")
+        self._splits = None
         if index_shards:
-            counter = objs_to_shards_df_fn or (
-                lambda spark_, glob_, header=None: man.count_objects(
-                    spark_, glob_, header=header, sep=sep, listing=self.objs, multiline=multiline))
-            raw = counter(spark, self.glob, header=header)
+            if objs_to_shards_df_fn is None:
+                # One pass counts rows per file split; files are their sums, and the
+                # split table is reused for the row index of table().
+                untyped = src.read_objects(spark, self.glob, header=header, sep=sep,
+                                           infer_schema=False, multiline=multiline,
+                                           positional_names=False)
+                self._splits = split_counts(untyped)
+                self._split_conf = self._file_split_conf()
+                per_file = self._splits.groupBy(F.col("__path").alias("uri")).agg(
+                    F.sum("__n").alias("count"))
+                raw = (self.objs.where(F.col("size") > 0).join(per_file, "uri", "left")
+                       .select("id", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
+            else:
+                raw = objs_to_shards_df_fn(spark, self.glob, header=header)
             offsets = make_shards_df_fn(df=raw)
             self.manifest = offsets.join(self.objs.select("id", "uri"), "id", "left").select(
                 "id", "start_idx", "end_idx", "uri")
@@ -112,7 +123,10 @@ class ShardedDataset:
     def table(self) -> DataFrame:
         """Data with positional column names and ``row_idx`` (object order, then line order)."""
         if self._table is None:
-            indexed = with_csv_row_index(self.scan(), self.manifest)
+            # Reuse the counted splits only while the file-split settings are unchanged.
+            splits = self._splits if self._splits is not None and \
+                self._split_conf == self._file_split_conf() else None
+            indexed = with_csv_row_index(self.scan(), self.manifest, splits=splits)
             cols = [c for c in indexed.columns if c != "row_idx"]
             indexed = indexed.select(*[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(cols)], "row_idx")
             if self.cache:
@@ -173,6 +187,11 @@ class ShardedDataset:
                           F.col("pos").cast("long").alias("pos"),
                           *[c for c in out.columns if c != "pos"]).orderBy("pos")
 
+    def _file_split_conf(self) -> tuple:
+        get = self.spark.conf.get
+        return (get("spark.sql.files.maxPartitionBytes", None), get("spark.sql.files.openCostInBytes", None),
+                get("spark.sql.files.minPartitionNum", None), self.spark.sparkContext.defaultParallelism)
+
     def _schema(self):
         if self.schema is None:
             self.schema = src.read_objects(self.spark, self.glob, header=self.header, sep=self.sep,

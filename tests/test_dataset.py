@@ -182,3 +182,30 @@ def test_read_shard_equals_planned_shard(spark, station_csv):
         got = [(r["pos"], r["row_idx"]) for r in ds.read_shard(step, worker).collect()]
         want = [(r["pos"], r["row_idx"]) for r in ds.shard(step, worker).collect()]
         assert got == want and len(got) == 350
+
+
+def test_shared_split_counts_align_with_many_splits(spark, station_csv):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        ds = ShardedDataset(spark, station_csv, header=None, shard_size=10, max_shards=1)
+        rows = ds.table().select("row_idx", "1", "3").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ds._splits is not None and ds._splits.count() > 5  # several splits, counted once
+    got = [(r["1"], r["3"]) for r in sorted(rows, key=lambda r: r["row_idx"])]
+    with open(station_csv) as f:
+        lines = [line.rstrip("\n").split(",") for line in f if line.strip()]
+    assert got == [(int(x[1]), int(x[3])) for x in lines]
+
+
+def test_changed_split_settings_do_not_reuse_counts(spark, station_csv):
+    ds = ShardedDataset(spark, station_csv, header=None, shard_size=10, max_shards=1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        rows = ds.table().select("row_idx", "3").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r["row_idx"] for r in rows) == list(range(800))
+    with open(station_csv) as f:
+        want = [int(line.split(",")[3]) for line in f if line.strip()]
+    assert [r["3"] for r in sorted(rows, key=lambda r: r["row_idx"])] == want
