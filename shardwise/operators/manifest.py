@@ -79,17 +79,30 @@ def make_manifest(spark: SparkSession | None = None, glob: str | None = None,
     return out.select(*cols)
 
 
-def list_objects(spark: SparkSession, glob: str) -> DataFrame:
+# Largest listing walked object by object on the driver; above it Spark lists.
+LISTING_DRIVER_MAX = 100_000
+
+
+def list_objects(spark: SparkSession, glob: str, driver_max: int = LISTING_DRIVER_MAX) -> DataFrame:
     """Objects matching ``glob`` as ``id, uri, size``, sorted by ``uri``; ids are list positions. [A5, B9]
 
-    Listing is metadata work on the driver, exactly what Spark's own file index
-    does; zero-byte objects are listed too (Spark's readers drop them).
+    Listing is metadata work, exactly what Spark's own file index does;
+    zero-byte objects are listed too (Spark's readers drop them). Above
+    ``driver_max`` objects the listing comes from the ``binaryFile`` source
+    (path and length only, no content read), which leaves zero-byte objects out:
+    they hold no rows, so only the id gaps they would leave differ.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(glob)
     fs = path.getFileSystem(conf)
     statuses = fs.globStatus(path) or []
+    if len(statuses) > driver_max:
+        listed = spark.read.format("binaryFile").load(glob).select(
+            F.col("path").alias("uri"), F.col("length").alias("size"))
+        # one row per object: the ordered window runs over the listing, not data
+        return listed.withColumn(
+            "id", (F.row_number().over(Window.orderBy("uri")) - 1).cast("int")).select("id", "uri", "size")
     files = sorted(
         (st.getPath().toString(), int(st.getLen())) for st in statuses if st.isFile()
     )
