@@ -108,6 +108,7 @@ class ShardedDataset:
         self.obj_count = int(totals["obj_count"])
         self.row_count = int(totals["row_count"])
         self._table = None
+        self._materialized = None
 
     # ------------------------------------------------------------------ data
     def scan(self) -> DataFrame:
@@ -140,8 +141,14 @@ class ShardedDataset:
         afterwards: lineage is cut and shard windows prune row groups by index."""
         from ..streaming.feed import materialize
 
+        if path is None and self._materialized is not None:
+            return self._materialized
         written = materialize(self.table(), path)
         self._table = self.spark.read.parquet(written)
+        self._materialized = written
+        if self._splits is not None:  # the copy replaces the scan; its split table is done
+            self._splits.unpersist()
+            self._splits = None
         return written
 
     def read_spec(self, start: int, end: int) -> DataFrame:

@@ -209,3 +209,10 @@ def test_changed_split_settings_do_not_reuse_counts(spark, station_csv):
     with open(station_csv) as f:
         want = [int(line.split(",")[3]) for line in f if line.strip()]
     assert [r["3"] for r in sorted(rows, key=lambda r: r["row_idx"])] == want
+
+
+def test_materialize_once_without_a_path(spark, station_csv):
+    ds = ShardedDataset(spark, station_csv, header=None, shard_size=10, max_shards=1)
+    first = ds.materialize()
+    assert ds.materialize() == first and ds._splits is None
+    assert ds.table().count() == 800
