@@ -165,12 +165,13 @@ def read_spec(manifest: DataFrame, row_count: int, start: int, end: int) -> Data
     order. The manifest has one row per file, so the windows here run over files.
     """
     check_range(row_count, start, end)
+    everything = Window.partitionBy()  # over the objects of the manifest
     ordered = manifest.withColumn(
         "__pos", F.row_number().over(Window.orderBy("id", "start_idx", "end_idx")) - 1)
     lo = F.min(F.when((F.col("start_idx") <= start) & (F.lit(start) < F.col("end_idx")), F.col("__pos")))
     hi = F.max(F.when((F.col("start_idx") <= end) & (F.lit(end) <= F.col("end_idx")), F.col("__pos")))
-    bounds = ordered.agg(lo.alias("lo"), hi.alias("hi")).first()
-    first, last = bounds["lo"], bounds["hi"]
+    ordered = ordered.withColumn("__first", lo.over(everything)).withColumn("__last", hi.over(everything))
+    first, last = F.col("__first"), F.col("__last")
     extra = ["uri"] if "uri" in manifest.columns else []
     pos = F.col("__pos")
     skip_head = F.greatest(F.lit(0), F.lit(start) - F.col("start_idx"))
