@@ -127,3 +127,25 @@ def test_hot_key_without_tiebreak_warns(spark):
     with pytest.warns(UserWarning):
         idx = with_row_index(df, "k", num_buckets=16)
     assert sorted(r["row_idx"] for r in idx.collect()) == list(range(400))
+
+
+def test_configured_bucket_count_is_used(spark):
+    import warnings
+
+    from shardwise.functions import rowindex as R
+
+    df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    spark.conf.set("shardwise.rowindex.buckets", "6")
+    seen = []
+    real = R.key_bounds
+    try:
+        R.key_bounds = lambda *a, **kw: seen.append(a[2]) or real(*a, **kw)
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            idx = R.with_row_index(df, "k")
+        got = sorted((r["row_idx"], r["k"]) for r in idx.collect())
+    finally:
+        R.key_bounds = real
+        spark.conf.unset("shardwise.rowindex.buckets")
+    assert seen == [6]
+    assert [k for _, k in got] == list(range(1000)) and [i for i, _ in got] == list(range(1000))
