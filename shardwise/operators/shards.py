@@ -93,7 +93,10 @@ def assign_shards(indexed: DataFrame, row_count: int, shard_size: int, replicas:
     if p_hi == p_lo:
         return _tag(indexed.withColumn("__p", F.lit(None).cast("long")).where(F.lit(False)), s, r, row_idx)
     base = indexed
-    if p_hi - p_lo < n:
+    one_worker = _worker_rows(idx, n, s, r, worker, int(first_step), int(max_shards))
+    if one_worker is not None:
+        base = base.where(one_worker)
+    elif p_hi - p_lo < n:
         lo, hi = p_lo % n, p_hi % n
         base = base.where((idx >= lo) & (idx < hi)) if lo < hi else base.where((idx >= lo) | (idx < hi))
     e_lo, e_hi = p_lo // n, (p_hi - 1) // n
@@ -112,6 +115,24 @@ def assign_shards(indexed: DataFrame, row_count: int, shard_size: int, replicas:
     return out
 
 
+# Most steps whose row ranges are spelled out for a single worker's filter.
+_WORKER_RANGES_MAX = 64
+
+
+def _worker_rows(idx, n: int, s: int, r: int, worker: int | None, first_step: int, steps: int):
+    """Row filter for one worker's shards: the union of its ``[(k*r + w)*s, +s)``
+    ranges modulo ``n``; ``None`` when it would not narrow the read."""
+    if worker is None or r == 1 or steps > _WORKER_RANGES_MAX or s >= n:
+        return None
+    cond = None
+    for k in range(first_step, first_step + steps):
+        a = (k * r + worker) * s
+        lo, hi = a % n, (a + s) % n
+        piece = (idx >= lo) & (idx < hi) if lo < hi else (idx >= lo) | (idx < hi)
+        cond = piece if cond is None else cond | piece
+    return cond
+
+
 def shard(indexed: DataFrame, row_count: int, shard_size: int, step: int, worker: int = 0,
           replicas: int = 1, row_idx: str = "row_idx") -> DataFrame:
     """The rows of one shard (``worker``'s ``step``), ordered by ``pos``. [C1, C7]"""

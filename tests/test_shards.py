@@ -147,3 +147,15 @@ def test_shards_on_indexed_table(spark):
     out = sh.shard(idx, n, 2, step=1, worker=0, replicas=2)
     # positions 4, 5 -> rows 4, 0 (wrap): keys 50, 10
     assert [r["k"] for r in out.collect()] == [50, 10]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(n=st.integers(2, 40), s=st.integers(1, 15), r=st.integers(2, 4), m=st.integers(1, 4),
+       first=st.integers(0, 3))
+def test_single_worker_filter_keeps_exactly_its_rows(spark, n, s, r, m, first):
+    full = sh.assign_shards(indexed(spark, n), n, s, r, m, first_step=first)
+    for w in range(r):
+        one = sh.assign_shards(indexed(spark, n), n, s, r, m, worker=w, first_step=first)
+        a = sorted(tuple(x) for x in full.where(F.col("worker") == w).collect())
+        b = sorted(tuple(x) for x in one.collect())
+        assert a == b
