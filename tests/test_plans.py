@@ -63,3 +63,14 @@ def test_small_inputs_use_one_key_range(spark):
 
     assert default_buckets(spark, 1_000) == 1
     assert default_buckets(spark, 10**12) == min(65536, 4 * 8)  # tests run with 8 shuffle partitions
+
+
+def test_single_worker_ranges_reach_the_scan(spark, tmpdir_path):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    idx, n = with_row_index(orders, "o_orderkey", return_count=True)
+    table = spark.read.parquet(materialize(idx, os.path.join(tmpdir_path, "w")))
+    q = assign_shards(table, n, 100, 4, 2, worker=1, first_step=0)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    # worker 1 of 4, s=100: steps 0 and 1 cover rows [100,200) and [500,600)
+    # (Spark shortens long filter lists when printing, so only the first range is checked)
+    assert "Or(And(GreaterThanOrEqual(row_idx,100),LessThan(row_idx,200))" in plan
