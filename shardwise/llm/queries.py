@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, nearest, quality, secret_scan, toxicity
+from . import langid, near_vectors, nearest, quality, secret_scan, toxicity
 from .common import table
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -31,6 +35,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vectors": op1_near_vectors,
     "op3_nearest": op3_nearest,
     "op4_secrets": op4_secrets,
     "op6_quality": op6_quality,
