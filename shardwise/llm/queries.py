@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, near_vectors, nearest, quality, secret_scan, toxicity
+from . import langid, near_vectors, nearest, packing, quality, secret_scan, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest": op3_nearest,
     "op4_secrets": op4_secrets,
     "op6_quality": op6_quality,
+    "op7_packing": op7_packing,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
