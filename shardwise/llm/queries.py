@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, near_vectors, nearest, packing, quality, secret_scan, toxicity
+from . import langid, line_dedup, mixing, near_vectors, nearest, packing, quality, secret_scan, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -30,6 +34,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,15 +48,68 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": op1_near_vectors,
+    "op2_mixing": op2_mixing,
     "op3_nearest": op3_nearest,
     "op4_secrets": op4_secrets,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS digest,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (
+  SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight,
+         2.0::DOUBLE * source_size AS cap,
+         1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS budget FROM s),
+f AS (
+  SELECT *, cap / weight AS ratio,
+         (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+         / sum(weight) OVER (ORDER BY cap / weight, rank
+                             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM w),
+l AS (SELECT arg_min(here, ratio) AS level FROM f WHERE ratio > here),
+t AS (
+  SELECT source, source_size, rank, weight,
+         CASE WHEN level IS NULL THEN cap ELSE least(cap, weight * level) END AS target FROM f, l),
+b AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.rank, t.weight,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.doc_id, d.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+         CASE WHEN t.source_size > 0 THEN floor(t.target)::BIGINT // t.source_size ELSE 0 END AS whole
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (
+  SELECT *, (whole * size + greatest(0, least(size, floor(target)::BIGINT - whole * source_size - before)))::BIGINT
+         AS taken,
+         before / target * weight AS r,
+         CASE (rank - 1) % 3 WHEN 0 THEN 6.0::DOUBLE WHEN 1 THEN 1.0 ELSE 1.5 END AS w0,
+         CASE (rank - 1) % 3 WHEN 0 THEN -2.0::DOUBLE WHEN 1 THEN 2.0 ELSE -1.0 END AS slope FROM b)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN 2.0 * r / (w0 + sqrt(w0 * w0 + 2.0 * slope * r)) END AS position FROM k""",
+    "op8_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM l),
+k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key),
+m AS (
+  SELECT k.doc_id, k.line, k.pos, o.owner IS NULL OR o.owner = k.doc_id AS stays
+  FROM k LEFT JOIN o ON k.key = o.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (NOT stays))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
     "op3_nearest": """
 WITH v AS (
   SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
