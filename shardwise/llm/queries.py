@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_dedup, mixing, near_vectors, nearest, packing, quality, secret_scan, toxicity
+from . import langid, line_dedup, mixing, near_vectors, nearest, ngram_join, packing, quality, secret_scan, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_nearest": op3_nearest,
     "op4_secrets": op4_secrets,
+    "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
