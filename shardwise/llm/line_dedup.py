@@ -151,8 +151,14 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with duplicate lines taken out of ``text`` (null stays null)."""
+    """The rows of ``docs`` with duplicate lines taken out of ``text`` (null stays null).
+
+    A column ``n_chars`` follows the new text.
+    """
     columns = docs.columns
     out = drop_lines(docs)
     kept = F.when(F.col("text").isNotNull(), F.array_join("__kept", "\n"))
-    return out.withColumn("text", kept).select(*columns)
+    out = out.withColumn("text", kept)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns)

@@ -126,13 +126,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The training stream: a row of ``docs`` for every copy taken, in order of position.
 
     Copies are whole documents: one for every whole pass, and one more when the
-    last pass takes at least half of the document's words.
+    last pass takes at least half of the document's words. Documents without
+    words are not taken.
     """
     columns = docs.columns
     schedules = options.get("schedules", SCHEDULES)
     taken = assign(docs, **options)
     copies = F.col("__whole") + F.when((F.col("__part") > 0) & (2 * F.col("__part") >= F.col("__size")), 1).otherwise(0)
-    rows = taken.withColumn("__copies", copies.cast("int")).where("__copies > 0").withColumn(
+    rows = taken.where("__taken > 0").withColumn("__copies", copies.cast("int")).where("__copies > 0").withColumn(
         "__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     place = (F.col("__before") + F.col("__copy") * F.col("__source_size")) / F.col("__target")
     stream = rows.withColumn("__at", position(place, F.col("__rank"), schedules)).select(*columns, "__at")
