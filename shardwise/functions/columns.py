@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 
-def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
-    """Names of the numeric columns (booleans count as numeric, as in pandas)."""
+def numeric_columns(df: DataFrame, exclude=(), booleans: bool = True) -> list[str]:
+    """Names of the numeric columns; booleans count as numeric unless ``booleans=False``."""
     skip = set(exclude)
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, (NumericType, BooleanType)) and f.name not in skip]
+    kinds = (NumericType, BooleanType) if booleans else (NumericType,)
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds) and f.name not in skip]
 
 
 def as_double(name: str):

@@ -3,36 +3,31 @@
 A DataFrame has no row order, yet sharding addresses rows by a global index.
 Three ways to get one, all of them distributed:
 
-* :func:`with_row_index` — by a sort key. Key-range buckets are fixed from a
-  bounded sample, rows per bucket are counted in a keys-only pass, the rank
-  inside a bucket is a ``row_number`` over a window partitioned by bucket, and
-  the bucket offsets are added from a literal array (one entry per bucket).
+* :func:`with_row_index` — by a sort key: the rows are range-partitioned and
+  sorted, written once, counted per written range, and numbered by the range's
+  running total plus the row's place in its file.
 * :func:`with_parquet_row_index` — physical order of Parquet files:
   ``_metadata.row_index`` plus the file's ``start_idx`` from the manifest.
-* :func:`with_csv_row_index` — physical order of CSV files: rows per file split
-  (``_metadata.file_block_start``) are counted, split offsets are prefix sums
-  inside each file, and the position inside a split again comes from
-  ``monotonically_increasing_id`` taken on the scan, before any shuffle.
+* :func:`with_csv_row_index` — physical order of CSV files: the scan is tagged
+  with file, split and place and written once; splits are counted on that copy,
+  so the numbers hold whatever later file-split settings are.
+
+Running totals are small tables (a row per range, file or split) that are
+written and joined; Spark broadcasts them only below its own size threshold.
 """
 
 from __future__ import annotations
 
-import math
-import warnings
-
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import MapType, VariantType
 
-from ..session import default_parallelism
+from ..session import default_parallelism, scratch_path
 
-# Largest lookup table broadcast to every task. Above it the join shuffles.
-BROADCAST_MAX_ROWS = 2_000_000
-
-# Rows per key range of the row index when the caller gives no bucket count.
-ROWS_PER_BUCKET = 250_000
+# Rows per key range when the caller gives no number of ranges.
+ROWS_PER_RANGE = 1_000_000
 
 
 def _cols(cols: str | Column | Sequence[str | Column]) -> list[Column]:
@@ -41,165 +36,61 @@ def _cols(cols: str | Column | Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count ``rows`` (already known) is within bound."""
-    return F.broadcast(df) if rows <= max_rows else df
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared checkpoint folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    # One file per task: places in a file are places in its range.
+    df.write.option("maxRecordsPerFile", 0).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def key_bounds(df: DataFrame, keys: list[Column], n_buckets: int, seed: int = 11,
-               rows_per_bucket: int = 64, max_sample: int = 2_000_000,
-               n_rows: int | None = None) -> list[tuple]:
-    """Up to ``n_buckets - 1`` increasing key tuples splitting ``df`` into similar-sized ranges.
+def row_digest(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: rows it does not tell apart look the same."""
+    names = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in names])
 
-    A sample of about ``rows_per_bucket * n_buckets`` keys (at most
-    ``max_sample``) is cut into ``n_buckets`` tiles by Spark, and only the first
-    key of every tile comes back to the driver, so the bounds follow Spark's own
-    ordering and the driver holds one row per bucket.
-    """
-    n = df.count() if n_rows is None else n_rows
-    if n == 0 or n_buckets <= 1:
-        return []
-    fraction = min(1.0, min(max_sample, rows_per_bucket * n_buckets) / n)
-    names = [f"k{i}" for i in range(len(keys))]
-    not_null = F.lit(True)
-    for name in names:
-        not_null = not_null & F.col(name).isNotNull()
-    sample = df.select(*[k.alias(nm) for k, nm in zip(keys, names)]).where(not_null).sample(
-        False, fraction, seed)
-    # The sample is bounded, so one ordered window over it is fine.
-    tiles = sample.withColumn("__t", F.ntile(n_buckets).over(Window.orderBy(*names)))
-    firsts = (tiles.groupBy("__t").agg(F.min(F.struct(*names)).alias("__k"))
-              .where(F.col("__t") > 1).orderBy("__t").collect())
-    bounds: list[tuple] = []
-    repeated = 0
-    for row in firsts:
-        b = tuple(row["__k"])
-        if not bounds or b != bounds[-1]:
-            bounds.append(b)
-        else:
-            repeated += 1
-    if firsts and repeated * 4 >= len(firsts):
-        warnings.warn(
-            f"{repeated} of {len(firsts)} key ranges start with a repeated key: some key values hold "
-            "many rows and will sit in one task; pass unique=False or a tiebreak column to split them")
-    return bounds
-
-
-def bucket_of(keys: list[Column], bounds: list[tuple], types: list) -> Column:
-    """Number of ``bounds`` that are ``<=`` the key (struct order = lexicographic):
-    a binary search in a higher-order function, evaluated on the JVM."""
-    if not bounds:
-        return F.lit(0)
-    fields = [f"k{i}" for i in range(len(keys))]
-    arr = F.array(*[
-        F.struct(*[F.lit(v).cast(t).alias(f) for v, t, f in zip(b, types, fields)]) for b in bounds
-    ])
-    key = F.struct(*[k.cast(t).alias(f) for k, t, f in zip(keys, types, fields)])
-    depth = max(1, math.ceil(math.log2(len(bounds) + 1)))
-
-    def step(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
-        up = F.element_at(arr, F.greatest(mid, F.lit(1))) <= key
-        return (F.when(acc["lo"] >= acc["hi"], acc)
-                .when(up, F.struct(mid.alias("lo"), acc["hi"].alias("hi")))
-                .otherwise(F.struct(acc["lo"].alias("lo"), (mid - 1).alias("hi"))))
-
-    init = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), init, step)["lo"]
-
-
-def with_numeric_bucket(df: DataFrame, key: Column, bounds: list[float], name: str = "__b") -> DataFrame:
-    """Add the bucket of a single numeric key: Spark ML's ``Bucketizer`` (binary
-    search on the JVM). Casting to double keeps the order (ties only merge
-    neighbours); NaN, which Spark sorts last, gets the last bucket; null, sorted
-    first, gets -1."""
-    from pyspark.ml.feature import Bucketizer
-
-    splits = [-math.inf]
-    for b in bounds:
-        if b > splits[-1]:
-            splits.append(float(b))
-    splits.append(math.inf)
-    bucketizer = Bucketizer(splits=splits, inputCol="__bk", outputCol="__bb", handleInvalid="keep")
-    return bucketizer.transform(df.withColumn("__bk", key.cast("double"))).withColumn(
-        name, F.when(F.col("__bk").isNull(), F.lit(-1)).otherwise(F.col("__bb").cast("int"))
-    ).drop("__bk", "__bb")
+
+def object_uri() -> Column:
+    """The file of a scanned row: ``_metadata.file_path`` with one slash where there is no authority."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^([A-Za-z0-9+.-]+):///", "$1:/")
+
+
+def number_of_ranges(spark, n_rows: int) -> int:
+    """At least two, one per shuffle partition, and no more than ``ROWS_PER_RANGE`` rows each on average."""
+    return max(2, default_parallelism(spark), -(-n_rows // ROWS_PER_RANGE))
 
 
 def with_row_index(df: DataFrame, order_by, name: str = "row_idx", *,
-                   num_buckets: int | None = None, unique: bool = True,
-                   tiebreak: str | None = None, return_count: bool = False):
+                   num_ranges: int | None = None, tiebreak: str | None = None,
+                   return_count: bool = False):
     """Add ``name`` = 0-based rank of each row in ``order_by`` order (ascending, nulls first).
 
-    Key ranges ("buckets") come from a bounded sample and are fixed on the
-    driver, so every pass assigns a row to the same bucket; rows per bucket are
-    counted in a keys-only pass (one row per bucket comes back), the rank inside
-    a bucket is a ``row_number`` over a window partitioned by bucket, and the
-    bucket offsets are a literal lookup array (no join). Nothing depends on
-    physical partition ids, so adaptive execution and task retries cannot shift
-    the index.
-
-    A single numeric key is bucketed by ``Bucketizer``; other keys by a binary
-    search over struct bounds. ``unique=False`` appends a tie-breaker taken on
-    the input partitions (``monotonically_increasing_id``; the input must then
-    be a deterministic scan); ``tiebreak`` names an existing column to use
-    instead. The bounds then include the tie-breaker, so a key holding many rows
-    still spreads over several buckets.
+    The range key is the sort key, then ``tiebreak`` (a column) or a hash of the
+    whole row, then the row's place in its input partition, so that a key value
+    (null too) with very many rows spreads over several ranges. Rows equal in
+    key and tie-breaker may come in any order among themselves. The sorted
+    ranges are written once; nothing later depends on partition bounds, adaptive
+    execution or retried tasks. The input should be a deterministic scan.
     Returns the frame, or ``(frame, N)`` with ``return_count=True``.
     """
     spark = df.sparkSession
     keys = _cols(order_by)
-    work = df
-    if tiebreak is not None:
-        keys = keys + [F.col(tiebreak)]
-    elif not unique:
-        work = work.withColumn("__tie", F.monotonically_increasing_id())
-        keys = keys + [F.col("__tie")]
-    types = [work.select(k).schema.fields[0].dataType for k in keys]
-    n_rows = work.count()
+    n_rows = df.count()
     configured = spark.conf.get("shardwise.rowindex.buckets", None)
-    nb = num_buckets or (int(configured) if configured else default_buckets(spark, n_rows))
-    if nb <= 1:
-        # Small input: one key range, no sample and no per-bucket counting job.
-        tagged = work.withColumn("__b", F.lit(0))
-        counts = [(0, n_rows)] if n_rows else []
-        return _rank_in_buckets(tagged, keys, counts, name, return_count)
-    bounds = key_bounds(work, keys, nb, n_rows=n_rows)
-    if len(keys) == 1 and isinstance(types[0], NumericType):
-        tagged = with_numeric_bucket(work, keys[0], [b[0] for b in bounds])
-    else:
-        tagged = work.withColumn("__b", bucket_of(keys, bounds, types))
-    counts = sorted(
-        (r["__b"], r["__n"])
-        for r in tagged.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).collect()
-    )
-    return _rank_in_buckets(tagged, keys, counts, name, return_count)
-
-
-def default_buckets(spark, n_rows: int) -> int:
-    """One key range per ``ROWS_PER_BUCKET`` rows (a range is sorted in one task),
-    at most four per shuffle partition and at most 65,536."""
-    wanted = -(-n_rows // ROWS_PER_BUCKET)
-    return max(1, min(wanted, 4 * default_parallelism(spark), 65536))
-
-
-def _rank_in_buckets(tagged: DataFrame, keys: list[Column], counts: list[tuple[int, int]],
-                     name: str, return_count: bool):
-    # Offsets indexed by bucket + 2 (bucket -1 holds null keys); one entry per bucket.
-    top = max([b for b, _ in counts], default=0)
-    offsets = [0] * (top + 2)
-    running = 0
-    for b, n in counts:
-        offsets[b + 1] = running
-        running += n
-    lookup = F.array(*[F.lit(o).cast("long") for o in offsets])
-    in_bucket = Window.partitionBy("__b").orderBy(*keys)
-    out = (
-        tagged.withColumn("__rn", F.row_number().over(in_bucket))
-        .withColumn(name, F.element_at(lookup, F.col("__b") + F.lit(2)) + F.col("__rn") - F.lit(1))
-        .drop("__b", "__rn", "__tie")
-    )
-    return (out, running) if return_count else out
+    ranges = num_ranges or (int(configured) if configured else number_of_ranges(spark, n_rows))
+    tie = F.col(tiebreak) if tiebreak is not None else row_digest(df)
+    work = df.withColumns({f"__k{i}": k for i, k in enumerate(keys)}).withColumns(
+        {"__tie": tie, "__mid": F.monotonically_increasing_id()})
+    order = [f"__k{i}" for i in range(len(keys))] + ["__tie", "__mid"]
+    sorted_ = work.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    data = written(sorted_.select(*[F.col(f"`{c}`") for c in df.columns],
+                                  F.spark_partition_id().alias("__part")), "row-index")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(data.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")), "row-index-starts")
+    out = (data.withColumn("__ri", F.col("_metadata.row_index")).join(starts, "__part")
+           .withColumn(name, F.col("__start") + F.col("__ri")).drop("__part", "__start", "__ri"))
+    return (out, n_rows) if return_count else out
 
 
 def with_parquet_row_index(scan: DataFrame, manifest: DataFrame, name: str = "row_idx",
@@ -208,70 +99,78 @@ def with_parquet_row_index(scan: DataFrame, manifest: DataFrame, name: str = "ro
 
     ``scan`` must be the DataFrame returned by ``spark.read.parquet`` (so that the
     hidden ``_metadata`` column resolves); ``manifest`` has ``uri, start_idx``,
-    one row per file.
+    one row per file, with URIs as :func:`object_uri` gives them. A file
+    that the manifest doesn't name raises an error.
     """
-    files = manifest.select(F.col(uri_col).alias("__path"), F.col("start_idx").alias("__start"))
-    n_files = files.count()
+    files = manifest.select(F.col(uri_col).alias("__uri"), F.col("start_idx").alias("__start"))
+    known = F.coalesce("__start", F.raise_error(F.concat(F.lit("no manifest row for "), "__path")).cast("long"))
     return (
-        scan.withColumn("__path", F.col("_metadata.file_path"))
+        scan.withColumn("__path", object_uri())
         .withColumn("__ri", F.col("_metadata.row_index"))
-        .join(bounded_broadcast(files, n_files), "__path")
-        .withColumn(name, F.col("__start") + F.col("__ri"))
-        .drop("__path", "__ri", "__start")
+        .join(files, F.col("__path") == F.col("__uri"), "left")
+        .withColumn(name, known + F.col("__ri"))
+        .drop("__path", "__uri", "__ri", "__start")
     )
 
 
-def _tag_scan(scan: DataFrame) -> DataFrame:
-    return (
-        scan.withColumn("__path", F.col("_metadata.file_path"))
+def tag_scan(scan: DataFrame) -> DataFrame:
+    """The scan with file, split and place in its task, written once.
+
+    Counts and positions are both taken from this copy, so they agree even if
+    another scan of the same objects would be split differently.
+    """
+    return written(
+        scan.withColumn("__path", object_uri())
         .withColumn("__block", F.col("_metadata.file_block_start"))
-        .withColumn("__mid", F.monotonically_increasing_id())
-    )
+        .withColumn("__mid", F.monotonically_increasing_id()), "tagged-scan")
 
 
-def split_counts(scan: DataFrame) -> DataFrame:
-    """Rows per file split of a scan: ``__path, __block, __n, __first`` (persisted).
+def split_counts(tagged: DataFrame) -> DataFrame:
+    """Rows per file split of a tagged scan: ``__path, __block, __n, __first``."""
+    return written(tagged.groupBy("__path", "__block").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first")), "splits")
 
-    One row per split. Rows per file are its sums, so the same pass serves a
-    manifest and :func:`with_csv_row_index` (``splits=``) on any scan of the same
-    objects with the same reader options: splits follow file sizes, not the
-    schema, so the positions line up.
-    """
-    return _tag_scan(scan).groupBy("__path", "__block").agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first")).persist()
+
+def check_counts(splits: DataFrame, manifest: DataFrame, uri_col: str = "uri") -> None:
+    """Raise unless every object has as many rows as its manifest interval says."""
+    counted = splits.groupBy(F.col("__path").alias("__u")).agg(F.sum("__n").alias("__c"))
+    wanted = manifest.where(F.col(uri_col).isNotNull()).groupBy(F.col(uri_col).alias("__v")).agg(
+        F.sum(F.col("end_idx") - F.col("start_idx")).alias("__w"))
+    wrong = (counted.join(wanted, F.col("__u") == F.col("__v"), "full")
+             .where(F.coalesce("__c", F.lit(0)) != F.coalesce("__w", F.lit(0)))
+             .select(F.coalesce("__u", "__v").alias("uri"), "__c", "__w").orderBy("uri").limit(5).collect())
+    if wrong:
+        raise ValueError("rows read and rows in the manifest differ: " + "; ".join(
+            f"{r['uri']}: {r['__c'] or 0} read, {r['__w'] or 0} in the manifest" for r in wrong))
 
 
 def with_csv_row_index(scan: DataFrame, manifest: DataFrame | None = None,
                        name: str = "row_idx", uri_col: str = "uri",
-                       splits: DataFrame | None = None) -> DataFrame:
+                       tagged: DataFrame | None = None, splits: DataFrame | None = None) -> DataFrame:
     """Physical order for a CSV (or any text) scan.
 
     Order is file path order (or the manifest's ``start_idx`` when given), then
     split offset, then line order. ``scan`` must be the DataFrame returned by the
-    reader. The per-split table (one row per file split; from ``splits`` when
-    given, see :func:`split_counts`) is persisted; it is broadcast when small
-    enough and joined by shuffle otherwise.
+    reader; ``tagged`` (see :func:`tag_scan`) and ``splits`` (of it) save a pass
+    when the objects were counted before. With a manifest the counts of all its
+    objects are compared first; a difference is an error.
     """
-    tagged = _tag_scan(scan)
-    if splits is None:
-        splits = tagged.groupBy("__path", "__block").agg(
-            F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    tagged = tag_scan(scan) if tagged is None else tagged
+    splits = split_counts(tagged) if splits is None else splits
     if manifest is not None:
+        check_counts(splits, manifest, uri_col)
         starts = manifest.select(F.col(uri_col).alias("__path"), F.col("start_idx").alias("__fstart"))
-        splits = splits.join(bounded_broadcast(starts, starts.count()), "__path")
         in_file = Window.partitionBy("__path").orderBy("__block").rowsBetween(
             Window.unboundedPreceding, -1)
-        splits = splits.withColumn(
+        offsets = splits.join(starts, "__path").withColumn(
             "__off", F.col("__fstart") + F.coalesce(F.sum("__n").over(in_file), F.lit(0)))
     else:
-        # Split table is one row per file split: the global window is over a
-        # small table, never over data rows.
+        # One row per file split: the global window is over a small table, never over data rows.
         before = Window.orderBy("__path", "__block").rowsBetween(Window.unboundedPreceding, -1)
-        splits = splits.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    splits = splits.select("__path", "__block", "__first", "__off").persist()
-    n_splits = splits.count()
+        offsets = splits.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    offsets = written(offsets.select("__path", "__block", "__first", "__off"), "split-offsets")
     return (
-        tagged.join(bounded_broadcast(splits, n_splits), ["__path", "__block"])
+        tagged.join(offsets, ["__path", "__block"])
         .withColumn(name, F.col("__off") + F.col("__mid") - F.col("__first"))
         .drop("__path", "__block", "__mid", "__first", "__off")
     )

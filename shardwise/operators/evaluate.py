@@ -14,15 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.arrays import log_softmax, negative_log_likelihood
 
 
-def row_losses(df: DataFrame, logits: str | Column, label: str, name: str = "loss",
-               num_classes: int | None = None) -> DataFrame:
-    """Add ``name`` = NLL of ``label`` under ``log_softmax(logits)``. [F1, F2]
-
-    ``num_classes`` takes only the first elements of the vector as logits.
-    """
+def row_losses(df: DataFrame, logits: str | Column, label: str, name: str = "loss") -> DataFrame:
+    """Add ``name`` = NLL of ``label`` under ``log_softmax(logits)``. [F1, F2]"""
     arr = F.col(logits) if isinstance(logits, str) else logits
-    if num_classes is not None:
-        arr = F.slice(arr, 1, int(num_classes))
     return df.withColumn(name, negative_log_likelihood(log_softmax(arr), label))
 
 

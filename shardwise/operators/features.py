@@ -81,8 +81,8 @@ def assign_batches(indexed: DataFrame, batch_size: int, row_idx: str = "row_idx"
                    name: str = "batch") -> DataFrame:
     """``batch = row_idx div batch_size`` and ``batch_pos`` inside it; the last batch may be short. [D5]"""
     if not isinstance(batch_size, int) or batch_size <= 0:
-        raise ValueError("batch_size must be an integer greater than zero")
-    return indexed.withColumn(name, F.floor(F.col(row_idx) / F.lit(batch_size)).cast("long")).withColumn(
+        raise ValueError("batch_size is a positive integer")
+    return indexed.withColumn(name, F.expr(f"`{row_idx}` div {batch_size}L")).withColumn(
         "batch_pos", (F.col(row_idx) % F.lit(batch_size)).cast("long"))
 
 
@@ -110,9 +110,9 @@ def assign_split_batches(df: DataFrame, split: str, order_by, sizes: dict[str, i
     return (
         idx.join(F.broadcast(starts), split, "left")
         .withColumn("row_idx", F.col("__gidx") - F.col("__start"))
-        .withColumn(name, F.floor(F.col("row_idx") / size).cast("long"))
+        .withColumn("__size", size.cast("long")).withColumn(name, F.expr("row_idx div __size"))
         .withColumn("batch_pos", (F.col("row_idx") % size).cast("long"))
-        .drop("__gidx", "__start")
+        .drop("__gidx", "__start", "__size")
     )
 
 

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.rowindex import object_uri
 from ..session import literal_rows
 
 RAW_SCHEMA = "id INT, count BIGINT"
@@ -41,8 +42,7 @@ def partition_counts(df: DataFrame, include_empty_zero_id: bool = False) -> Data
 def check_raw_manifest(df: DataFrame) -> DataFrame:
     """The metadata source must have exactly the columns ``id`` and ``count``. [B4]"""
     if set(df.columns) != {"id", "count"}:
-        raise ValueError(
-            f"The metadata source must include id and count columns only, got {df.columns}")
+        raise ValueError(f"a raw manifest has the two columns id and count; this one has {df.columns}")
     return df
 
 
@@ -64,7 +64,7 @@ def make_manifest(spark: SparkSession | None = None, glob: str | None = None,
     first and the offsets are deterministic.
     """
     if glob is None and df is None:
-        raise ValueError("Either glob or df must be specified")
+        raise ValueError("make_manifest needs a raw manifest: pass glob= or df=")
     if glob is not None:
         if spark is None:
             raise ValueError("reading a manifest glob needs a SparkSession")
@@ -79,38 +79,33 @@ def make_manifest(spark: SparkSession | None = None, glob: str | None = None,
     return out.select(*cols)
 
 
-# Largest listing walked object by object on the driver; above it Spark lists.
-LISTING_DRIVER_MAX = 100_000
-
-
-def list_objects(spark: SparkSession, glob: str, driver_max: int = LISTING_DRIVER_MAX) -> DataFrame:
+def list_objects(spark: SparkSession, glob: str) -> DataFrame:
     """Objects matching ``glob`` as ``id, uri, size``, sorted by ``uri``; ids are list positions. [A5, B9]
 
-    Listing is metadata work, exactly what Spark's own file index does;
-    zero-byte objects are listed too (Spark's readers drop them). Above
-    ``driver_max`` objects the listing comes from the ``binaryFile`` source
-    (path and length only, no content read), which leaves zero-byte objects out:
-    they hold no rows, so only the id gaps they would leave differ.
+    Listing is metadata work on the driver, as Spark's own file index does it;
+    zero-byte objects are listed too (Spark's readers drop them). URIs are escaped
+    as those of scanned rows (``rowindex.object_uri``), so that names with blanks
+    or percent signs meet. Names starting with ``_`` or ``.`` are refused: Spark's readers
+    would leave them out without a word.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(glob)
     fs = path.getFileSystem(conf)
-    statuses = fs.globStatus(path) or []
-    if len(statuses) > driver_max:
-        listed = spark.read.format("binaryFile").load(glob).select(
-            F.col("path").alias("uri"), F.col("length").alias("size"))
-        # one row per object: the ordered window runs over the listing, not data
-        return listed.withColumn(
-            "id", (F.row_number().over(Window.orderBy("uri")) - 1).cast("int")).select("id", "uri", "size")
-    files = sorted(
-        (st.getPath().toString(), int(st.getLen())) for st in statuses if st.isFile()
-    )
+    files, hidden = [], []
+    for st in fs.globStatus(path) or []:
+        if st.isFile():
+            uri = st.getPath().toUri()
+            place = f"//{uri.getAuthority()}" if uri.getAuthority() else ""
+            files.append((f"{uri.getScheme()}:{place}{uri.getRawPath()}", int(st.getLen())))
+            if st.getPath().getName().startswith(("_", ".")):
+                hidden.append(files[-1][0])
     if not files:
-        raise FileNotFoundError(
-            f"Specified glob pattern {glob} failed to match any objects. Ensure that the "
-            "permission settings are configured correctly before trying again.")
-    rows = [(i, uri, size) for i, (uri, size) in enumerate(files)]
+        raise FileNotFoundError(f"no object matches {glob} (wrong pattern, or no permission to list it)")
+    if hidden:
+        raise ValueError(f"names starting with '_' or '.' cannot be read as data: {hidden[:5]}; "
+                         "rename them or narrow the pattern")
+    rows = [(i, uri, size) for i, (uri, size) in enumerate(sorted(files))]
     return literal_rows(spark, rows, "id INT, uri STRING, size BIGINT")
 
 
@@ -131,7 +126,7 @@ def count_objects(spark: SparkSession, glob: str, header: bool | str | int | Non
     has_header = header_flag(header)
     scan = spark.read.options(header=str(has_header).lower(), sep=sep,
                               multiLine=str(bool(multiline)).lower()).csv(glob)
-    counts = scan.select(F.col("_metadata.file_path").alias("uri")).groupBy("uri").agg(
+    counts = scan.select(object_uri().alias("uri")).groupBy("uri").agg(
         F.count(F.lit(1)).alias("count"))
     return (
         listing.where(F.col("size") > 0)
@@ -141,26 +136,39 @@ def count_objects(spark: SparkSession, glob: str, header: bool | str | int | Non
 
 
 def attach_uris(manifest: DataFrame, listing: DataFrame, check: bool = True) -> DataFrame:
-    """Pair the k-th manifest row (by ``id``) with the k-th non-empty object (by ``uri``). [B9-B11]
+    """Pair the k-th manifest row (by ``id``) with the k-th object (by ``uri``). [B9-B11]
 
-    Zero-byte objects are left out first (``size > 0``); the two sides must then
-    have the same number of rows. Both sides have one row per object.
+    When there are as many objects as manifest rows all are paired, empty ones
+    too; else the zero-byte objects are left out first. If neither count fits,
+    reading the result raises an error (``check=False``: rows without a partner
+    go). Both sides have one row per object.
     """
-    nonempty = listing.where(F.col("size") > 0).select("uri")
-    left = manifest.withColumn(
-        "__k", F.row_number().over(Window.orderBy("id", "start_idx", "end_idx")))
-    right = nonempty.withColumn("__k", F.row_number().over(Window.orderBy("uri")))
+    order = ["id", "start_idx", "end_idx"]
+    left = manifest.select(*order, F.lit(None).cast("string").alias("uri"), F.lit(None).cast("long").alias("size"),
+                           F.lit(0).alias("__side"))
+    right = listing.select(*[F.lit(None).cast(manifest.schema[c].dataType).alias(c) for c in order],
+                           "uri", F.col("size").cast("long"), F.lit(1).alias("__side"))
+    everything = Window.partitionBy()
+    by_order = Window.partitionBy("__side").orderBy(*order, "uri")
+    is_object = F.col("__side") == 1
+    full = is_object & (F.col("size") > 0)
+    both = (left.unionByName(right)
+            .withColumn("__k", F.row_number().over(by_order))
+            .withColumn("__full", F.sum(full.cast("int")).over(by_order.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("__rows", F.sum((~is_object).cast("int")).over(everything))
+            .withColumn("__all", F.sum(is_object.cast("int")).over(everything))
+            .withColumn("__nonempty", F.sum(full.cast("int")).over(everything)))
+    fits = (F.col("__rows") == F.col("__all")) | (F.col("__rows") == F.col("__nonempty"))
+    key = (F.when(~is_object | (F.col("__rows") == F.col("__all")), F.col("__k"))
+           .when(full, F.col("__full")))
     if check:
-        sides = (manifest.select(F.lit(0).alias("side"))
-                 .unionByName(nonempty.select(F.lit(1).alias("side")))
-                 .groupBy("side").count().collect())
-        counts = {r["side"]: r["count"] for r in sides}
-        n_left, n_right = counts.get(0, 0), counts.get(1, 0)
-        if n_left != n_right:
-            raise ValueError(
-                f"The number of the non-empty objects {n_right} is not equal to the number "
-                f"of the manifest rows {n_left}.")
-    return left.join(right, "__k").drop("__k")
+        key = F.when(fits, key).otherwise(F.raise_error(F.concat(
+            F.lit("the manifest has "), F.col("__rows").cast("string"), F.lit(" rows, but there are "),
+            F.col("__all").cast("string"), F.lit(" objects, of them with content "),
+            F.col("__nonempty").cast("string"))).cast("int"))
+    pairs = both.withColumn("__key", key).where(F.col("__key").isNotNull()).groupBy("__key").agg(
+        *[F.max(c).alias(c) for c in order], F.max("uri").alias("uri"))
+    return pairs.where(F.col("id").isNotNull() & F.col("uri").isNotNull()).drop("__key")
 
 
 def manifest_totals(manifest: DataFrame) -> DataFrame:

@@ -29,35 +29,35 @@ def resolve_sizes(shard_size: int | None = None, batch_size: int | None = None)
         return isinstance(v, int) and not isinstance(v, bool) and v > 0
 
     if shard_size is None and batch_size is None:
-        raise ValueError("either batch_size or shard_size must be specified")
+        raise ValueError("no size given: pass shard_size or batch_size")
     if shard_size is not None and batch_size is not None:
         if not (positive(shard_size) and positive(batch_size)):
-            raise ValueError("batch_size and shard_size must both be integers greater than zero")
+            raise ValueError("shard_size and batch_size are positive integers")
         size = min(shard_size, batch_size)
         if shard_size != batch_size:
             warnings.warn(f"shard_size {shard_size} and batch_size {batch_size} differ; using {size}")
         return size, size
     size = shard_size if shard_size is not None else batch_size
     if not positive(size):
-        raise ValueError("the size must be an integer greater than zero")
+        raise ValueError("a size is a positive integer")
     return size, size
 
 
 def validate_worker(worker: int, replicas: int, shard_size: int | None = None) -> None:
     """``worker`` must lie in ``[0, replicas)``; several replicas need a shard size. [C11]"""
     if worker is None or replicas is None:
-        raise ValueError("worker and replicas must be specified together")
+        raise ValueError("worker and replicas go together: pass both")
     if not (0 <= worker < replicas):
-        raise ValueError(f"worker must be in the range [0, {replicas})")
+        raise ValueError(f"worker {worker} is not one of the workers 0..{replicas - 1}")
     if replicas > 1 and not shard_size:
-        raise ValueError("shard_size must be specified if replicas is greater than 1")
+        raise ValueError("several replicas need a shard_size")
 
 
 def check_range(row_count: int, start: int, end: int) -> None:
     """Both range ends must address an existing row: ``0 <= start, end < row_count``. [C2]"""
     for label, v in (("start", start), ("end", end)):
         if not (0 <= v < row_count):
-            raise ValueError(f"{label} index {v} must be in the range [0, {row_count})")
+            raise ValueError(f"{label} {v} is outside the rows 0..{row_count - 1}")
 
 
 def max_shards_for_epochs(row_count: int, shard_size: int, replicas: int = 1,
@@ -115,19 +115,27 @@ def assign_shards(indexed: DataFrame, row_count: int, shard_size: int, replicas:
     return out
 
 
-# Most steps whose row ranges are spelled out for a single worker's filter.
-_WORKER_RANGES_MAX = 64
+# Row ranges spelled out in a single worker's filter; more steps share ranges.
+_WORKER_RANGES = 64
 
 
 def _worker_rows(idx, n: int, s: int, r: int, worker: int | None, first_step: int, steps: int):
     """Row filter for one worker's shards: the union of its ``[(k*r + w)*s, +s)``
-    ranges modulo ``n``; ``None`` when it would not narrow the read."""
-    if worker is None or r == 1 or steps > _WORKER_RANGES_MAX or s >= n:
+    ranges modulo ``n``; ``None`` when it would not narrow the read.
+
+    Beyond ``_WORKER_RANGES`` steps, neighbouring shards share one range from the
+    first to the last of them; the rows in between are left to the exact filter.
+    """
+    if worker is None or r == 1 or s >= n:
+        return None
+    each = -(-steps // _WORKER_RANGES)
+    if ((each - 1) * r + 1) * s >= n:
         return None
     cond = None
-    for k in range(first_step, first_step + steps):
+    for k in range(first_step, first_step + steps, each):
         a = (k * r + worker) * s
-        lo, hi = a % n, (a + s) % n
+        width = (min(each, first_step + steps - k) - 1) * r * s + s
+        lo, hi = a % n, (a + width) % n
         piece = (idx >= lo) & (idx < hi) if lo < hi else (idx >= lo) | (idx < hi)
         cond = piece if cond is None else cond | piece
     return cond
@@ -141,11 +149,10 @@ def shard(indexed: DataFrame, row_count: int, shard_size: int, step: int, worker
 
 
 def _tag(positions: DataFrame, s: int, r: int, row_idx: str) -> DataFrame:
-    shard = F.floor(F.col("__p") / F.lit(s))
     data_cols = [c for c in positions.columns if c != "__p"]
     return positions.select(
-        (shard % F.lit(r)).cast("int").alias("worker"),
-        F.floor(shard / F.lit(r)).cast("long").alias("step"),
+        F.expr(f"cast((__p div {s}L) % {r}L as int)").alias("worker"),
+        F.expr(f"(__p div {s}L) div {r}L").alias("step"),
         (F.col("__p") % F.lit(s)).cast("long").alias("pos"),
         *data_cols,
     )

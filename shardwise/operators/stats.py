@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, numeric_columns
+from ..functions.rowindex import written
 from ..functions.normal import two_sided_pvalue, two_sided_pvalue_udf
 
 SUMMARY_ROWS = ("count", "mean", "stddev", "min", "max")
@@ -58,11 +59,11 @@ def summarize(df: DataFrame, columns: Sequence[str] | None = None,
               by: Sequence[str] | str | None = None) -> DataFrame:
     """Long summary: ``[by...], field, count, mean, stddev, min, max, sample_size``. [E1, E2]
 
-    Text columns are left out (the reference would fail casting them).
+    Text and boolean columns are left out unless named in ``columns``.
     ``sample_size`` is the largest count over the summarised columns of the group.
     """
     by = [by] if isinstance(by, str) else list(by or [])
-    cols = list(columns) if columns is not None else numeric_columns(df, exclude=by)
+    cols = list(columns) if columns is not None else numeric_columns(df, exclude=by, booleans=False)
     if not cols:
         raise ValueError("no numeric column to summarise")
     aggs = _summary_aggs(cols)
@@ -105,12 +106,20 @@ def zscores_by_group(df: DataFrame, by: Sequence[str] | str, columns: Sequence[s
                      per_column_n: bool = False) -> DataFrame:
     """Every group of ``by`` as a sample of the whole table, from one scan. [E3, E7]
 
-    The groups are summarised once; the population summary is pooled from the
-    group summaries (:func:`combine_groups`, one row per field) and broadcast
-    back, so a table with millions of groups is still handled by every task.
+    Groups and whole table are grouping sets of one aggregation (partial per
+    task, one exchange), written once; the whole table's row per field is joined
+    back to the groups, so a table with millions of groups is handled by every task.
     """
-    samples = summarize(df, columns, by=by)
-    return zscores(samples, combine_groups(samples), per_column_n=per_column_n)
+    by = [by] if isinstance(by, str) else list(by)
+    cols = list(columns) if columns is not None else numeric_columns(df, exclude=by, booleans=False)
+    if not cols:
+        raise ValueError("no numeric column to summarise")
+    keys = [F.col(f"`{b}`") for b in by]
+    grouped = df.groupingSets([keys, []], *keys).agg(F.grouping_id().alias("__whole"), *_summary_aggs(cols))
+    # A row per group, written once, as it is read twice.
+    long = _to_long(written(grouped, "group-summary"), [*by, "__whole"], cols)
+    whole = long.where(F.col("__whole") != 0).select("field", "mean", "stddev")
+    return zscores(long.where(F.col("__whole") == 0).drop("__whole"), whole, per_column_n=per_column_n)
 
 
 def long_to_wide(long: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -127,7 +136,7 @@ def long_to_wide(long: DataFrame, rows: Sequence[str], columns: Sequence[str]) -
 
 def summary_wide(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``describe()``-shaped summary of the numeric columns, all values DOUBLE. [E1, E2]"""
-    cols = list(columns) if columns is not None else numeric_columns(df)
+    cols = list(columns) if columns is not None else numeric_columns(df, booleans=False)
     return long_to_wide(summarize(df, cols), SUMMARY_ROWS, cols)
 
 
@@ -174,7 +183,7 @@ def sample_vs_population(sample_df: DataFrame, population: DataFrame | None = No
     """
     if population is None and (zscores_ or pvalues_):
         raise ValueError("a population summary must be passed to compute zscores or pvalues")
-    cols = list(columns) if columns is not None else numeric_columns(sample_df)
+    cols = list(columns) if columns is not None else numeric_columns(sample_df, booleans=False)
     long = summarize(sample_df, cols)
     rows = list(SUMMARY_ROWS)
     if population is not None and (zscores_ or pvalues_):

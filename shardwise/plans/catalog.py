@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_half_away
 from ..functions.rowindex import with_row_index
 from ..operators import evaluate, features, manifest, metrics, shards, stats
-from ..session import literal_rows
+from . import objects
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -155,9 +155,9 @@ SELECT worker, step, list(f ORDER BY pos) AS matrix, count(*) AS rows FROM tagge
 # --------------------------------------------------------------------------- manifest
 
 def _nation_manifest_raw(spark, d):
-    """Customer stored as one object per nation: raw manifest ``id, count``."""
-    cust = table(spark, d, "customer").where(F.col("c_nationkey").isNotNull())
-    return cust.groupBy(F.col("c_nationkey").cast("int").alias("id")).agg(
+    """Customer stored as one object per nation (-1: none): raw manifest ``id, count``."""
+    cust = table(spark, d, "customer")
+    return cust.groupBy(F.coalesce(F.col("c_nationkey").cast("int"), F.lit(-1)).alias("id")).agg(
         F.count(F.lit(1)).alias("count"))
 
 
@@ -166,8 +166,9 @@ def q_manifest_offsets(spark, d):
 
 
 def q_manifest_zero_row(spark, d):
-    raw = _nation_manifest_raw(spark, d).unionByName(literal_rows(spark, [(0, 0)], manifest.RAW_SCHEMA))
-    return manifest.make_manifest(df=raw)
+    layout = table(spark, d, "customer").repartitionById(
+        25, F.coalesce(F.col("c_nationkey").cast("int"), F.lit(0)))
+    return manifest.make_manifest(df=manifest.partition_counts(layout, include_empty_zero_id=True))
 
 
 def q_manifest_totals(spark, d):
@@ -193,19 +194,21 @@ def q_uri_pairing(spark, d):
     """Objects named after nations (size = rows stored there) paired by position."""
     raw = _nation_manifest_raw(spark, d)  # one aggregate of customer serves both sides
     listing = table(spark, d, "nation").join(
-        raw.select(F.col("id").alias("n_nationkey"), F.col("count").alias("size")), "n_nationkey", "left"
+        raw.select(F.col("id").alias("n_nationkey"), F.col("count").alias("size")), "n_nationkey", "full"
     ).select(
-        F.concat(F.lit("file:/data/customer/"), F.lower("n_name"), F.lit(".csv")).alias("uri"),
+        F.concat(F.lit("file:/data/customer/"), F.lower(F.coalesce("n_name", F.lit("none"))),
+                 F.lit(".csv")).alias("uri"),
         F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
     return manifest.attach_uris(manifest.make_manifest(df=raw), listing)
 
 
 def q_partition_counts(spark, d):
-    return manifest.partition_counts(table(spark, d, "lineitem"))
+    layout = table(spark, d, "lineitem").repartitionById(
+        8, F.coalesce((F.col("l_orderkey") % 8).cast("int"), F.lit(0)))
+    return manifest.partition_counts(layout)
 
 
-_RAW = ("SELECT CAST(c_nationkey AS INTEGER) AS id, count(*) AS cnt FROM customer "
-        "WHERE c_nationkey IS NOT NULL GROUP BY 1")
+_RAW = "SELECT CAST(coalesce(c_nationkey, -1) AS INTEGER) AS id, count(*) AS cnt FROM customer GROUP BY 1"
 _MAN = f"""
 SELECT id, CAST(end_idx - cnt AS BIGINT) AS start_idx, CAST(end_idx AS BIGINT) AS end_idx,
        row_number() OVER (ORDER BY id, end_idx - cnt, end_idx) - 1 AS pos
@@ -243,17 +246,20 @@ MANIFEST_SQL = {
     "manifest_zero_row": f"""
 SELECT id, CAST(end_idx - cnt AS BIGINT) AS start_idx, CAST(end_idx AS BIGINT) AS end_idx
 FROM (SELECT id, cnt, sum(cnt) OVER (ORDER BY id, cnt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-             AS end_idx FROM ({_RAW} UNION ALL SELECT 0 AS id, 0 AS cnt))""",
+             AS end_idx FROM (SELECT CAST(coalesce(c_nationkey, 0) % 25 AS INTEGER) AS id, count(*) AS cnt FROM customer GROUP BY 1
+      UNION ALL SELECT 0 AS id, 0 AS cnt))""",
+    "partition_counts": """
+SELECT CAST(coalesce(l_orderkey, 0) % 8 AS INTEGER) AS id, count(*) AS count FROM lineitem GROUP BY 1""",
     "manifest_totals": f"SELECT count(*) AS obj_count, CAST(max(end_idx) AS BIGINT) AS row_count FROM ({_MAN})",
     "read_spec": _spec_sql(False),
     "read_spec_wrap": _spec_sql(True),
     "uri_pairing": f"""
 WITH man AS ({_MAN}),
-lst AS (SELECT 'file:/data/customer/' || lower(n_name) || '.csv' AS uri, coalesce(c.size, 0) AS size
-        FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS size FROM customer
-                               WHERE c_nationkey IS NOT NULL GROUP BY 1) c
-        ON n_nationkey = c.c_nationkey),
-r AS (SELECT uri, row_number() OVER (ORDER BY uri) AS k FROM lst WHERE size > 0)
+lst AS (SELECT 'file:/data/customer/' || lower(coalesce(n_name, 'none')) || '.csv' AS uri,
+               coalesce(c.cnt, 0) AS size
+        FROM nation FULL JOIN ({_RAW}) c ON n_nationkey = c.id),
+r AS (SELECT uri, row_number() OVER (ORDER BY uri) AS k FROM lst
+      WHERE size > 0 OR (SELECT count(*) FROM lst) = (SELECT count(*) FROM man))
 SELECT id, start_idx, end_idx, uri FROM man JOIN r ON man.pos + 1 = r.k""",
 }
 
@@ -308,12 +314,13 @@ z AS (SELECT smp.l_returnflag, smp.field, smp.count, nn.sample_size, smp.mean,
 
 # Two-sided normal p-value without erf: Phi(x) = 1/2 + phi(x) * sum_k x^(2k+1) / (2k+1)!!
 # (150 terms; |z| > 8 rounds to 0 at 6 places).
-_PVALUE_SQL = """
-CASE WHEN zscore IS NULL THEN NULL
-     WHEN abs(zscore) > 8 THEN 0.0
-     WHEN zscore = 0 THEN 1.0
-     ELSE 1.0 - 2.0 * exp(-zscore * zscore / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150),
-          lambda k: exp((2 * k + 1) * ln(abs(zscore)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))))
+def pvalue_sql(z: str) -> str:
+    return f"""
+CASE WHEN {z} IS NULL THEN NULL
+     WHEN abs({z}) > 8 THEN 0.0
+     WHEN {z} = 0 THEN 1.0
+     ELSE 1.0 - 2.0 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150),
+          lambda k: exp((2 * k + 1) * ln(abs({z})) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))))
 END"""
 
 STATS_SQL = {
@@ -329,7 +336,7 @@ SELECT field, count, round(mean, 6) AS mean, round(stddev, 6) AS stddev, round(m
     "zscore_by_sample": _z_sql() + """
 SELECT l_returnflag, field, count, sample_size, round(mean, 6) AS mean, round(zscore, 6) AS zscore FROM z""",
     "pvalue_by_sample": _z_sql() + f"""
-SELECT l_returnflag, field, round(zscore, 6) AS zscore, round({_PVALUE_SQL}, 6) AS pvalue FROM z""",
+SELECT l_returnflag, field, round(zscore, 6) AS zscore, round({pvalue_sql("zscore")}, 6) AS pvalue FROM z""",
 }
 
 
@@ -356,7 +363,7 @@ def _scored(spark, d):
     emb = table(spark, d, "embeddings")
     idx = with_row_index(emb, "vec_id")
     batched = features.assign_batches(idx, 64)
-    return evaluate.row_losses(batched, "embedding", "label", num_classes=10)
+    return evaluate.row_losses(batched, "embedding", "label")
 
 
 def q_logloss_batches(spark, d):
@@ -371,7 +378,7 @@ def q_logloss_mean(spark, d):
 
 
 _LOSS_SQL = """
-WITH idx AS (SELECT CAST(embedding[1:10] AS DOUBLE[]) AS x, label,
+WITH idx AS (SELECT CAST(embedding AS DOUBLE[]) AS x, label,
                     (row_number() OVER (ORDER BY vec_id) - 1) // 64 AS batch FROM embeddings),
 lse AS (SELECT batch, x, label, list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x)))))
                AS z FROM idx),
@@ -521,6 +528,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alarm_low": q_alarm_low,
     "alarm_sustained": q_alarm_sustained,
     "alarm_3_of_5": q_alarm_3_of_5,
+    **objects.QUERIES,
 }
 
-ORACLE_SQL: dict[str, str] = {**SHARD_SQL, **MANIFEST_SQL, **STATS_SQL, **FEATURE_SQL, **METRIC_SQL}
+ORACLE_SQL: dict[str, str] = {**SHARD_SQL, **MANIFEST_SQL, **STATS_SQL, **FEATURE_SQL, **METRIC_SQL,
+                              **objects.oracle_sql()}

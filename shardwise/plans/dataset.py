@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
-from ..functions.rowindex import split_counts, with_csv_row_index
+from ..functions.rowindex import object_uri, split_counts, tag_scan, with_csv_row_index, written
 from ..operators import features as feat
 from ..operators import manifest as man
 from ..operators import shards as sh
@@ -43,14 +43,14 @@ class ShardedDataset:
                  storage_options: dict | None = None, cache: bool = False, sep: str = ",",
                  schema=None, multiline: bool = False):
         if not glob:
-            raise ValueError("glob must be specified")
+            raise ValueError("a dataset needs a glob")
         sh.validate_worker(worker, replicas, shard_size)
         self.shard_size, self.batch_size = sh.resolve_sizes(shard_size, batch_size)
         if max_shards is not None and (isinstance(max_shards, bool) or int(max_shards) < 0):
             raise ValueError("max_shards must be None (unbounded) or a non-negative integer")
         src.header_flag(header)
         if make_shards_df_fn is None:
-            raise ValueError("make_shards_df_fn must be specified")
+            raise ValueError("make_shards_df_fn is None: pass a function or leave the default")
         self.spark = spark
         self.header = header
         self.sep = sep
@@ -79,17 +79,14 @@ class ShardedDataset:
                     warnings.warn("no shard metadata found at .meta/shards/; counting the rows of every object")
             index_shards = shards_glob is None
         elif not isinstance(index_shards, bool):
-            raise ValueError("index_shards must be set to True or False")
-        self._splits = None
+            raise ValueError("index_shards is True, False or None")
+        self._tagged = self._splits = None
         if index_shards:
             if objs_to_shards_df_fn is None:
-                # One pass counts rows per file split; files are their sums, and the
-                # split table is reused for the row index of table().
-                untyped = src.read_objects(spark, self.glob, header=header, sep=sep,
-                                           infer_schema=False, multiline=multiline,
-                                           positional_names=False)
-                self._splits = split_counts(untyped)
-                self._split_conf = self._file_split_conf()
+                # One pass reads the objects into a tagged copy; rows per object are
+                # counted on it and table() numbers the same copy.
+                self._tagged = tag_scan(self.scan())
+                self._splits = split_counts(self._tagged)
                 per_file = self._splits.groupBy(F.col("__path").alias("uri")).agg(
                     F.sum("__n").alias("count"))
                 raw = (self.objs.where(F.col("size") > 0).join(per_file, "uri", "left")
@@ -102,8 +99,8 @@ class ShardedDataset:
         else:
             offsets = make_shards_df_fn(spark=spark, glob=shards_glob)
             self.manifest = man.attach_uris(offsets, self.objs).select("id", "start_idx", "end_idx", "uri")
-        # One row per object: keep it on the executors for the several uses below.
-        self.manifest = self.manifest.persist()
+        # One row per object, written once for the several uses below.
+        self.manifest = written(self.manifest, "manifest")
         totals = man.manifest_totals(self.manifest).first()
         self.obj_count = int(totals["obj_count"])
         self.row_count = int(totals["row_count"])
@@ -124,15 +121,11 @@ class ShardedDataset:
     def table(self) -> DataFrame:
         """Data with positional column names and ``row_idx`` (object order, then line order)."""
         if self._table is None:
-            # Reuse the counted splits only while the file-split settings are unchanged.
-            splits = self._splits if self._splits is not None and \
-                self._split_conf == self._file_split_conf() else None
-            indexed = with_csv_row_index(self.scan(), self.manifest, splits=splits)
-            cols = [c for c in indexed.columns if c != "row_idx"]
-            indexed = indexed.select(*[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(cols)], "row_idx")
+            scan = None if self._tagged is not None else self.scan()
+            self._table = self._positional(with_csv_row_index(
+                scan, self.manifest, tagged=self._tagged, splits=self._splits))
             if self.cache:
-                indexed = indexed.persist()
-            self._table = indexed
+                self._table = self._table.persist()
         return self._table
 
     def materialize(self, path: str | None = None) -> str:
@@ -143,13 +136,12 @@ class ShardedDataset:
 
         if path is None and self._materialized is not None:
             return self._materialized
-        written = materialize(self.table(), path)
-        self._table = self.spark.read.parquet(written)
-        self._materialized = written
-        if self._splits is not None:  # the copy replaces the scan; its split table is done
-            self._splits.unpersist()
-            self._splits = None
-        return written
+        target = materialize(self.table(), path)
+        if self.cache:
+            self._table.unpersist()
+        self._table = self.spark.read.parquet(target)
+        self._materialized = target
+        return target
 
     def read_spec(self, start: int, end: int) -> DataFrame:
         """Which lines of which object the row range ``[start, end)`` covers."""
@@ -163,21 +155,27 @@ class ShardedDataset:
         """Rows of ``[start, end)`` (``end <= start`` wraps), scanning only the objects
         that hold them (object pruning). [C3, C4, C12]
 
-        The read spec names the objects (one row each, so collecting their URIs
-        is bounded by the object count); only those are scanned, and their rows
-        get global indices from the manifest's ``start_idx``.
+        The objects of a range follow each other in the listing, so the read spec
+        gives at most two stretches of URIs (four bounds come to the driver), and
+        Spark prunes its file list by them. A materialised dataset reads the range
+        from its own copy instead.
         """
-        spec = self.read_spec(start, end).where(F.col("numrows") > 0)
-        uris = sorted({r["uri"] for r in spec.select("uri").collect()})
-        scan = src.read_objects(self.spark, uris[0], header=self.header, sep=self.sep,
-                                schema=self._schema(), multiline=self.multiline,
-                                positional_names=False) if len(uris) == 1 else \
-            self._scan_paths(uris)
-        manifest = self.manifest.where(F.col("uri").isin(uris))
-        indexed = with_csv_row_index(scan, manifest)
+        if self._materialized is not None:
+            return self.slice(start, end)
+        bounds = (self.read_spec(start, end).where(F.col("numrows") > 0).groupBy("part")
+                  .agg(F.min("uri").alias("lo"), F.max("uri").alias("hi")).collect())
+        path = object_uri()
+        wanted, objects = F.lit(False), F.lit(False)
+        for r in bounds:
+            wanted = wanted | path.between(r["lo"], r["hi"])
+            objects = objects | F.col("uri").between(r["lo"], r["hi"])
+        indexed = with_csv_row_index(self.scan().where(wanted), self.manifest.where(objects))
+        return sh.slice_rows(self._positional(indexed), self.row_count, start, end)
+
+    @staticmethod
+    def _positional(indexed: DataFrame) -> DataFrame:
         cols = [c for c in indexed.columns if c != "row_idx"]
-        indexed = indexed.select(*[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(cols)], "row_idx")
-        return sh.slice_rows(indexed, self.row_count, start, end)
+        return indexed.select(*[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(cols)], "row_idx")
 
     def read_shard(self, step: int, worker: int | None = None) -> DataFrame:
         """One shard read with object pruning: its positions become at most a few
@@ -194,22 +192,12 @@ class ShardedDataset:
                           F.col("pos").cast("long").alias("pos"),
                           *[c for c in out.columns if c != "pos"]).orderBy("pos")
 
-    def _file_split_conf(self) -> tuple:
-        get = self.spark.conf.get
-        return (get("spark.sql.files.maxPartitionBytes", None), get("spark.sql.files.openCostInBytes", None),
-                get("spark.sql.files.minPartitionNum", None), self.spark.sparkContext.defaultParallelism)
-
     def _schema(self):
         if self.schema is None:
             self.schema = src.read_objects(self.spark, self.glob, header=self.header, sep=self.sep,
                                            multiline=self.multiline, positional_names=False).schema
         return self.schema
 
-    def _scan_paths(self, uris: list[str]) -> DataFrame:
-        reader = self.spark.read.options(header=str(src.header_flag(self.header)).lower(),
-                                         sep=self.sep, multiLine=str(bool(self.multiline)).lower())
-        return reader.schema(self._schema()).csv(uris)
-
     # ---------------------------------------------------------------- shards
     def shards(self, worker: int | None = -1, max_shards: int | None = None,
                first_step: int = 0) -> DataFrame:
@@ -252,5 +240,17 @@ class ShardedDataset:
         return shard_stream(self.spark, self.spark.read.parquet(path), self.row_count,
                             self.shard_size, self.replicas, worker=w, rows_per_batch=rows_per_batch)
 
+    def start_feed(self, output_path: str, worker: int | None = -1, table_path: str | None = None,
+                   **options):
+        """Endless feed into ``output_path``, the form for large tables: every
+        micro-batch reads only its steps' rows of the materialised copy. Options
+        as in :func:`shardwise.streaming.feed.start_shard_feed`. [C9]
+        """
+        from ..streaming.feed import start_shard_feed
+
+        return start_shard_feed(self.spark, self.materialize(table_path), self.row_count, self.shard_size,
+                                output_path, replicas=self.replicas,
+                                worker=self.worker if worker == -1 else worker, **options)
+
     def __len__(self) -> int:
         return self.row_count

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -73,13 +72,6 @@ def default_parallelism(spark: SparkSession) -> int:
         return max(1, spark.sparkContext.defaultParallelism)
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
-
-
 LITERAL_ROWS_MAX = 1000
 
 
@@ -118,8 +110,8 @@ def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
     (about the input size) stays near ``target_partition_bytes``; AQE coalesces
     the smaller shuffles down to the same advisory size and splits skewed
     partitions of joins. File splits stay at ``max_split_bytes`` so a scan task
-    reads a bounded amount. ``shardwise.rowindex.buckets`` is the bucket count to
-    pass as ``num_buckets`` to ``with_row_index`` (about 1 GiB of rows each).
+    reads a bounded amount. ``shardwise.rowindex.buckets`` is the number of
+    key ranges ``with_row_index`` sorts (about 1 GiB of rows each).
     """
     parts = max(200, -(-input_bytes // target_partition_bytes))
     buckets = max(64, min(1 << 20, -(-input_bytes // (1 << 30))))

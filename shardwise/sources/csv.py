@@ -25,7 +25,7 @@ def header_flag(header) -> bool:
         return False
     if header is True or header == "infer" or (isinstance(header, int) and header == 0):
         return True
-    raise ValueError(f"header attribute cannot be set to {header!r}")
+    raise ValueError(f"header={header!r} is none of infer, 0, True, None, False")
 
 
 def resolve_uri(uri: str) -> str:
@@ -51,20 +51,53 @@ def coerce_storage_options(options: dict | None) -> dict:
     return opts
 
 
-def apply_storage_options(spark: SparkSession, uri: str, options: dict | None = None) -> dict:
-    """Set per-bucket S3A credentials for ``uri`` from the options (session Hadoop conf). [A3]"""
+# Storage options and the Hadoop settings that stand for them.
+S3_OPTIONS = {"key": "access.key", "secret": "secret.key", "token": "session.token", "endpoint": "endpoint"}
+S3_CLIENT_OPTIONS = {"endpoint_url": "endpoint", "region_name": "endpoint.region"}
+SESSION_PROVIDER = "org.apache.hadoop.fs.s3a.TemporaryAWSCredentialsProvider"
+GS_KEYFILE = "fs.gs.auth.service.account.json.keyfile"
+
+
+def storage_settings(uri: str, options: dict | None = None) -> dict[str, str]:
+    """Hadoop settings for the storage options of ``uri``; unknown options are refused. [A3]
+
+    ``s3``: ``anon, key, secret, token, endpoint, client_kwargs`` (``endpoint_url``
+    and ``region_name``), for the bucket of the URI. ``gs``: ``anon``, and
+    ``token`` as the path of a service account's key file. Other schemes take
+    ``anon`` only, which changes nothing there.
+    """
     opts = coerce_storage_options(options)
     parsed = urlparse(resolve_uri(uri))
-    if parsed.scheme == "s3a" and parsed.netloc:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out: dict[str, str] = {}
+    rest = {k: v for k, v in opts.items() if k != "anon"}
+    if parsed.scheme == "s3a":
         prefix = f"fs.s3a.bucket.{parsed.netloc}."
         if opts.get("anon"):
-            conf.set(prefix + "aws.credentials.provider", ANONYMOUS_PROVIDER)
-        for key in ("key", "secret", "endpoint"):
-            if key in opts:
-                name = {"key": "access.key", "secret": "secret.key", "endpoint": "endpoint"}[key]
-                conf.set(prefix + name, str(opts[key]))
-    return opts
+            out[prefix + "aws.credentials.provider"] = ANONYMOUS_PROVIDER
+        elif "token" in rest:
+            out[prefix + "aws.credentials.provider"] = SESSION_PROVIDER
+        client = dict(rest.pop("client_kwargs", None) or {})
+        for names, given in ((S3_OPTIONS, rest), (S3_CLIENT_OPTIONS, client)):
+            for key in [k for k in given if k in names]:
+                out[prefix + names[key]] = str(given.pop(key))
+        rest.update({f"client_kwargs.{k}": v for k, v in client.items()})
+    elif parsed.scheme == "gs":
+        if "token" in rest:
+            out["fs.gs.auth.type"] = "SERVICE_ACCOUNT_JSON_KEYFILE"
+            out[GS_KEYFILE] = str(rest.pop("token"))
+        elif opts.get("anon"):
+            out["fs.gs.auth.type"] = "UNAUTHENTICATED"
+    if rest:
+        raise ValueError(f"storage options not known for {parsed.scheme or 'local'} paths: {sorted(rest)}")
+    return out
+
+
+def apply_storage_options(spark: SparkSession, uri: str, options: dict | None = None) -> dict:
+    """Put :func:`storage_settings` into the session's Hadoop settings; returns the options. [A3]"""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for key, value in storage_settings(uri, options).items():
+        conf.set(key, value)
+    return coerce_storage_options(options)
 
 
 def positional(df: DataFrame) -> DataFrame:
@@ -99,8 +132,7 @@ def read_objects(spark: SparkSession, glob: str, header="infer", sep: str = ",",
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
             raise FileNotFoundError(
-                f"Specified glob pattern {glob} failed to match any objects. Ensure that the "
-                "permission settings are configured correctly before trying again.") from exc
+                f"no object matches {glob} (wrong pattern, or no permission to list it)") from exc
         raise
     if positional_names:
         df = positional(df)

@@ -18,7 +18,7 @@ from .csv import resolve_uri
 def parent_of(glob: str) -> str:
     """Folder holding the objects of ``glob`` (the part before the first wildcard)."""
     path = resolve_uri(glob)
-    cut = min([i for i in (path.find("*"), path.find("?"), path.find("[")) if i >= 0], default=-1)
+    cut = min([i for i in map(path.find, "*?[{") if i >= 0], default=-1)
     if cut >= 0:
         path = path[:cut]
         return path.rsplit("/", 1)[0]

@@ -10,10 +10,10 @@ Two forms:
 
 * :func:`shard_stream` — a streaming DataFrame: steps are exploded into the
   positions of every worker, ``row_idx = ((step*r + w)*s + pos) mod N``, and a
-  stream-static equi-join with the indexed table fetches the rows. The stream
-  side is small (``rows_per_batch * r * s`` positions) and is broadcast, so the
-  table is not shuffled; it is, however, scanned once per micro-batch (Spark
-  applies no dynamic pruning inside micro-batches). Use it when such a scan is
+  stream-static equi-join with the indexed table fetches the rows. Up to
+  ``BROADCAST_BYTES`` of positions (``rows_per_batch * r * s``) are broadcast, so
+  the table is not shuffled; beyond that both sides are. The table is scanned
+  once per micro-batch (Spark applies no dynamic pruning inside micro-batches). Use it when such a scan is
   affordable, and :func:`start_shard_feed` for large tables.
 * :func:`start_shard_feed` — a ``foreachBatch`` writer: each micro-batch's steps
   become a row-range filter on an index-sorted Parquet table (row groups are
@@ -40,6 +40,13 @@ def materialize(indexed: DataFrame, path: str | None = None, row_idx: str = "row
     return target
 
 
+# Positions written out at a time, so that no row holds a whole shard's positions.
+_CHUNK = 4096
+
+# Bytes of positions (four numbers each) of a micro-batch that are broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
 def step_positions(steps: DataFrame, shard_size: int, replicas: int, row_count: int,
                    worker: int | None = None, step_col: str = "value") -> DataFrame:
     """``step, worker, pos, row_idx`` for every step row of ``steps`` (stateless)."""
@@ -48,7 +55,9 @@ def step_positions(steps: DataFrame, shard_size: int, replicas: int, row_count:
     return (
         steps.select(F.col(step_col).cast("long").alias("step"))
         .withColumn("worker", F.explode(workers.cast("array<int>")))
-        .withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(s - 1)).cast("array<long>")))
+        .withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit((s - 1) // _CHUNK)).cast("array<long>")))
+        .withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(min(s, _CHUNK) - 1)).cast("array<long>")))
+        .withColumn("pos", F.col("__c") * F.lit(_CHUNK) + F.col("pos")).where(F.col("pos") < F.lit(s)).drop("__c")
         .withColumn("row_idx", ((F.col("step") * F.lit(r) + F.col("worker")) * F.lit(s) + F.col("pos"))
                     % F.lit(n))
     )
@@ -70,7 +79,9 @@ def shard_stream(spark: SparkSession, table: DataFrame, row_count: int, shard_si
     positions = step_positions(step_source(spark, rows_per_batch), shard_size, replicas,
                                row_count, worker)
     data = table.withColumnRenamed(row_idx, "row_idx") if row_idx != "row_idx" else table
-    return F.broadcast(positions).join(data, "row_idx")
+    workers = 1 if worker is not None else replicas
+    small = int(rows_per_batch) * workers * int(shard_size) * 32 <= BROADCAST_BYTES
+    return (F.broadcast(positions) if small else positions).join(data, "row_idx")
 
 
 def start_shard_feed(spark: SparkSession, table_path: str, row_count: int, shard_size: int,

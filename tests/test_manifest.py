@@ -63,8 +63,11 @@ def test_attach_uris_positional(spark, parts_dir):
     got = rows(paired, "id", "uri")
     assert [g[0] for g in got] == [7, 8, 9]
     assert [os.path.basename(g[1]) for g in got] == ["part-00001.csv", "part-00002.csv", "part-00003.csv"]
-    with pytest.raises(ValueError):
-        man.attach_uris(man.make_manifest(df=raw.where("id < 9")), listing)
+    with pytest.raises(Exception, match="the manifest has 2 rows"):
+        man.attach_uris(man.make_manifest(df=raw.where("id < 9")), listing).collect()
+    with_empty = spark.createDataFrame([(0, 0), (7, 2), (8, 0), (9, 3)], man.RAW_SCHEMA)
+    got = rows(man.attach_uris(man.make_manifest(df=with_empty), listing), "id", "uri")
+    assert [os.path.basename(g[1]) for g in got] == [f"part-0000{i}.csv" for i in range(4)]
 
 
 def test_manifest_totals(spark):
@@ -117,12 +120,3 @@ def test_property_intervals_are_disjoint_and_cover(spark, counts):
     for a, b in zip(out, out[1:]):
         assert a["end_idx"] == b["start_idx"]
     assert [r["end_idx"] - r["start_idx"] for r in out] == counts
-
-
-def test_large_listing_through_spark(spark, parts_dir):
-    glob = f"{parts_dir}/*.csv"
-    small = {r["uri"]: r["size"] for r in man.list_objects(spark, glob).collect() if r["size"] > 0}
-    big = man.list_objects(spark, glob, driver_max=1)
-    got = {r["uri"]: r["size"] for r in big.collect()}
-    assert got == small  # the zero-byte object is left out, the rest agree
-    assert sorted(r["id"] for r in big.collect()) == list(range(len(small)))

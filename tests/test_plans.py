@@ -4,9 +4,9 @@ import os
 
 import pytest
 
-import __spark_entry__ as E
 from shardwise.functions.rowindex import with_row_index
 from shardwise.operators.shards import assign_shards
+from shardwise.plans import catalog
 from shardwise.streaming.feed import materialize
 
 from .conftest import TESTDATA
@@ -21,18 +21,17 @@ def executed(df):
     return plan.split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_pairwise_joins_or_python_rows(spark, name):
-    plan = executed(E.queries()[name](spark, SF))
+    plan = executed(catalog.QUERIES[name](spark, SF))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in plan, f"{name}: {bad}"
 
 
-def test_grouped_zscores_scan_once(spark):
-    plan = executed(E.queries()["pvalue_by_sample"](spark, SF))
-    assert plan.count("Scan parquet") == 1
-    assert "ReusedExchange" in plan
-    assert "Window" not in plan  # the pooling is aggregations, partial per task
+def test_grouped_zscores_read_the_written_groups(spark):
+    plan = executed(catalog.QUERIES["pvalue_by_sample"](spark, SF))
+    assert "Exchange hashpartitioning" not in plan  # what is left are the written group rows
+    assert "Window" not in plan and "Aggregate" not in plan
 
 
 def test_shard_window_filter_reaches_the_scan(spark, tmpdir_path):
@@ -46,23 +45,31 @@ def test_shard_window_filter_reaches_the_scan(spark, tmpdir_path):
 
 
 def test_metric_windows_aggregate_partially(spark):
-    plan = executed(E.queries()["metric_avg_60s"](spark, SF))
+    plan = executed(catalog.QUERIES["metric_avg_60s"](spark, SF))
     assert plan.count("HashAggregate") >= 2  # partial before the shuffle, final after
 
 
-def test_row_index_has_one_data_shuffle_and_no_join(spark):
+def test_row_index_plan_reads_numbered_ranges(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
-    plan = executed(with_row_index(orders, "o_orderkey", num_buckets=8))
-    assert "Join" not in plan
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "SinglePartition" not in plan
+    plan = executed(with_row_index(orders, "o_orderkey"))
+    assert "SinglePartition" not in plan and "Window" not in plan and "Sort " not in plan
+    assert plan.count("Scan parquet") == 2  # the written rows and one row per range
 
 
-def test_small_inputs_use_one_key_range(spark):
-    from shardwise.functions.rowindex import default_buckets
+def test_number_of_ranges_has_no_cap(spark):
+    from shardwise.functions.rowindex import ROWS_PER_RANGE, number_of_ranges
 
-    assert default_buckets(spark, 1_000) == 1
-    assert default_buckets(spark, 10**12) == min(65536, 4 * 8)  # tests run with 8 shuffle partitions
+    assert number_of_ranges(spark, 10) == 8  # tests run with 8 shuffle partitions
+    assert number_of_ranges(spark, 10**12) == 10**12 // ROWS_PER_RANGE
+
+
+def test_one_worker_prunes_beyond_64_steps(spark, tmpdir_path):
+    table = spark.read.parquet(materialize(spark.range(0, 400_000, 1, 4).withColumnRenamed("id", "row_idx"),
+                                           os.path.join(tmpdir_path, "m")))
+    q = assign_shards(table, 400_000, 100, 4, 70, worker=1)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or" in plan or "Or(Or(" in plan  # the ranges reach the scan
+    assert q.count() == 7000 and q.selectExpr("count(distinct row_idx)").first()[0] == 7000
 
 
 def test_single_worker_ranges_reach_the_scan(spark, tmpdir_path):

@@ -11,16 +11,16 @@ from .conftest import TESTDATA
 
 def test_unique_numeric_key_matches_rank(spark):
     df = spark.read.parquet(f"{TESTDATA}/sf0.001/orders.parquet")
-    idx, n = with_row_index(df, "o_orderkey", num_buckets=7, return_count=True)
+    idx, n = with_row_index(df, "o_orderkey", num_ranges=7, return_count=True)
     assert n == df.count()
     got = {r["o_orderkey"]: r["row_idx"] for r in idx.select("o_orderkey", "row_idx").collect()}
     expected = {k: i for i, k in enumerate(sorted(got))}
     assert got == expected
 
 
-def test_descending_and_string_key_uses_struct_search(spark):
+def test_string_key(spark):
     df = spark.createDataFrame([(f"k{i:03d}", i) for i in range(57)], "k STRING, v INT")
-    idx = with_row_index(df, "k", num_buckets=5)
+    idx = with_row_index(df, "k", num_ranges=5)
     got = sorted((r["row_idx"], r["k"]) for r in idx.collect())
     assert [k for _, k in got] == sorted(f"k{i:03d}" for i in range(57))
     assert [i for i, _ in got] == list(range(57))
@@ -29,7 +29,7 @@ def test_descending_and_string_key_uses_struct_search(spark):
 def test_composite_key(spark):
     rows = [(a, b) for a in range(6) for b in range(5, 0, -1)]
     df = spark.createDataFrame(rows, "a INT, b INT")
-    idx = with_row_index(df, ["a", "b"], num_buckets=4)
+    idx = with_row_index(df, ["a", "b"], num_ranges=4)
     got = [(r["a"], r["b"]) for r in idx.orderBy("row_idx").collect()]
     assert got == sorted(rows)
 
@@ -38,7 +38,7 @@ def test_non_unique_key_is_a_bijection_and_splits_a_hot_key(spark):
     # one key holds a third of the rows
     rows = [(0 if i % 3 == 0 else i, i) for i in range(300)]
     df = spark.createDataFrame(rows, "k LONG, v LONG").repartition(4)
-    idx = with_row_index(df, "k", unique=False, num_buckets=8)
+    idx = with_row_index(df, "k", num_ranges=8)
     out = idx.select("k", "row_idx").collect()
     assert sorted(r["row_idx"] for r in out) == list(range(300))
     ordered = [r["k"] for r in sorted(out, key=lambda r: r["row_idx"])]
@@ -47,7 +47,7 @@ def test_non_unique_key_is_a_bijection_and_splits_a_hot_key(spark):
 
 def test_null_keys_come_first(spark):
     df = spark.createDataFrame([(3,), (None,), (1,), (2,)], "k INT")
-    got = [r["k"] for r in with_row_index(df, "k", num_buckets=2).orderBy("row_idx").collect()]
+    got = [r["k"] for r in with_row_index(df, "k", num_ranges=2).orderBy("row_idx").collect()]
     assert got == [None, 1, 2, 3]
 
 
@@ -105,7 +105,7 @@ def test_parquet_physical_order(spark, tmpdir_path):
 def test_explicit_tiebreak_column(spark):
     rows = [(i % 3, i) for i in range(40)]
     df = spark.createDataFrame(rows, "k INT, seq INT")
-    got = [(r["k"], r["seq"]) for r in with_row_index(df, "k", tiebreak="seq", num_buckets=4)
+    got = [(r["k"], r["seq"]) for r in with_row_index(df, "k", tiebreak="seq", num_ranges=4)
            .orderBy("row_idx").collect()]
     assert got == sorted(rows)
 
@@ -119,33 +119,46 @@ def test_large_listing_goes_through_arrow(spark):
     assert dict(df.dtypes) == {"id": "int", "uri": "string", "size": "bigint"}
 
 
-def test_hot_key_without_tiebreak_warns(spark):
-    import pytest
+def places_per_range(spark, df, key, ranges):
+    """Rows of each written range."""
+    from shardwise.functions import rowindex as R
 
-    rows = [(0 if i % 2 else i, i) for i in range(400)]
-    df = spark.createDataFrame(rows, "k LONG, v LONG")
-    with pytest.warns(UserWarning):
-        idx = with_row_index(df, "k", num_buckets=16)
-    assert sorted(r["row_idx"] for r in idx.collect()) == list(range(400))
+    kept = []
+    real = R.written
+    try:
+        R.written = lambda d, name: kept.append(real(d, name)) or kept[-1]
+        R.with_row_index(df, key, num_ranges=ranges)
+    finally:
+        R.written = real
+    return [r["count"] for r in kept[0].groupBy("__part").count().collect()]
 
 
-def test_configured_bucket_count_is_used(spark):
-    import warnings
+def test_hot_null_and_repeated_keys_spread_over_ranges(spark):
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k LONG, v LONG").repartition(4)
+    assert max(places_per_range(spark, df, "k", 12)) < 1500  # 2,000 rows each have a null or a 5
+    same = spark.range(0, 6000, 1, 4).select(F.lit(1).alias("k"))  # rows that are equal throughout
+    assert max(places_per_range(spark, same, "k", 12)) < 1500
 
-    from shardwise.functions import rowindex as R
 
+def test_configured_range_count_is_used(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k"))
     spark.conf.set("shardwise.rowindex.buckets", "6")
-    seen = []
-    real = R.key_bounds
     try:
-        R.key_bounds = lambda *a, **kw: seen.append(a[2]) or real(*a, **kw)
-        with warnings.catch_warnings():
-            warnings.simplefilter("error")
-            idx = R.with_row_index(df, "k")
-        got = sorted((r["row_idx"], r["k"]) for r in idx.collect())
+        counts = places_per_range(spark, df, "k", None)
     finally:
-        R.key_bounds = real
         spark.conf.unset("shardwise.rowindex.buckets")
-    assert seen == [6]
-    assert [k for _, k in got] == list(range(1000)) and [i for i, _ in got] == list(range(1000))
+    assert len(counts) == 6 and sum(counts) == 1000
+
+
+def test_infinite_and_nan_keys(spark):
+    values = [float("inf"), 1.0, float("-inf"), None, float("nan"), 2.0] * 20
+    df = spark.createDataFrame([(v,) for v in values], "k DOUBLE")
+    got = [r["k"] for r in with_row_index(df, "k", num_ranges=7).orderBy("row_idx").collect()]
+    assert got[:20] == [None] * 20 and got[20] == float("-inf") and got[80] == float("inf")
+    assert all(v != v for v in got[100:])
+
+
+def test_empty_input(spark):
+    idx, n = with_row_index(spark.range(0).toDF("k"), "k", return_count=True)
+    assert n == 0 and idx.count() == 0

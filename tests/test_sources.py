@@ -40,15 +40,15 @@ def test_storage_options_set_bucket_credentials(spark):
     assert conf.get("fs.s3a.bucket.my-bucket.aws.credentials.provider") == src.ANONYMOUS_PROVIDER
 
 
-def test_read_objects_positional(spark, weather_csv):
-    with_header, headerless = weather_csv
+def test_read_objects_positional(spark, gauge_csv):
+    with_header, headerless = gauge_csv
     a = src.read_objects(spark, with_header, header="infer")
     b = src.read_objects(spark, headerless, header=None)
-    assert a.columns == [str(i) for i in range(24)] == b.columns
+    assert a.columns == [str(i) for i in range(6)] == b.columns
     assert a.count() == b.count() == 8
     assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
     named = src.read_objects(spark, with_header, header=0, positional_names=False)
-    assert named.columns[:2] == ["DATE", "PRCP"]
+    assert named.columns[:2] == ["day", "level"]
 
 
 def test_read_objects_no_match(spark, tmpdir_path):
@@ -86,3 +86,22 @@ def test_scale_conf():
     assert int(conf["shardwise.rowindex.buckets"]) > 90_000
     small = scale_conf(10**6)
     assert small["spark.sql.shuffle.partitions"] == "200" and small["shardwise.rowindex.buckets"] == "64"
+
+
+def test_storage_settings_map_or_refuse():
+    s3 = src.storage_settings("s3://b/x", {"key": "k", "secret": "s", "token": "t",
+                                           "client_kwargs": {"endpoint_url": "http://e", "region_name": "r"}})
+    prefix = "fs.s3a.bucket.b."
+    assert s3 == {prefix + "aws.credentials.provider": src.SESSION_PROVIDER, prefix + "access.key": "k",
+                  prefix + "secret.key": "s", prefix + "session.token": "t", prefix + "endpoint": "http://e",
+                  prefix + "endpoint.region": "r"}
+    assert src.storage_settings("gs://b/x", {"token": "/k.json"})[src.GS_KEYFILE] == "/k.json"
+    assert src.storage_settings("gs://b/x") == {"fs.gs.auth.type": "UNAUTHENTICATED"}
+    for uri, options in (("s3://b/x", {"profile": "p"}), ("gs://b/x", {"key": "k"}), ("/x", {"key": "k"}),
+                         ("s3://b/x", {"client_kwargs": {"verify": False}})):
+        with pytest.raises(ValueError):
+            src.storage_settings(uri, options)
+
+
+def test_parent_of_brace_patterns():
+    assert meta.parent_of("/data/x/{a,b}.csv") == "/data/x"

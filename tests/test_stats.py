@@ -9,8 +9,8 @@ from shardwise.operators import stats
 from .conftest import TESTDATA
 
 
-def test_wide_summary_matches_pandas(spark, weather_csv):
-    with_header, _ = weather_csv
+def test_wide_summary_matches_pandas(spark, gauge_csv):
+    with_header, _ = gauge_csv
     df = spark.read.options(header=True, inferSchema=True).csv(with_header)
     wide = stats.summary_wide(df).toPandas().set_index("summary")
     pdf = df.toPandas().astype(float)
@@ -25,7 +25,9 @@ def test_wide_summary_matches_pandas(spark, weather_csv):
 def test_text_columns_are_left_out(spark):
     df = spark.createDataFrame([("a", 1, True), ("b", 3, False)], "s STRING, x INT, f BOOLEAN")
     long = stats.summarize(df)
-    assert sorted(r["field"] for r in long.collect()) == ["f", "x"]
+    assert sorted(r["field"] for r in long.collect()) == ["x"]
+    named = stats.summarize(df, ["x", "f"])
+    assert sorted(r["field"] for r in named.collect()) == ["f", "x"]
 
 
 def test_zscores_and_pvalues_against_numpy(spark):
@@ -129,12 +131,12 @@ def test_combine_groups_equals_direct_summary(spark):
             assert pooled[c][k] == pytest.approx(direct[c][k], rel=1e-12)
 
 
-def test_constant_population_column_gives_null_z(spark, weather_csv):
-    with_header, _ = weather_csv
+def test_constant_population_column_gives_null_z(spark, gauge_csv):
+    with_header, _ = gauge_csv
     df = spark.read.options(header=True, inferSchema=True).csv(with_header)
     population = stats.summary_wide(df)
     res = stats.sample_vs_population(df.limit(3), population, zscores_=True, pvalues_=True).toPandas()
     res = res.set_index("summary")
-    # SNWD is 0 everywhere: stddev 0, so z and p are undefined (null), other columns are numbers
-    assert pd.isna(res.loc["zscores", "SNWD"]) and pd.isna(res.loc["pvalues", "SNWD"])
-    assert not pd.isna(res.loc["zscores", "TMAX"])
+    # the gate never moves: stddev 0, so z and p are undefined (null), other columns are numbers
+    assert pd.isna(res.loc["zscores", "gate"]) and pd.isna(res.loc["pvalues", "gate"])
+    assert not pd.isna(res.loc["zscores", "level"])
