@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,14 @@ def partitions(spark: SparkSession) -> int:
     return default_parallelism(spark)
 
 
+def worker_cache(key, make: Callable[[], object]):
+    """An object that a Python worker keeps for all tasks it runs; ``make`` must bound its size."""
+    kept = sys.__dict__.setdefault("_shardwise_worker_cache", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def column_blocks(batches: Iterator, rows: int = 512) -> Iterator:
     """Cut Arrow batches so that a step holds a bounded number of texts."""
     for batch in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import literal_rows
-from .common import column_blocks, materialize, running_before
+from .common import column_blocks, materialize, running_before, worker_cache
 
 SEQUENCE = 4096
 END_ID = 1
@@ -47,31 +47,87 @@ VOCABULARY = "word_bpe_49k.json"
 
 # ------------------------------------------------------------------- tokens
 
+# ASCII marks that never belong to a word piece with letters before them (all but the apostrophe).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+DOTTED_I = "\u0130"  # its lower case ends with a mark
+SPECIAL = b"<|"
+
+
 class WordIds(dict):
     """Word to its ids as little-endian unsigned 32-bit bytes; remembers a bounded number.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are its words' ids in a row.
+    The tokenizer lower-cases, drops white space and never joins across it, so
+    a text's ids are its words' ids in a row; nor does it join a word of letters
+    with the marks behind it. Words of letters alone are one piece each, which
+    ends with the only id marked as a word end, so they are encoded many at a
+    time; all others one by one.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, number in vocabulary.items():
+            self.ends[number] = token.endswith("</w>")
 
-    def __missing__(self, word: bytes) -> bytes:
+    def encode(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        packed = np.array(ids, dtype="<u4").tobytes()
-        if len(self) >= self.limit:
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def encode_letters(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 512):
+            part = words[at:at + 512]
+            text = b" ".join(part).decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):  # else a letter's lower case is not a letter alone
+                packed, start = ids.tobytes(), 0
+                for word, stop in zip(part, stops.tolist()):
+                    self[word] = packed[4 * start:4 * stop]
+                    start = stop
+            else:
+                for word in part:
+                    self[word] = self.encode(word)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Make sure that all ``words`` are known."""
+        if len(self) > self.limit:
             self.clear()
-        self[word] = packed
-        return packed
+        new = list(words.difference(self))
+        texts = b"\n".join(new).decode("utf-8", "replace").split("\n")
+        letters, rest, parts = set(), [], []
+        for word, text, stem in zip(new, texts, [t.rstrip(MARKS) for t in texts]):
+            if not stem.isalpha() or stem[-1] >= "\u0250" or stem[-1] == DOTTED_I:
+                rest.append(word)
+            elif len(stem) == len(text):
+                letters.add(word)
+            else:
+                marks = text[len(stem):].encode()
+                parts.append((word, word[:-len(marks)], marks))
+        letters.update(stem for _, stem, _ in parts if stem not in self)
+        rest.extend({marks for _, _, marks in parts if marks not in self}.difference(rest))
+        self.encode_letters(list(letters))
+        for word in rest:
+            self[word] = self.encode(word)
+        for word, stem, marks in parts:
+            self[word] = self[stem] + self[marks]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text; lower-cased (A-Z) unless a special token may be spelt in it."""
+    data = text.encode("utf-8", "replace") if text else b""
+    return data.split() if SPECIAL in data else data.lower().split()
 
 
-def token_bytes(text: str | None, ids: WordIds, end_id: int = END_ID) -> bytes:
-    """All ids of a text and the end id, four bytes each (null: the end id alone)."""
-    words = text.encode("utf-8", "replace").split() if text else []
-    return b"".join([*map(ids.__getitem__, words), np.array([end_id], dtype="<u4").tobytes()])
+def token_bytes(texts: list, ids: WordIds, end_id: int = END_ID) -> Iterator[bytes]:
+    """All ids of every text and the end id, four bytes each (null: the end id alone)."""
+    words = [words_of(t) for t in texts]
+    ids.learn(set().union(*words))
+    end = np.array([end_id], dtype="<u4").tobytes()
+    for own in words:
+        yield b"".join([*map(ids.__getitem__, own), end])
 
 
 def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID,
@@ -87,11 +143,10 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = E
     step = 4 * sequence
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
-        for block in column_blocks(batches):
+        ids = worker_cache(("word ids", path), lambda: WordIds(path))
+        for block in column_blocks(batches, 1024):
             own, number, start, length, crc, parts = [], [], [], [], [], []
-            for row, text_ in enumerate(block.column(1).to_pylist()):
-                data = token_bytes(text_, ids, end_id)
+            for row, data in enumerate(token_bytes(block.column(1).to_pylist(), ids, end_id)):
                 for k, at in enumerate(range(0, len(data), step)):
                     part = data[at:at + step]
                     own.append(row)
