@@ -135,11 +135,11 @@ def drop_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **op
     repeat an id are one document. Ties do not arise: ids order the documents.
     Empty input gives no rows.
     """
-    gone = duplicate_lines(docs.select(id_col, text), text, id_col, **options).withColumnRenamed("id", "__id")
+    gone = duplicate_lines(docs.select(id_col, text), text, id_col, **options).withColumnsRenamed({"id": "__id", "gone": "__gone"})
     joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left").withColumn("__lines", lines_of(F.col(text)))
-    stays = F.filter("__lines", lambda x: ~F.array_contains(F.col("gone"), key_hash(line_key(x))))
-    return joined.withColumn("__kept", F.when(F.col("gone").isNull(), F.col("__lines")).otherwise(stays)).drop(
-        "gone", "__id")
+    stays = F.filter("__lines", lambda x: ~F.array_contains(F.col("__gone"), key_hash(line_key(x))))
+    return joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(stays)).drop(
+        "__gone", "__id")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
