@@ -41,7 +41,7 @@ from .common import column_blocks, materialize, running_before, worker_cache
 SEQUENCE = 4096
 END_ID = 1
 LARGE = 1 / 8
-GROUPS = 48
+GROUPS = 96
 VOCABULARY = "word_bpe_49k.json"
 
 
