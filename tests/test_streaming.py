@@ -1,5 +1,4 @@
 import os
-import shutil
 import tempfile
 import time
 import uuid
@@ -71,44 +70,47 @@ def test_foreach_batch_feed_restarts_from_checkpoint(spark, tmpdir_path):
         tuple(r) for r in expected.select(*key).collect())
 
 
-def test_stream_windows_are_a_subset_of_batch(spark, tmpdir_path):
-    src = os.path.join(tmpdir_path, "events")
-    shutil.copytree(f"{TESTDATA}/sf0.001", src, ignore=shutil.ignore_patterns(
-        *[f"{t}.parquet" for t in ("region nation customer supplier part orders lineitem documents "
-                                   "embeddings pages benchmark labels conversations").split()]))
-    ev = spark.read.parquet(f"{src}/events.parquet")
-    stream = spark.readStream.schema(ev.schema).parquet(src)
-    name = f"win_{uuid.uuid4().hex[:8]}"
-    w = smetrics.stream_window_stat(stream, "ts", "user_id", "value", 3600, "avg", watermark="1 hour")
-    q = (w.writeStream.outputMode("append").format("memory").queryName(name)
-         .option("checkpointLocation", os.path.join(tmpdir_path, "ck2"))
+def closed_source(ev, folder):
+    """The events as stream files, and one event a month later that closes all their windows."""
+    ev.write.mode("overwrite").parquet(os.path.join(folder, "e", "a"))
+    last = ev.agg(F.max("ts").alias("ts")).first()["ts"]
+    late = ev.where("event_type = 'view'").limit(1).withColumn("ts", (F.lit(last) + F.expr("INTERVAL 30 DAYS")).cast(ev.schema["ts"].dataType))
+    late.write.mode("overwrite").parquet(os.path.join(folder, "e", "b"))
+    return last, (ev.sparkSession.readStream.schema(ev.schema).option("recursiveFileLookup", "true")
+                  .parquet(os.path.join(folder, "e")))
+
+
+def drained(spark, df, folder, last):
+    """Rows of the stream's windows that start no later than the last real event."""
+    name = f"s_{uuid.uuid4().hex[:8]}"
+    q = (df.writeStream.outputMode("append").format("memory").queryName(name)
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="ck-", dir=folder))
          .trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    streamed = {(r["user_id"], r["window_start"].replace(tzinfo=None), round(r["value"], 9))
-                for r in spark.table(name).collect()}
-    batch = {(r["user_id"], r["window_start"], round(r["value"], 9))
-             for r in metrics.window_stat(ev, "ts", "user_id", "value", 3600).collect()}
-    assert streamed and streamed <= batch
+    q.awaitTermination(240)
+    return [r for r in spark.table(name).collect() if r["window_start"].replace(tzinfo=None) <= last]
+
+
+def test_stream_windows_equal_batch(spark, tmpdir_path):
+    ev = spark.read.parquet(f"{TESTDATA}/sf0.001/events.parquet")
+    last, stream = closed_source(ev, tmpdir_path)
+    w = smetrics.stream_window_stat(stream, "ts", "user_id", "value", 3600, "avg", watermark="1 hour")
+    streamed = sorted((r["user_id"], r["window_start"].replace(tzinfo=None), round(r["value"], 9))
+                      for r in drained(spark, w, tmpdir_path, last))
+    batch = sorted((r["user_id"], r["window_start"], round(r["value"], 9))
+                   for r in metrics.window_stat(ev, "ts", "user_id", "value", 3600).collect())
+    assert streamed == batch
 
 
-def test_stream_sustained_alarm_is_a_subset_of_batch(spark, tmpdir_path):
-    src = tempfile.mkdtemp(prefix="ev-", dir=tmpdir_path)
+def test_stream_sustained_alarm_equals_batch(spark, tmpdir_path):
     ev = spark.read.parquet(f"{TESTDATA}/sf0.01/events.parquet")
-    ev.write.mode("overwrite").parquet(os.path.join(src, "e"))
-    stream = spark.readStream.schema(ev.schema).parquet(os.path.join(src, "e"))
-    name = f"alarm_{uuid.uuid4().hex[:8]}"
+    last, stream = closed_source(ev, tmpdir_path)
     a = smetrics.stream_sustained_alarm(stream, "ts", "event_type", "value", "1 hour", 45.0, ">=",
                                         5, 5, watermark="1 hour")
-    q = (a.writeStream.outputMode("append").format("memory").queryName(name)
-         .option("checkpointLocation", os.path.join(tmpdir_path, "ck3"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination(180)
-    streamed = {(r["event_type"], r["window_start"].replace(tzinfo=None), r["breaches"])
-                for r in spark.table(name).collect()}
-    batch = {(r["event_type"], r["window_start"], r["breaches"])
-             for r in metrics.sustained_alarm(ev, "ts", "event_type", "value", "1 hour", 45.0, ">=", 5, 5).collect()}
-    assert streamed and streamed <= batch
-    assert len(streamed) >= len(batch) - 10
+    streamed = sorted((r["event_type"], r["window_start"].replace(tzinfo=None), r["breaches"])
+                      for r in drained(spark, a, tmpdir_path, last))
+    batch = sorted((r["event_type"], r["window_start"], r["breaches"]) for r in
+                   metrics.sustained_alarm(ev, "ts", "event_type", "value", "1 hour", 45.0, ">=", 5, 5).collect())
+    assert streamed == batch
 
 
 def test_dataset_stream_matches_batch_shards(spark, tmpdir_path, station_csv):
@@ -134,39 +136,26 @@ def test_dataset_stream_matches_batch_shards(spark, tmpdir_path, station_csv):
     assert got == want
 
 
-def test_stream_threshold_alarm_subset_of_batch(spark, tmpdir_path):
-    src = tempfile.mkdtemp(prefix="evt-", dir=tmpdir_path)
+def test_stream_threshold_alarm_equals_batch(spark, tmpdir_path):
     ev = spark.read.parquet(f"{TESTDATA}/sf0.001/events.parquet")
-    ev.write.mode("overwrite").parquet(os.path.join(src, "e"))
-    stream = spark.readStream.schema(ev.schema).parquet(os.path.join(src, "e"))
-    name = f"low_{uuid.uuid4().hex[:8]}"
+    last, stream = closed_source(ev, tmpdir_path)
     a = smetrics.stream_threshold_alarm(stream, "ts", "event_type", "value", "1 hour", 35.0, "<",
                                         watermark="1 hour")
-    q = (a.writeStream.outputMode("append").format("memory").queryName(name)
-         .option("checkpointLocation", os.path.join(tmpdir_path, "ck5"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    streamed = {(r["event_type"], r["window_start"].replace(tzinfo=None)) for r in spark.table(name).collect()}
-    batch = {(r["event_type"], r["window_start"]) for r in
-             metrics.threshold_alarm(ev, "ts", "event_type", "value", "1 hour", 35.0, "<").collect()}
-    assert streamed and streamed <= batch
+    streamed = sorted((r["event_type"], r["window_start"].replace(tzinfo=None))
+                      for r in drained(spark, a, tmpdir_path, last))
+    batch = sorted((r["event_type"], r["window_start"]) for r in
+                   metrics.threshold_alarm(ev, "ts", "event_type", "value", "1 hour", 35.0, "<").collect())
+    assert streamed == batch
 
 
-def test_stream_pivot_subset_of_batch(spark, tmpdir_path):
-    src = tempfile.mkdtemp(prefix="evp-", dir=tmpdir_path)
+def test_stream_pivot_equals_batch(spark, tmpdir_path):
     ev = spark.read.parquet(f"{TESTDATA}/sf0.001/events.parquet")
-    ev.write.mode("overwrite").parquet(os.path.join(src, "e"))
-    stream = spark.readStream.schema(ev.schema).parquet(os.path.join(src, "e"))
+    last, stream = closed_source(ev, tmpdir_path)
     kinds = ["view", "click"]
-    name = f"piv_{uuid.uuid4().hex[:8]}"
     p = smetrics.stream_pivot_metrics(stream, "ts", "event_type", "event_type", "value", kinds, "1 hour",
                                       watermark="1 hour")
-    q = (p.writeStream.outputMode("append").format("memory").queryName(name)
-         .option("checkpointLocation", os.path.join(tmpdir_path, "ck6"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    streamed = {(r["event_type"], r["window_start"].replace(tzinfo=None), r["view"], r["click"])
-                for r in spark.table(name).collect()}
-    batch = {(r["event_type"], r["window_start"], r["view"], r["click"])
-             for r in metrics.pivot_metrics(ev, "ts", "event_type", "event_type", "value", kinds, "1 hour").collect()}
-    assert streamed and streamed <= batch
+    streamed = sorted((r["event_type"], r["window_start"].replace(tzinfo=None), str(r["view"]), str(r["click"]))
+                      for r in drained(spark, p, tmpdir_path, last))
+    batch = sorted((r["event_type"], r["window_start"], str(r["view"]), str(r["click"])) for r in
+                   metrics.pivot_metrics(ev, "ts", "event_type", "event_type", "value", kinds, "1 hour").collect())
+    assert streamed == batch
