@@ -38,8 +38,8 @@ def get_session(app: str = "shardwise", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (a local test run) is a folder set here; a
-    cluster's own setting is never overridden.
+    Only in a local session that has none (a test run) is a folder set here, the
+    ``fallback`` or a temporary one; a cluster must name its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,7 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        if fallback is None and not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set: name a folder on shared storage (HDFS, S3, ...) "
                 "that every executor can reach")
