@@ -137,8 +137,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         "__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     place = (F.col("__before") + F.col("__copy") * F.col("__source_size")) / F.col("__target")
     stream = rows.withColumn("__at", position(place, F.col("__rank"), schedules)).select(*columns, "__at")
-    # Sorting samples its input; without this the work before it would run twice.
-    return materialize(stream, "mix").orderBy("__at").drop("__at")
+    # The sort's sampling job reads the shuffle before it again, not the documents.
+    return stream.orderBy("__at").drop("__at")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
