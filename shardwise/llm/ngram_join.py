@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_blocks, components, materialize, partitions
@@ -223,9 +223,19 @@ def incidence(docs: DataFrame, text: str, id_col: str) -> DataFrame:
                        .drop("at"), "ngram-shared")
 
 
-def needed(n):
+def needed(n: str) -> Column:
     """Least overlap of a set of ``n`` with anything it links to."""
-    return F.ceil(n * F.lit(PERCENT) / F.lit(100.0)).cast("long")
+    return F.expr(f"({n} * {PERCENT} + 99) div 100")
+
+
+def needed_by_larger(n: str) -> Column:
+    """Least overlap of a set of ``n`` with a set of as many or more that it links to."""
+    return F.expr(f"({n} * {2 * PERCENT} + {99 + PERCENT}) div {100 + PERCENT}")
+
+
+def needed_by_both(x: str, y: str) -> Column:
+    """Least overlap of linked sets of ``x`` and ``y``."""
+    return F.expr(f"(({x} + {y}) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT}")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -234,10 +244,10 @@ def candidates(rows: DataFrame) -> DataFrame:
                .agg(F.max("n").alias("n"), F.min(F.struct("block", "idx")).alias("node"))
                .select("class", "n", "node.block", "node.idx"))
     shared = rows.where(F.col("kind") == SHARED).select("block", "idx", "payload")
-    sets = (shared.join(classes, ["block", "idx"]).groupBy("class", "n")
+    sets = (shared.groupBy("block", "idx")
             .agg(F.collect_list("payload").alias("parts"),
                  F.sum(F.octet_length("payload") / 8).cast("long").alias("k"))
-            .where(F.col("k") >= needed(F.col("n"))).select("class", "n", "parts"))
+            .join(classes, ["block", "idx"]).where(F.col("k") >= needed("n")).select("class", "n", "parts"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,14 +260,21 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """``class, n, h``: of every set the rarest entries, one more than it may miss."""
-    entries = sets.select("class", "n", F.size("hashes").alias("k"), F.explode("hashes").alias("h"))
+    """``class, n, k, pos, front, h``: of every set the rarest entries, one more than it may miss.
+
+    ``k`` counts the entries it shares with any other set left, ``pos`` is the
+    place in their common order. The ``front`` entries are those it needs when
+    the other set is as large or larger, which then has to share more of it.
+    """
+    entries = sets.select("class", "n", F.explode("hashes").alias("h"))
     frequency = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ordered = (entries.join(frequency, "h").groupBy("class", "n")
-               .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("e")))
-    spare = F.size("e") - needed(F.col("n")) + 1
-    return materialize(ordered.where(spare > 0).select(
-        "class", "n", F.explode(F.slice("e", F.lit(1), spare.cast("int"))).alias("e")).select("class", "n", "e.h"),
+               .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("e"))
+               .withColumn("k", F.size("e").cast("long")).withColumn("spare", F.col("k") - needed("n") + 1))
+    return materialize(
+        ordered.where("spare > 0").select("class", "n", "k", F.posexplode(F.slice(
+            "e", F.lit(1), F.col("spare").cast("int"))).alias("pos", "e"))
+        .select("class", "n", "k", "pos", (F.col("pos") <= F.col("k") - needed_by_larger("n")).alias("front"), "e.h"),
         "ngram-prefix")
 
 
@@ -271,10 +288,6 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * PERCENT).select("a", "b"), "ngram-links")
 
 
-def similar_sizes(x: str, y: str):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
-
-
 def class_links(sets: DataFrame) -> DataFrame:
     """``id, component`` for the classes that link to another one."""
     columns = prefixes(sets)
@@ -286,11 +299,14 @@ def class_links(sets: DataFrame) -> DataFrame:
         turn += 1
         now = columns if labels is None else columns.join(labels, columns["class"] == labels["id"], "left").drop("id")
         now = now.withColumn("comp", F.col("class") if labels is None else F.coalesce("component", "class"))
+        # First the set that shares most of itself leads (of edited copies the least edited), later any.
+        lonely = -F.col("k") / F.col("n") if turn == 1 else F.lit(0.0)
         leads = (now.groupBy("h").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"),
-            F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("r"), F.col("class").alias("lead"),
-                           F.col("n").alias("lead_n"), F.col("comp").alias("lead_comp"))).alias("l"))
-            .where("lo <> hi").select("h", "m", "l.lead", "l.lead_n", "l.lead_comp"))
+            F.min(F.struct(lonely.alias("r"), F.xxhash64("class", F.lit(turn)).alias("x"),
+                           F.col("class").alias("lead"), F.col("n").alias("lead_n"), F.col("k").alias("lead_k"),
+                           F.col("comp").alias("lead_comp"))).alias("l"))
+            .where("lo <> hi").select("h", "m", "l.lead", "l.lead_n", "l.lead_k", "l.lead_comp"))
         leads = materialize(leads, "ngram-leads")
         open_pairs = leads.agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2)).first()[0]
         if open_pairs is None:
@@ -299,22 +315,28 @@ def class_links(sets: DataFrame) -> DataFrame:
         last = turn > 1 and (open_pairs <= PAIRS_PER_ENTRY * max(entries, 1) or not progress
                              or open_pairs > 0.7 * before)
         before = open_pairs
-        members = now.select("h", "class", "n", "comp").join(leads, "h")
+        members = now.join(leads, "h")
         if not last:
-            met = (members.where((F.col("comp") != F.col("lead_comp")) & similar_sizes("n", "lead_n"))
+            met = (members.where((F.col("comp") != F.col("lead_comp")) &
+                                 (F.least("k", "lead_k") >= needed_by_both("n", "lead_n")))
                    .groupBy("class", "lead").agg(F.count(F.lit(1)).alias("c")))
             best = Window.partitionBy("class").orderBy(F.desc("c"), "lead")
             pairs = met.withColumn("rn", F.row_number().over(best)).where("rn = 1").select(
                 F.col("class").alias("a"), F.col("lead").alias("b"))
         else:
-            x = members.select("h", F.col("class").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            y = members.select("h", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            bound = F.ceil((F.col("na") + F.col("nb")) * F.lit(PERCENT) / F.lit(100.0 + PERCENT) - F.lit(1e-9))
+            x = members.where("front").select("h", F.col("class").alias("a"), F.col("n").alias("na"),
+                                              F.col("k").alias("ka"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+            y = members.select("h", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"),
+                               F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+            bound = needed_by_both("na", "nb")
+            # Before and behind a common entry no more can be common than the shorter side has.
+            reach = F.least("pa", "pb") + F.least(F.col("ka") - F.col("pa"), F.col("kb") - F.col("pb"))
+            smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
             # Accumulated overlap in the prefixes; what lies behind the shorter one adds less than its need.
-            pairs = (x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                                          & similar_sizes("na", "nb"))
+            behind = F.greatest(needed_by_larger("na"), needed("nb")) - 1
+            pairs = (x.join(y, "h").where(smaller & (F.col("ca") != F.col("cb")) & (reach >= bound))
                      .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-                     .where(F.col("c") + F.greatest(needed(F.col("na")), needed(F.col("nb"))) - 1 >= bound))
+                     .where(F.col("c") + behind >= bound))
         new = linked(pairs, sets)
         progress = new.count() > 0
         if progress:
