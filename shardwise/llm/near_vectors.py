@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, worker_cache
 from .vectors import cosines, distinct_vectors, matrix, norms
 
 THRESHOLD = 0.98
@@ -175,7 +175,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
         x = matrix(table["v"])
         dims = x.shape[1]
         norm = norms(x)
-        turn = rotations(dims, bits * bands)
+        turn = worker_cache(("turn", dims, bits * bands), lambda: rotations(dims, bits * bands))
         width = len(turn)
         signs = np.unpackbits(np.frombuffer(b"".join(table["code"].to_pylist()), dtype=np.uint8)
                               .reshape(len(x), -1), axis=1)[:, :width].astype(bool)
