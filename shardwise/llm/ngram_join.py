@@ -134,13 +134,9 @@ def row_block(docs: list[tuple[int | None, np.ndarray]], blocks: int) -> pa.Reco
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         count = np.diff(np.append(first, len(h)))
         several = np.repeat(count > 1, count)
-        # Entries shared within the row block go straight to their documents.
-        by_doc = np.argsort(own[several], kind="stable")
-        hs, os = h[several][by_doc], own[several][by_doc]
-        ends = np.searchsorted(os, np.arange(len(sets) + 1))
-        for idx in range(len(sets)):
-            if ends[idx] < ends[idx + 1]:
-                row((idx + block) % blocks, SHARED, idx=idx, payload=hs[ends[idx]:ends[idx + 1]].tobytes())
+        # Entries shared within the row block are known to be so.
+        if several.any():
+            row(block % blocks, SHARED, payload=h[several].tobytes() + own[several].astype(np.uint16).tobytes())
         # The columns: every shingle once, with its document when there is only one.
         places = np.where(count > 1, LOCAL, own[first]).astype(np.uint16)
         columns = h[first]
@@ -158,26 +154,47 @@ def column_of(h: np.ndarray, blocks: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
 
 
-def shared_entries(pieces: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-    """``(row block, place, hashes)`` of the entries of a column block that two row blocks hold."""
+def shared_entries(pieces: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """For every row block ``(block, entries)``: its entries of a column block that another one holds too."""
     hs, places, blocks = [], [], []
     for i, (_, payload) in enumerate(pieces):
         n = len(payload) // 10
         hs.append(np.frombuffer(payload, dtype=np.uint64, count=n))
         places.append(np.frombuffer(payload, dtype=np.uint16, offset=8 * n))
-        blocks.append(np.full(n, i, dtype=np.int64))
+        blocks.append(np.full(n, i, dtype=np.int32))
     h, place, block = np.concatenate(hs), np.concatenate(places), np.concatenate(blocks)
     order = np.argsort(h, kind="stable")
     h = h[order]
     same = h[1:] == h[:-1]
-    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    keep = shared & (place[order] != LOCAL)
-    h, who = h[keep], (block[order][keep] << 16) | place[order][keep].astype(np.int64)
-    order = np.argsort(who, kind="stable")
-    h, who = h[order], who[order]
-    first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, int)
-    for a, b in zip(first, np.append(first[1:], len(who))):
-        yield pieces[int(who[a]) >> 16][0], int(who[a]) & 0xFFFF, h[a:b].tobytes()
+    keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    keep &= place[order] != LOCAL
+    h, order = h[keep], order[keep]
+    place, block = place[order], block[order]
+    order = np.argsort(block, kind="stable")
+    ends = np.searchsorted(block[order], np.arange(len(pieces) + 1))
+    for i in range(len(pieces)):
+        own = order[ends[i]:ends[i + 1]]
+        if len(own):
+            yield pieces[i][0], h[own].tobytes() + place[own].tobytes()
+
+
+def block_sets(docs: dict[int, tuple[int, int]], pieces: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``(class, n, shared hashes)`` of the sets of a row block that share enough to link at all.
+
+    ``docs`` has class and size by place; ``pieces`` are entries with their places.
+    """
+    hs = [np.frombuffer(p, dtype=np.int64, count=len(p) // 10) for p in pieces]
+    at = [np.frombuffer(p, dtype=np.uint16, offset=8 * len(h)) for p, h in zip(pieces, hs)]
+    if not hs:
+        return
+    h, place = np.concatenate(hs), np.concatenate(at)
+    order = np.lexsort((h, place))
+    h, place = h[order], place[order]
+    ends = np.searchsorted(place, np.arange(len(docs) + 1))
+    for idx, (name, n) in docs.items():
+        own = np.unique(h[ends[idx]:ends[idx + 1]])
+        if len(own) * 100 >= n * PERCENT:
+            yield name, n, own
 
 
 def incidence(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -212,11 +229,11 @@ def incidence(docs: DataFrame, text: str, id_col: str) -> DataFrame:
                 pieces.setdefault(at, []).append((block, payload))
         for at in list(pieces):
             found = list(shared_entries(pieces.pop(at)))
-            none = pa.nulls(len(found), pa.int64())
+            none, no_place = pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(found), at), pa.int32()), pa.array(np.full(len(found), SHARED), pa.int32()),
                  none, none, none, pa.array([f[0] for f in found], pa.int64()),
-                 pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())],
+                 no_place, pa.array([f[1] for f in found], pa.binary())],
                 names=["at", "kind", "doc_id", "n", "class", "block", "idx", "payload"])
 
     return materialize(src.mapInArrow(cut, ROWS).repartitionById(blocks, "at").mapInArrow(meet, ROWS)
@@ -240,23 +257,24 @@ def needed_by_both(x: str, y: str) -> Column:
 
 def candidates(rows: DataFrame) -> DataFrame:
     """``class, n, hashes``: the sets with enough shared entries to link at all."""
-    classes = (rows.where((F.col("kind") == DOC) & (F.col("n") > 0)).groupBy("class")
-               .agg(F.max("n").alias("n"), F.min(F.struct("block", "idx")).alias("node"))
-               .select("class", "n", "node.block", "node.idx"))
-    shared = rows.where(F.col("kind") == SHARED).select("block", "idx", "payload")
-    sets = (shared.groupBy("block", "idx")
-            .agg(F.collect_list("payload").alias("parts"),
-                 F.sum(F.octet_length("payload") / 8).cast("long").alias("k"))
-            .join(classes, ["block", "idx"]).where(F.col("k") >= needed("n")).select("class", "n", "parts"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [np.unique(np.frombuffer(b"".join(p), dtype=np.int64)) for p in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["class", "n", "hashes"])
-
-    return materialize(sets.mapInArrow(whole, "class long, n long, hashes array<long>"), "ngram-sets")
+    parts = rows.where((F.col("kind") == SHARED) | F.col("class").isNotNull()).select(
+        "kind", "n", "class", "block", "idx", "payload")
+
+    def whole(table: pa.Table) -> pa.Table:
+        docs = table.filter(pa.array(table["kind"].to_numpy() == DOC))
+        shared = table.filter(pa.array(table["kind"].to_numpy() == SHARED))
+        by_place = {i: (c, n) for i, c, n in zip(docs["idx"].to_pylist(), docs["class"].to_pylist(),
+                                                 docs["n"].to_pylist())}
+        found = list(block_sets(by_place, shared["payload"].to_pylist()))
+        return pa.table({"class": pa.array([f[0] for f in found], pa.int64()),
+                         "n": pa.array([f[1] for f in found], pa.int64()),
+                         "hashes": pa.array([f[2] for f in found], pa.list_(pa.int64()))})
+
+    # A row block comes together again, bounded as it was when it was read. A class that
+    # several row blocks hold has all its entries shared, so any of its rows is whole.
+    found = parts.groupBy("block").applyInArrow(whole, "class long, n long, hashes array<long>")
+    return materialize(found.groupBy("class").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")),
+                       "ngram-sets")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
