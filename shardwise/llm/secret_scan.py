@@ -39,7 +39,11 @@ KEYWORDS = ("passw", "secret", "token", "api")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n)*[A-Za-z0-9+/_-]{20,}={0,2}")
+# The shortest find has 14 bytes (token=12345678), 19 characters of base64 without padding.
+LEAST_RUN = 19
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:\r?\n[A-Za-z0-9+/_-]++)+={0,2}")
+LINE = re.compile(r"[^\r\n]+")
 
 # A compressed layer is unpacked up to this many bytes (its first part beyond that).
 UNPACK_BYTES = 64 << 20
@@ -141,6 +145,40 @@ def from_base64(run: str) -> list[str]:
     return []
 
 
+def base64_runs(text: str) -> Iterator[tuple[int, int]]:
+    """``(start, end)`` of the runs in ``text`` that may be base64, each once.
+
+    A run is one line's, or lines of equal width (or of 40 and more characters)
+    and the line after them, which may have any length. As that line may also be
+    other text, the lines before it count as a run of their own unless it is
+    padded or of full width.
+    """
+    for m in BASE64.finditer(text):
+        yield m.span()
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        lines = [x.span() for x in LINE.finditer(text, *m.span())]
+        widths = [e - s for s, e in lines]
+        padded = text[m.end() - 1] == "="
+        last = len(lines) - 1
+        found = set()
+        for same in (lambda i, j: widths[j] == widths[i], lambda i, j: widths[j] >= 40):
+            i = 0
+            while i < last:
+                j = i
+                while j < last and same(i, j + 1):
+                    j += 1
+                if same(i, i) and widths[i] >= 4:
+                    # Lines i to j are full; the one after them ends the run if it is shorter.
+                    if j < last and widths[j + 1] < widths[j]:
+                        found.add((lines[i][0], lines[j + 1][1]))
+                        if j > i and not (padded and j + 1 == last):
+                            found.add((lines[i][0], lines[j][1]))
+                    elif j > i:
+                        found.add((lines[i][0], lines[j][1]))
+                i = j + 1
+        yield from sorted(r for r in found if r[1] - r[0] >= LEAST_RUN)
+
+
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers one decoding step inside ``layer``."""
     text = layer.text
@@ -170,16 +208,9 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
                 pieces.append((m.start(), m.end(), chr(value)))
         if pieces:
             yield layer.rebuilt(pieces)
-    for m in BASE64.finditer(text):
-        runs = [(m.start(), m.end())]
-        if "\n" in m.group():  # wrapped lines: together, and each by itself
-            at = m.start()
-            for line in m.group().split("\n"):
-                runs.append((at, at + len(line)))
-                at += len(line) + 1
-        for start, end in runs:
-            for inner in from_base64(text[start:end]):
-                yield Layer(inner, whole=layer.span(start, end))
+    for start, end in base64_runs(text):
+        for inner in from_base64(text[start:end]):
+            yield Layer(inner, whole=layer.span(start, end))
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

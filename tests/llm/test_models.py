@@ -3,6 +3,7 @@
 import base64
 import bz2
 import gzip
+import lzma
 import random
 import re
 import urllib.parse
@@ -91,6 +92,30 @@ def test_escaped_span_is_exact_and_cycles_end():
     assert secret_scan.all_spans("Zm9v" * 500, []) == []
 
 
+@pytest.mark.parametrize("how", [bytes, gzip.compress, bz2.compress, lzma.compress])
+@pytest.mark.parametrize("width, end", [(76, "\n"), (64, "\r\n"), (32, "\n")])
+def test_wrapped_secrets_of_every_last_line_length(how, width, end):
+    lasts = set()
+    rnd = random.Random(width)
+    for n in range(60, 60 + 4 * width):
+        # noise that does not compress, so the last line takes every length
+        noise = "".join(rnd.choice("ghijklmnopqrstuvwxyzGHIJ ") for _ in range(n))
+        run = base64.b64encode(how(f"{noise} {PLAIN}".encode())).decode()
+        lines = [run[i:i + width] for i in range(0, len(run), width)]
+        lasts.add(len(lines[-1]))
+        hidden = end.join(lines)
+        for before, after in (("é ", " end"), ("-----BEGIN X-----" + end, end + "-----END X-----")):
+            spans = secret_scan.all_spans(before + hidden + after, [])
+            assert (len(before), 0, len(before) + len(hidden)) in spans, (n, len(lines[-1]))
+    # an xz stream has whole words of four bytes, so only some lengths occur
+    assert lasts == set(range(4, width + 1, 4)) or how is lzma.compress and min(lasts) <= 16 and len(lasts) > 1
+
+
+def test_base64_of_the_shortest_find():
+    for hidden in ("dG9rZW49MTIzNDU2Nzg=", "dG9rZW49MTIzNDU2Nzg", "dG9rZW49MTIz\nNDU2Nzg="):
+        assert (2, 0, 2 + len(hidden)) in secret_scan.all_spans(f"x {hidden} y", [])
+
+
 # --------------------------------------------------------------- classifiers
 
 def sample_tables(spark, sf="sf0.01"):
