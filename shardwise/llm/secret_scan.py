@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import gzip
 import hashlib
 import lzma
@@ -101,13 +102,16 @@ class Layer:
         return Layer("".join(texts), np.concatenate([*ss, starts[at:]]), np.concatenate([*es, ends[at:]]))
 
 
-def readable(data: bytes) -> str | None:
-    """The bytes as text when they are UTF-8 without control characters other than blanks."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r\f\v" for c in text) else None
+def texts(data: bytes) -> Iterator[str]:
+    """The bytes as text: UTF-8 with the undecodable bytes replaced, and UTF-16 or
+    UTF-32 of both byte orders when a byte order mark or zero bytes suggest it."""
+    yield data.decode("utf-8", "replace")
+    if b"\0" in data or data[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
+        for coding in ("utf-16-le", "utf-16-be"):
+            yield data.decode(coding, "replace")
+    if b"\0\0\0" in data:
+        for coding in ("utf-32-le", "utf-32-be"):
+            yield data.decode(coding, "replace")
 
 
 def unpacked(data: bytes) -> bytes | None:
@@ -126,23 +130,20 @@ def unpacked(data: bytes) -> bytes | None:
     return None
 
 
-def from_base64(run: str) -> list[str]:
-    """Texts a base64 run stands for: the decoded bytes, and what they unpack to."""
+def from_base64(run: str) -> Iterator[str]:
+    """Texts a base64 run stands for: of the decoded bytes, and of what they unpack to."""
     body = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return []
+    if len(body) % 4 == 1:  # six bits left over are no byte
+        body = body[:-1]
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return []
+        return
     seen = set()
-    while data is not None and data not in seen:
-        text = readable(data)
-        if text is not None:
-            return [text]
+    while data and data not in seen:
+        yield from texts(data)
         seen.add(data)
         data = unpacked(data)
-    return []
 
 
 def base64_runs(text: str) -> Iterator[tuple[int, int]]:

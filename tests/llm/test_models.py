@@ -116,6 +116,16 @@ def test_base64_of_the_shortest_find():
         assert (2, 0, 2 + len(hidden)) in secret_scan.all_spans(f"x {hidden} y", [])
 
 
+@pytest.mark.parametrize("data", [
+    *[f"un{c}mot {PLAIN} fin".encode() for c in "\u00a0\u202f\u3000\ufeff\u00ad\u200b\u2028\x1b\0\x01"],
+    f"café {PLAIN}".encode("latin-1"), b"\xff\x80\xfe" + PLAIN.encode() + b"\xc3",
+    *[f"é {PLAIN}".encode(coding) for coding in ("utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "utf-32", "utf-32-be")]])
+@pytest.mark.parametrize("how", [bytes, zlib.compress])
+def test_no_character_hides_a_decoded_layer(data, how):
+    hidden = base64.b64encode(how(data)).decode()
+    assert (2, 0, 2 + len(hidden)) in secret_scan.all_spans(f"é {hidden} after", [])
+
+
 # --------------------------------------------------------------- classifiers
 
 def sample_tables(spark, sf="sf0.01"):
