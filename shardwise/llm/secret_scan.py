@@ -16,13 +16,11 @@ import base64
 import binascii
 import bz2
 import codecs
-import gzip
 import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +44,12 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:\r?\n[A-Za-z0-9+/_-]++)+={0,2}")
 LINE = re.compile(r"[^\r\n]+")
 
-# A compressed layer is unpacked up to this many bytes (its first part beyond that).
-UNPACK_BYTES = 64 << 20
+# Decoded bytes are unpacked in chunks (a multiple of four bytes) and searched in
+# windows of about so many characters.
+CHUNK_BYTES = 1 << 20
+WINDOW_CHARS = 4 << 20
+# Places that no find, escape or base64 run spans, in the text itself or after unwrapping.
+SAFE = re.compile(r"""[^A-Za-z0-9+/_.=:"'%\\{}\x20\r\n-]|(?<=\n)(?=[\x20\n])|(?<=[g-zG-Z])(?=\x20[A-Za-z0-9])""")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -102,36 +104,114 @@ class Layer:
         return Layer("".join(texts), np.concatenate([*ss, starts[at:]]), np.concatenate([*es, ends[at:]]))
 
 
-def texts(data: bytes) -> Iterator[str]:
+def safe_cut(text: str) -> int:
+    """The last place near the end at which ``text`` may be cut, 0 if there is none."""
+    size = 4096
+    while True:
+        at, cut = max(0, len(text) - size), 0
+        for m in SAFE.finditer(text, at):
+            cut = m.end()
+        if cut or not at:
+            return cut
+        size *= 16
+
+
+class Windows:
+    """Incremental decoding into windows cut at safe places; one without such a place grows."""
+
+    def __init__(self, coding: str):
+        self.decode = codecs.getincrementaldecoder(coding)("replace").decode
+        self.parts, self.size, self.wanted = [], 0, WINDOW_CHARS
+
+    def feed(self, data: bytes, final: bool = False) -> Iterator[str]:
+        self.parts.append(self.decode(data, final))
+        self.size += len(self.parts[-1])
+        if self.size < self.wanted and not final:
+            return
+        text = "".join(self.parts)
+        cut = len(text) if final else safe_cut(text)
+        self.parts, self.size = [text[cut:]], len(text) - cut
+        self.wanted = max(WINDOW_CHARS, 2 * self.size)
+        if cut:
+            yield text[:cut]
+
+
+def even_chunks(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The same bytes in chunks of ``CHUNK_BYTES``, the last one shorter."""
+    size, kept = CHUNK_BYTES, b""
+    for chunk in chunks:
+        kept += chunk
+        full = len(kept) - len(kept) % size
+        for at in range(0, full, size):
+            yield kept[at:at + size]
+        kept = kept[full:]
+    if kept:
+        yield kept
+
+
+def texts(chunks: Iterable[bytes]) -> Iterator[str]:
     """The bytes as text: UTF-8 with the undecodable bytes replaced, and UTF-16 or
-    UTF-32 of both byte orders when a byte order mark or zero bytes suggest it."""
-    yield data.decode("utf-8", "replace")
-    if b"\0" in data or data[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
-        for coding in ("utf-16-le", "utf-16-be"):
-            yield data.decode(coding, "replace")
-    if b"\0\0\0" in data:
-        for coding in ("utf-32-le", "utf-32-be"):
-            yield data.decode(coding, "replace")
-
-
-def unpacked(data: bytes) -> bytes | None:
-    """Decompressed bytes of a gzip, zlib, bzip2 or xz stream, else None."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, UNPACK_BYTES)
-        if len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, UNPACK_BYTES)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, UNPACK_BYTES)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, UNPACK_BYTES)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, gzip.BadGzipFile):
-        return None
+    UTF-32 of both byte orders from where a byte order mark or zero bytes suggest it."""
+    windows = {"utf-8": Windows("utf-8")}
+    for i, chunk in enumerate(even_chunks(chunks)):
+        wide = []
+        if b"\0" in chunk or i == 0 and chunk[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
+            wide += ["utf-16-le", "utf-16-be"]
+        if b"\0\0\0" in chunk:
+            wide += ["utf-32-le", "utf-32-be"]
+        for coding in wide:
+            if coding not in windows:
+                windows[coding] = Windows(coding)
+        for w in windows.values():
+            yield from w.feed(chunk)
+    for w in windows.values():
+        yield from w.feed(b"", True)
+
+
+def opened(head: bytes):
+    """A decompressor for bytes that begin as a gzip, zlib, bzip2 or xz stream, else None."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(head) > 2 and head[0] == 0x78 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
+def unpacked(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """Decompressed bytes of compressed streams one after the other, up to an error or other bytes."""
+    chunks = (c for c in chunks if c)
+    head = b""
+    while True:
+        while len(head) < 6 and (more := next(chunks, None)):
+            head += more
+        box = opened(head)
+        if box is None:
+            return
+        try:
+            while not box.eof:
+                out = box.decompress(head, CHUNK_BYTES)
+                head = getattr(box, "unconsumed_tail", b"")
+                if out:
+                    yield out
+                elif not box.eof and not (head := next(chunks, b"")):
+                    return  # cut short
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            return
+        head = box.unused_data.lstrip(b"\0")  # padding between streams
+        while not head and (more := next(chunks, None)):
+            head = more.lstrip(b"\0")
+
+
 def from_base64(run: str) -> Iterator[str]:
-    """Texts a base64 run stands for: of the decoded bytes, and of what they unpack to."""
+    """Texts a base64 run stands for: of the decoded bytes, and of what they unpack to.
+
+    Long ones come in windows. Every level unpacks anew from the decoded bytes, so
+    no level is held in memory.
+    """
     body = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:  # six bits left over are no byte
         body = body[:-1]
@@ -139,11 +219,22 @@ def from_base64(run: str) -> Iterator[str]:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return
-    seen = set()
-    while data and data not in seen:
-        yield from texts(data)
-        seen.add(data)
-        data = unpacked(data)
+    seen, depth = {hashlib.sha256().digest()}, 0
+    while True:
+        digest, level = hashlib.sha256(), iter([data])
+        for _ in range(depth):
+            level = unpacked(level)
+        yield from texts(hashed(level, digest))
+        if digest.digest() in seen:
+            return
+        seen.add(digest.digest())
+        depth += 1
+
+
+def hashed(chunks: Iterable[bytes], digest) -> Iterator[bytes]:
+    for chunk in chunks:
+        digest.update(chunk)
+        yield chunk
 
 
 def base64_runs(text: str) -> Iterator[tuple[int, int]]:
@@ -214,21 +305,29 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
             yield Layer(inner, whole=layer.span(start, end))
 
 
+def digest_of(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
 def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base finds plus the finds of every decoded layer, sorted, equal ones once."""
     found = set(base)
-    seen = {(text, None)}
-    work = deque([Layer(text)])
+    seen = {(digest_of(text), None)}
+    # Depth first: only the layers around the present one are held.
+    work = [unwrapped(Layer(text))]
     while work:
-        for inner in unwrapped(work.popleft()):
-            key = (inner.text, inner.whole)
-            if key in seen:
-                continue
-            seen.add(key)
-            work.append(inner)
-            for start, kind, end in base_spans(inner.text):
-                a, b = inner.span(start, end)
-                found.add((a, kind, b))
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+            continue
+        key = (digest_of(inner.text), inner.whole)
+        if key in seen:
+            continue
+        seen.add(key)
+        work.append(unwrapped(inner))
+        for start, kind, end in base_spans(inner.text):
+            a, b = inner.span(start, end)
+            found.add((a, kind, b))
     return sorted(found)
 
 

@@ -126,6 +126,38 @@ def test_no_character_hides_a_decoded_layer(data, how):
     assert (2, 0, 2 + len(hidden)) in secret_scan.all_spans(f"é {hidden} after", [])
 
 
+@pytest.mark.parametrize("how", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_every_stream_of_a_compressed_layer_is_unpacked(how):
+    for data in (how(b"a") + how(PLAIN.encode()), how(how(b"a" * 9) + b"\0" * 8 + how(b"b") + how(PLAIN.encode())),
+                 how(b"a") + gzip.compress(b"b") + bz2.compress(PLAIN.encode()) + b"rest"):
+        hidden = base64.b64encode(data).decode()
+        assert (2, 0, 2 + len(hidden)) in secret_scan.all_spans(f"é {hidden} after", [])
+
+
+def test_long_compressed_layers_are_searched_to_their_end():
+    hidden = base64.b64encode(gzip.compress(b"x" + "é, ".encode() * (18 << 20) + PLAIN.encode(), 1)).decode()
+    assert (2, 0, 2 + len(hidden)) in secret_scan.all_spans(f"é {hidden} after", [])
+
+
+def test_windows_do_not_change_the_finds(monkeypatch):
+    rnd = random.Random(3)
+    parts = [*SECRETS, "plain ", "token ", ": 'abcdefghijkl'", " = ", ", ", "\n", "\n\n", "é", urllib.parse.quote(PLAIN, safe=""),
+             escaped("pass"), "word=abcdefgh", base64.encodebytes(PLAIN.encode() * 9).decode(), packed(PLAIN)]
+    for coding in ("utf-8", "utf-16", "utf-32-be"):
+        data = "".join(rnd.choice(parts).replace("abcdefgh", f"abcdefgh{i}").replace("5678", f"5678{i}")
+                       for i in range(400)).encode(coding)
+
+        def finds():
+            return {(k, t[s:e]) for t in secret_scan.texts([data])
+                    for layer in (secret_scan.Layer(t, whole=(0, 1)), *secret_scan.unwrapped(secret_scan.Layer(t, whole=(0, 1))))
+                    for t in (layer.text,) for s, k, e in secret_scan.base_spans(t)}
+        want, n = finds(), len(list(secret_scan.texts([data])))
+        with monkeypatch.context() as m:
+            m.setattr(secret_scan, "CHUNK_BYTES", 16)
+            m.setattr(secret_scan, "WINDOW_CHARS", 32)
+            assert finds() == want and len(list(secret_scan.texts([data]))) > 9 * n
+
+
 # --------------------------------------------------------------- classifiers
 
 def sample_tables(spark, sf="sf0.01"):
