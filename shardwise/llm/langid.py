@@ -10,6 +10,11 @@ largest cosine.
 Training uses at most ``TRAIN_ROWS`` rows (the smallest digests of doc_id and
 text, so a repeat of the run picks the same); every document is scored over its
 whole text. Sums are taken in integers, so their order does not matter.
+
+The cosine of unrelated texts has a spread of 1 / sqrt(DIMS), and that of a short
+clean text may be smaller. So what counts as a known language is decided without
+it, by exact trigrams: of a text's trigrams at least ``KNOWN_SHARE`` must be known,
+that is, be in one of ``KNOWN_ROWS`` training rows of some language (at least one).
 """
 
 from __future__ import annotations
@@ -26,7 +31,9 @@ from .common import column_blocks
 
 DIMS = 512
 TRAIN_ROWS = 20_000
-REJECT_BELOW = 0.05
+REJECT_BELOW = 0.0  # least cosine: none, KNOWN_SHARE decides
+KNOWN_SHARE = 0.5
+KNOWN_ROWS = 10_000
 SEED = 20
 SCALE = 1_000_000
 
@@ -89,12 +96,20 @@ def trigrams(text: str, letters: Letters):
     return np.unique(grams, return_counts=True)
 
 
+def text_trigrams(texts: list, letters: Letters) -> list:
+    """The trigrams of every text and their counts, None without letters."""
+    return [trigrams(t, letters) if t else None for t in texts]
+
+
 def text_vectors(texts: list, letters: Letters) -> list:
     """The bundle of every text, None without letters."""
-    found = [trigrams(t, letters) if t else None for t in texts]
+    return bundles(text_trigrams(texts, letters), letters)
+
+
+def bundles(found: list, letters: Letters) -> list:
     have = [f[0] for f in found if f is not None]
     if not have:
-        return [None] * len(texts)
+        return [None] * len(found)
     grams = np.unique(np.concatenate(have))
     table = np.empty((len(grams), letters.dims), dtype=np.float32)
     for s in range(0, len(grams), 4096):
@@ -105,23 +120,63 @@ def text_vectors(texts: list, letters: Letters) -> list:
     return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS,
-          dims: int = DIMS) -> list[tuple[str, list[float]]]:
-    """Prototypes ``(language, vector)`` from the labelled rows of ``docs``.
-
-    Rows with a null label or text are left out. The result has one vector per
-    language (bounded by the label set). Empty input gives no prototypes.
-    """
+def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
+                    rows: int = TRAIN_ROWS) -> DataFrame:
+    """``lang, text`` of at most about ``rows`` labelled rows; null labels and texts are left out."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     n = labelled.count()
-    if n == 0:
-        return []
     if n > rows:
         # A digest of the text itself picks the rows, so reruns agree.
         labelled = labelled.where(
             F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+    return labelled
+
+
+def known_trigrams(sample: DataFrame) -> np.ndarray:
+    """The trigrams in at least one of ``KNOWN_ROWS`` rows of a language of ``sample``, sorted.
 
+    At most ``KNOWN_ROWS`` times the mean number of trigrams in a row, for each
+    language; the letters of a language make it far fewer.
+    """
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, seen = Letters(1), {}
+        for block in column_blocks(batches, 256):
+            found = text_trigrams(block.column(1).to_pylist(), letters)
+            by = {}
+            for name, f in zip(block.column(0).to_pylist(), found):
+                if f is not None:
+                    by.setdefault(name, []).append(f[0])
+            for name, grams in by.items():
+                old, n = seen.get(name, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                uniq, back = np.unique(np.concatenate([old, *grams]), return_inverse=True)
+                weight = np.concatenate([n, np.ones(sum(map(len, grams)), np.int64)])
+                seen[name] = uniq, np.bincount(back, weight, len(uniq)).astype(np.int64)
+        for name, (grams, n) in seen.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(n)],
+                names=["lang", "gram", "n"])
+
+    least = {r["lang"]: -(-r["count"] // KNOWN_ROWS) for r in sample.groupBy("lang").count().collect()}
+    if not least:
+        return np.zeros(0, np.int64)
+    least = F.element_at(F.create_map(*[F.lit(v) for kv in sorted(least.items()) for v in kv]), F.col("lang"))
+    grams = (sample.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram")
+             .agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("gram").distinct().toArrow())
+    return np.sort(grams.column(0).to_numpy())
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS,
+          dims: int = DIMS, id_col: str = "doc_id") -> list[tuple[str, list[float]]]:
+    """Prototypes ``(language, vector)`` from the labelled rows of ``docs``.
+
+    The rows are those of ``training_sample``. The result has one vector per
+    language (bounded by the label set). Empty input gives no prototypes.
+    """
+    return prototypes_of(training_sample(docs, text, lang, id_col, rows), dims)
+
+
+def prototypes_of(labelled: DataFrame, dims: int = DIMS) -> list[tuple[str, list[float]]]:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, sums = Letters(dims), {}
         for block in column_blocks(batches, 256):
@@ -145,10 +200,21 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = T
     return [(r["lang"], list(r["vector"])) for r in total]
 
 
+def known_share(found, known: np.ndarray) -> float:
+    if not len(known):
+        return 0.0
+    at = np.minimum(np.searchsorted(known, found[0]), len(known) - 1)
+    return float(found[1][known[at] == found[0]].sum() / found[1].sum())
+
+
 def predict(docs: DataFrame, prototypes: list, text: str = "text", pred: str = "lang_pred",
-            score: str = "score", dims: int = DIMS) -> DataFrame:
+            score: str = "score", dims: int = DIMS, known: np.ndarray | None = None,
+            share: str = "share") -> DataFrame:
     """Every column of ``docs`` plus the predicted language and its cosine in [0, 1].
 
+    With ``known`` (sorted trigrams) also the share of a text's trigrams that are
+    among them, 0 without a letter.
+
     Null texts, texts without a letter, and all texts when nothing was learned,
     get ``und`` and 0. Columns of ``docs`` with the output names are replaced.
     Ties go to the first language by code point.
@@ -158,16 +224,19 @@ def predict(docs: DataFrame, prototypes: list, text: str = "text", pred: str = "
     if len(names):
         norms = np.linalg.norm(protos, axis=1, keepdims=True)
         protos = protos / np.where(norms == 0, 1, norms)
-    keep = [c for c in docs.columns if c not in (pred, score)]
+    added = [pred, score] + ([share] if known is not None else [])
+    keep = [c for c in docs.columns if c not in added]
     src = docs.select(*keep)
-    schema = StructType([*src.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
+    schema = StructType([*src.schema.fields, StructField(pred, StringType()),
+                         *[StructField(c, DoubleType()) for c in added[1:]]])
     at = keep.index(text)
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters(dims)
         for block in column_blocks(batches, 256):
             langs, scores = [], []
-            for vec in text_vectors(block.column(at).to_pylist(), letters):
+            found = text_trigrams(block.column(at).to_pylist(), letters)
+            for vec in bundles(found, letters):
                 norm = 0.0 if vec is None else float(np.linalg.norm(vec))
                 if not names or norm == 0.0:
                     langs.append("und")
@@ -177,9 +246,10 @@ def predict(docs: DataFrame, prototypes: list, text: str = "text", pred: str = "
                     best = int(np.argmax(cos))
                     langs.append(names[best])
                     scores.append(min(1.0, max(0.0, float(cos[best]))))
-            yield pa.RecordBatch.from_arrays(
-                [*block.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*keep, pred, score])
+            extra = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            if known is not None:
+                extra.append(pa.array([0.0 if f is None else known_share(f, known) for f in found], pa.float64()))
+            yield pa.RecordBatch.from_arrays([*block.columns, *extra], names=[*keep, *added])
 
     return src.mapInArrow(score_batches, schema)
 
@@ -199,8 +269,12 @@ def identify(docs: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, floor: float = REJECT_BELOW) -> DataFrame:
-    """The rows of ``docs`` in a known language: ``und`` and scores below ``floor`` go."""
+def keep_identified(docs: DataFrame, floor: float = REJECT_BELOW, share: float = KNOWN_SHARE) -> DataFrame:
+    """The rows of ``docs`` in a known language: ``und``, scores below ``floor`` and
+    texts of whose trigrams less than ``share`` are known go."""
     columns = docs.columns
-    scored = predict(docs, train_documents(docs), pred="__lang", score="__score")
-    return scored.where((F.col("__lang") != "und") & (F.col("__score") >= floor)).select(*columns)
+    sample = training_sample(docs.where(~held_out(F.col("doc_id"))))
+    scored = predict(docs, prototypes_of(sample), pred="__lang", score="__score", known=known_trigrams(sample),
+                     share="__share")
+    return scored.where((F.col("__lang") != "und") & (F.col("__score") >= floor)
+                        & (F.col("__share") >= share)).select(*columns)

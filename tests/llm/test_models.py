@@ -251,6 +251,22 @@ def test_language_id_of_odd_rows(spark):
     assert {1, 4} <= {r["doc_id"] for r in kept.collect()} and not {7, 8, 9} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_short_clean_texts_stay_and_unlearned_scripts_go(spark):
+    docs, _ = sample_tables(spark)
+    rnd = random.Random(4)
+    held = [r["text"] for r in docs.where(langid.held_out(F.col("doc_id"))).select("text").collect()]
+    short = [w for t in held for w in rnd.sample(t.split(), min(3, len(t.split()))) if any(c.isalpha() for c in w)]
+    first = {"Cyrillic": 0x430, "Greek": 0x3B1, "Hiragana": 0x3042, "Hangul": 0xAC00, "Thai": 0xE01}
+    unknown = [" ".join("".join(chr(at + rnd.randrange(24)) for _ in range(rnd.randint(2, 9))) for _ in range(200))
+               for at in first.values() for _ in range(40)]
+    more = docs_frame(spark, [(f * 10**6 + i, t, None) for f, some in ((1, short), (2, unknown))
+                              for i, t in enumerate(some)], extra=False).select(docs.columns)
+    ids = [r["doc_id"] for r in langid.keep_identified(docs.unionByName(more)).select("doc_id").collect()]
+    assert sum(10**6 <= i < 2 * 10**6 for i in ids) >= 0.99 * len(short)
+    assert not [i for i in ids if i >= 2 * 10**6]
+    assert sum(i < 10**6 for i in ids) == docs.count()
+
+
 def test_trigram_vectors_are_bound_permutations():
     letters = langid.Letters(64)
     a, b, c = (letters.vectors(np.array([ord(x)]))[0] for x in "abc")
