@@ -7,9 +7,10 @@ its trigram vectors; a language prototype is the bundle of the normalised
 vectors of its training texts. A text gets the language whose prototype has the
 largest cosine.
 
-Training uses at most ``TRAIN_ROWS`` rows (the smallest digests of doc_id and
-text, so a repeat of the run picks the same); every document is scored over its
-whole text. Sums are taken in integers, so their order does not matter.
+Training uses about ``TRAIN_ROWS`` rows of each language (all of a rarer one; the
+smallest digests of doc_id and text, so a repeat of the run picks the same, and
+rows equal in both once); every document is scored over its whole text. Sums are
+taken in integers, so their order does not matter.
 
 The cosine of unrelated texts has a spread of 1 / sqrt(DIMS), and that of a short
 clean text may be smaller. So what counts as a known language is decided without
@@ -122,15 +123,24 @@ def bundles(found: list, letters: Letters) -> list:
 
 def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
                     rows: int = TRAIN_ROWS) -> DataFrame:
-    """``lang, text`` of at most about ``rows`` labelled rows; null labels and texts are left out."""
+    """``lang, text`` of about ``rows`` labelled rows of each language, all of a rarer one.
+
+    Rows with a null label or text are left out. Rows equal in label, id and text
+    count once in a language that is sampled.
+    """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    n = labelled.count()
-    if n > rows:
-        # A digest of the text itself picks the rows, so reruns agree.
-        labelled = labelled.where(
-            F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
-    return labelled
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
+        (F.col(id_col) if id_col in docs.columns else F.lit(None).cast("string")).alias("id"))
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    many = {name: n for name, n in counts.items() if n > rows}
+    if not many:
+        return labelled.select("lang", "text")
+    # A digest of the row picks the rows, so reruns agree.
+    cut = F.create_map(*[F.lit(v) for name, n in sorted(many.items()) for v in (name, int((1 << 20) * rows / n))])
+    cut = F.element_at(cut, F.col("lang"))
+    drawn = labelled.where(F.col("lang").isin(*many)).where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < cut)
+    return labelled.where(~F.col("lang").isin(*many)).select("lang", "text").unionByName(
+        drawn.dropDuplicates(["lang", "id", "text"]).select("lang", "text"))
 
 
 def known_trigrams(sample: DataFrame) -> np.ndarray:

@@ -267,6 +267,16 @@ def test_short_clean_texts_stay_and_unlearned_scripts_go(spark):
     assert sum(i < 10**6 for i in ids) == docs.count()
 
 
+def test_training_rows_are_bounded_for_each_language(spark):
+    rows = [(i, "the same text in many rows", "en") for i in range(3000)] + [
+        (None, "copies without an id", "en") for _ in range(1000)] + [
+        (10_000 + i, f"ein text {i}", "de") for i in range(2000)] + [(20_000 + i, "rare", "xx") for i in range(3)]
+    docs = docs_frame(spark, rows, extra=False)
+    got = {r["lang"]: r["count"] for r in langid.training_sample(docs, rows=500).groupBy("lang").count().collect()}
+    assert 300 < got["en"] < 600 and 400 < got["de"] < 600 and got["xx"] == 3
+    assert {n for n, _ in langid.train(docs, rows=500)} == {"en", "de", "xx"}
+
+
 def test_trigram_vectors_are_bound_permutations():
     letters = langid.Letters(64)
     a, b, c = (letters.vectors(np.array([ord(x)]))[0] for x in "abc")
