@@ -1,9 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the distinct runs of letters of the lower-cased text, hashed into
-``BUCKETS`` buckets. From a bounded labelled sample the buckets most associated
-with the label are kept as features; the machine learns a weight and a vector
-for each and scores ``bias + sum(w) + sum over pairs of <v_i, v_j>``, so that a
+``BUCKETS`` buckets. From a bounded labelled sample two kinds of buckets are kept
+as features: those most associated with the label by themselves (at most
+``FEATURES``, z of at least ``LEAST_Z``), and the members of pairs whose share of
+label 1 is not what the two shares tell (at most ``FEATURES`` more, z of at least
+``PAIR_Z``). Pairs are looked for among the first kind and the ``PAIR_TERMS`` most
+frequent buckets. The machine learns a weight and a vector for each and scores ``bias + sum(w) + sum over pairs of <v_i, v_j>``, so that a
 pair of terms (an insult next to the mention of a group) can weigh more than
 the two alone. Presence counts, not frequency, so long texts are not diluted.
 
@@ -30,6 +33,9 @@ BUCKETS = 1 << 20
 FEATURES = 1024
 FACTORS = 8
 LEAST_Z = 5.0
+PAIR_TERMS = 2048
+PAIR_ROWS = 10
+PAIR_Z = 6.0
 SEED = 9
 LETTERS = r"\p{L}+"
 
@@ -117,6 +123,43 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: list[int], factors:
     return Machine(buckets, float(params[0][0]), params[1], params[2])
 
 
+def paired(rows: list[np.ndarray], labels: np.ndarray, k: int, limit: int, least: float = PAIR_Z) -> list[int]:
+    """The terms below ``k`` in pairs whose label does not follow from the two alone.
+
+    Expected is the share of label 1 by adding the log odds of the two terms; the
+    z value of the pair's count has a continuity correction. Pairs in fewer than
+    ``PAIR_ROWS`` rows are left out. The strongest pairs come first, up to
+    ``limit`` terms.
+    """
+    both, ones = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    for s in range(0, len(rows), 2048):
+        part = rows[s:s + 2048]
+        x = np.zeros((len(part), k), np.float32)
+        for i, r in enumerate(part):
+            x[i, r] = 1.0
+        both += x.T @ x
+        x = x[labels[s:s + 2048] == 1]
+        ones += x.T @ x
+    # Log odds with half a row of each label added, relative to those of all rows.
+    n, n1 = np.diag(both).astype(np.float64), np.diag(ones).astype(np.float64)
+    base = np.log((labels.sum() + 0.5) / ((1 - labels).sum() + 0.5))
+    odds = np.log((n1 + 0.5) / (n - n1 + 0.5)) - base
+    found = []
+    for s in range(0, k, 256):
+        m, m1 = both[s:s + 256].astype(np.float64), ones[s:s + 256].astype(np.float64)
+        p = 1 / (1 + np.exp(-np.clip(odds[s:s + 256, None] + odds + base, -40, 40)))
+        z = (np.abs(m1 - m * p) - 0.5) / np.sqrt(m * p * (1 - p) + 0.25)
+        z[m < PAIR_ROWS] = 0
+        a, b = np.nonzero(np.triu(z >= least, s + 1))
+        order = np.argsort(-z[a, b], kind="stable")[:limit * 8]
+        found += [(-z[a[i], b[i]], int(a[i]) + s, int(b[i])) for i in order]
+    out = {}
+    for _, a, b in sorted(found):
+        if len(out.keys() | {a, b}) <= limit:
+            out[a] = out[b] = True
+    return list(out)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS,
           features: int = FEATURES) -> Machine:
     """Learn the machine from labelled documents outside the held-out fold.
@@ -143,19 +186,39 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     # z value of the term's count among rows labelled 1, with a continuity correction.
     expected = F.col("n") * F.lit(ones / total)
     spread = F.sqrt(expected * F.lit(1 - ones / total) * (1 - F.col("n") / F.lit(total)) + F.lit(1e-9))
-    chosen = (bags.select("label", F.explode("buckets").alias("bucket"))
+    counts = (bags.select("label", F.explode("buckets").alias("bucket"))
               .groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones"))
-              .where("n >= 2").withColumn("z", (F.abs(F.col("ones") - expected) - 0.5) / spread)
-              .where(F.col("z") >= LEAST_Z)
-              .orderBy(F.desc("z"), "bucket").limit(features).collect())
-    buckets = [r["bucket"] for r in chosen]
-    number = {bucket: i for i, bucket in enumerate(buckets)}
-    wanted = F.array_intersect("buckets", F.array(*[F.lit(v).cast("long") for v in buckets]))
-    # The sample is bounded (TRAIN_ROWS) and so are the features kept of each row.
-    kept = bags.select("doc_id", "label", wanted.alias("b")).orderBy("doc_id", "label", "b").collect()
+              .where("n >= 2").withColumn("z", (F.abs(F.col("ones") - expected) - 0.5) / spread).persist())
+    alone = [r["bucket"] for r in counts.where(F.col("z") >= LEAST_Z)
+             .orderBy(F.desc("z"), "bucket").limit(features).select("bucket").collect()]
+    often = [r["bucket"] for r in counts.where(F.col("n") >= PAIR_ROWS)
+             .orderBy(F.desc("n"), "bucket").limit(PAIR_TERMS).select("bucket").collect()]
+    counts.unpersist()
+    pool = alone + sorted(set(often) - set(alone))
+    sorted_pool, place = np.sort(np.array(pool, np.int64)), np.argsort(np.array(pool, np.int64)).astype(np.int32)
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for found in batch.column(2).to_pylist():
+                _, at, _ = np.intersect1d(sorted_pool, np.array(found, np.int64), assume_unique=True,
+                                          return_indices=True)
+                out.append(np.sort(place[at]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "label", "b"])
+
+    # The sample is bounded (TRAIN_ROWS) and so are the buckets kept of each row.
+    kept = bags.mapInArrow(pooled, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, "
+                                   "label int, b array<int>").orderBy("doc_id", "label", "b").toArrow()
     bags.unpersist()
-    return fit([np.array(sorted(number[v] for v in r["b"]), dtype=np.int64) for r in kept],
-               np.array([r["label"] for r in kept], dtype=np.float64), buckets)
+    rows_of = [np.array(r.values, dtype=np.int64) for r in kept.column("b")]
+    y = kept.column("label").to_numpy().astype(np.float64)
+    used = list(range(len(alone)))
+    used += sorted(set(paired(rows_of, y, len(pool), features)) - set(used))
+    number = np.full(len(pool), -1)
+    number[used] = np.arange(len(used))
+    picked = [number[r] for r in rows_of]
+    return fit([np.sort(r[r >= 0]) for r in picked], y, [pool[i] for i in used])
 
 
 def score_texts(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -227,6 +227,25 @@ def test_pairs_of_terms_are_learned():
     assert p[0] > 0.7 and p[3] > 0.7 and p[1] < 0.3 and p[2] < 0.3
 
 
+def test_a_term_that_is_toxic_only_beside_another_is_learned_by_training(spark):
+    rnd = random.Random(5)
+    rows, labels = [], []
+    for i in range(9000):
+        words = [f"word{''.join(chr(97 + int(c)) for c in str(rnd.randrange(300)))}" for _ in range(8)]
+        # the name is as toxic as any text unless the insult is beside it
+        name, insult = i % 25 == 0, i % 10 == 3 or i % 200 == 0
+        toxic = rnd.random() < (1 if name and insult else 0.3 if insult else 0.06 if name else 0.1)
+        rows.append((i, " ".join(words + ["thename"] * name + ["insult"] * insult)))
+        labels.append((i, int(toxic)))
+    share, own = np.mean([y for _, y in labels]), [y for i, y in labels if i % 25 == 0]
+    assert abs(sum(own) - len(own) * share) < toxicity.LEAST_Z * (len(own) * share * (1 - share)) ** 0.5
+    docs = docs_frame(spark, rows, extra=False)
+    machine = toxicity.train(docs, spark.createDataFrame(labels, "doc_id LONG, toxic INT"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs_frame(spark, [
+        (1, "worda"), (2, "worda insult"), (3, "worda thename"), (4, "worda thename insult")]), machine).collect()}
+    assert got[4] > got[2] + 0.1 and got[3] < 0.6 and got[4] > 0.9, got
+
+
 # --------------------------------------------------------------- language ID
 
 def test_language_id_on_held_out_documents(spark):
