@@ -29,6 +29,11 @@ COLUMNS = {
     "op8_": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
     "op9_": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10_": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op11_": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op12_": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint",
+              "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"},
+    "op13_": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint",
+              "positive_score": "bigint", "negative_score": "bigint"},
 }
 
 
@@ -39,8 +44,9 @@ def test_contract_columns_and_rows(spark, prefix):
     kinds = dict(df.dtypes)
     assert {c: kinds.get(c) for c in COLUMNS[prefix]} == COLUMNS[prefix]
     rows = df.count()
-    if prefix not in ("op3_", "op7_"):
-        assert rows == table(spark, SF, "embeddings" if prefix == "op1_" else "documents").count()
+    if prefix not in ("op3_", "op7_", "op13_"):
+        name = {"op1_": "embeddings", "op11_": "pages"}.get(prefix, "documents")
+        assert rows == table(spark, SF, name).count()
     assert rows > 0
 
 
