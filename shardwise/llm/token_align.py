@@ -43,6 +43,7 @@ VOCABULARY_B = "piece_bpe_32k.model"
 FREQUENT = 1 << 17  # other pairs whose counts go to all tasks (2 MB); the rest are joined
 REMEMBERED = 300_000  # cut parts a worker remembers
 LONGEST_REMEMBERED = 64  # characters
+TOGETHER = 256  # parts encoded in one call
 
 SPACE = "▁"
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -141,57 +142,84 @@ class Parts:
         if len(self.strings) > REMEMBERED or self.characters > 32 * REMEMBERED:
             self.forget()
 
+    def encode(self, parts: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of both sides for parts with single blanks between, or None if their bytes differ from the text's."""
+        v = self.v
+        joined = " ".join(parts)
+        a = np.array(v.a.encode(" " + joined, add_special_tokens=False).ids, dtype=np.int64)
+        b = np.array(v.b.encode(joined), dtype=np.int64)
+        whole = b"".join(texts)
+        if (take(v.flat_a, v.starts_a, a)[0].tobytes() != whole or take(v.flat_b, v.starts_b, b)[0].tobytes() != whole):
+            return None
+        return a, b
+
     def learn(self, new: list[str]) -> None:
         v = self.v
         self.long.extend(p for p in new if len(p) > LONGEST_REMEMBERED)
         self.characters += sum(map(len, new))
         texts = [(" " + p).encode() for p in new]
-        ids_a = [np.array(e.ids, dtype=np.int64) for e in v.a.encode_batch([" " + p for p in new], add_special_tokens=False)]
-        ids_b = [np.array(i, dtype=np.int64) for i in v.b.encode(new, num_threads=1)]
-        sizes, strings, pairs, times, broken = [], [], [], [], []
-        length_a, length_b = np.diff(v.starts_a), np.diff(v.starts_b)
-        for text, a, b in zip(texts, ids_a, ids_b):
-            end_a, end_b = np.cumsum(length_a[a]), np.cumsum(length_b[b])
-            whole = (len(a) and len(b) and end_a[-1] == end_b[-1] == len(text)
-                     and take(v.flat_a, v.starts_a, a)[0].tobytes() == text
-                     and take(v.flat_b, v.starts_b, b)[0].tobytes() == text)
-            broken.append(not whole)
-            if not whole:
-                sizes.append((0, 0, 0))
-                strings.append("")
-                pairs.append(np.zeros(0, dtype=np.int64))
-                times.append(pairs[-1])
-                continue
-            if len(a) == len(b) == 1:  # one group of one token each, as most words of frequent vocabulary
-                sizes.append((1, 1, 1))
-                strings.append(f"{a[0]}|{b[0]}")
-                pairs.append(a * v.n_b + b)
-                times.append(np.ones(1, dtype=np.int64))
-                continue
+        # White space at an end (of the whole text, then) would reach into the next part.
+        alone = {i for i, p in enumerate(new) if not v.cuts or p[0].isspace() or p[-1].isspace()}
+        together = [i for i in range(len(new)) if i not in alone] if alone else list(range(len(new)))
+        chunks = [together[i:i + TOGETHER] for i in range(0, len(together), TOGETHER)] + [[i] for i in alone]
+        broken = np.ones(len(new), dtype=bool)
+        order, found = [], []
+        while chunks:
+            chunk = chunks.pop()
+            ids = self.encode([new[i] for i in chunk], [texts[i] for i in chunk])
+            if ids is not None:
+                order.extend(chunk)
+                found.append(ids)
+            elif len(chunk) > 1:
+                chunks += [chunk[:len(chunk) // 2], chunk[len(chunk) // 2:]]
+        sizes = np.zeros((len(new), 3), dtype=np.int64)
+        strings = [""] * len(new)
+        lengths = np.zeros(len(new), dtype=np.int64)
+        pairs = times = np.zeros(0, dtype=np.int64)
+        if order:
+            broken[order] = False
+            a, b = (np.concatenate(side) for side in zip(*found))
+            # All parts in a row: both sides end wherever a part ends, so one pass aligns them all.
+            end_a = np.cumsum(v.starts_a[a + 1] - v.starts_a[a])
+            end_b = np.cumsum(v.starts_b[b + 1] - v.starts_b[b])
+            stops = np.cumsum([len(texts[i]) for i in order])
             common = np.intersect1d(end_a, end_b, assume_unique=True)
-            sizes.append((len(a), len(b), len(common)))
-            cut_a = [0, *(np.searchsorted(end_a, common) + 1).tolist()]
-            cut_b = [0, *(np.searchsorted(end_b, common) + 1).tolist()]
-            name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            strings.append(";".join(
-                ",".join(name_a[cut_a[i]:cut_a[i + 1]]) + "|" + ",".join(name_b[cut_b[i]:cut_b[i + 1]])
-                for i in range(len(common))))
+            sizes[order] = np.stack([np.diff(np.searchsorted(ends, stops), prepend=-1)
+                                     for ends in (end_a, end_b, common)]).T
+            for i, text in zip(order, group_strings(a, b, end_a, end_b, common, stops)):
+                strings[i] = text
             # Between neighbouring ends of either side lies the overlap of exactly one pair of tokens.
             ends = np.union1d(end_a, end_b)
-            found, often = np.unique(a[np.searchsorted(end_a, ends)] * v.n_b + b[np.searchsorted(end_b, ends)],
-                                     return_counts=True)
-            pairs.append(found)
-            times.append(often)
+            rank = np.argsort(np.argsort(order))  # the part's place among the parts in order
+            part, pairs, times = by_text(
+                rank[np.searchsorted(stops, ends)],
+                a[np.searchsorted(end_a, ends)] * v.n_b + b[np.searchsorted(end_b, ends)],
+                np.ones(len(ends)), v.n_a * v.n_b)
+            lengths[np.sort(order)] = np.bincount(part, minlength=len(order))
         first = len(self.strings)
         self.strings.extend(strings)
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64).reshape(-1, 3)])
-        self.broken = np.concatenate([self.broken, np.array(broken, dtype=bool)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(p) for p in pairs])])
-        self.pairs = np.concatenate([self.pairs, *pairs])
-        self.times = np.concatenate([self.times, *times])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.broken = np.concatenate([self.broken, broken])
+        self.pairs = np.concatenate([self.pairs, pairs])
+        self.times = np.concatenate([self.times, times])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.known.update(zip(new, range(first, first + len(new))))
 
 
+def group_strings(a, b, end_a, end_b, common, stops) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3`` of every part: the tokens of all groups in order, each with the mark behind it."""
+    group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+    last_a = common[group_a] == end_a
+    last_b = np.where(common[group_b] == end_b, np.where(np.isin(end_b, stops, assume_unique=True), 2, 1), 0)
+    pieces = [f"{i}{',|'[m]}" for i, m in zip(a.tolist(), last_a.astype(np.int8).tolist())]
+    marks = (",", ";", "")
+    pieces += [f"{i}{marks[m]}" for i, m in zip(b.tolist(), last_b.tolist())]
+    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable").tolist()
+    pieces = [pieces[i] for i in order]
+    cuts = [0, *(np.searchsorted(end_a, stops) + np.searchsorted(end_b, stops) + 2).tolist()]
+    return ["".join(pieces[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+
 def parts_of(text: str | None, cuts: bool) -> list[str]:
     if not text:
         return []
