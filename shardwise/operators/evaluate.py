@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import log_softmax, negative_log_likelihood
+from ..functions.arrays import nll_of_scores
 
 
 def row_losses(df: DataFrame, logits: str | Column, label: str, name: str = "loss") -> DataFrame:
     """Add ``name`` = NLL of ``label`` under ``log_softmax(logits)``. [F1, F2]"""
     arr = F.col(logits) if isinstance(logits, str) else logits
-    return df.withColumn(name, negative_log_likelihood(log_softmax(arr), label))
+    return df.withColumn(name, nll_of_scores(arr, label))
 
 
 def batch_losses(scored: DataFrame, batch: str = "batch", loss: str = "loss") -> DataFrame:

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.rowindex import object_uri, with_parquet_row_index, written
 from ..operators import manifest, stats
+from ..operators.shards import max_shards_for_epochs
 from ..session import scratch_path
 from ..sources import meta
 from ..streaming import feed
 from .dataset import ShardedDataset
 
+ROWS_PER_PART = 1_000_000
 CUSTOMER = "c_custkey BIGINT, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
 CUSTOMER_COLS = ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
@@ -26,11 +28,12 @@ def _table(spark, d, name) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
-def _customer_parts(spark, d, with_manifest: bool = False, parts: int = 5) -> str:
-    """Customer as header CSV parts in key order; returns their glob."""
+def _customer_parts(spark, d, with_manifest: bool = False) -> str:
+    """Customer as header CSV parts in key order, five or more with the rows; returns their glob."""
     folder = scratch_path(spark, "customer parts")  # a blank in the name on purpose
-    rows = (_table(spark, d, "customer").select(*CUSTOMER_COLS)
-            .repartitionByRange(parts, "c_custkey").sortWithinPartitions("c_custkey"))
+    customers = _table(spark, d, "customer").select(*CUSTOMER_COLS)
+    parts = max(5, -(-customers.count() // ROWS_PER_PART))
+    rows = customers.repartitionByRange(parts, "c_custkey").sortWithinPartitions("c_custkey")
     if with_manifest:
         meta.write_with_manifest(rows, folder)
     else:
@@ -78,13 +81,13 @@ def q_csv_read_shard(spark, d):
 
 
 def q_csv_worker_feed(spark, d):
-    """One worker's shards for one pass over the objects. [C1, C8]"""
+    """One worker's shards for one pass over the objects; the last ones wrap to the head. [C1, C8]"""
     data = _dataset(spark, d, replicas=2, worker=0)
-    return _named(data.shards(max_shards=data.row_count // 128))
+    return _named(data.shards(max_shards=max_shards_for_epochs(data.row_count, 64, 2)))
 
 
 def q_csv_features(spark, d):
-    """Numeric columns found by type, as vectors. [D1, H1, H2]"""
+    """Numeric columns found by type, as vectors; the last shard wraps to the head. [D1, H1, H2]"""
     calls = []
 
     def counted(spark_, glob, header=None):
@@ -96,7 +99,7 @@ def q_csv_features(spark, d):
 
     data = _dataset(spark, d, index_shards=True, objs_to_shards_df_fn=counted, make_shards_df_fn=offsets)
     assert calls, "the counting hook was not used"
-    return data.features(max_shards=data.row_count // 64)
+    return data.features(max_shards=max_shards_for_epochs(data.row_count, 64))
 
 
 def q_csv_empty_parts(spark, d):
@@ -246,9 +249,9 @@ SELECT {_COLS}, row_idx - n // 3 AS seq FROM idx, prm WHERE row_idx >= n // 3 AN
 SELECT {_COLS}, CASE WHEN row_idx >= 2 * n // 3 THEN row_idx - 2 * n // 3 ELSE row_idx + n - 2 * n // 3 END AS seq
 FROM idx, prm WHERE row_idx >= 2 * n // 3 OR row_idx < n // 3""",
         "csv_read_shard": _shards_sql(64, 3, "((n // 192) * 3 + 1) * 64", "((n // 192) * 3 + 2) * 64", "true", _COLS),
-        "csv_worker_feed": _shards_sql(64, 2, "0", "(n // 128) * 128", "(p // 64) % 2 = 0", _COLS),
+        "csv_worker_feed": _shards_sql(64, 2, "0", "((n + 127) // 128) * 128", "(p // 64) % 2 = 0", _COLS),
         "csv_features": _shards_sql(
-            64, 1, "0", "(n // 64) * 64", "true",
+            64, 1, "0", "((n + 63) // 64) * 64", "true",
             "[CAST(c_custkey AS DOUBLE), CAST(c_nationkey AS DOUBLE), c_acctbal] AS features"),
         "object_counts": """
 WITH c AS (SELECT CAST(o_orderkey % 8 AS INTEGER) AS id, count(*) AS n FROM orders GROUP BY 1)

@@ -1,10 +1,11 @@
 import math
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardwise.functions.arrays import log_softmax
+from shardwise.functions.arrays import log_softmax, log_sum_exp
 from shardwise.functions.rowindex import with_row_index
 from shardwise.operators import evaluate, features
 
@@ -53,6 +54,37 @@ def test_log_softmax_matches_numpy(spark):
     assert list(row["l"]) == pytest.approx(list(expected))
 
 
+def test_log_sum_exp_of_odd_arrays(spark):
+    inf, nan = float("inf"), float("nan")
+    cases = [[], [0.5], [-inf, 0.5, -inf], [3.0, None, 1.0], [1.0, nan], [-1e308, 1e308], [2.0, 2.0, 1.0, 5.0, 5.0]]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i INT, x ARRAY<DOUBLE>").orderBy("i").select(
+        log_sum_exp("x").alias("z"), log_softmax("x").alias("l")).collect()
+    assert rows[0]["z"] is None and rows[0]["l"] == []
+    assert rows[1]["z"] == pytest.approx(0.5) and rows[2]["z"] == pytest.approx(0.5)
+    assert rows[2]["l"] == pytest.approx([-inf, 0.0, -inf])
+    assert rows[3]["z"] is None and rows[3]["l"] == [None, None, None]
+    assert math.isnan(rows[4]["z"]) and rows[5]["z"] == pytest.approx(1e308)
+    assert rows[6]["z"] == pytest.approx(math.log(2 * math.exp(5) + 2 * math.exp(2) + math.e))
+
+
+def test_loss_is_linear_in_the_length(spark):
+    def seconds(dims):
+        scores = F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: F.sin(i * (F.col("id") % 97 + 1)))
+        df = spark.range(4000).select(scores.alias("x"), (F.col("id") % dims).alias("y")).cache()
+        df.count()
+        best = math.inf
+        for _ in range(3):
+            start = time.perf_counter()
+            total = evaluate.row_losses(df, "x", "y").agg(F.sum("loss")).first()[0]
+            best = min(best, time.perf_counter() - start)
+        assert total > 0
+        df.unpersist()
+        return best
+
+    seconds(8)
+    assert seconds(2048) < 20 * seconds(256) + 1
+
+
 def test_epoch_loss_mean_of_batch_means(spark):
     emb = spark.read.parquet(f"{TESTDATA}/sf0.001/embeddings.parquet")
     idx = with_row_index(emb, "vec_id")
