@@ -25,6 +25,7 @@ distributed running count and joined to the rules.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -115,10 +116,19 @@ class WordIds(dict):
             self[word] = self[stem] + self[marks]
 
 
+# A capital with a byte behind it that may begin a combining mark (U+0300 on): the tokenizer
+# composes the two before it lower-cases, and the small letter may compose otherwise.
+COMPOSED = re.compile(rb"[A-Z][\xcc-\xff]")
+
+
 def words_of(text: str | None) -> list[bytes]:
-    """The words of a text; lower-cased (A-Z) unless a special token may be spelt in it."""
+    """The words of a text; lower-cased (A-Z) unless a special token or a composed capital may be spelt in it."""
     data = text.encode("utf-8", "replace") if text else b""
-    return data.split() if SPECIAL in data else data.lower().split()
+    if SPECIAL in data:
+        return data.split()
+    if COMPOSED.search(data):
+        return [w.lower() if w.isascii() else w for w in data.split()]
+    return data.lower().split()
 
 
 def token_bytes(texts: list, ids: WordIds, end_id: int = END_ID) -> Iterator[bytes]:

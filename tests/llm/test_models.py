@@ -350,6 +350,21 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs_frame(spark, rows).where("false")).count() == 0
 
 
+def test_ids_of_letters_with_marks():
+    """A word's ids are the whole text's for every letter with every combining mark, and in random texts."""
+    ids = packing.WordIds(PATH)
+    tokenizer = Tokenizer.from_file(PATH)
+    marks = [chr(c) for c in (*range(0x300, 0x370), 0x1DC0, 0x20D0, 0xFE20)]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = [" ".join(f"{a}{m} x{a}{m}Y {a}{m}\u0323\u0308" for m in marks) for a in letters]
+    rnd = random.Random(12)
+    alphabet = letters + "  \n.,'-09\u00e9\u00c9\u0308\u0301\u0323\u0130\u03a3\u1e9e\u00df<|"
+    texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 30))) for _ in range(20_000)]
+    end = np.array([1], dtype="<u4").tobytes()
+    for text, got in zip(texts, packing.token_bytes(texts, ids)):
+        assert got == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end, text
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 100), st.integers(1, 60)), max_size=25), st.integers(1, 12))
 def test_plans_place_every_piece_once(items, groups):
