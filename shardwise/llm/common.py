@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that their names cannot clash with working columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def row_place(df: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """``df`` with its rows' file and place in the file, which name a row for good.
+
+    A frame that is no scan of files is written first.
+    """
+    try:
+        place = df.metadataColumn("_metadata")
+        df.select(place["file_path"], place["row_index"])
+    except AnalysisException:
+        df = materialize(df, "rows")
+        place = df.metadataColumn("_metadata")
+    return df, place["file_path"], place["row_index"]
+
+
 def partitions(spark: SparkSession) -> int:
     return default_parallelism(spark)
 

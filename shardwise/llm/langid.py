@@ -28,11 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import column_blocks
+from .common import column_blocks, whole_row
 
 DIMS = 512
 TRAIN_ROWS = 20_000
-REJECT_BELOW = 0.0  # least cosine: none, KNOWN_SHARE decides
 KNOWN_SHARE = 0.5
 KNOWN_ROWS = 10_000
 SEED = 20
@@ -279,12 +278,10 @@ def identify(docs: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, floor: float = REJECT_BELOW, share: float = KNOWN_SHARE) -> DataFrame:
-    """The rows of ``docs`` in a known language: ``und``, scores below ``floor`` and
-    texts of whose trigrams less than ``share`` are known go."""
-    columns = docs.columns
+def keep_identified(docs: DataFrame, share: float = KNOWN_SHARE) -> DataFrame:
+    """The rows of ``docs`` in a known language: ``und`` and texts of whose
+    trigrams less than ``share`` are known go. Columns of any name come through."""
     sample = training_sample(docs.where(~held_out(F.col("doc_id"))))
-    scored = predict(docs, prototypes_of(sample), pred="__lang", score="__score", known=known_trigrams(sample),
-                     share="__share")
-    return scored.where((F.col("__lang") != "und") & (F.col("__score") >= floor)
-                        & (F.col("__share") >= share)).select(*columns)
+    rows = docs.select(whole_row(docs).alias("given"), "text")
+    scored = predict(rows, prototypes_of(sample), known=known_trigrams(sample))
+    return scored.where((F.col("lang_pred") != "und") & (F.col("share") >= share)).select("given.*")
