@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import materialize, partitions
+from .common import materialize, partitions, whole_row
 
 LEAST_CHARS = 10
 BATCHES = 4
 FANOUT = 2
+BUCKET_ROWS = 8_000_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -51,9 +52,10 @@ def key_hash(key: Column) -> Column:
 class Runs:
     """Levelled sorted runs of key hashes, as bucketed tables in the shared folder."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, rows: int = 0):
         self.spark, self.fanout = spark, fanout
-        self.buckets = partitions(spark)
+        # Of so many rows in all, a bucket gets a bounded share.
+        self.buckets = min(100_000, max(partitions(spark), -(-rows // BUCKET_ROWS)))
         self.levels: list[list[str]] = []
 
     def _write(self, keys: DataFrame) -> str:
@@ -105,27 +107,51 @@ def dropped_keys(keys: DataFrame, runs: Runs) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, text: str, id_col: str, least: int = LEAST_CHARS,
                     batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """``id, gone``: for every document that loses lines, the hashes of their keys."""
+    """``id, digest, gone``: for every text that loses lines, their places (from 0)."""
     key = F.col("key")
-    keys = materialize(
+    lines = materialize(
         docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.explode(lines_of(F.col(text))).alias("line"))
-        .select("id", line_key(F.col("line")).alias("key")).where(F.char_length(key) >= least)
-        .select("id", key_hash(key).alias("h")).select("id", "h.h1", "h.h2").distinct(), "line-keys")
-    cuts = keys.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"]
+        # The digest is taken below the lines: above them it would be taken again for each.
+        .select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), lines_of(F.col(text)).alias("lines"))
+        .select("id", "digest", F.posexplode("lines").alias("pos", "line"))
+        .select("id", "digest", "pos", line_key(F.col("line")).alias("key")).where(F.char_length(key) >= least)
+        .select("id", "digest", "pos", key_hash(key).alias("h")).select("id", "digest", "pos", "h.h1", "h.h2"),
+        "line-places")
+    keys = materialize(lines.select("id", "h1", "h2").distinct(), "line-keys")
+    cuts, rows = keys.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000).alias("c"),
+                          F.count(F.lit(1))).first()
     edges = sorted(set(cuts or []))
-    runs = Runs(docs.sparkSession, fanout)
+    runs = Runs(docs.sparkSession, fanout, rows)
     gone = None
-    for lo, hi in zip([None, *edges], [*edges, None]):
-        batch = keys
-        if lo is not None:
-            batch = batch.where(F.col("id") >= lo)
-        if hi is not None:
-            batch = batch.where(F.col("id") < hi)
-        part = materialize(dropped_keys(batch, runs), "line-gone")
-        gone = part if gone is None else gone.unionByName(part)
-    runs.close()
-    return gone.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    try:
+        for lo, hi in zip([None, *edges], [*edges, None]):
+            batch = keys
+            if lo is not None:
+                batch = batch.where(F.col("id") >= lo)
+            if hi is not None:
+                batch = batch.where(F.col("id") < hi)
+            part = materialize(dropped_keys(batch, runs), "line-gone")
+            gone = part if gone is None else gone.unionByName(part)
+    finally:
+        runs.close()
+    # Equal rows have equal places, so a set holds them once.
+    return lines.join(gone, ["id", "h1", "h2"], "left_semi").groupBy("id", "digest").agg(
+        F.collect_set("pos").alias("gone"))
+
+
+def kept_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """Every row of ``docs`` as a struct ``given`` with its ``lines``, and ``gone``: the places dropped (or null)."""
+    gone = duplicate_lines(docs.select(id_col, text), text, id_col, **options)
+    rows = docs.select(whole_row(docs).alias("given"), F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"))
+    return rows.join(gone, ["id", "digest"], "left").select(
+        "given", lines_of(F.col("given")[text]).alias("lines"), "gone")
+
+
+def remaining(lines: str, gone: str) -> Column:
+    """The lines whose places are not among ``gone``, in order, in time linear in their number."""
+    # The lambda variable holds the lines, so they are not split again for each of them.
+    return F.transform(F.array(F.col(lines)), lambda own: F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(gone)), lambda i: F.get(own, i)))[0]
 
 
 def drop_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
@@ -135,30 +161,33 @@ def drop_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **op
     repeat an id are one document. Ties do not arise: ids order the documents.
     Empty input gives no rows.
     """
-    gone = duplicate_lines(docs.select(id_col, text), text, id_col, **options).withColumnsRenamed({"id": "__id", "gone": "__gone"})
-    joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left").withColumn("__lines", lines_of(F.col(text)))
-    stays = F.filter("__lines", lambda x: ~F.array_contains(F.col("__gone"), key_hash(line_key(x))))
-    return joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(stays)).drop(
-        "__gone", "__id")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(remaining("lines", "gone"))
+    return kept_lines(docs, text, id_col, **options).select("given", "lines", kept.alias("kept")).select(
+        "given.*", F.col("lines").alias("__lines"), F.col("kept").alias("__kept"))
+
+
+def kept_text() -> Column:
+    """The text of a row of :func:`kept_lines` without its dropped lines; a null one is empty."""
+    whole = F.coalesce(F.col("given.text"), F.lit(""))
+    return F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(remaining("lines", "gone"), "\n"))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """Per document: lines, lines dropped, and the digest of the kept text."""
-    out = drop_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.size("__lines").cast("long").alias("n_lines"),
-                      (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
-                      F.sha2(F.array_join("__kept", "\n"), 256).alias("kept_sha256"))
+    return kept_lines(docs.select("doc_id", "text")).select(
+        "given.doc_id", F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(kept_text(), 256).alias("kept_sha256"))
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with duplicate lines taken out of ``text`` (null stays null).
 
-    A column ``n_chars`` follows the new text.
+    A column ``n_chars`` follows the new text. Columns of any name come through.
     """
-    columns = docs.columns
-    out = drop_lines(docs)
-    kept = F.when(F.col("text").isNotNull(), F.array_join("__kept", "\n"))
-    out = out.withColumn("text", kept)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    own = {"text": F.col("kept").alias("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    text = F.when(F.col("given.text").isNotNull(), kept_text())
+    return kept_lines(docs).select("given", text.alias("kept")).select(
+        *[own.get(c, F.col(f"given.`{c}`")) for c in docs.columns])
