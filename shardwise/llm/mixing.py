@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, running_before
+from .common import WORD, materialize, row_place, running_before, whole_row
 
 # Knots (time, weight); the integrals are 5, 2 and 1.
 SCHEDULES = (
@@ -90,36 +90,40 @@ def position(place: Column, rank: Column, schedules=SCHEDULES) -> Column:
     return at["t0"] + F.when(rest > 0, F.lit(2.0) * rest / (at["w0"] + root)).otherwise(F.lit(0.0))
 
 
-def assign(docs: DataFrame, schedules=SCHEDULES, share: float = TOTAL_SHARE,
+def demand(docs: DataFrame, schedules=SCHEDULES, share: float = TOTAL_SHARE,
            repeats: float = MOST_REPEATS, text: str = "text", id_col: str = "doc_id",
-           source: str = "source") -> DataFrame:
-    """``docs`` plus ``__size, __before, __source_size, __rank, __target, __taken``.
-
-    ``__taken`` counts the words the mix takes from a row: whole passes over the
-    source, and of the last pass the words up to the target, so a source's taken
-    words differ from its target by less than one. A null or empty text has no
-    words and is taken 0 times; null sources are one source, the last; rows that
-    repeat an id follow each other. Empty input gives no rows.
+           source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """What the mix takes of every row: ``file, place, id, size, before, source_size, rank, target, whole, part, taken``.
+
+    ``file, place`` name a row of the second frame returned, which has every row
+    of ``docs`` as a struct ``given``. ``taken`` counts the words the mix takes
+    from a row: whole passes over the source, and of the last pass the words up
+    to the target, so a source's taken words differ from its target by less than
+    one. A null or empty text has no words and is taken 0 times; null sources
+    are one source, the last; rows of a source are ordered by a digest of id and
+    text. Empty input gives no rows. Texts are read once; all else works on
+    narrow rows.
     """
-    sized = docs.withColumn("__size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
-    named = sized.withColumn("__source", F.col(source).cast("string")).withColumn(
-        "__digest", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    totals = named.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"))
+    docs, file, place = row_place(docs)
+    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"),
+                            F.md5(F.coalesce(F.col(text), F.lit("")))))
+    rows = materialize(docs.select(
+        file.alias("file"), place.alias("place"), F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        digest.alias("digest")), "mix-rows")
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     # One row per source; written once, as both the sums and the targets come from it.
-    aims = materialize(targets(totals, schedules, share, repeats), "mix-targets").select(
-        F.col("source").alias("__s"), F.col("source_size").alias("__source_size"),
-        F.col("rank").alias("__rank"), F.col("target").alias("__target"))
-    placed = running_before(named, ["__source"], "__digest", [id_col, "__size"], F.col("__size"), "__before",
-                            docs.count())
-    words = F.floor("__target").cast("long")
-    whole = F.when(F.col("__source_size") > 0, F.expr("floor(__target) div __source_size")).otherwise(F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("__size"), words - F.col("__whole") * F.col("__source_size")
-                                        - F.col("__before")))
-    return (placed.join(aims, F.col("__source").eqNullSafe(F.col("__s")))
-            .withColumn("__whole", whole.cast("long"))
-            .withColumn("__part", part.cast("long"))
-            .withColumn("__taken", F.col("__whole") * F.col("__size") + F.col("__part"))
-            .drop("__s", "__source", "__digest"))
+    aims = materialize(targets(totals, schedules, share, repeats), "mix-targets").withColumnRenamed("source", "aim_source")
+    placed = running_before(rows, ["source"], "digest", ["id", "size"], F.col("size"), "before", rows.count())
+    whole = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target").cast("long")
+                                        - F.col("whole") * F.col("source_size") - F.col("before")))
+    found = (placed.join(aims, F.col("source").eqNullSafe(F.col("aim_source")))
+             .withColumn("whole", whole.cast("long"))
+             .withColumn("part", part.cast("long"))
+             .withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
+             .drop("aim_source", "source", "digest"))
+    return found, docs.select(whole_row(docs).alias("given"), file.alias("file"), place.alias("place"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -127,25 +131,25 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Copies are whole documents: one for every whole pass, and one more when the
     last pass takes at least half of the document's words. Documents without
-    words are not taken.
+    words are not taken. Columns of any name come through.
     """
-    columns = docs.columns
     schedules = options.get("schedules", SCHEDULES)
-    taken = assign(docs, **options)
-    copies = F.col("__whole") + F.when((F.col("__part") > 0) & (2 * F.col("__part") >= F.col("__size")), 1).otherwise(0)
-    rows = taken.where("__taken > 0").withColumn("__copies", copies.cast("int")).where("__copies > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    place = (F.col("__before") + F.col("__copy") * F.col("__source_size")) / F.col("__target")
-    stream = rows.withColumn("__at", position(place, F.col("__rank"), schedules)).select(*columns, "__at")
+    wanted, rows = demand(docs, **options)
+    copies = F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    at = position((F.col("before") + F.col("copy") * F.col("source_size")) / F.col("target"), F.col("rank"), schedules)
+    # Positions are made on narrow rows; a text meets all its copies' at once.
+    places = (wanted.where("taken > 0").withColumn("copies", copies.cast("int")).where("copies > 0")
+              .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+              .groupBy("file", "place").agg(F.collect_list(at).alias("at")))
+    stream = rows.join(materialize(places, "mix-places"), ["file", "place"]).select("given", F.explode("at").alias("at"))
     # The sort's sampling job reads the shuffle before it again, not the documents.
-    return stream.orderBy("__at").drop("__at")
+    return stream.orderBy("at").select("given.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """Per document: sizes, its source's target, the words taken, and its training position."""
-    taken = assign(docs.select("doc_id", "text", "source"))
-    place = F.col("__before") / F.col("__target")
-    out = taken.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
-                       F.col("__target").alias("target"), F.col("__taken").alias("taken"),
-                       F.when(F.col("__taken") > 0, position(place, F.col("__rank"))).alias("position"))
+    wanted, _ = demand(docs.select("doc_id", "text", "source"))
+    place = F.col("before") / F.col("target")
+    out = wanted.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken",
+                        F.when(F.col("taken") > 0, position(place, F.col("rank"))).alias("position"))
     return materialize(out, "mix").orderBy(F.col("position").asc_nulls_last(), "doc_id")
