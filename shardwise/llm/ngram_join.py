@@ -11,12 +11,16 @@ column blocks (ranges of the hash).
    shingle of the corpus costs its column block one entry per row block.
 2. Rows. A document whose shared shingles are fewer than its size-derived
    bound (80 % of its set) cannot link and is out.
-3. Product. In the rows left, shingles are ordered by document frequency. Of
-   the rarest ones, as many as the size-derived bound allows to miss and one
-   more, every linked pair has at least one in common. Overlap counts are
-   accumulated per pair over these columns; pairs whose count cannot reach the
-   bound that follows from the two sizes are discarded, the others are checked
-   over their whole sets.
+3. Smaller matrix. Rows of equal size and equal shared shingles are one row:
+   they link to the same other rows, and to one another if what they share is
+   enough. Columns that the same rows hold are one column with a weight, so a
+   passage that documents share is one column, however long.
+4. Product. In the rows left, columns are ordered by frequency. Of the rarest
+   ones, as many as the size-derived bound allows to miss and one more shingle,
+   every linked pair has at least one in common. Overlap weights are
+   accumulated per pair over these columns; pairs whose sum cannot reach the
+   bound that follows from the two sizes are discarded, for the others the sum
+   over all columns decides.
 
 Large groups are not expanded into pairs: first every document meets only the
 leader of its best column (a star per column), and the links found make
@@ -24,7 +28,7 @@ components. Columns whose documents are all in one component are done. Star
 rounds go on while they find links and many pairs are left; then the documents
 of the unfinished columns meet pairwise across components.
 
-Equal sets are one row throughout (a class). Everything is kept exactly; two
+Equal sets are one row from the start (a class). Everything is kept exactly; two
 different shingles or sets are taken as equal only if their 64-bit hashes are.
 """
 
@@ -42,15 +46,15 @@ from .common import column_blocks, components, materialize, partitions
 
 SHINGLE = 5
 PERCENT = 80
-ROW_BLOCK_ENTRIES = 1 << 21
+ROW_BLOCK_ENTRIES = 1 << 19
 ROW_BLOCK_DOCS = 60_000
-COLUMN_BLOCK_ENTRIES = 1 << 22
+COLUMN_BLOCK_ENTRIES = 1 << 20
 PAIRS_PER_ENTRY = 4
 
 DOC, SHARED, COLUMNS = 0, 1, 2
 LOCAL = 65_535  # place of an entry that several documents of its row block hold
 
-ROWS = ("at int, kind int, doc_id long, n long, class long, block long, idx int, payload binary")
+ROWS = ("at int, kind int, doc_id long, n long, class long, block long, idx int, payload binary, digest long")
 
 
 # ----------------------------------------------------------------- shingles
@@ -60,7 +64,7 @@ class WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value
         return value
@@ -104,31 +108,32 @@ def class_of(hashes: np.ndarray) -> int:
 
 # ------------------------------------------------------------------- blocks
 
-def row_block(docs: list[tuple[int | None, np.ndarray]], blocks: int) -> pa.RecordBatch:
+def row_block(docs: list[tuple[int | None, int, np.ndarray]], blocks: int) -> pa.RecordBatch:
     """Rows of one row block: its documents, locally shared entries, and column pieces."""
-    names = [class_of(h) if len(h) else 0 for _, h in docs]
+    names = [class_of(h) if len(h) else 0 for _, _, h in docs]
     place: dict[int, int] = {}
-    for (_, h), name in zip(docs, names):
+    for (_, _, h), name in zip(docs, names):
         if len(h):
             place.setdefault(name, len(place))
     sets: list = [None] * len(place)
-    for (_, h), name in zip(docs, names):
+    for (_, _, h), name in zip(docs, names):
         if len(h):
             sets[place[name]] = h
     block = int(np.uint64(xxhash.xxh3_64_intdigest(
-        np.array([d if d is not None else -1 for d, _ in docs] + names, dtype=np.int64).tobytes())).astype(np.int64))
-    out: dict[str, list] = {k: [] for k in ("at", "kind", "doc_id", "n", "class", "block", "idx", "payload")}
+        np.array([d if d is not None else -1 for d, _, _ in docs] + names, dtype=np.int64).tobytes())).astype(np.int64))
+    out: dict[str, list] = {k: [] for k in ("at", "kind", "doc_id", "n", "class", "block", "idx", "payload", "digest")}
 
-    def row(at, kind, doc_id=None, n=None, name=None, idx=None, payload=None):
-        for k, v in zip(out, (at, kind, doc_id, n, name, block, idx, payload)):
+    def row(at, kind, doc_id=None, n=None, name=None, idx=None, payload=None, digest=None):
+        for k, v in zip(out, (at, kind, doc_id, n, name, block, idx, payload, digest)):
             out[k].append(v)
 
-    for i, ((doc_id, h), name) in enumerate(zip(docs, names)):
-        row((i + block) % blocks, DOC, doc_id, len(h), name if len(h) else None, place.get(name) if len(h) else None)
+    for i, ((doc_id, digest, h), name) in enumerate(zip(docs, names)):
+        row((i + block) % blocks, DOC, doc_id, len(h), name if len(h) else None, place.get(name) if len(h) else None,
+            digest=digest)
     if sets:
         sizes = np.array([len(s) for s in sets])
         h = np.concatenate(sets)
-        own = np.repeat(np.arange(len(sets)), sizes)
+        own = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         order = np.argsort(h, kind="stable")
         h, own = h[order], own[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -145,7 +150,8 @@ def row_block(docs: list[tuple[int | None, np.ndarray]], blocks: int) -> pa.Reco
             a, b = edges[c], edges[c + 1]
             if a < b:
                 row(c, COLUMNS, payload=columns[a:b].tobytes() + places[a:b].tobytes())
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(),
+             pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
 
@@ -156,13 +162,16 @@ def column_of(h: np.ndarray, blocks: int) -> np.ndarray:
 
 def shared_entries(pieces: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """For every row block ``(block, entries)``: its entries of a column block that another one holds too."""
-    hs, places, blocks = [], [], []
-    for i, (_, payload) in enumerate(pieces):
-        n = len(payload) // 10
-        hs.append(np.frombuffer(payload, dtype=np.uint64, count=n))
-        places.append(np.frombuffer(payload, dtype=np.uint16, offset=8 * n))
-        blocks.append(np.full(n, i, dtype=np.int32))
-    h, place, block = np.concatenate(hs), np.concatenate(places), np.concatenate(blocks)
+    sizes = [len(payload) // 10 for _, payload in pieces]
+    names = [name for name, _ in pieces]
+    h, place = np.empty(sum(sizes), dtype=np.uint64), np.empty(sum(sizes), dtype=np.uint16)
+    at = len(h)
+    for n in reversed(sizes):  # a piece is let go as soon as its entries are copied
+        payload = pieces.pop()[1]
+        at -= n
+        h[at:at + n] = np.frombuffer(payload, dtype=np.uint64, count=n)
+        place[at:at + n] = np.frombuffer(payload, dtype=np.uint16, offset=8 * n)
+    block = np.repeat(np.arange(len(names), dtype=np.int32), sizes)
     order = np.argsort(h, kind="stable")
     h = h[order]
     same = h[1:] == h[:-1]
@@ -171,11 +180,11 @@ def shared_entries(pieces: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes
     h, order = h[keep], order[keep]
     place, block = place[order], block[order]
     order = np.argsort(block, kind="stable")
-    ends = np.searchsorted(block[order], np.arange(len(pieces) + 1))
-    for i in range(len(pieces)):
+    ends = np.searchsorted(block[order], np.arange(len(names) + 1))
+    for i, name in enumerate(names):
         own = order[ends[i]:ends[i + 1]]
         if len(own):
-            yield pieces[i][0], h[own].tobytes() + place[own].tobytes()
+            yield name, h[own].tobytes() + place[own].tobytes()
 
 
 def block_sets(docs: dict[int, tuple[int, int]], pieces: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -200,7 +209,8 @@ def block_sets(docs: dict[int, tuple[int, int]], pieces: list[bytes]) -> Iterato
 def incidence(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """Documents with their set sizes and classes, and the shared entries of every set."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                      F.xxhash64(text).alias("digest"))
     letters = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # About six letters a word; every column block gets a bounded number of entries.
     blocks = max(partitions(spark), -(-letters // (6 * COLUMN_BLOCK_ENTRIES)))
@@ -208,13 +218,14 @@ def incidence(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, entries = WordHash(), [], 0
         for block in column_blocks(batches):
-            for doc_id, text_ in zip(block.column(0).to_pylist(), block.column(1).to_pylist()):
+            for doc_id, text_, digest in zip(*(c.to_pylist() for c in block.columns)):
                 h = shingles(text_, words)
-                held.append((doc_id, h))
+                held.append((doc_id, digest, h))
                 entries += len(h)
                 if entries >= ROW_BLOCK_ENTRIES or len(held) >= ROW_BLOCK_DOCS:
                     yield row_block(held, blocks)
                     held, entries = [], 0
+        words.clear()
         if held:
             yield row_block(held, blocks)
 
@@ -233,8 +244,8 @@ def incidence(docs: DataFrame, text: str, id_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(found), at), pa.int32()), pa.array(np.full(len(found), SHARED), pa.int32()),
                  none, none, none, pa.array([f[0] for f in found], pa.int64()),
-                 no_place, pa.array([f[1] for f in found], pa.binary())],
-                names=["at", "kind", "doc_id", "n", "class", "block", "idx", "payload"])
+                 no_place, pa.array([f[1] for f in found], pa.binary()), none],
+                names=["at", "kind", "doc_id", "n", "class", "block", "idx", "payload", "digest"])
 
     return materialize(src.mapInArrow(cut, ROWS).repartitionById(blocks, "at").mapInArrow(meet, ROWS)
                        .drop("at"), "ngram-shared")
@@ -256,7 +267,10 @@ def needed_by_both(x: str, y: str) -> Column:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """``class, n, hashes``: the sets with enough shared entries to link at all."""
+    """``class, n, k, row, hashes``: the sets with enough (``k``) shared entries to link at all.
+
+    ``row`` names sets of equal size and equal shared entries.
+    """
     parts = rows.where((F.col("kind") == SHARED) | F.col("class").isNotNull()).select(
         "kind", "n", "class", "block", "idx", "payload")
 
@@ -273,42 +287,52 @@ def candidates(rows: DataFrame) -> DataFrame:
     # A row block comes together again, bounded as it was when it was read. A class that
     # several row blocks hold has all its entries shared, so any of its rows is whole.
     found = parts.groupBy("block").applyInArrow(whole, "class long, n long, hashes array<long>")
-    return materialize(found.groupBy("class").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")),
-                       "ngram-sets")
+    return materialize(found.select("class", "n", F.size("hashes").cast("long").alias("k"),
+                                    F.xxhash64("n", "hashes").alias("row"), "hashes"), "ngram-sets")
+
+
+def weighted_columns(sets: DataFrame) -> DataFrame:
+    """``row, n, c, df, w``: the smaller matrix, ``w`` shingles in a column ``c`` that ``df`` rows hold."""
+    rows = sets.groupBy("row").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    entries = rows.select("row", "n", F.explode("hashes").alias("h"))
+    held = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("row")).alias("x1"),
+                                    F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("x2")).where("df > 1")
+    held = held.select("h", "df", F.xxhash64("df", "x1", "x2").alias("c"))
+    return materialize(entries.join(held, "h").groupBy("row", "n", "c", "df").agg(F.count(F.lit(1)).alias("w")),
+                       "ngram-columns")
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """``class, n, k, pos, front, h``: of every set the rarest entries, one more than it may miss.
+def prefixes(columns: DataFrame) -> DataFrame:
+    """``class, n, k, pos, front, h, w``: of every row the rarest columns, one shingle more than it may miss.
 
-    ``k`` counts the entries it shares with any other set left, ``pos`` is the
-    place in their common order. The ``front`` entries are those it needs when
-    the other set is as large or larger, which then has to share more of it.
+    ``k`` counts the shingles it shares with any other row, ``pos`` those before
+    the column in the common order. The ``front`` columns are those it needs when
+    the other row is as large or larger, which then has to share more of it.
     """
-    entries = sets.select("class", "n", F.explode("hashes").alias("h"))
-    frequency = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = (entries.join(frequency, "h").groupBy("class", "n")
-               .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("e"))
-               .withColumn("k", F.size("e").cast("long")).withColumn("spare", F.col("k") - needed("n") + 1))
+    own = Window.partitionBy("row")
+    before = own.orderBy("df", "c").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = columns.withColumn("k", F.sum("w").over(own)).withColumn(
+        "pos", F.coalesce(F.sum("w").over(before), F.lit(0)))
     return materialize(
-        ordered.where("spare > 0").select("class", "n", "k", F.posexplode(F.slice(
-            "e", F.lit(1), F.col("spare").cast("int"))).alias("pos", "e"))
-        .select("class", "n", "k", "pos", (F.col("pos") <= F.col("k") - needed_by_larger("n")).alias("front"), "e.h"),
+        ordered.where(F.col("pos") < F.col("k") - needed("n") + 1)
+        .select(F.col("row").alias("class"), "n", "k", "pos",
+                (F.col("pos") <= F.col("k") - needed_by_larger("n")).alias("front"), F.col("c").alias("h"), "w"),
         "ngram-prefix")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose whole sets reach the similarity."""
-    left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
+def linked(pairs: DataFrame, columns: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of rows whose overlap over all columns reaches the similarity."""
+    left = columns.select(F.col("row").alias("a"), F.col("n").alias("na"), "c", "w")
+    right = columns.select(F.col("row").alias("b"), F.col("n").alias("nb"), "c")
     return materialize(
-        pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("o", both.cast("long"))
+        pairs.select("a", "b").join(left, "a").join(right, ["b", "c"])
+        .groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("o"))
         .where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * PERCENT).select("a", "b"), "ngram-links")
 
 
-def class_links(sets: DataFrame) -> DataFrame:
-    """``id, component`` for the classes that link to another one."""
-    columns = prefixes(sets)
+def class_links(matrix: DataFrame) -> DataFrame:
+    """``id, component`` for the rows of the smaller matrix that link to another one."""
+    columns = prefixes(matrix)
     entries = columns.count()
     links = None
     labels = None
@@ -337,12 +361,12 @@ def class_links(sets: DataFrame) -> DataFrame:
         if not last:
             met = (members.where((F.col("comp") != F.col("lead_comp")) &
                                  (F.least("k", "lead_k") >= needed_by_both("n", "lead_n")))
-                   .groupBy("class", "lead").agg(F.count(F.lit(1)).alias("c")))
+                   .groupBy("class", "lead").agg(F.sum("w").alias("c")))
             best = Window.partitionBy("class").orderBy(F.desc("c"), "lead")
             pairs = met.withColumn("rn", F.row_number().over(best)).where("rn = 1").select(
                 F.col("class").alias("a"), F.col("lead").alias("b"))
         else:
-            x = members.where("front").select("h", F.col("class").alias("a"), F.col("n").alias("na"),
+            x = members.where("front").select("h", "w", F.col("class").alias("a"), F.col("n").alias("na"),
                                               F.col("k").alias("ka"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
             y = members.select("h", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"),
                                F.col("pos").alias("pb"), F.col("comp").alias("cb"))
@@ -353,17 +377,31 @@ def class_links(sets: DataFrame) -> DataFrame:
             # Accumulated overlap in the prefixes; what lies behind the shorter one adds less than its need.
             behind = F.greatest(needed_by_larger("na"), needed("nb")) - 1
             pairs = (x.join(y, "h").where(smaller & (F.col("ca") != F.col("cb")) & (reach >= bound))
-                     .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+                     .groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("c"))
                      .where(F.col("c") + behind >= bound))
-        new = linked(pairs, sets)
+        new = linked(pairs, matrix)
         progress = new.count() > 0
         if progress:
             links = new if links is None else links.unionByName(new)
             labels = components(links)
         if last:
             break
-    return labels if labels is not None else sets.select(
-        F.col("class").alias("id"), F.col("class").alias("component")).where(F.lit(False))
+    return labels if labels is not None else matrix.select(
+        F.col("row").alias("id"), F.col("row").alias("component")).where(F.lit(False))
+
+
+def grouped(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """``doc_id, digest, n, class, component`` of every row; ``component`` names what links reach (null: no shingles)."""
+    rows = incidence(docs, text, id_col)
+    sets = candidates(rows)
+    labels = class_links(weighted_columns(sets)).select(F.col("id").alias("row"), F.col("component").alias("reached"))
+    # Classes of one row of the smaller matrix have the same links, and link to one another if they share enough.
+    alike = F.col("k") * 100 >= (2 * F.col("n") - F.col("k")) * PERCENT
+    members = (sets.select("class", "n", "k", "row").distinct().join(labels, "row", "left")
+               .select("class", F.coalesce("reached", F.when(alike, F.col("row"))).alias("reached")))
+    documents = rows.where(F.col("kind") == DOC).select("doc_id", "digest", "n", "class")
+    return documents.join(members, "class", "left").select(
+        "doc_id", "digest", "n", "class", F.coalesce("reached", "class").alias("component"))
 
 
 def join_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -376,31 +414,35 @@ def join_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     takes part and is named by the smallest id it reaches, if any. Empty input
     gives no rows.
     """
-    rows = incidence(docs, text, id_col)
-    labels = class_links(candidates(rows))
-    documents = rows.where(F.col("kind") == DOC).select("doc_id", "n", "class")
-    first = documents.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
-    named = first.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn(
-        "component", F.coalesce("component", "class"))
-    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = named.join(lowest, "component").select("class", "component_id")
-    return documents.join(by_class, "class", "left").select(
+    documents = grouped(docs, text, id_col)
+    lowest = documents.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return documents.join(lowest, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of every group the smallest id stays.
+    """The rows of ``docs`` without near-duplicates: one row of every group stays.
 
-    Of rows that repeat an id the first by text stays; an id with several texts
-    goes when all of them link to smaller ids. Rows without an id stay.
+    It is the row of smallest id, null ids last, and of equal ids the one of
+    smallest text digest; of rows equal in id and text any. Rows are decided one
+    by one: different texts under one id are different documents. Rows without
+    words are in no group and stay. Columns of any name come through.
     """
-    columns = docs.columns
-    found = materialize(join_documents(docs).where(F.col("doc_id").isNotNull()), "ngram-groups")
-    gone = (found.groupBy("doc_id").agg(F.bool_and(F.col("component_id") < F.col("doc_id")).alias("gone"))
-            .where("gone").select(F.col("doc_id").alias("__gone")))
-    rest = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    ranked = rest.where(F.col("doc_id").isNotNull()).withColumn("__rn", F.row_number().over(first))
-    return ranked.where("__rn = 1").select(*columns).unionByName(
-        rest.where(F.col("doc_id").isNull()).select(*columns))
+    rows = materialize(grouped(docs, "text", "doc_id").where("n > 0"), "ngram-groups")
+    leader = rows.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("l"))
+    of_text = rows.groupBy("doc_id", "digest", "component").agg(F.count(F.lit(1)).alias("copies"))
+    first = F.col("doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("digest") == F.col("l.digest"))
+    # Most documents are alone and need no mention.
+    named = materialize(
+        of_text.join(leader, "component").where(~first | (F.col("copies") > 1))
+        .select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), first.alias("leads")),
+        "ngram-decisions")
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"),
+                        F.col("doc_id").cast("long").alias("id_"), F.xxhash64("text").alias("digest_"))
+    decided = found.join(named, F.col("id_").eqNullSafe(F.col("gone_id")) & (F.col("digest_") == F.col("gone_digest")),
+                         "left")
+    alone = decided.where(F.col("leads").isNull()).select("given.*")
+    repeated = decided.where("leads").dropDuplicates(["id_", "digest_"]).select("given.*")
+    return alone.unionByName(repeated)

@@ -86,9 +86,17 @@ def test_pipeline_stages_against_brute_force(spark):
 
     kept = materialize(corpus_pipeline.language_id(spark, docs, SF), "t1")
     assert kept.columns == columns
-    verdict = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs).collect()}
-    assert sorted(d for d, _ in rows(kept)) == sorted(
-        d for d, (lang, s) in verdict.items() if lang != "und" and s >= langid.REJECT_BELOW)
+    # Known trigrams of the learned rows, counted one by one.
+    sample = langid.training_sample(docs.where(~langid.held_out(docs["doc_id"])))
+    known = set(langid.known_trigrams(sample).tolist())
+    letters = langid.Letters(langid.DIMS)
+    stays = set()
+    for d, text in rows(docs):
+        found = langid.text_trigrams([text], letters)[0]
+        if found is not None and 2 * sum(n for t, n in zip(*(f.tolist() for f in found)) if t in known) >= found[1].sum():
+            stays.add(d)
+    verdict = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert sorted(d for d, _ in rows(kept)) == sorted(d for d in stays if verdict[d] != "und")
     assert not {200001, 200002} & {d for d, _ in rows(kept)}
 
     lines = materialize(corpus_pipeline.line_deduplication(spark, kept, SF), "t2")
@@ -113,6 +121,22 @@ def test_pipeline_stages_against_brute_force(spark):
     assert used <= 1.05 * bound + 1
 
 
+# Names that operators use for working columns, or did.
+CLASHES = ("given", "file", "place", "id", "size", "before", "at", "copy", "copies", "gone", "lines", "pos", "digest",
+           "leads", "component", "component_id", "class", "lang_pred", "score", "share", "row", "n", "h1", "target",
+           "__at", "__size", "__rn", "__id", "__lines", "__lang", "__share", "gone_id", "_metadata")
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    docs = table(spark, SF, "documents").limit(60)
+    docs = materialize(docs.selectExpr("*", *[f"777 + {i} as {name}" for i, name in enumerate(CLASHES)]), "test-clash")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialize(stage(spark, docs, SF), "test-stage")
+        assert out.columns == docs.columns
+        values = {tuple(r) for r in out.select(*CLASHES).collect()}
+        assert values == {tuple(777 + i for i in range(len(CLASHES)))}, name
+
+
 def test_pipeline_of_an_empty_table(spark, tmpdir_path):
     table(spark, SF, "documents").where("false").write.parquet(f"{tmpdir_path}/documents.parquet")
     assert corpus_pipeline.run(spark, tmpdir_path).count() == 0

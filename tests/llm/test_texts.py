@@ -58,11 +58,73 @@ def test_ngram_join_of_repeated_rows_null_ids_and_nothing(spark):
                  for r in ngram_join.join_documents(docs_frame(spark, rows)).collect())
     assert got == [("5", 3, "5"), ("5", 3, "5"), ("7", 0, "7"), ("9", 3, "5"), ("None", 0, "None"), ("None", 3, "5")]
     kept = ngram_join.keep_one(docs_frame(spark, rows))
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "7", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "7", "None"]
     assert kept.columns == docs_frame(spark, rows).columns
     assert ngram_join.join_documents(docs_frame(spark, rows).where("false")).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcde"]
+    rows = [(5, words[0]), (5, words[1]), (None, words[2]), (None, words[2] + " more"), (None, words[3]),
+            (3, words[3]), (6, words[0] + " more"), (8, words[4]), (8, words[4]), (9, ""), (9, ""), (None, None)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs_frame(spark, rows)).collect()), key=repr)
+    thirds = [k for k in kept if k[1] in (words[2], words[2] + " more")]
+    assert len(thirds) == 1 and thirds[0][0] is None
+    rest = [k for k in kept if k not in thirds]
+    assert rest == sorted([(5, words[0]), (5, words[1]), (3, words[3]), (8, words[4]), (9, ""), (9, ""), (None, None)],
+                          key=repr)
+
+
+def passages(n, k, seed=3):
+    """Documents of two of ``k`` shared passages and words of their own."""
+    rnd = random.Random(seed)
+    pool = [" ".join(f"p{i}w{j}" for j in range(40)) for i in range(k)]
+    rows = []
+    for i in range(n):
+        a, b = rnd.sample(pool, 2)
+        own = " ".join(f"o{i}x{j}" for j in range(rnd.choice([2, 2, 6, 30])))
+        rows.append((i, f"{a} {b} {own}" if rnd.random() < 0.8 else f"{a} {own} {b}"))
+    return rows
+
+
+def test_documents_of_shared_passages(spark):
+    rows = passages(150, 5) + [(1000 + i, t) for i, (_, t) in enumerate(passages(20, 5, 4))]
+    got = ngram_join.join_documents(docs_frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == jaccard_components(rows)
+
+
+def test_shared_passages_give_few_rows_and_columns(spark):
+    sizes = []
+    for n in (200, 400):
+        sets = ngram_join.candidates(ngram_join.incidence(docs_frame(spark, passages(n, 5)), "text", "doc_id"))
+        matrix = ngram_join.weighted_columns(sets)
+        sizes.append(matrix.count())
+    assert sizes[1] <= 1.2 * sizes[0] + 10
+
+
+def test_dropping_many_lines_of_one_text_is_linear(spark):
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"a repeated line number {i % (n // 2)}" for i in range(n))
+        df = docs_frame(spark, [(1, text), (2, text + "\nlast")])
+        start = time.perf_counter()
+        got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"])
+               for r in line_dedup.dedup_report(df).collect()}
+        assert got == {1: (n, 0, sha(text)), 2: (n + 1, n, sha("last"))}
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(200_000) < 30
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None, f"text number {i} " * 3, "en", "a") for i in range(50)] + [(7, f"other {i}", "en", "a") for i in range(50)]
+    got = mixing.mix_report(docs_frame(spark, rows)).collect()
+    assert len(got) == 100 and abs(sum(r["taken"] for r in got) - got[0]["target"]) < 1
+    assert len({r["position"] for r in got if r["taken"]}) > 60
+
+
 def test_a_large_group_of_near_copies(spark):
     rnd = random.Random(8)
     base = [f"q{i}" for i in range(200)]
