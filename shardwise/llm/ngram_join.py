@@ -320,19 +320,27 @@ def prefixes(columns: DataFrame) -> DataFrame:
         "ngram-prefix")
 
 
-def linked(pairs: DataFrame, columns: DataFrame) -> DataFrame:
+def row_columns(columns: DataFrame) -> DataFrame:
+    """``row, n, held``: a row's columns in one array, each as its name and its weight."""
+    # All rows that hold a column hold all its shingles, so equal columns have equal weights.
+    return materialize(columns.groupBy("row", "n").agg(F.collect_list(F.concat(
+        F.hex("c"), F.lit(":"), F.col("w").cast("string"))).alias("held")), "ngram-rows")
+
+
+def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of rows whose overlap over all columns reaches the similarity."""
-    left = columns.select(F.col("row").alias("a"), F.col("n").alias("na"), "c", "w")
-    right = columns.select(F.col("row").alias("b"), F.col("n").alias("nb"), "c")
+    left = rows.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("held").alias("ha"))
+    right = rows.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("held").alias("hb"))
+    common = F.aggregate(F.array_intersect("ha", "hb"), F.lit(0).cast("long"),
+                         lambda total, x: total + F.substring_index(x, ":", -1).cast("long"))
     return materialize(
-        pairs.select("a", "b").join(left, "a").join(right, ["b", "c"])
-        .groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("o"))
+        pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("o", common)
         .where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * PERCENT).select("a", "b"), "ngram-links")
 
 
 def class_links(matrix: DataFrame) -> DataFrame:
     """``id, component`` for the rows of the smaller matrix that link to another one."""
-    columns = prefixes(matrix)
+    columns, rows = prefixes(matrix), row_columns(matrix)
     entries = columns.count()
     links = None
     labels = None
@@ -379,7 +387,7 @@ def class_links(matrix: DataFrame) -> DataFrame:
             pairs = (x.join(y, "h").where(smaller & (F.col("ca") != F.col("cb")) & (reach >= bound))
                      .groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("c"))
                      .where(F.col("c") + behind >= bound))
-        new = linked(pairs, matrix)
+        new = linked(pairs, rows)
         progress = new.count() > 0
         if progress:
             links = new if links is None else links.unionByName(new)
