@@ -141,7 +141,7 @@ def row_block(docs: list[tuple[int | None, int, np.ndarray]], blocks: int) -> pa
         several = np.repeat(count > 1, count)
         # Entries shared within the row block are known to be so.
         if several.any():
-            row(block % blocks, SHARED, payload=h[several].tobytes() + own[several].astype(np.uint16).tobytes())
+            row(block % blocks, SHARED, payload=packed(h[several], own[several]))
         # The columns: every shingle once, with its document when there is only one.
         places = np.where(count > 1, LOCAL, own[first]).astype(np.uint16)
         columns = h[first]
@@ -149,7 +149,7 @@ def row_block(docs: list[tuple[int | None, int, np.ndarray]], blocks: int) -> pa
         for c in range(blocks):
             a, b = edges[c], edges[c + 1]
             if a < b:
-                row(c, COLUMNS, payload=columns[a:b].tobytes() + places[a:b].tobytes())
+                row(c, COLUMNS, payload=packed(columns[a:b], places[a:b]))
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(),
              pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
@@ -160,6 +160,24 @@ def column_of(h: np.ndarray, blocks: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
 
 
+def packed(h: np.ndarray, places: np.ndarray) -> bytes:
+    """Entries in hash order as bytes: the hashes' gaps, byte plane by byte plane, then the places.
+
+    Gaps of many sorted hashes are small, so their upper planes are almost only
+    zeros, which Spark's own compression takes out of shuffles and tables.
+    """
+    gaps = np.diff(h, prepend=np.uint64(0)).astype(np.uint64, copy=False)
+    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes() + places.astype(np.uint16).tobytes()
+
+
+def unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of :func:`packed`."""
+    n = len(payload) // 10
+    planes = np.frombuffer(payload, dtype=np.uint8, count=8 * n).reshape(8, n)
+    h = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return h, np.frombuffer(payload, dtype=np.uint16, offset=8 * n)
+
+
 def shared_entries(pieces: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """For every row block ``(block, entries)``: its entries of a column block that another one holds too."""
     sizes = [len(payload) // 10 for _, payload in pieces]
@@ -167,10 +185,8 @@ def shared_entries(pieces: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes
     h, place = np.empty(sum(sizes), dtype=np.uint64), np.empty(sum(sizes), dtype=np.uint16)
     at = len(h)
     for n in reversed(sizes):  # a piece is let go as soon as its entries are copied
-        payload = pieces.pop()[1]
         at -= n
-        h[at:at + n] = np.frombuffer(payload, dtype=np.uint64, count=n)
-        place[at:at + n] = np.frombuffer(payload, dtype=np.uint16, offset=8 * n)
+        h[at:at + n], place[at:at + n] = unpacked(pieces.pop()[1])
     block = np.repeat(np.arange(len(names), dtype=np.int32), sizes)
     order = np.argsort(h, kind="stable")
     h = h[order]
@@ -184,7 +200,7 @@ def shared_entries(pieces: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes
     for i, name in enumerate(names):
         own = order[ends[i]:ends[i + 1]]
         if len(own):
-            yield name, h[own].tobytes() + place[own].tobytes()
+            yield name, packed(h[own], place[own])
 
 
 def block_sets(docs: dict[int, tuple[int, int]], pieces: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -192,11 +208,11 @@ def block_sets(docs: dict[int, tuple[int, int]], pieces: list[bytes]) -> Iterato
 
     ``docs`` has class and size by place; ``pieces`` are entries with their places.
     """
-    hs = [np.frombuffer(p, dtype=np.int64, count=len(p) // 10) for p in pieces]
-    at = [np.frombuffer(p, dtype=np.uint16, offset=8 * len(h)) for p, h in zip(pieces, hs)]
-    if not hs:
+    if not pieces:
         return
-    h, place = np.concatenate(hs), np.concatenate(at)
+    entries = [unpacked(p) for p in pieces]
+    h = np.concatenate([e[0] for e in entries]).view(np.int64)
+    place = np.concatenate([e[1] for e in entries])
     order = np.lexsort((h, place))
     h, place = h[order], place[order]
     ends = np.searchsorted(place, np.arange(len(docs) + 1))

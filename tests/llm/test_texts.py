@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from shardwise.llm import line_dedup, mixing, ngram_join
@@ -251,3 +252,16 @@ def test_position_inverts_the_integrated_schedule(spark):
             u = min(max(r["t"] - t0, 0.0), t1 - t0)
             done += w0 * u + (w1 - w0) / (t1 - t0) * u * u / 2
         assert done / mixing.integral(knots) == pytest.approx(r["x"], abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_ngram_entries_come_back_from_their_bytes(n):
+    rng = np.random.default_rng(n)
+    h = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+    if n > 2:
+        h[1], h[-2] = h[0], h[-1]
+    places = rng.integers(0, ngram_join.LOCAL + 1, n).astype(np.uint16)
+    payload = ngram_join.packed(h, places)
+    got_h, got_places = ngram_join.unpacked(payload)
+    assert len(payload) == 10 * n
+    assert got_h.tolist() == h.tolist() and got_places.tolist() == places.tolist()
