@@ -30,6 +30,7 @@ from ..operators import manifest as man
 from ..operators import shards as sh
 from ..sources import csv as src
 from ..sources import meta
+from ..sources.records import tagged_records
 
 
 class ShardedDataset:
@@ -85,7 +86,7 @@ class ShardedDataset:
             if objs_to_shards_df_fn is None:
                 # One pass reads the objects into a tagged copy; rows per object are
                 # counted on it and table() numbers the same copy.
-                self._tagged = tag_scan(self.scan())
+                self._tagged = self._tag()
                 self._splits = split_counts(self._tagged)
                 per_file = self._splits.groupBy(F.col("__path").alias("uri")).agg(
                     F.sum("__n").alias("count"))
@@ -118,12 +119,27 @@ class ShardedDataset:
                                 schema=self._schema(), multiline=self.multiline,
                                 positional_names=False, cache=False)
 
+    def _tag(self, wanted=None) -> DataFrame:
+        """The rows with object, split and place, written once; ``wanted`` restricts the objects.
+
+        With ``multiline`` quoted line breaks belong to their record; objects are
+        split all the same (:mod:`shardwise.sources.records`).
+        """
+        if not self.multiline:
+            scan = self.scan()
+            return tag_scan(scan if wanted is None else scan.where(wanted))
+        tagged = tagged_records(self.spark, self.glob, self.header, self.sep, self.schema, wanted)
+        if self.schema is None:
+            self.schema = tagged.drop("__path", "__block", "__mid").schema
+        return tagged
+
     def table(self) -> DataFrame:
         """Data with positional column names and ``row_idx`` (object order, then line order)."""
         if self._table is None:
-            scan = None if self._tagged is not None else self.scan()
+            if self._tagged is None:
+                self._tagged = self._tag()
             self._table = self._positional(with_csv_row_index(
-                scan, self.manifest, tagged=self._tagged, splits=self._splits))
+                None, self.manifest, tagged=self._tagged, splits=self._splits))
             if self.cache:
                 self._table = self._table.persist()
         return self._table
@@ -169,7 +185,7 @@ class ShardedDataset:
         for r in bounds:
             wanted = wanted | path.between(r["lo"], r["hi"])
             objects = objects | F.col("uri").between(r["lo"], r["hi"])
-        indexed = with_csv_row_index(self.scan().where(wanted), self.manifest.where(objects))
+        indexed = with_csv_row_index(None, self.manifest.where(objects), tagged=self._tag(wanted))
         return sh.slice_rows(self._positional(indexed), self.row_count, start, end)
 
     @staticmethod
