@@ -116,9 +116,10 @@ def assign_split_batches(df: DataFrame, split: str, order_by, sizes: dict[str, i
     )
 
 
-def batch_summary(batched: DataFrame, name: str = "batch", row_idx: str = "row_idx") -> DataFrame:
-    """Rows and index range per batch. [D5]"""
-    return batched.groupBy(name).agg(
+def batch_summary(batched: DataFrame, name: str = "batch", row_idx: str = "row_idx",
+                  by: Sequence[str] = ()) -> DataFrame:
+    """Rows and index range per batch, of each split if ``by`` names its column. [D5]"""
+    return batched.groupBy(*by, name).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(row_idx).alias("first_row"),
         F.max(row_idx).alias("last_row"))

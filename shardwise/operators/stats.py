@@ -102,6 +102,38 @@ def combine_groups(long: DataFrame) -> DataFrame:
     )
 
 
+def wide_to_long(wide: DataFrame) -> DataFrame:
+    """``field, count, mean, stddev, min, max`` from a ``summary`` + columns table. [E2, A9]"""
+    fields = [c for c in wide.columns if c != "summary"]
+    cells = wide.select("summary", *[as_double(c).alias(c) for c in fields]).unpivot(
+        "summary", fields, "field", "value")
+    rows = {k: F.max(F.when(F.col("summary") == k, F.col("value"))) for k in SUMMARY_ROWS}
+    return cells.groupBy("field").agg(*[
+        (F.coalesce(v, F.lit(0.0)).cast("long") if k == "count" else v).alias(k) for k, v in rows.items()])
+
+
+def merge_summary(stored: DataFrame, added: DataFrame) -> DataFrame:
+    """The wide summary of a population that ``added`` rows join, from its ``stored`` one. [A9, E1, E3]
+
+    Only ``added`` is scanned: counts, means, squared deviations, least and
+    greatest values of the two merge (see :func:`combine_groups`). A column that
+    only one side has keeps that side's moments; one without values counts 0.
+    No rows added: the stored summary.
+    """
+    known = [c for c in stored.columns if c != "summary"]
+    new = numeric_columns(added, booleans=False)
+    columns = known + [c for c in new if c not in known]
+    rows = wide_to_long(stored) if known else None
+    if new:
+        fresh = summarize(added, new).drop("sample_size")
+        rows = fresh if rows is None else rows.unionByName(fresh)
+    if rows is None:
+        raise ValueError("neither the stored summary nor the added rows have a numeric column")
+    rows = written(rows, "moments")  # two rows per column, read twice
+    merged = rows.select("field").distinct().join(combine_groups(rows), "field", "left").fillna({"count": 0})
+    return long_to_wide(merged, SUMMARY_ROWS, columns)
+
+
 def zscores_by_group(df: DataFrame, by: Sequence[str] | str, columns: Sequence[str] | None = None,
                      per_column_n: bool = False) -> DataFrame:
     """Every group of ``by`` as a sample of the whole table, from one scan. [E3, E7]

@@ -359,6 +359,15 @@ def q_batch_sizes(spark, d):
     return features.batch_summary(features.assign_batches(idx, 64))
 
 
+def q_split_batches(spark, d):
+    """Events in three splits, each in batches of its own size (64, 1000 and 1000 rows). [D5]"""
+    part = F.pmod("event_id", F.lit(10))
+    split = F.when(part == 0, "test").when(part == 1, "validation").otherwise("train")
+    events = table(spark, d, "events").select("event_id", split.alias("split"))
+    batched = features.assign_split_batches(events, "split", "event_id")
+    return features.batch_summary(batched, by=["split"])
+
+
 def _scored(spark, d):
     emb = table(spark, d, "embeddings")
     idx = with_row_index(emb, "vec_id")
@@ -395,6 +404,12 @@ FEATURE_SQL = {
 SELECT batch, count(*) AS n_rows, min(row_idx) AS first_row, max(row_idx) AS last_row
 FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_idx,
              (row_number() OVER (ORDER BY event_id) - 1) // 64 AS batch FROM events) GROUP BY batch""",
+    "split_batches": """
+WITH s AS (SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split
+           FROM events),
+i AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY event_id) - 1 AS row_idx FROM s)
+SELECT split, row_idx // CASE split WHEN 'train' THEN 64 ELSE 1000 END AS batch, count(*) AS n_rows,
+       min(row_idx) AS first_row, max(row_idx) AS last_row FROM i GROUP BY 1, 2""",
     "logloss_batches": _LOSS_SQL + "\nSELECT batch, n_rows, round(loss, 6) AS loss FROM b",
     "logloss_mean": _LOSS_SQL + """
 SELECT round(avg(loss), 6) AS mean_batch_loss, round(sum(loss * n_rows) / sum(n_rows), 6) AS mean_row_loss,
@@ -517,6 +532,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "numeric_features": q_numeric_features,
     "standardize": q_standardize,
     "batch_sizes": q_batch_sizes,
+    "split_batches": q_split_batches,
     "logloss_batches": q_logloss_batches,
     "logloss_mean": q_logloss_mean,
     "metric_avg_60s": q_metric_avg_60s,

@@ -127,6 +127,21 @@ def q_csv_empty_parts(spark, d):
     return _named(data.table())
 
 
+def q_csv_quoted_records(spark, d):
+    """Documents as CSV objects whose texts hold quotes and line breaks, read from splits of them. [A1, C12]"""
+    folder = scratch_path(spark, "quoted-parts")
+    docs = _table(spark, d, "documents").select("doc_id", "lang", "text")
+    parts = max(2, -(-docs.count() // ROWS_PER_PART))
+    (docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").write
+     .options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+     .csv(folder))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        data = ShardedDataset(spark, f"{folder}/part-*", schema="doc_id BIGINT, lang STRING, text STRING",
+                              multiline=True)
+    return data.table().withColumnsRenamed({"0": "doc_id", "1": "lang", "2": "text"})
+
+
 def q_object_counts(spark, d):
     """Rows per object, counted from the objects. [A5, B3, B6-B8]"""
     folder = scratch_path(spark, "orders-parts")
@@ -178,6 +193,34 @@ def q_sample_vs_population(spark, d):
     return wide.select("summary", *[r6(c).alias(c) for c in wide.columns if c != "summary"])
 
 
+def q_zscore_from_meta(spark, d):
+    """A sample against the stored stats of its population, to which objects were added since. [A9, A12, E3, E4]"""
+    from .catalog import r6
+
+    folder = scratch_path(spark, "counted-parts")
+    customers = _table(spark, d, "customer").select(*CUSTOMER_COLS)
+    older = F.coalesce(F.col("c_custkey") % 3 != 0, F.lit(True))
+
+    def objects(rows):
+        rows.write.mode("append").option("header", "true").csv(folder)
+
+    objects(customers.where(older))
+    scan = spark.read.schema(CUSTOMER).option("header", "true")
+    before = [r["uri"] for r in manifest.list_objects(spark, f"{folder}/part-*").select("uri").collect()]
+    meta.add_to_stats(scan.csv(before), folder)
+    objects(customers.where(~older))
+    listed = manifest.list_objects(spark, f"{folder}/part-*").select("uri").collect()
+    added = [r["uri"] for r in listed if r["uri"] not in set(before)]
+    if added:
+        meta.add_to_stats(scan.csv(added), folder)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # no manifest beside these objects
+        data = ShardedDataset(spark, f"{folder}/part-*", schema=CUSTOMER, shard_size=64)
+    sample = _table(spark, d, "customer").select(*CUSTOMER_COLS).where("c_mktsegment = 'BUILDING'")
+    wide = stats.sample_vs_population(sample, data.stats_df, zscores_=True, pvalues_=True)
+    return wide.select("summary", *[r6(c).alias(c) for c in wide.columns if c != "summary"])
+
+
 _IDX = """
 WITH idx AS (SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment,
                     row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx FROM customer),
@@ -198,26 +241,27 @@ _SAMPLE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quant
                 "l_discount", "l_tax"]
 
 
-def _sample_sql() -> str:
+def _sample_sql(table: str = "lineitem", sample: str = "l_returnflag = 'R'", columns=tuple(_SAMPLE_COLS),
+                missing: str = "l_tax") -> str:
     from .catalog import pvalue_sql
 
     def z(c: str) -> str:
-        if c == "l_tax":
+        if c == missing:
             return "CAST(NULL AS DOUBLE)"
-        return (f"((SELECT avg({c}) FROM smp) - (SELECT avg({c}) FROM lineitem)) / ((SELECT stddev_samp({c}) "
-                f"FROM lineitem) / sqrt((SELECT count(*) FROM smp)::DOUBLE))")
+        return (f"((SELECT avg({c}) FROM smp) - (SELECT avg({c}) FROM {table})) / ((SELECT stddev_samp({c}) "
+                f"FROM {table}) / sqrt((SELECT count(*) FROM smp)::DOUBLE))")
 
     def row(name: str, parts: list[str]) -> str:
         return f"SELECT '{name}' AS summary, " + ", ".join(
-            f"round(CAST({p} AS DOUBLE), 6) AS {c}" for p, c in zip(parts, _SAMPLE_COLS))
+            f"round(CAST({p} AS DOUBLE), 6) AS {c}" for p, c in zip(parts, columns))
 
-    rows = [row(name, [fn.format(c=c) for c in _SAMPLE_COLS]) + " FROM smp" for name, fn in (
+    rows = [row(name, [fn.format(c=c) for c in columns]) + " FROM smp" for name, fn in (
         ("count", "count({c})"), ("mean", "avg({c})"), ("stddev", "stddev_samp({c})"), ("min", "min({c})"),
         ("max", "max({c})"))]
-    rows.append(row("zscores", [f"z.{c}" for c in _SAMPLE_COLS]) + " FROM z")
-    rows.append(row("pvalues", [pvalue_sql(f"z.{c}") for c in _SAMPLE_COLS]) + " FROM z")
-    scores = ", ".join(f"{z(c)} AS {c}" for c in _SAMPLE_COLS)
-    return ("WITH smp AS (SELECT * FROM lineitem WHERE l_returnflag = 'R'),\n"
+    rows.append(row("zscores", [f"z.{c}" for c in columns]) + " FROM z")
+    rows.append(row("pvalues", [pvalue_sql(f"z.{c}") for c in columns]) + " FROM z")
+    scores = ", ".join(f"{z(c)} AS {c}" for c in columns)
+    return (f"WITH smp AS (SELECT * FROM {table} WHERE {sample}),\n"
             f"z AS (SELECT {scores})\n" + "\nUNION ALL\n".join(rows))
 
 
@@ -230,10 +274,12 @@ QUERIES = {
     "csv_worker_feed": q_csv_worker_feed,
     "csv_features": q_csv_features,
     "csv_empty_parts": q_csv_empty_parts,
+    "csv_quoted_records": q_csv_quoted_records,
     "object_counts": q_object_counts,
     "parquet_row_index": q_parquet_row_index,
     "feed_steps": q_feed_steps,
     "sample_vs_population": q_sample_vs_population,
+    "zscore_from_meta": q_zscore_from_meta,
 }
 
 
@@ -253,6 +299,8 @@ FROM idx, prm WHERE row_idx >= 2 * n // 3 OR row_idx < n // 3""",
         "csv_features": _shards_sql(
             64, 1, "0", "((n + 63) // 64) * 64", "true",
             "[CAST(c_custkey AS DOUBLE), CAST(c_nationkey AS DOUBLE), c_acctbal] AS features"),
+        "csv_quoted_records": """
+SELECT doc_id, lang, text, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents""",
         "object_counts": """
 WITH c AS (SELECT CAST(o_orderkey % 8 AS INTEGER) AS id, count(*) AS n FROM orders GROUP BY 1)
 SELECT id, CAST(sum(n) OVER (ORDER BY id) - n AS BIGINT) AS start_idx,
@@ -261,4 +309,6 @@ SELECT id, CAST(sum(n) OVER (ORDER BY id) - n AS BIGINT) AS start_idx,
 SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, o_orderkey, o_custkey FROM orders""",
         "feed_steps": _shards_sql(64, 2, "0", "CAST(ceil(3 * n / 256.0) AS BIGINT) * 128", "true", _COLS),
         "sample_vs_population": _sample_sql(),
+        "zscore_from_meta": _sample_sql("customer", "c_mktsegment = 'BUILDING'",
+                                        ("c_custkey", "c_nationkey", "c_acctbal"), missing=""),
     }

@@ -71,6 +71,22 @@ def write_stats(stats_wide: DataFrame, data_folder: str) -> str:
     return write_meta(stats_wide, data_folder, "stats")
 
 
+def add_to_stats(added: DataFrame, data_folder: str) -> DataFrame:
+    """Bring the stored stats of ``data_folder`` up to date with the rows of objects added to it. [A9, A12]
+
+    Scans the added rows only. Without stored stats they are those of ``added``.
+    The new table is complete before the stored one is replaced. Call it once for
+    every set of objects: stats do not say which objects they cover.
+    """
+    from ..functions.rowindex import written
+    from ..operators.stats import merge_summary, summary_wide
+
+    spark = added.sparkSession
+    path = find_meta(spark, f"{resolve_uri(data_folder).rstrip('/')}/*", "stats")
+    new = summary_wide(added) if path is None else merge_summary(read_stats(spark, path), added)
+    return read_stats(spark, write_stats(written(new, "stats"), data_folder))
+
+
 def write_with_manifest(df: DataFrame, data_folder: str, fmt: str = "csv", header: bool = True,
                         include_empty_zero_id: bool = False, mode: str = "overwrite") -> DataFrame:
     """Write ``df`` as part files and its raw manifest (rows per part) to ``.meta/shards``. [B1, A12]

@@ -140,3 +140,34 @@ def test_constant_population_column_gives_null_z(spark, gauge_csv):
     # the gate never moves: stddev 0, so z and p are undefined (null), other columns are numbers
     assert pd.isna(res.loc["zscores", "gate"]) and pd.isna(res.loc["pvalues", "gate"])
     assert not pd.isna(res.loc["zscores", "level"])
+
+
+def test_stored_stats_merge_with_added_rows_as_a_full_recomputation(spark, tmpdir_path):
+    from shardwise.operators import stats
+    from shardwise.sources import meta
+
+    rows = [(i, float(i * 37 % 101) - 50 if i % 7 else None, 1e9 + i, None) for i in range(200)]
+    schema = "a INT, b DOUBLE, c DOUBLE, d DOUBLE"
+    whole = spark.createDataFrame(rows, schema)
+    folder = f"file://{tmpdir_path}/moments"
+    for lo, hi in ((0, 60), (60, 61), (61, 61), (61, 200)):
+        got = meta.add_to_stats(spark.createDataFrame(rows[lo:hi], schema), folder)
+    got = {r["summary"]: r.asDict() for r in got.collect()}
+    want = {r["summary"]: r.asDict() for r in stats.summary_wide(whole).collect()}
+    assert list(got) == list(want)
+    for kind, row in want.items():
+        for c in "abcd":
+            if row[c] is None:
+                assert got[kind][c] is None, (kind, c)
+            else:
+                assert abs(got[kind][c] - row[c]) <= 1e-9 * max(1.0, abs(row[c])), (kind, c)
+
+
+def test_a_column_that_only_the_added_rows_have(spark):
+    from shardwise.operators import stats
+
+    stored = stats.summary_wide(spark.createDataFrame([(1.0,), (3.0,)], "a DOUBLE"))
+    merged = {r["summary"]: r for r in stats.merge_summary(
+        stored, spark.createDataFrame([(5.0, 2)], "a DOUBLE, e INT")).collect()}
+    assert (merged["count"]["a"], merged["mean"]["a"], merged["stddev"]["a"], merged["max"]["a"]) == (3, 3, 2, 5)
+    assert (merged["count"]["e"], merged["mean"]["e"], merged["stddev"]["e"]) == (1, 2, None)
