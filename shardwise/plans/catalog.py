@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_half_away
 from ..functions.rowindex import with_row_index
 from ..operators import evaluate, features, manifest, metrics, shards, stats
-from . import objects
+from . import objects, streams
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -545,7 +545,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alarm_sustained": q_alarm_sustained,
     "alarm_3_of_5": q_alarm_3_of_5,
     **objects.QUERIES,
+    **streams.QUERIES,
 }
 
 ORACLE_SQL: dict[str, str] = {**SHARD_SQL, **MANIFEST_SQL, **STATS_SQL, **FEATURE_SQL, **METRIC_SQL,
-                              **objects.oracle_sql()}
+                              **objects.oracle_sql(),
+                              # What a stream emits in all is what the batch query gives.
+                              **{name: METRIC_SQL[name.removeprefix("stream_")] for name in streams.QUERIES}}

@@ -9,9 +9,9 @@ stateful operators, each bounded by the watermark.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import _STATS, _keys, compare, period_seconds
@@ -23,6 +23,25 @@ def with_event_time(stream: DataFrame, ts: str, watermark: str = "10 minutes",
     return stream.withColumn(name, F.col(ts).cast("timestamp")).withWatermark(name, watermark)
 
 
+def run_arrived(spark: SparkSession, folder: str, schema, build: Callable[[DataFrame], DataFrame],
+                output_path: str, checkpoint_path: str, files_per_batch: int | None = None) -> None:
+    """Let a stream over the Parquet objects of ``folder`` handle what has arrived, then stop.
+
+    ``build`` makes the stream's result (append mode), which is added to
+    ``output_path``. State, watermark and the objects already read are in
+    ``checkpoint_path``, so the next call goes on where this one stopped, and a
+    call that was broken off is repeated without double rows. Objects of one
+    call are one micro-batch unless ``files_per_batch`` cuts them up.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", int(files_per_batch))
+    query = (build(reader.parquet(folder)).writeStream.outputMode("append").format("parquet")
+             .option("path", output_path).option("checkpointLocation", checkpoint_path)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def stream_window_stat(stream: DataFrame, ts: str, keys: Sequence[str] | str, value: str,
                        period: int | str = 60, stat: str = "avg", watermark: str = "10 minutes",
                        name: str = "value") -> DataFrame:

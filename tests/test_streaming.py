@@ -159,3 +159,25 @@ def test_stream_pivot_equals_batch(spark, tmpdir_path):
     batch = sorted((r["event_type"], r["window_start"], str(r["view"]), str(r["click"])) for r in
                    metrics.pivot_metrics(ev, "ts", "event_type", "event_type", "value", kinds, "1 hour").collect())
     assert streamed == batch
+
+
+def test_arrived_slices_count_late_rows_and_go_on_after_restarts(spark, tmpdir_path):
+    folder, out, ck = (os.path.join(tmpdir_path, n) for n in ("slices", "emitted", "slices-ck"))
+    schema = "ts TIMESTAMP, k STRING, value DOUBLE"
+
+    def at(minute, value, k="a"):
+        return (f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00", k, value)
+
+    # The second slice has a row 15 minutes late (within the watermark of 20) and one 55 minutes late (beyond).
+    slices = [[at(0, 1.0), at(10, 2.0), at(60, 4.0)], [at(45, 8.0), at(70, 16.0), at(5, 512.0)],
+              [at(130, 32.0, None), at(600, 0.0)]]
+    for rows in slices:
+        (spark.createDataFrame(rows, "ts STRING, k STRING, value DOUBLE")
+         .withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(folder))
+        for _ in range(2):  # the second run finds nothing new
+            smetrics.run_arrived(spark, folder, schema, lambda s: smetrics.stream_window_stat(
+                s, "ts", "k", "value", 600, "sum", "20 minutes"), out, ck)
+    got = {(r["window_start"].strftime("%H:%M"), r["k"]): r["value"] for r in spark.read.parquet(out).collect()}
+    assert got == {("00:00", "a"): 1.0, ("00:10", "a"): 2.0, ("00:40", "a"): 8.0, ("01:00", "a"): 4.0,
+                   ("01:10", "a"): 16.0, ("02:10", None): 32.0}
+    assert spark.read.parquet(out).count() == len(got)
