@@ -16,7 +16,7 @@ from ..operators import manifest, stats
 from ..operators.shards import max_shards_for_epochs
 from ..session import scratch_path
 from ..sources import meta
-from ..streaming import feed
+from ..streaming import feed, source
 from .dataset import ShardedDataset
 
 ROWS_PER_PART = 1_000_000
@@ -178,6 +178,20 @@ def q_feed_steps(spark, d):
     return _named(fed)
 
 
+def q_feed_source(spark, d):
+    """The same feed from the stream source whose offsets are steps, in two runs of one query. [C9]"""
+    data = _dataset(spark, d, replicas=2)
+    steps = -(-3 * data.row_count // (2 * 2 * 64))
+    out, checkpoint = scratch_path(spark, "source-out"), scratch_path(spark, "source-checkpoint")
+    path = data.materialize()
+    index = source.object_index(spark, path)
+    for until in (-(-steps // 2), steps):
+        stream = source.shard_feed(spark, path, data.row_count, 64, replicas=2, until=until, index_path=index)
+        (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start().awaitTermination())
+    return _named(spark.read.schema(stream.schema).parquet(out))
+
+
 def _lineitem_sample(spark, d):
     li = _table(spark, d, "lineitem")
     return li, li.where(F.col("l_returnflag") == "R").withColumn("bulky", F.col("l_quantity") > 25)
@@ -278,6 +292,7 @@ QUERIES = {
     "object_counts": q_object_counts,
     "parquet_row_index": q_parquet_row_index,
     "feed_steps": q_feed_steps,
+    "feed_source": q_feed_source,
     "sample_vs_population": q_sample_vs_population,
     "zscore_from_meta": q_zscore_from_meta,
 }
@@ -308,6 +323,7 @@ SELECT id, CAST(sum(n) OVER (ORDER BY id) - n AS BIGINT) AS start_idx,
         "parquet_row_index": """
 SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, o_orderkey, o_custkey FROM orders""",
         "feed_steps": _shards_sql(64, 2, "0", "CAST(ceil(3 * n / 256.0) AS BIGINT) * 128", "true", _COLS),
+        "feed_source": _shards_sql(64, 2, "0", "CAST(ceil(3 * n / 256.0) AS BIGINT) * 128", "true", _COLS),
         "sample_vs_population": _sample_sql(),
         "zscore_from_meta": _sample_sql("customer", "c_mktsegment = 'BUILDING'",
                                         ("c_custkey", "c_nationkey", "c_acctbal"), missing=""),

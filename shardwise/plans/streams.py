@@ -51,10 +51,10 @@ def _streamed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFram
     checkpoint = scratch_path(spark, "stream-checkpoint")
     for rows in _arrivals(spark, d):
         rows.write.mode("append").parquet(folder)
-        stream.run_arrived(spark, folder, rows.schema, build, out, checkpoint)
+        emitted = stream.run_arrived(spark, folder, rows.schema, build, out, checkpoint)
     # Window bounds in the type of the table's times, as the batch queries give them.
     given = _events(spark, d).schema["ts"].dataType
-    return spark.read.parquet(out).withColumns({
+    return emitted.withColumns({
         c: F.col(c).cast(given) for c in ("window_start", "window_end")})
 
 

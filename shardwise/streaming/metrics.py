@@ -24,22 +24,25 @@ def with_event_time(stream: DataFrame, ts: str, watermark: str = "10 minutes",
 
 
 def run_arrived(spark: SparkSession, folder: str, schema, build: Callable[[DataFrame], DataFrame],
-                output_path: str, checkpoint_path: str, files_per_batch: int | None = None) -> None:
+                output_path: str, checkpoint_path: str, files_per_batch: int | None = None) -> DataFrame:
     """Let a stream over the Parquet objects of ``folder`` handle what has arrived, then stop.
 
     ``build`` makes the stream's result (append mode), which is added to
     ``output_path``. State, watermark and the objects already read are in
     ``checkpoint_path``, so the next call goes on where this one stopped, and a
     call that was broken off is repeated without double rows. Objects of one
-    call are one micro-batch unless ``files_per_batch`` cuts them up.
+    call are one micro-batch unless ``files_per_batch`` cuts them up. Returns
+    what all calls have emitted so far.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", int(files_per_batch))
-    query = (build(reader.parquet(folder)).writeStream.outputMode("append").format("parquet")
+    emitted = build(reader.parquet(folder))
+    query = (emitted.writeStream.outputMode("append").format("parquet")
              .option("path", output_path).option("checkpointLocation", checkpoint_path)
              .trigger(availableNow=True).start())
     query.awaitTermination()
+    return spark.read.schema(emitted.schema).parquet(output_path)
 
 
 def stream_window_stat(stream: DataFrame, ts: str, keys: Sequence[str] | str, value: str,
