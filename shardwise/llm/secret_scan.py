@@ -1,8 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is searched for the three base kinds. Then the layers hidden in it
-are unwrapped: percent escapes, backslash escapes of code points, base64 runs,
-and compressed bytes inside base64. Each decoded layer is searched in the same
+are unwrapped: percent escapes, backslash escapes of code points, all escapes of
+JSON and C strings, base64 runs (wrapped, indented, or joined from quoted strings;
+glued to a path or prefix), and compressed bytes inside base64. Each decoded layer is searched in the same
 way and unwrapped further, until no layer yields a new one; a layer seen before
 is not taken up again, which ends cycles. Every character of a layer knows the
 span of the original text it came from, so a find in any layer is reported as a
@@ -12,7 +13,6 @@ added to the base finds, equal spans once.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import codecs
@@ -38,18 +38,32 @@ KEYWORDS = ("passw", "secret", "token", "api")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
+STRING_ESCAPE = re.compile(ESCAPE.pattern + r"""|\\([nrtbfav0/"'\\])""")
+SHORT = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "a": "\a", "v": "\v", "0": "\0",
+         "/": "/", '"': '"', "'": "'", "\\": "\\"}
 # The shortest find has 14 bytes (token=12345678), 19 characters of base64 without padding.
 LEAST_RUN = 19
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}={0,2}")
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:\r?\n[A-Za-z0-9+/_-]++)+={0,2}")
-LINE = re.compile(r"[^\r\n]+")
+# What may stand between two lines of one run: a line break with blanks around it, or the
+# end of one quoted string and the start of the next, with or without an operator.
+JOIN = re.compile(r"""[\x20\t]*+\r?\n[\x20\t]*+"""
+                  r"""|["'][\x20\t]*+[+.,&\\]?[\x20\t]*+(?:\r?\n[\x20\t]*+)?[+.&]?[\x20\t]*+["']""")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:(?:" + JOIN.pattern
+                     + r")[A-Za-z0-9+/_-]++)+={0,2}")
+# Bytes without so many ASCII characters on end (one, two or four bytes wide) hold no find,
+# escape or base64 run that leads to one.
+LEGIBLE = re.compile(rb"[\t\n\r\x20-\x7e]{14}|(?:[\t\n\r\x20-\x7e]\0){13}|(?:[\t\n\r\x20-\x7e]\0{3}){13}")
+LEGIBLE_TEXT = re.compile(r"[\t\n\r\x20-\x7e]{14,}")
+# How gzip, bzip2, xz and zlib streams begin in base64.
+MAGIC = re.compile(r"(?=H4sI|Qlpo[MNO]|/Td6WFoA|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r]))")
+PROBE_CHARS = 4096
 
 # Decoded bytes are unpacked in chunks (a multiple of four bytes) and searched in
 # windows of about so many characters.
 CHUNK_BYTES = 1 << 20
 WINDOW_CHARS = 4 << 20
 # Places that no find, escape or base64 run spans, in the text itself or after unwrapping.
-SAFE = re.compile(r"""[^A-Za-z0-9+/_.=:"'%\\{}\x20\r\n-]|(?<=\n)(?=[\x20\n])|(?<=[g-zG-Z])(?=\x20[A-Za-z0-9])""")
+SAFE = re.compile(r"""[^A-Za-z0-9+/_.=:,&"'%\\{}\x20\t\r\n-]|(?<=\n)(?=\n)|(?<=[g-zG-Z])(?=\x20[A-Za-z0-9])""")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -206,22 +220,71 @@ def unpacked(chunks: Iterable[bytes]) -> Iterator[bytes]:
             head = more.lstrip(b"\0")
 
 
+def decoded(body: str, start: int = 0) -> Iterator[bytes]:
+    """The bytes of ``body`` from ``start`` on, in chunks."""
+    end = len(body) - ((len(body) - start) % 4 == 1)  # six bits left over are no byte
+    for at in range(start, end, 4 * CHUNK_BYTES):
+        part = body[at:min(at + 4 * CHUNK_BYTES, end)]
+        yield binascii.a2b_base64(part + "=" * (-len(part) % 4))
+
+
+def begins(body: str, start: int) -> bool:
+    """Whether a compressed stream begins at ``start``.
+
+    Its first bytes must unpack without an error. A zlib stream inside a run has to be
+    whole as well (its checksum holds), as its two first bytes turn up in any noise.
+    """
+    head = next(decoded(body[start:start + PROBE_CHARS]), b"")
+    box = opened(head)
+    if box is None:
+        return False
+    try:
+        box.decompress(head, CHUNK_BYTES)
+        if start and head[0] == 0x78:
+            box = zlib.decompressobj()
+            for chunk in decoded(body, start):
+                while chunk and not box.eof:
+                    box.decompress(chunk, CHUNK_BYTES)
+                    chunk = box.unconsumed_tail
+            return box.eof
+        return True
+    except (zlib.error, OSError, EOFError, lzma.LZMAError):
+        return False
+
+
 def from_base64(run: str) -> Iterator[str]:
     """Texts a base64 run stands for: of the decoded bytes, and of what they unpack to.
 
-    Long ones come in windows. Every level unpacks anew from the decoded bytes, so
-    no level is held in memory.
+    What stands before the base64 in the same run (a path, a prefix) puts it out of
+    step, so the bytes are read at all four alignments, and compressed streams from
+    wherever one begins. Long texts come in windows. Every level unpacks anew from the
+    decoded bytes, so no level is held in memory.
     """
-    body = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:  # six bits left over are no byte
-        body = body[:-1]
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    seen, depth = {hashlib.sha256().digest()}, 0
+    body = JOIN.sub("", run).rstrip("=").replace("-", "+").replace("_", "/")
+    seen = {hashlib.sha256().digest()}
+    for start in range(min(4, len(body))):
+        if legible(decoded(body, start)):
+            yield from levels(body, start, 0, seen)
+        elif begins(body, start):
+            yield from levels(body, start, 1, seen)
+    for m in MAGIC.finditer(body, 4):
+        if begins(body, m.start()):
+            yield from levels(body, m.start(), 1, seen)
+
+
+def legible(chunks: Iterable[bytes]) -> bool:
+    tail = b""
+    for chunk in chunks:
+        if LEGIBLE.search(tail + chunk):
+            return True
+        tail = chunk[-64:]
+    return False
+
+
+def levels(body: str, start: int, depth: int, seen: set[bytes]) -> Iterator[str]:
+    """Texts of the bytes from ``start`` on, unpacked ``depth`` times and more until nothing new."""
     while True:
-        digest, level = hashlib.sha256(), iter([data])
+        digest, level = hashlib.sha256(), decoded(body, start)
         for _ in range(depth):
             level = unpacked(level)
         yield from texts(hashed(level, digest))
@@ -247,8 +310,9 @@ def base64_runs(text: str) -> Iterator[tuple[int, int]]:
     """
     for m in BASE64.finditer(text):
         yield m.span()
-    for m in WRAPPED.finditer(text) if "\n" in text else ():
-        lines = [x.span() for x in LINE.finditer(text, *m.span())]
+    for m in WRAPPED.finditer(text):
+        cuts = [m.start(), *(at for x in JOIN.finditer(text, *m.span()) for at in x.span()), m.end()]
+        lines = list(zip(cuts[::2], cuts[1::2]))
         widths = [e - s for s, e in lines]
         padded = text[m.end() - 1] == "="
         last = len(lines) - 1
@@ -271,6 +335,18 @@ def base64_runs(text: str) -> Iterator[tuple[int, int]]:
         yield from sorted(r for r in found if r[1] - r[0] >= LEAST_RUN)
 
 
+def escapes(pattern: re.Pattern, text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, character)`` of the backslash escapes that ``pattern`` finds."""
+    pieces = []
+    for m in pattern.finditer(text):
+        point = next((g for g in m.groups()[:4] if g), None)
+        if point is None:
+            pieces.append((m.start(), m.end(), SHORT[m.group(5)]))
+        elif (value := int(point, 16)) < 0x110000 and not 0xD800 <= value < 0xE000:
+            pieces.append((m.start(), m.end(), chr(value)))
+    return pieces
+
+
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers one decoding step inside ``layer``."""
     text = layer.text
@@ -293,16 +369,18 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
         if pieces:
             yield layer.rebuilt(pieces)
     if "\\" in text:
-        pieces = []
-        for m in ESCAPE.finditer(text):
-            value = int(next(g for g in m.groups() if g), 16)
-            if value < 0x110000 and not 0xD800 <= value < 0xE000:
-                pieces.append((m.start(), m.end(), chr(value)))
-        if pieces:
-            yield layer.rebuilt(pieces)
+        points = escapes(ESCAPE, text)
+        if points:
+            yield layer.rebuilt(points)
+        strings = escapes(STRING_ESCAPE, text)
+        if strings != points:
+            yield layer.rebuilt(strings)
     for start, end in base64_runs(text):
         for inner in from_base64(text[start:end]):
-            yield Layer(inner, whole=layer.span(start, end))
+            # All places are the run's, so only what can hold a find or lead to one is kept.
+            kept = "\ufffd".join(LEGIBLE_TEXT.findall(inner))
+            if kept:
+                yield Layer(kept, whole=layer.span(start, end))
 
 
 def digest_of(text: str) -> bytes:
@@ -339,7 +417,8 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     """One row per document: counts of the base finds, their digest, and all spans.
 
     A null or empty text has no finds. Repeated rows give repeated results. The
-    whole text is searched, whatever its length; spans count code points.
+    whole text is searched, whatever its length; spans count code points. An empty
+    table gives an empty result; other columns are not read.
     """
     src = docs.select(id_col, text)
     schema = (f"{id_col} {src.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, "

@@ -3,9 +3,11 @@
 import base64
 import bz2
 import gzip
+import json
 import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -308,6 +310,48 @@ def test_trigram_vectors_are_bound_permutations():
     assert (vec == want).all()
 
 
+PACKS = [bytes, gzip.compress, bz2.compress, lzma.compress, zlib.compress]
+SECRET = b"name=alice password=hunter2hunter2 end of the line"
+
+
+def in_lines(data, width, indent="", end="\n"):
+    code = base64.b64encode(data).decode()
+    return end.join(indent + code[i:i + width] for i in range(0, len(code), width))
+
+
+@pytest.mark.parametrize("pack", PACKS)
+@pytest.mark.parametrize("prefix", ["https://h.io/v1/data/", "a/", "ab/", "abc/", "abcd/", "k-", "x_y-", "/usr/lib/"])
+def test_secrets_behind_a_path_or_prefix(prefix, pack):
+    for code in (base64.b64encode(pack(SECRET)).decode(),
+                 base64.urlsafe_b64encode(pack(SECRET)).decode().rstrip("=")):
+        spans = secret_scan.all_spans(f"é {prefix}{code} after", [])
+        assert any(k == 0 and s <= 2 + len(prefix) and e >= 2 + len(prefix + code) for s, k, e in spans)
+
+
+@pytest.mark.parametrize("pack", PACKS)
+def test_secrets_in_escaped_indented_and_joined_runs(pack):
+    data = pack(SECRET)
+    code, lines = base64.b64encode(data).decode(), in_lines(data, 40)
+    hidden = [json.dumps({"a": f"first\n{lines}\nlast"}),
+              json.dumps({"a": "first\r\n" + in_lines(data, 76, end="\r\n") + "\r\nlast"}),
+              json.dumps({"a": code}).replace("/", "\\/"),
+              json.dumps({"a": json.dumps({"b": f"first\n{lines}\nlast"})}),
+              "data: |\n" + in_lines(data, 40, "    ") + "\nnext: 1",
+              "data: |\n" + in_lines(data, 64, "\t") + "\nnext: 1",
+              *('x = "' + lines.replace("\n", join) + '";' for join in
+                ('"\n     "', '" +\n  "', '"\n  + "', '" + "', '" .\n"', '" \\\n "', '",\n "'))]
+    for text in hidden:
+        assert any(k == 0 for _, k, _ in secret_scan.all_spans(text, [])), text
+
+
+def test_illegible_runs_take_time_in_proportion():
+    noise = random.Random(4).randbytes(1_500_000)
+    started = time.monotonic()
+    for text in (base64.b64encode(noise).decode(), in_lines(noise, 50)):
+        assert secret_scan.all_spans(text, []) == []
+    assert time.monotonic() - started < 30
+
+
 # ------------------------------------------------------------------- packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
