@@ -113,16 +113,20 @@ def with_parquet_row_index(scan: DataFrame, manifest: DataFrame, name: str = "ro
     )
 
 
+def tag_rows(scan: DataFrame) -> DataFrame:
+    """The scan with file, split and place in its task."""
+    return (scan.withColumn("__path", object_uri())
+            .withColumn("__block", F.col("_metadata.file_block_start"))
+            .withColumn("__mid", F.monotonically_increasing_id()))
+
+
 def tag_scan(scan: DataFrame) -> DataFrame:
-    """The scan with file, split and place in its task, written once.
+    """:func:`tag_rows`, written once.
 
     Counts and positions are both taken from this copy, so they agree even if
     another scan of the same objects would be split differently.
     """
-    return written(
-        scan.withColumn("__path", object_uri())
-        .withColumn("__block", F.col("_metadata.file_block_start"))
-        .withColumn("__mid", F.monotonically_increasing_id()), "tagged-scan")
+    return written(tag_rows(scan), "tagged-scan")
 
 
 def split_counts(tagged: DataFrame) -> DataFrame:

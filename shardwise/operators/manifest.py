@@ -79,15 +79,8 @@ def make_manifest(spark: SparkSession | None = None, glob: str | None = None,
     return out.select(*cols)
 
 
-def list_objects(spark: SparkSession, glob: str) -> DataFrame:
-    """Objects matching ``glob`` as ``id, uri, size``, sorted by ``uri``; ids are list positions. [A5, B9]
-
-    Listing is metadata work on the driver, as Spark's own file index does it;
-    zero-byte objects are listed too (Spark's readers drop them). URIs are escaped
-    as those of scanned rows (``rowindex.object_uri``), so that names with blanks
-    or percent signs meet. Names starting with ``_`` or ``.`` are refused: Spark's readers
-    would leave them out without a word.
-    """
+def object_statuses(spark: SparkSession, glob: str) -> list[tuple[str, int, int]]:
+    """``(uri, length, modification time)`` of the objects matching ``glob``, sorted by URI."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(glob)
@@ -97,7 +90,8 @@ def list_objects(spark: SparkSession, glob: str) -> DataFrame:
         if st.isFile():
             uri = st.getPath().toUri()
             place = f"//{uri.getAuthority()}" if uri.getAuthority() else ""
-            files.append((f"{uri.getScheme()}:{place}{uri.getRawPath()}", int(st.getLen())))
+            files.append((f"{uri.getScheme()}:{place}{uri.getRawPath()}", int(st.getLen()),
+                          int(st.getModificationTime())))
             if st.getPath().getName().startswith(("_", ".")):
                 hidden.append(files[-1][0])
     if not files:
@@ -105,7 +99,19 @@ def list_objects(spark: SparkSession, glob: str) -> DataFrame:
     if hidden:
         raise ValueError(f"names starting with '_' or '.' cannot be read as data: {hidden[:5]}; "
                          "rename them or narrow the pattern")
-    rows = [(i, uri, size) for i, (uri, size) in enumerate(sorted(files))]
+    return sorted(files)
+
+
+def list_objects(spark: SparkSession, glob: str) -> DataFrame:
+    """Objects matching ``glob`` as ``id, uri, size``, sorted by ``uri``; ids are list positions. [A5, B9]
+
+    Listing is metadata work on the driver, as Spark's own file index does it;
+    zero-byte objects are listed too (Spark's readers drop them). URIs are escaped
+    as those of scanned rows (``rowindex.object_uri``), so that names with blanks
+    or percent signs meet. Names starting with ``_`` or ``.`` are refused: Spark's readers
+    would leave them out without a word.
+    """
+    rows = [(i, uri, size) for i, (uri, size, _) in enumerate(object_statuses(spark, glob))]
     return literal_rows(spark, rows, "id INT, uri STRING, size BIGINT")
 
 

@@ -22,14 +22,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import numeric_columns
-from ..functions.rowindex import object_uri, split_counts, tag_scan, with_csv_row_index, written
+from ..functions.rowindex import object_uri, split_counts, tag_rows, tag_scan, with_csv_row_index, written
 from ..operators import features as feat
 from ..operators import manifest as man
 from ..operators import shards as sh
 from ..sources import csv as src
 from ..sources import meta
+from ..sources.cache import cached_rows
 from ..sources.records import tagged_records
 
 
@@ -41,7 +43,7 @@ class ShardedDataset:
                  stats_glob: bool | str | None = True,
                  worker: int = 0, replicas: int = 1, shard_size: int | None = 1,
                  batch_size: int | None = None, max_shards: int | None = None,
-                 storage_options: dict | None = None, cache: bool = False, sep: str = ",",
+                 storage_options: dict | None = None, cache: bool | str = False, sep: str = ",",
                  schema=None, multiline: bool = False):
         if not glob:
             raise ValueError("a dataset needs a glob")
@@ -119,15 +121,34 @@ class ShardedDataset:
                                 schema=self._schema(), multiline=self.multiline,
                                 positional_names=False, cache=False)
 
-    def _tag(self, wanted=None) -> DataFrame:
-        """The rows with object, split and place, written once; ``wanted`` restricts the objects.
+    def _tag(self, stretches: list[tuple] | None = None) -> DataFrame:
+        """The rows with object, split and place, written once; ``stretches`` of URIs restrict the objects.
 
         With ``multiline`` quoted line breaks belong to their record; objects are
-        split all the same (:mod:`shardwise.sources.records`).
+        split all the same (:mod:`shardwise.sources.records`). With ``cache`` the
+        rows come from the shared copy of the objects (:mod:`shardwise.sources.cache`).
         """
+        if self.cache:
+            given = self.schema
+            if isinstance(given, str):
+                given = StructType.fromDDL(given)
+            tagged = cached_rows(
+                self.spark, self.glob, {"header": str(self.header), "sep": self.sep, "multiline": self.multiline},
+                given, self._schema, lambda wanted: self._tagged_scan(wanted, tag_rows),
+                self.cache, stretches)
+            self.schema = tagged.drop("__path", "__block", "__mid").schema
+            return tagged
+        wanted = None
+        if stretches is not None:
+            wanted = F.lit(False)
+            for lo, hi in stretches:
+                wanted = wanted | object_uri().between(lo, hi)
+        return self._tagged_scan(wanted, tag_scan)
+
+    def _tagged_scan(self, wanted, tag: Callable[[DataFrame], DataFrame]) -> DataFrame:
         if not self.multiline:
             scan = self.scan()
-            return tag_scan(scan if wanted is None else scan.where(wanted))
+            return tag(scan if wanted is None else scan.where(wanted))
         tagged = tagged_records(self.spark, self.glob, self.header, self.sep, self.schema, wanted)
         if self.schema is None:
             self.schema = tagged.drop("__path", "__block", "__mid").schema
@@ -140,8 +161,6 @@ class ShardedDataset:
                 self._tagged = self._tag()
             self._table = self._positional(with_csv_row_index(
                 None, self.manifest, tagged=self._tagged, splits=self._splits))
-            if self.cache:
-                self._table = self._table.persist()
         return self._table
 
     def materialize(self, path: str | None = None) -> str:
@@ -153,8 +172,6 @@ class ShardedDataset:
         if path is None and self._materialized is not None:
             return self._materialized
         target = materialize(self.table(), path)
-        if self.cache:
-            self._table.unpersist()
         self._table = self.spark.read.parquet(target)
         self._materialized = target
         return target
@@ -180,12 +197,11 @@ class ShardedDataset:
             return self.slice(start, end)
         bounds = (self.read_spec(start, end).where(F.col("numrows") > 0).groupBy("part")
                   .agg(F.min("uri").alias("lo"), F.max("uri").alias("hi")).collect())
-        path = object_uri()
-        wanted, objects = F.lit(False), F.lit(False)
+        objects = F.lit(False)
         for r in bounds:
-            wanted = wanted | path.between(r["lo"], r["hi"])
             objects = objects | F.col("uri").between(r["lo"], r["hi"])
-        indexed = with_csv_row_index(None, self.manifest.where(objects), tagged=self._tag(wanted))
+        tagged = self._tag([(r["lo"], r["hi"]) for r in bounds])
+        indexed = with_csv_row_index(None, self.manifest.where(objects), tagged=tagged)
         return sh.slice_rows(self._positional(indexed), self.row_count, start, end)
 
     @staticmethod

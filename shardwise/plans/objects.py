@@ -57,6 +57,16 @@ def q_csv_objects(spark, d):
     return _named(_dataset(spark, d).table())
 
 
+def q_csv_cached(spark, d):
+    """The same table read through the object cache, from the copies that a first read left. [A4]"""
+    folder = scratch_path(spark, "object-cache")
+    first = _dataset(spark, d, cache=folder)
+    first.table()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return _named(ShardedDataset(spark, first.glob, schema=CUSTOMER, shard_size=64, cache=folder).table())
+
+
 def q_csv_objects_manifest(spark, d):
     """The same table through the manifest stored beside the objects. [A8, A10, A12, B1, B9-B11]"""
     return _named(_dataset(spark, d, with_manifest=True).table())
@@ -281,6 +291,7 @@ def _sample_sql(table: str = "lineitem", sample: str = "l_returnflag = 'R'", col
 
 QUERIES = {
     "csv_objects": q_csv_objects,
+    "csv_cached": q_csv_cached,
     "csv_objects_manifest": q_csv_objects_manifest,
     "csv_read_range": q_csv_read_range,
     "csv_read_range_wrap": q_csv_read_range_wrap,
@@ -302,6 +313,7 @@ def oracle_sql() -> dict[str, str]:
     whole = f"{_IDX} SELECT {_COLS} FROM idx"
     return {
         "csv_objects": whole,
+        "csv_cached": whole,
         "csv_objects_manifest": whole,
         "csv_empty_parts": whole,
         "csv_read_range": f"""{_IDX}
