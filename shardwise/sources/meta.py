@@ -8,10 +8,12 @@ five rows respectively, so one task writes them).
 from __future__ import annotations
 
 import posixpath
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import literal_rows
 from .csv import resolve_uri
 
 
@@ -54,10 +56,21 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return df.select("summary", *[F.col(c).cast("double").alias(c) for c in df.columns if c != "summary"])
 
 
-def write_meta(df: DataFrame, data_folder: str, kind: str, mode: str = "overwrite") -> str:
-    """Write a small table (raw manifest or stats) as one CSV file in ``.meta/<kind>/``. [A12]"""
-    target = f"{resolve_uri(data_folder).rstrip('/')}/.meta/{kind}"
-    df.coalesce(1).write.mode(mode).option("header", "true").csv(target)
+def write_meta(df: DataFrame, data_folder: str, kind: str) -> str:
+    """Write a small table (raw manifest or stats) as one CSV file in ``.meta/<kind>/``. [A12]
+
+    The table is complete beside its place before it replaces the former one by rename,
+    so readers find a whole table or none.
+    """
+    base = f"{resolve_uri(data_folder).rstrip('/')}/.meta"
+    target, ready = f"{base}/{kind}", f"{base}/.{kind}-{uuid.uuid4().hex}"
+    df.coalesce(1).write.option("header", "true").csv(ready)
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path(target), True)
+    if not fs.rename(path(ready), path(target)):
+        raise OSError(f"{ready} could not be renamed to {target}")
     return target
 
 
@@ -91,27 +104,40 @@ def write_with_manifest(df: DataFrame, data_folder: str, fmt: str = "csv", heade
                         include_empty_zero_id: bool = False, mode: str = "overwrite") -> DataFrame:
     """Write ``df`` as part files and its raw manifest (rows per part) to ``.meta/shards``. [B1, A12]
 
-    The frame is persisted first, so the counts per partition are taken from the
-    very partitions that are written (part file ``k`` holds partition ``k``; Spark
-    writes no file for an empty partition, and the manifest has no row for it).
-    Returns the raw manifest.
+    ``df`` is computed once. The rows are counted on the parts that were written, so
+    the manifest agrees with them whatever tasks were lost and run again on the way.
+    ``id`` is a part's place among the files sorted by name, zero-byte ones not
+    counted; with ``mode="append"`` the manifest covers the older files as well. The
+    former manifest goes before the parts are written, and the new one is published
+    when it is complete; in between readers find none and count for themselves.
+    ``include_empty_zero_id`` adds ``(0, 0)`` for an empty first part without a
+    file of its own. Returns the raw manifest.
     """
-    from pyspark import StorageLevel
-
-    from ..operators.manifest import partition_counts
+    from ..operators.manifest import RAW_SCHEMA, count_objects
 
+    spark = df.sparkSession
     target = resolve_uri(data_folder).rstrip("/")
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        writer = kept.write.mode(mode)
-        if fmt == "csv":
-            writer = writer.option("header", str(bool(header)).lower())
-        writer.format(fmt).save(target)
-        raw = partition_counts(kept, include_empty_zero_id=include_empty_zero_id)
-        write_manifest(raw, target)
-    finally:
-        kept.unpersist()
-    return read_raw(kept.sparkSession, f"{target}/.meta/shards")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if mode == "append":
+        fs.delete(path(f"{target}/.meta/shards"), True)
+    writer = df.write.mode(mode)
+    if fmt == "csv":
+        writer = writer.option("header", str(bool(header)).lower())
+    writer.format(fmt).save(target)
+    parts = f"{target}/part-*"
+    written = any(st.getLen() > 0 for st in fs.globStatus(path(parts)) or [])
+    if written:
+        # Each part was written by one task, so reading it whole for quoted line breaks asks no more of one.
+        raw = count_objects(spark, parts, header=header, multiline=True, fmt=fmt)
+        places = Window.orderBy("id")  # a row per part
+        raw = raw.select((F.row_number().over(places) - 1).alias("id"), "count")
+    else:
+        raw = literal_rows(spark, [], RAW_SCHEMA)
+    if include_empty_zero_id:
+        raw = raw.unionByName(literal_rows(spark, [(0, 0)], RAW_SCHEMA))
+    write_manifest(raw, target)
+    return read_raw(spark, f"{target}/.meta/shards")
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,8 @@
+import os
+
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from shardwise.sources import csv as src
 from shardwise.sources import meta
@@ -105,3 +108,34 @@ def test_storage_settings_map_or_refuse():
 
 def test_parent_of_brace_patterns():
     assert meta.parent_of("/data/x/{a,b}.csv") == "/data/x"
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_manifest_counts_the_written_parts(spark, tmpdir_path, fmt):
+    target = os.path.join(tmpdir_path, "out")
+    # Rows that differ between runs of a task, quoted line breaks, an empty partition in between.
+    df = (spark.range(0, 90, 1, 3).where("id < 30 or id >= 60 and rand() < 0.5")
+          .select(F.col("id"), F.concat(F.lit('a "b"\n'), F.col("id").cast("string"), F.lit(",c\\")).alias("t")))
+    raw = meta.write_with_manifest(df, target, fmt=fmt)
+    back = spark.read.options(header=True, multiLine=True).format(fmt).load(target)
+    per_file = [r["count"] for r in back.groupBy(F.input_file_name().alias("f")).count().orderBy("f").collect()]
+    assert [r["count"] for r in raw.orderBy("id").collect()] == per_file
+    assert [r["id"] for r in raw.orderBy("id").collect()] == list(range(len(per_file)))
+    meta.write_with_manifest(spark.range(7).select("id", F.lit("x").alias("t")), target, fmt=fmt, mode="append")
+    raw = meta.read_raw(spark, f"{target}/.meta/shards")
+    assert raw.agg(F.sum("count")).first()[0] == sum(per_file) + 7
+    assert sorted(os.listdir(f"{target}/.meta")) == ["shards"]
+
+
+def test_a_failed_write_leaves_no_manifest(spark, tmpdir_path, monkeypatch):
+    target = os.path.join(tmpdir_path, "out")
+    meta.write_with_manifest(spark.range(9), target)
+    monkeypatch.setattr(meta, "write_manifest", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        meta.write_with_manifest(spark.range(5), target, mode="append")
+    assert meta.find_meta(spark, f"{target}/part-*", "shards") is None
+
+
+def test_nothing_written_gives_an_empty_manifest(spark, tmpdir_path):
+    raw = meta.write_with_manifest(spark.range(0), os.path.join(tmpdir_path, "none"), header=False)
+    assert raw.agg(F.sum("count")).first()[0] in (None, 0)
