@@ -7,10 +7,11 @@ starts inside quotes. Functions compose, so
 
 1. the lines of all splits are read in parallel with their functions (a line
    without a quote keeps the state and is not walked through);
-2. a running composition within each split numbers its records for both
-   possible starts, in one exchange by split, written once;
-3. the splits of an object (one row each) are composed in order, which gives
-   every split its start;
+2. a running composition within each stretch (the next ``STRETCH_LINES`` lines
+   of a split) numbers its records for both possible starts, in one exchange by
+   stretch, written once;
+3. the stretches of an object (one row each) are composed in order, which gives
+   every stretch its start;
 4. lines that are whole records pass as they are; only the lines of records
    that span several are brought together, by record.
 
@@ -19,7 +20,8 @@ one inside quotes stands for itself, and after the closing one the rest of the
 field is taken as it stands. Records end at ``\\n`` or ``\\r\\n``; blank lines
 between records are skipped, inside quotes they belong to the field. A record
 has to fit into a task's memory. Quotes still open at the end of an object are
-an error.
+an error. The exchanges have a partition for every ``PARTITION_BYTES`` of the
+objects at least, so a task reads a bounded part of them however many there are.
 """
 
 from __future__ import annotations
@@ -29,8 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.rowindex import object_uri, written
+from ..session import default_parallelism
 from .csv import header_flag, resolve_uri
 
+# Lines composed by one group of the exchange, and bytes of the objects for each of its partitions.
+STRETCH_LINES = 1 << 14
+PARTITION_BYTES = 64 << 20
+
 QUOTE = '"'
 OUTSIDE, INSIDE, CLOSED = 0, 1, 2  # CLOSED: behind a quote that ends the field unless another follows
 
@@ -86,6 +93,19 @@ def _composed(rows: DataFrame, window, start: str = "e0", end: str = "e1") -> Da
             .withColumn("swaps", (F.col("turns") % 2).cast("int")).drop("turns", "set_"))
 
 
+def _partitions(spark: SparkSession, glob: str, wanted: Column | None) -> int:
+    """Partitions for an exchange of all lines: one for every ``PARTITION_BYTES`` of the objects (their listing)."""
+    files = spark.read.format("binaryFile").load(resolve_uri(glob))
+    if wanted is not None:
+        files = files.where(wanted)
+    return -(-(files.agg(F.sum("length")).first()[0] or 0) // PARTITION_BYTES)
+
+
+def _spread(df: DataFrame, partitions: int, keys: list[str]) -> DataFrame:
+    """``df`` dealt out by ``keys`` if Spark's own number of partitions is too small; else Spark does so later."""
+    return df.repartition(partitions, *keys) if partitions > default_parallelism(df.sparkSession) else df
+
+
 def lines_of(spark: SparkSession, glob: str, sep: str = ",", wanted: Column | None = None) -> DataFrame:
     """``path, block, mid, line, e0, e1``: the lines of all objects with their functions."""
     scan = spark.read.option("lineSep", "\n").text(resolve_uri(glob))
@@ -106,56 +126,61 @@ def records(spark: SparkSession, glob: str, header="infer", sep: str = ",",
     the frame as a tagged scan. ``wanted`` restricts the objects (a condition
     that Spark can prune files by).
     """
-    split = Window.partitionBy("path", "block").orderBy("mid")
-    before = split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    group = ["path", "block", "stretch"]
+    stretch = Window.partitionBy(*group).orderBy("mid")
+    before = stretch.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blank = F.trim(F.translate("line", "\t\r", "  ")) == ""
-    lines = _composed(lines_of(spark, glob, sep, wanted), split)
-    # Where a line begins, for both starts of its split, and how many records began up to it.
+    partitions = _partitions(spark, glob, wanted)
+    scanned = lines_of(spark, glob, sep, wanted).withColumn("stretch", F.expr(f"mid div {STRETCH_LINES}"))
+    lines = _composed(_spread(scanned, partitions, group), stretch)
+    # Where a line begins, for both starts of its stretch, and how many records began up to it.
     for s in (OUTSIDE, INSIDE):
-        begins = F.coalesce(F.lag(_behind("constant", "swaps", F.lit(s))).over(split), F.lit(s))
+        begins = F.coalesce(F.lag(_behind("constant", "swaps", F.lit(s))).over(stretch), F.lit(s))
         lines = lines.withColumn(f"at{s}", begins)
     for s in (OUTSIDE, INSIDE):
         lines = lines.withColumn(f"n{s}", F.sum(((F.col(f"at{s}") == OUTSIDE) & ~blank).cast("long")).over(before))
     lines = written(lines.drop("e0", "e1"), "csv-states")
 
-    # A row per split: its function and its records, composed in the order of the object.
+    # A row per stretch: its function and its records, composed in the order of the object.
     last = F.max_by(F.struct("constant", "swaps", "n0", "n1"), "mid")
-    splits = lines.groupBy("path", "block").agg(last.alias("f")).select("path", "block", "f.*")
-    in_object = Window.partitionBy("path").orderBy("block")
+    parts = lines.groupBy(*group).agg(last.alias("f")).select(*group, "f.*")
+    in_object = Window.partitionBy("path").orderBy("block", "stretch")
     earlier = in_object.rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumns({"e0": _behind("constant", "swaps", F.lit(OUTSIDE)),
-                                 "e1": _behind("constant", "swaps", F.lit(INSIDE))}).drop("constant", "swaps")
-    splits = _composed(splits, in_object).withColumn("end", _behind("constant", "swaps", F.lit(OUTSIDE)))
-    splits = (splits.withColumn("start", F.coalesce(F.lag("end").over(in_object), F.lit(OUTSIDE)))
-              .withColumn("own", F.when(F.col("start") == OUTSIDE, F.col("n0")).otherwise(F.col("n1")))
-              .withColumn("records_before", F.coalesce(F.sum("own").over(earlier), F.lit(0)))
-              # The record that a split starts in the midst of began in the last split with any.
-              .withColumn("open_block", F.last(F.when(F.col("own") > 0, F.struct("block", "own")),
-                                               ignorenulls=True).over(earlier)))
-    splits = written(splits.select("path", "block", "start", "end", "records_before", "open_block"), "csv-splits")
-    unclosed = splits.groupBy("path").agg(F.max_by("end", "block").alias("end")).where("end = 1")
+    in_split = Window.partitionBy("path", "block").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"e0": _behind("constant", "swaps", F.lit(OUTSIDE)),
+                               "e1": _behind("constant", "swaps", F.lit(INSIDE))}).drop("constant", "swaps")
+    parts = _composed(parts, in_object).withColumn("end", _behind("constant", "swaps", F.lit(OUTSIDE)))
+    parts = (parts.withColumn("start", F.coalesce(F.lag("end").over(in_object), F.lit(OUTSIDE)))
+             .withColumn("own", F.when(F.col("start") == OUTSIDE, F.col("n0")).otherwise(F.col("n1")))
+             .withColumn("records_before", F.coalesce(F.sum("own").over(earlier), F.lit(0)))
+             .withColumn("split_before", F.coalesce(F.sum("own").over(in_split), F.lit(0)))
+             # The record that a stretch starts in the midst of began in the last one with any.
+             .withColumn("open", F.last(F.when(F.col("own") > 0, F.struct(
+                 "block", (F.col("split_before") + F.col("own")).alias("n"))), ignorenulls=True).over(earlier)))
+    parts = written(parts.select(*group, "start", "end", "records_before", "split_before", "open"), "csv-stretches")
+    unclosed = parts.groupBy("path").agg(F.max_by("end", F.struct("block", "stretch")).alias("end")).where("end = 1")
     wrong = [r["path"] for r in unclosed.orderBy("path").limit(5).collect()]
     if wrong:
         raise ValueError(f"quotes are still open at the end of {', '.join(wrong)}")
 
     outside = F.col("start") == OUTSIDE
-    placed = (lines.join(splits, ["path", "block"])
+    placed = (lines.join(parts, group)
               .withColumn("at", F.when(outside, F.col("at0")).otherwise(F.col("at1")))
               .withColumn("behind", _behind("constant", "swaps", "start"))
               .withColumn("n", F.when(outside, F.col("n0")).otherwise(F.col("n1"))))
     placed = placed.where((F.col("at") == INSIDE) | ~blank)
     found = placed.select(
         F.col("path").alias("__path"),
-        F.when(F.col("n") > 0, F.col("block")).otherwise(F.col("open_block.block")).alias("__block"),
-        F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("open_block.own")).alias("__mid"),
-        # Lines that go on from the split before belong to its last record, number n + records_before too.
+        F.when(F.col("n") > 0, F.col("block")).otherwise(F.col("open.block")).alias("__block"),
+        F.when(F.col("n") > 0, F.col("split_before") + F.col("n")).otherwise(F.col("open.n")).alias("__mid"),
+        # Lines that go on from the stretch before belong to its last record, number n + records_before too.
         (F.col("records_before") + F.col("n") == 1).alias("first"),
         "at", "behind", "block", "mid", "line")
     if header_flag(header):
         found = found.where(~F.col("first"))
     whole = (F.col("at") == OUTSIDE) & (F.col("behind") == OUTSIDE)
     keys = ["__path", "__block", "__mid"]
-    joined = found.where(~whole).groupBy(*keys).agg(F.array_join(F.transform(
+    joined = _spread(found.where(~whole), partitions, keys).groupBy(*keys).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("block", "mid", "line"))), lambda x: x["line"]), "\n").alias("record"))
     # The carriage return of a line's end is no part of its record.
     return found.where(whole).select(*keys, F.col("line").alias("record")).unionByName(joined).withColumn(

@@ -102,3 +102,49 @@ def test_objects_without_records(spark, tmpdir_path):
     data = ShardedDataset(spark, glob, multiline=True, stats_glob=False, schema="a STRING, b INT")
     assert data.row_count == 1
     assert [list(r) for r in data.table().collect()] == [["1\n", 2, 0]]
+
+
+@pytest.mark.parametrize("seed,end", [(4, "\n"), (5, "\r\n")])
+def test_a_split_is_composed_in_stretches_of_few_lines(spark, tmpdir_path, monkeypatch, seed, end):
+    rnd = random.Random(seed)
+    want = []
+    for k in range(2):
+        text, rows = random_csv(rnd, 40, end)
+        glob = put(f"{tmpdir_path}/s", f"p{k}.csv", text)
+        want += rows
+    # One split for each object, but groups of three lines, dealt over more partitions than Spark has.
+    monkeypatch.setattr(rec, "STRETCH_LINES", 3, raising=False)
+    monkeypatch.setattr(rec, "PARTITION_BYTES", 100, raising=False)
+    states, kept = [], rec.written
+
+    def spied(df, name):
+        out = kept(df, name)
+        if name == "csv-states":
+            states.append(out)
+        return out
+
+    monkeypatch.setattr(rec, "written", spied)
+    data = ShardedDataset(spark, glob, multiline=True, stats_glob=False, schema="id STRING, note STRING, text STRING")
+    assert [list(r) for r in data.table().orderBy("row_idx").collect()] == [[*r, i] for i, r in enumerate(want)]
+    assert states[0].select("path", "block").distinct().count() == 2
+    groups = states[0].groupBy("path", "block", "stretch").count()
+    assert groups.count() > 40 and groups.agg({"count": "max"}).first()[0] == 3
+    assert len({os.path.basename(f).split("-")[1] for f in states[0].inputFiles()}) > 8
+
+
+def test_parts_of_documents_follow_the_bytes_of_their_texts(spark, tmpdir_path, monkeypatch):
+    from shardwise.plans import objects
+
+    docs = [(i if i < 60 else 60, "en", f'{i} "quoted"\n' + "x" * 4000) for i in range(120)] + [(None, None, None)]
+    spark.createDataFrame(docs, "doc_id BIGINT, lang STRING, text STRING").coalesce(1).write.parquet(
+        f"{tmpdir_path}/documents.parquet")
+    monkeypatch.setattr(objects, "BYTES_PER_PART", 20_000, raising=False)
+    monkeypatch.setattr(objects, "scratch_path", lambda _, name: f"{tmpdir_path}/{name}")
+    got = objects.q_csv_quoted_records(spark, tmpdir_path).orderBy("row_idx").collect()
+    assert sorted(map(str, ([r["doc_id"], r["lang"], r["text"]] for r in got))) == sorted(str(list(r)) for r in docs)
+    assert [r["doc_id"] for r in got] == [None, *(r[0] for r in docs[:-1])]
+    assert [r["row_idx"] for r in got] == list(range(121))
+    # Half of the rows have one doc_id: they are in several parts too, none with much more than its share.
+    sizes = [os.path.getsize(os.path.join(f"{tmpdir_path}/quoted-parts", f))
+             for f in os.listdir(f"{tmpdir_path}/quoted-parts") if f.startswith("part-")]
+    assert len(sizes) > 20 and max(sizes) < 3 * 20_000
