@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,6 +71,24 @@ def column_blocks(batches: Iterator, rows: int = 512) -> Iterator:
             yield batch.slice(start, rows)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside hands Python at most ``rows`` rows at a time (fewer, if the session says so).
+
+    Spark's 10,000 rows of long texts are held by the JVM and by the worker, twice each.
+    """
+    given = spark.conf.get(ARROW_ROWS)
+    if not 0 < int(given) <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, given)
+
+
 # ---------------------------------------------------------------- running sums
 
 def running_before(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str],

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import literal_rows
-from .common import column_blocks, materialize, running_before, worker_cache
+from .common import arrow_rows, column_blocks, materialize, running_before, worker_cache
 
 SEQUENCE = 4096
 END_ID = 1
@@ -52,11 +52,18 @@ VOCABULARY = "word_bpe_49k.json"
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 DOTTED_I = "\u0130"  # its lower case ends with a mark
 SPECIAL = b"<|"
+ROWS = 1024  # texts that a worker is handed at a time
+RUN_CHARS = 1 << 21  # characters of the texts whose words are held at a time
 
 
 class WordIds(dict):
     """Word to its ids as little-endian unsigned 32-bit bytes; remembers a bounded number.
 
+    Most words of a corpus are met once (numbers, names, slips) and would fill
+    the memory for nothing: beyond ``limit`` words, or ``limit`` times 16 bytes
+    of words, only those met again since stay, if these are few enough, or else
+    those of the texts at hand.
+
     The tokenizer lower-cases, drops white space and never joins across it, so
     a text's ids are its words' ids in a row; nor does it join a word of letters
     with the marks behind it. Words of letters alone are one piece each, which
@@ -64,10 +71,12 @@ class WordIds(dict):
     time; all others one by one.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        self.size = 0  # bytes of the words known
+        self.again: set[bytes] = set()  # those met again
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, number in vocabulary.items():
@@ -94,9 +103,19 @@ class WordIds(dict):
 
     def learn(self, words: set[bytes]) -> None:
         """Make sure that all ``words`` are known."""
-        if len(self) > self.limit:
+        new = words.difference(self)
+        self.again.update(words - new)
+        if len(self) > self.limit or self.size > 16 * self.limit:
+            kept = self.again
+            if 2 * len(kept) > self.limit or sum(map(len, kept)) > 8 * self.limit:
+                kept = words - new
+            kept = {word: self[word] for word in kept}
             self.clear()
-        new = list(words.difference(self))
+            self.update(kept)
+            self.size = sum(map(len, kept))
+            self.again = set()
+        new = list(new)
+        self.size += sum(map(len, new))
         texts = b"\n".join(new).decode("utf-8", "replace").split("\n")
         letters, rest, parts = set(), [], []
         for word, text, stem in zip(new, texts, [t.rstrip(MARKS) for t in texts]):
@@ -131,13 +150,27 @@ def words_of(text: str | None) -> list[bytes]:
     return data.lower().split()
 
 
+def text_runs(texts: list, chars: int = RUN_CHARS) -> Iterator[list]:
+    """The texts in turn, as many at a time as have about ``chars`` characters."""
+    run, room = [], chars
+    for text in texts:
+        run.append(text)
+        room -= len(text or "")
+        if room <= 0:
+            yield run
+            run, room = [], chars
+    if run:
+        yield run
+
+
 def token_bytes(texts: list, ids: WordIds, end_id: int = END_ID) -> Iterator[bytes]:
     """All ids of every text and the end id, four bytes each (null: the end id alone)."""
-    words = [words_of(t) for t in texts]
-    ids.learn(set().union(*words))
     end = np.array([end_id], dtype="<u4").tobytes()
-    for own in words:
-        yield b"".join([*map(ids.__getitem__, own), end])
+    for run in text_runs(texts):
+        words = [words_of(t) for t in run]
+        ids.learn(set().union(*words))
+        for own in words:
+            yield b"".join([*map(ids.__getitem__, own), end])
 
 
 def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID,
@@ -154,7 +187,7 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = E
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = worker_cache(("word ids", path), lambda: WordIds(path))
-        for block in column_blocks(batches, 1024):
+        for block in column_blocks(batches, ROWS):
             own, number, start, length, crc, parts = [], [], [], [], [], []
             for row, data in enumerate(token_bytes(block.column(1).to_pylist(), ids, end_id)):
                 for k, at in enumerate(range(0, len(data), step)):
@@ -356,8 +389,9 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end
     repeated rows are packed each; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, path or public_tokenizers.path(VOCABULARY), sequence, end_id,
-                             text, id_col, with_ids), "pieces")
+    with arrow_rows(spark, ROWS):
+        cut = materialize(pieces(docs, path or public_tokenizers.path(VOCABULARY), sequence, end_id,
+                                 text, id_col, with_ids), "pieces")
     # One row per length: at most ``sequence`` of them, whatever the corpus.
     stock = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rules, _ = plan(stock, sequence)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shardwise.llm import common
@@ -43,3 +44,17 @@ def test_materialize_keeps_the_schema(spark):
     df = spark.range(0).selectExpr("id", "cast(null as string) as s")
     back = common.materialize(df, "t")
     assert back.count() == 0 and back.columns == ["id", "s"]
+
+
+def test_arrow_rows_bounds_what_a_worker_is_handed(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    given = spark.conf.get(common.ARROW_ROWS)
+    with common.arrow_rows(spark, 100):
+        got = [r["n"] for r in spark.range(0, 1050, 1, 1).mapInArrow(sizes, "n long").collect()]
+        with common.arrow_rows(spark, 500):
+            assert spark.conf.get(common.ARROW_ROWS) == "100"
+    assert sum(got) == 1050 and max(got) == 100
+    assert spark.conf.get(common.ARROW_ROWS) == given

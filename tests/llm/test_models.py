@@ -409,6 +409,41 @@ def test_ids_of_letters_with_marks():
         assert got == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end, text
 
 
+def test_word_memory_is_bounded_and_ids_stay_right():
+    """Ever new words do not fill a worker's memory; words met again stay, and forgetting changes no ids."""
+    tokenizer = Tokenizer.from_file(PATH)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    end = np.array([1], dtype="<u4").tobytes()
+
+    def fresh(lo, hi):
+        return " ".join("z" + "".join(letters[n // 26 ** k % 26] for k in range(5)) for n in range(lo, hi))
+
+    ids = packing.WordIds(PATH, limit=2000)
+    for at in range(0, 20_000, 500):
+        texts = [fresh(at, at + 250), "the of x1, caf\u00e9", None, fresh(at + 250, at + 500) + " The-end."]
+        for text, got in zip(texts, packing.token_bytes(texts, ids), strict=True):
+            want = tokenizer.encode(text or "", add_special_tokens=False).ids
+            assert got == np.array(want, dtype="<u4").tobytes() + end
+        assert len(ids) <= 3000
+        assert b"the" in ids and b"of" in ids
+    for at in range(20):  # few words, but long ones
+        ids.learn({b"q%d" % at + b"x" * 20_000})
+        assert sum(map(len, ids)) <= 100_000
+    ids = packing.WordIds(PATH)
+    for at in range(0, 900_000, 100_000):
+        ids.update(dict.fromkeys((b"#%d" % n for n in range(at, at + 100_000)), b""))
+        ids.learn({b"the"})
+    assert len(ids) <= 600_000
+
+
+def test_texts_are_held_in_runs():
+    texts = ["a" * 10, None, "", "b" * 95, "c" * 300, "d"]
+    runs = list(packing.text_runs(texts, 100))
+    assert [t for run in runs for t in run] == texts
+    assert [len(run) for run in runs] == [4, 1, 1]
+    assert list(packing.text_runs([])) == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 100), st.integers(1, 60)), max_size=25), st.integers(1, 12))
 def test_plans_place_every_piece_once(items, groups):
