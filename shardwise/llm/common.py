@@ -64,6 +64,11 @@ def worker_cache(key, make: Callable[[], object]):
     return kept[key]
 
 
+def free_worker_cache() -> None:
+    """Drop what tasks of other operators left in this Python worker, which Spark uses again."""
+    sys.__dict__.pop("_shardwise_worker_cache", None)
+
+
 def column_blocks(batches: Iterator, rows: int = 512) -> Iterator:
     """Cut Arrow batches so that a step holds a bounded number of texts."""
     for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import column_blocks, whole_row
+from .common import arrow_rows, column_blocks, free_worker_cache, materialize, row_place, whole_row
 
 DIMS = 512
 TRAIN_ROWS = 20_000
@@ -36,6 +36,8 @@ KNOWN_SHARE = 0.5
 KNOWN_ROWS = 10_000
 SEED = 20
 SCALE = 1_000_000
+ROWS = 512  # texts that a worker is handed at a time
+GRAMS = 8192  # trigram vectors that it holds at a time
 
 
 class Letters:
@@ -111,12 +113,17 @@ def bundles(found: list, letters: Letters) -> list:
     if not have:
         return [None] * len(found)
     grams = np.unique(np.concatenate(have))
-    table = np.empty((len(grams), letters.dims), dtype=np.float32)
-    for s in range(0, len(grams), 4096):
-        table[s:s + 4096] = letters.bound(grams[s:s + 4096])
-    out = []
-    for f in found:
-        out.append(None if f is None else f[1].astype(np.float32) @ table[np.searchsorted(grams, f[0])])
+    out = [None if f is None else np.zeros(letters.dims, np.float32) for f in found]
+    table = np.empty((min(GRAMS, len(grams)), letters.dims), dtype=np.float32)
+    for s in range(0, len(grams), GRAMS):
+        part = grams[s:s + GRAMS]
+        for k in range(0, len(part), 2048):
+            table[k:min(k + 2048, len(part))] = letters.bound(part[k:k + 2048])
+        for f, vec in zip(found, out):
+            if f is not None:
+                lo, hi = np.searchsorted(f[0], part[0]), np.searchsorted(f[0], part[-1], "right")
+                # A text's own trigrams may fill more than one table: they are taken a table at a time.
+                vec += f[1][lo:hi].astype(np.float32) @ table[np.searchsorted(part, f[0][lo:hi])]
     return out
 
 
@@ -149,6 +156,7 @@ def known_trigrams(sample: DataFrame) -> np.ndarray:
     language; the letters of a language make it far fewer.
     """
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_cache()
         letters, seen = Letters(1), {}
         for block in column_blocks(batches, 256):
             found = text_trigrams(block.column(1).to_pylist(), letters)
@@ -170,8 +178,9 @@ def known_trigrams(sample: DataFrame) -> np.ndarray:
     if not least:
         return np.zeros(0, np.int64)
     least = F.element_at(F.create_map(*[F.lit(v) for kv in sorted(least.items()) for v in kv]), F.col("lang"))
-    grams = (sample.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram")
-             .agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("gram").distinct().toArrow())
+    with arrow_rows(sample.sparkSession, ROWS):
+        grams = (sample.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram")
+                 .agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("gram").distinct().toArrow())
     return np.sort(grams.column(0).to_numpy())
 
 
@@ -187,6 +196,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = T
 
 def prototypes_of(labelled: DataFrame, dims: int = DIMS) -> list[tuple[str, list[float]]]:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_cache()
         letters, sums = Letters(dims), {}
         for block in column_blocks(batches, 256):
             langs = block.column(0).to_pylist()
@@ -201,11 +211,12 @@ def prototypes_of(labelled: DataFrame, dims: int = DIMS) -> list[tuple[str, list
              pa.array(np.concatenate([sums[n] for n in names]) if names else [], pa.int64())],
             names=["lang", "dim", "value"])
 
-    total = (labelled.mapInArrow(partial, "lang string, dim int, value long")
-             .groupBy("lang", "dim").agg(F.sum("value").alias("value"))
-             .groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))),
-                                              lambda x: x["value"].cast("double")).alias("vector"))
-             .orderBy("lang").collect())
+    with arrow_rows(labelled.sparkSession, ROWS):
+        total = (labelled.mapInArrow(partial, "lang string, dim int, value long")
+                 .groupBy("lang", "dim").agg(F.sum("value").alias("value"))
+                 .groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))),
+                                                  lambda x: x["value"].cast("double")).alias("vector"))
+                 .orderBy("lang").collect())
     return [(r["lang"], list(r["vector"])) for r in total]
 
 
@@ -241,6 +252,7 @@ def predict(docs: DataFrame, prototypes: list, text: str = "text", pred: str = "
     at = keep.index(text)
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_cache()
         letters = Letters(dims)
         for block in column_blocks(batches, 256):
             langs, scores = [], []
@@ -275,13 +287,24 @@ def train_documents(docs: DataFrame) -> list:
 def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row of a documents table."""
     scored = predict(docs.select("doc_id", "text"), train_documents(docs))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    scored = scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    with arrow_rows(docs.sparkSession, ROWS):
+        return materialize(scored, "languages")
 
 
 def keep_identified(docs: DataFrame, share: float = KNOWN_SHARE) -> DataFrame:
     """The rows of ``docs`` in a known language: ``und`` and texts of whose
-    trigrams less than ``share`` are known go. Columns of any name come through."""
+    trigrams less than ``share`` are known go. Columns of any name come through.
+
+    The places of the rows that go are written here, while workers are handed
+    ``ROWS`` rows at a time: whoever runs a plan later does so with the session's batches.
+    """
+    docs, path, index = row_place(docs)
     sample = training_sample(docs.where(~held_out(F.col("doc_id"))))
-    rows = docs.select(whole_row(docs).alias("given"), "text")
+    rows = docs.select(path.alias("path"), index.alias("index"), "text")
     scored = predict(rows, prototypes_of(sample), known=known_trigrams(sample))
-    return scored.where((F.col("lang_pred") != "und") & (F.col("share") >= share)).select("given.*")
+    gone = scored.where((F.col("lang_pred") == "und") | (F.col("share") < share)).select("path", "index")
+    with arrow_rows(docs.sparkSession, ROWS):
+        gone = materialize(gone, "unidentified")
+    given = docs.select(whole_row(docs).alias("given"), path.alias("path"), index.alias("index"))
+    return given.join(gone, ["path", "index"], "left_anti").select("given.*")

@@ -7,7 +7,9 @@ import json
 import lzma
 import random
 import re
+import sys
 import time
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shardwise.llm import langid, packing, quality, secret_scan, toxicity
+from shardwise.llm.common import column_blocks, worker_cache
 from shardwise.llm.labelled import held_out
 
 from ..conftest import TESTDATA
@@ -288,6 +291,50 @@ def test_short_clean_texts_stay_and_unlearned_scripts_go(spark):
     assert sum(i < 10**6 for i in ids) == docs.count()
 
 
+def test_language_id_hands_workers_few_rows_and_drops_what_others_left_there(spark, monkeypatch):
+    def filled(batches):
+        worker_cache("left by another operator", lambda: "x")
+        yield from batches
+
+    def watched(batches, rows):
+        for batch in batches:
+            assert batch.num_rows <= 512 and "_shardwise_worker_cache" not in sys.__dict__
+            yield from column_blocks([batch], rows)
+
+    docs = docs_frame(spark, [(i, f"the cat and dog {chr(97 + i % 26)}", "en") for i in range(2000)], extra=False)
+    docs = docs.coalesce(1)
+    spark.range(0, 16, 1, 16).mapInArrow(filled, "id long").collect()
+    monkeypatch.setattr(langid, "column_blocks", watched)
+    out, kept = langid.identify(docs), langid.keep_identified(docs)
+    assert out.count() == kept.count() == docs.count() and kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_rows_that_go_are_told_by_place_and_copies_stay(spark, tmpdir_path):
+    rows = [(i % 40, "the cat and the dog", "en") for i in range(80)] + [
+        (i, "ещё слово", None) for i in (1, 1, 2)] + [(None, None, None), (None, "the cat", None)]
+    docs_frame(spark, rows, extra=False).repartition(5).write.parquet(tmpdir_path + "/docs")
+    kept = langid.keep_identified(spark.read.parquet(tmpdir_path + "/docs"))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    assert got == sorted((i is None, i or 0, t) for i, t, _ in rows if t and "the" in t)
+
+
+def test_trigram_vectors_are_made_a_table_at_a_time(monkeypatch):
+    rnd = random.Random(6)
+    texts = ["".join(chr(0x4E00 + rnd.randrange(9000)) for _ in range(5000)) for _ in range(16)] + ["the dog", "", None]
+    letters = langid.Letters()
+    found = langid.text_trigrams(texts, letters)
+    tracemalloc.start()
+    got = langid.bundles(found, letters)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20, peak  # all vectors at once: 160 MB
+    monkeypatch.setattr(langid, "GRAMS", 10**6)
+    for one, all_ in zip(got, langid.bundles(found, letters), strict=True):
+        assert (one is None) == (all_ is None) and (one is None or (one == all_).all())
+    assert got[-2:] == [None, None] and got[-3].any()
+
+
 def test_training_rows_are_bounded_for_each_language(spark):
     rows = [(i, "the same text in many rows", "en") for i in range(3000)] + [
         (None, "copies without an id", "en") for _ in range(1000)] + [
